@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of what is no longer used before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.graph import components, saved
+from spikeloom.llm.graph import components, forget, saved
 
 GROUPS = 32
+#: Groups of the finer counts that pairs from the trees are bounded by before whole sets are compared.
+FINE_GROUPS = 512
 LEAF = 32
 #: A shingle of more than this share of the documents goes to the end of every prefix.
 #: Each document has at most (mean set size / share) such shingles among all, so the broadcast list is bounded.
@@ -46,6 +48,12 @@ def group_counts(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(np.bincount((h >> _U(40)).astype(np.int64) % groups, minlength=groups), 65535).astype(np.uint16)
 
 
+def fine_counts(h: np.ndarray) -> bytes | None:
+    """Counts in FINE_GROUPS groups as bytes; None if one doesn't fit (such a set is always compared whole)."""
+    c = np.bincount((h >> _U(20)).astype(np.int64) % FINE_GROUPS, minlength=FINE_GROUPS)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else None
+
+
 class CountTree:
     """R-tree over group-count vectors, packed by recursive median splits of the widest coordinate."""
 
@@ -175,12 +183,12 @@ def signatures(docs: DataFrame, words: int, percent: int, common: np.ndarray, gr
     def sign(batches):
         often = held.value
         for b in batches:
-            n, s1, s2, pre, cnt = [], [], [], [], []
+            n, s1, s2, pre, cnt, fine = [], [], [], [], [], []
             for _, h in X.shingle_sets(b.column("text"), words):
                 k = len(h)
                 n.append(k)
                 if not k:
-                    s1.append(None), s2.append(None), pre.append(None), cnt.append(None)
+                    s1.append(None), s2.append(None), pre.append(None), cnt.append(None), fine.append(None)
                     continue
                 s1.append(int(h.sum(dtype=_U).view(np.int64)))
                 s2.append(int(X.mix(h).sum(dtype=_U).view(np.int64)))
@@ -191,9 +199,10 @@ def signatures(docs: DataFrame, words: int, percent: int, common: np.ndarray, gr
                     first = h
                 pre.append(first[: prefix_size(k, percent)].tobytes())
                 cnt.append(group_counts(h, groups).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), X.blobs(pre), X.blobs(cnt)], ["doc_id", "n", "s1", "s2", "prefix", "counts"])
+                fine.append(fine_counts(h))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), X.blobs(pre), X.blobs(cnt), X.blobs(fine)], ["doc_id", "n", "s1", "s2", "prefix", "counts", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, prefix binary, counts binary, fine binary")
 
 
 def blocks(reps: DataFrame) -> DataFrame:
@@ -265,6 +274,25 @@ def candidates(members: DataFrame, percent: int, stars: bool) -> DataFrame:
     return members.select("block", "doc_id", "n", "counts", "comp").repartition("block").mapInArrow(search, "a long, b long").distinct()
 
 
+def refined(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose finer counts still allow a link."""
+
+    def test(batches):
+        for b in batches:
+            fa, fb = b.column("fa").to_pylist(), b.column("fb").to_pylist()
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            ok = np.ones(b.num_rows, bool)
+            both = [k for k in range(b.num_rows) if fa[k] is not None and fb[k] is not None]
+            for lo in range(0, len(both), 4096):
+                rows = both[lo : lo + 4096]
+                x, y = (np.frombuffer(b"".join([f[k] for k in rows]), np.uint8).reshape(len(rows), -1) for f in (fa, fb))
+                ok[rows] = np.minimum(x, y).sum(1, dtype=np.int64) >= needed(na[rows], nb[rows], percent)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold, with the size of their intersection."""
 
@@ -300,15 +328,20 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
     """
     docs = docs.select("doc_id", "text")
     sets = saved(signatures(docs, words, percent, common_shingles(docs, words, COMMON)))
-    first = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "prefix", "counts")).alias("r"))
-    first = saved(first.select("n", "s1", "s2", "r.doc_id", "r.prefix", "r.counts"))
+    first = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "prefix", "counts", "fine")).alias("r"))
+    first = saved(first.select("n", "s1", "s2", "r.doc_id", "r.prefix", "r.counts", "r.fine"))
+    forget(docs.sparkSession)
     classes = sets.select("doc_id", "n", "s1", "s2").join(first.select("n", "s1", "s2", F.col("doc_id").alias("class_id")), ["n", "s1", "s2"], "left").select("doc_id", "n", "class_id")
     reps = first.select("doc_id", "n", "prefix", "counts")
     held = saved(blocks(reps).join(reps.select("doc_id", "n", "counts"), "doc_id"))
-    links = saved(verified(candidates(held.withColumn("comp", F.col("doc_id")), percent, True), docs, words, percent))
+    forget(docs.sparkSession)
+    tested = saved(candidates(held.withColumn("comp", F.col("doc_id")), percent, True))
+    links = saved(verified(saved(refined(tested, first, percent)), docs, words, percent))
+    forget(docs.sparkSession)
     comp = components(links)
     rest = held.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    more = saved(candidates(rest, percent, False).join(links.select("a", "b"), ["a", "b"], "left_anti"))
+    more = saved(refined(candidates(rest, percent, False).join(tested, ["a", "b"], "left_anti"), first, percent))
+    forget(docs.sparkSession)
     if not more.isEmpty():
         links = links.union(saved(verified(more, docs, words, percent)))
     return classes, links

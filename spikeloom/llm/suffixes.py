@@ -12,16 +12,15 @@ fetched and all windows around the anchor are compared.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.graph import saved
+from spikeloom.llm.graph import forget, saved
 
 ANCHOR = 20
 _U = np.uint64
@@ -290,12 +289,6 @@ def windows_covered(e: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def _forget(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is no longer used before more are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False) -> DataFrame:
     """Remove every byte covered by a span-byte string that also starts in a document of smaller doc_id.
 
@@ -310,9 +303,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False) ->
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     found = saved(matches(suffix_arrays(docs, span, ranges), span, ranges))
-    _forget(spark)
+    forget(spark)
     cover = saved(surroundings(docs, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
-    _forget(spark)
+    forget(spark)
     whole = found.where("anchor < 0").select("doc_id", F.col("pos").alias("start"), F.lit(-1).cast("long").alias("end"))
     spans = _by_doc(whole.union(cover), "start end")
     reach = span - ANCHOR
