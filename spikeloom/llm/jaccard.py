@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from spikeloom.llm import text as X
 from spikeloom.llm.graph import components, forget, saved
 
-GROUPS = 32
+GROUPS = 128
 #: Groups of the finer counts that pairs from the trees are bounded by before whole sets are compared.
 FINE_GROUPS = 512
 LEAF = 32
@@ -44,8 +44,16 @@ def needed(a, b, percent: int):
 
 
 def group_counts(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many hashes fall into each group (the document's point)."""
-    return np.minimum(np.bincount((h >> _U(40)).astype(np.int64) % groups, minlength=groups), 65535).astype(np.uint16)
+    """How many hashes fall into each group (the document's point); all 255, which bounds nothing, if one doesn't fit."""
+    c = np.bincount((h >> _U(40)).astype(np.int64) % groups, minlength=groups)
+    return (c if c.max() < 256 else np.full(groups, 255)).astype(np.uint8)
+
+
+def opened(x: np.ndarray) -> np.ndarray:
+    """Points as wide integers; a full point becomes one that bounds nothing."""
+    x = x.astype(np.int32)
+    x[(x == 255).all(1)] = 1 << 22
+    return x
 
 
 def fine_counts(h: np.ndarray) -> bytes | None:
@@ -58,7 +66,7 @@ class CountTree:
     """R-tree over group-count vectors, packed by recursive median splits of the widest coordinate."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = LEAF):
-        self.x, self.n, self.percent = points.astype(np.int32), sizes.astype(np.int64), percent
+        self.x, self.n, self.percent = opened(points), sizes.astype(np.int64), percent
         self.lo, self.hi, self.size, self.kids, self.rows = [], [], [], [], []
         stack = [(np.arange(len(sizes)), -1)]
         while stack:
@@ -247,7 +255,7 @@ def candidates(members: DataFrame, percent: int, stars: bool) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         block, doc, n, comp = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "comp"))
-        x = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint16).reshape(len(doc), -1)
+        x = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(len(doc), -1)
         order = np.lexsort((doc, block))
         at = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
         size = np.diff(np.append(at, len(order)))
@@ -256,7 +264,7 @@ def candidates(members: DataFrame, percent: int, stars: bool) -> DataFrame:
         if len(two):
             i, j = order[two], order[two + 1]
             big, small = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
-            ok = (np.minimum(x[i], x[j]).sum(1, dtype=np.int64) >= needed(big, small, percent)) & (100 * small >= percent * big) & (stars | (comp[i] != comp[j]))
+            ok = (np.minimum(opened(x[i]), opened(x[j])).sum(1, dtype=np.int64) >= needed(big, small, percent)) & (100 * small >= percent * big) & (stars | (comp[i] != comp[j]))
             found.append((doc[i[ok]], doc[j[ok]]))
         for k, m in zip(at[size > 2], size[size > 2], strict=True):
             rows = order[k : k + m]
