@@ -1,17 +1,601 @@
-"""Queries over the given tables, one per operator, with their SQL twins."""
+"""One query per operator over the given tables, with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spikeloom.functions import labels as L
+from spikeloom.operators import decompose as D
+from spikeloom.operators import edits as E
+from spikeloom.operators import signals as S
+from spikeloom.operators import units as U
+from spikeloom.plans.views import MIN, SIG, SPK, minutes, sig, spk, table
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Register a query; `views` names the view expressions that its SQL starts from."""
 
+    def add(f: Callable) -> Callable:
+        _queries[f.__name__] = f
+        if sql:
+            parts = {"sig": SIG, "spk": SPK, "min": f"{SPK}, {MIN}"}
+            head = ", ".join(parts[v] for v in views.split())
+            body = sql.strip()
+            _sql[f.__name__] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}" if head else body
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.select_units(U.isi_cov(spk(spark, sf_dir)), cov=1.05).withColumn("cov", F.round("cov", 6))
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+_ISI = "i AS (SELECT *, sample - lag(sample) OVER (PARTITION BY recording_id, unit_uid ORDER BY sample) AS isi FROM spk)"
+
+
+# --- sources, sinks and dataset tables
+
+
+@query("SELECT channel, sample, round(value, 6) AS value FROM sig WHERE sample >= 100 AND sample < 200", "sig")
+def read_grid_window(spark, sf_dir):
+    return _round(S.read_grid_window(sig(spark, sf_dir), "r", 0, 100, 100).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT channel, sample, round(value * 5.0 / pow(2.0, 16) * 1000 / (CASE WHEN channel % 3 = 0 THEN 1.0 ELSE channel % 3 END), 6) AS value FROM sig", "sig")
+def scale_adc_counts(spark, sf_dir):
+    tracks = spark.range(64).select(F.col("id").cast("int").alias("channel"), F.lit(5.0).alias("range"), F.lit(16.0).alias("bits"), (F.col("id") % 3).cast("string").alias("gain"))
+    return _round(S.scale_adc_counts(sig(spark, sf_dir), tracks).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT channel, sample, CASE WHEN channel = 0 THEN 0.0 WHEN channel = 1 THEN 1.7976931348623157e308 ELSE round(value, 6) END AS value FROM sig WHERE channel < 8", "sig")
+def sanitize_values(spark, sf_dir):
+    s = sig(spark, sf_dir).where("channel < 8")
+    bad = s.withColumn("value", F.when(F.col("channel") == 0, float("nan")).when(F.col("channel") == 1, float("inf")).otherwise(F.round("value", 6)))
+    return S.sanitize_values(bad).select("channel", "sample", "value")
+
+
+@query("+n AS (SELECT count(DISTINCT sample) + 5 AS n FROM sig), p AS (SELECT channel, unnest(range(n)) AS sample FROM (SELECT DISTINCT channel FROM sig), n) SELECT channel, sample, round(coalesce(value, 0.0), 6) AS value FROM p LEFT JOIN sig USING (channel, sample)", "sig")
+def align_lengths(spark, sf_dir):
+    s = sig(spark, sf_dir)
+    n = table(spark, sf_dir, "embeddings").agg((F.count_distinct("vec_id") + 5).alias("length")).withColumn("recording_id", F.lit("r"))
+    return _round(S.align_lengths(s, n).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT unit_uid, sample - CASE WHEN min(sample) OVER (PARTITION BY recording_id) > 0 THEN 1 ELSE 0 END AS sample FROM spk WHERE sample < 2000000", "spk")
+def shift_index_base(spark, sf_dir):
+    s = spk(spark, sf_dir).where("sample < 2000000")
+    low = s.groupBy("recording_id").agg((F.min("sample") > 0).cast("long").alias("base"))
+    return s.join(F.broadcast(low), "recording_id").select("unit_uid", (F.col("sample") - F.col("base")).alias("sample"))
+
+
+@query("SELECT recording_id, max(sample) + 1 AS total_samples FROM spk GROUP BY recording_id", "spk")
+def infer_total_samples(spark, sf_dir):
+    return spk(spark, sf_dir).groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
+
+
+@query("SELECT channel, round(CASE WHEN min(value) = max(value) THEN min(value) - 1 ELSE min(value) END, 6) AS low, round(CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END, 6) AS high FROM sig GROUP BY channel", "sig")
+def physical_range(spark, sf_dir):
+    return _round(S.physical_range(sig(spark, sf_dir)).select("channel", "low", "high"), "low", "high")
+
+
+@query("SELECT printf('%.6f', sample / 1.0) AS onset, 0.0 AS duration, sample, unit_uid FROM spk", "spk")
+def spike_events_table(spark, sf_dir):
+    from spikeloom.sources.tables import spike_events_table as events
+
+    return events(spk(spark, sf_dir), 1.0).select("onset", "duration", "sample", "unit_uid")
+
+
+@query("SELECT p.c_custkey AS participant_id, CASE WHEN p.c_custkey % 3 = 0 THEN 'updated' ELSE coalesce(nullif(p.c_mktsegment, ''), 'n/a') END AS handedness FROM customer p")
+def upsert_participants(spark, sf_dir):
+    from spikeloom.sources.tables import upsert_participants as upsert
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("participant_id"), F.col("c_mktsegment").alias("handedness"))
+    return upsert(c.where("participant_id % 2 = 0"), c.where("participant_id % 2 = 1 or participant_id % 3 = 0").withColumn("handedness", F.when(F.col("participant_id") % 3 == 0, "updated").otherwise(F.col("handedness"))))
+
+
+@query("SELECT o_orderpriority AS grp, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS status, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS prio FROM orders GROUP BY 1")
+def uniform_or_null(spark, sf_dir):
+    from spikeloom.sources.tables import uniform_or_null as uniform
+
+    return uniform(table(spark, sf_dir, "orders").withColumn("grp", F.col("o_orderpriority")), ["grp"], {"o_orderstatus": "status", "o_orderpriority": "prio"})
+
+
+@query("SELECT url FROM pages EXCEPT SELECT url FROM pages WHERE page_id % 3 = 0")
+def write_missing_only(spark, sf_dir):
+    from spikeloom.sources.tables import missing_only
+
+    p = table(spark, sf_dir, "pages")
+    return missing_only(p.select("url"), p.where("page_id % 3 = 0").select("url"), "url").distinct()
+
+
+@query("SELECT c_custkey, c_nationkey, 'sub-' || c_custkey AS participant, CASE WHEN c_custkey % 2 = 0 THEN n.n_name END AS age FROM customer JOIN nation n ON n_nationkey = c_nationkey")
+def lookup_participants(spark, sf_dir):
+    from spikeloom.sources.tables import lookup_participants as look
+
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    p = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("sub-"), F.col("c_custkey").cast("string")).alias("participant_id"), F.col("n_name").alias("age"), F.lit(0).alias("row"))
+    r = c.select("c_custkey", "c_nationkey", F.col("c_custkey").cast("string").alias("subject"))
+    return look(r, p).select("c_custkey", "c_nationkey", F.concat(F.lit("sub-"), "subject").alias("participant"), "age")
+
+
+# --- labels
+
+
+@query("SELECT c_custkey, concat_ws('_', 'sub-' || c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'ses-' || c_nationkey END, 'task-' || lower(c_mktsegment), CASE WHEN c_nationkey % 3 = 0 THEN 'run-' || c_nationkey END) AS label FROM customer")
+def build_entity_label(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = F.col("c_nationkey").cast("string")
+    return c.select("c_custkey", L.build_entity_label(sub=F.col("c_custkey").cast("string"), ses=F.when(F.col("c_nationkey") % 2 == 0, n), task=F.lower("c_mktsegment"), acq=F.lit(""), run=F.when(F.col("c_nationkey") % 3 == 0, n)).alias("label"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS sub, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS ses, lower(c_mktsegment) AS task FROM customer")
+def parse_entity_label(spark, sf_dir):
+    b = build_entity_label(spark, sf_dir)
+    return b.select("c_custkey", L.parse_entity_label(F.col("label")).alias("p")).select("c_custkey", "p.sub", "p.ses", "p.task")
+
+
+@query(r"SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '(_decomp|_edited)+$', '') AS label FROM part")
+def strip_artifact_suffix(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.regexp_replace("p_name", " ", "_"), F.when(F.col("p_partkey") % 2 == 0, "_decomp_edited").otherwise(""), F.when(F.col("p_partkey") % 3 == 0, "_grid-1").otherwise(""), F.lit(".npz"))
+    return p.select("p_partkey", L.strip_artifact_suffix(name).alias("label"))
+
+
+@query(r"SELECT p_partkey, CASE WHEN regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') = '' THEN 'x' ELSE regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') END AS token FROM part")
+def safe_token(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", L.safe_token(F.col("p_name"), "x").alias("token"))
+
+
+@query("SELECT p_partkey, '/data/set' || (p_partkey % 7) AS root FROM part WHERE p_partkey % 3 < 2")
+def infer_dataset_root(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_partkey % 3 < 2")
+    path = F.concat(F.lit("/data/set"), (F.col("p_partkey") % 7).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "/derivatives/decomp/sub-01/x.npz").otherwise("/sub-01/emg/x.edf"))
+    return p.select("p_partkey", L.infer_dataset_root(path).alias("root"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN 2048.0 / p_size WHEN 2 THEN CAST(p_size AS DOUBLE) END AS hz FROM part")
+def parse_cutoff(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat(n, F.lit(" Hz"))).when(k == 1, F.concat(F.lit("Fsamp/"), n)).when(k == 2, n).otherwise("none")
+    return table(spark, sf_dir, "part").select("p_partkey", L.parse_cutoff(text, F.lit(2048.0)).alias("hz"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(printf('%.4f', CAST(p_retailprice AS DOUBLE)), '0+$', ''), '\.$', '') AS hz FROM part")
+def format_hz(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", L.format_hz(F.col("p_retailprice").cast("double")).alias("hz"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN trim(role) END AS value FROM conversations")
+def na_to_null(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", L.na_to_null(F.when(F.col("turn") % 3 == 0, F.when(F.col("turn") % 2 == 0, " N/A ").otherwise("  ")).otherwise(F.col("role"))).alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN upper(p_name) LIKE '%TRIG%' OR upper(p_name) LIKE '%SYNC%' THEN 'TRIG' ELSE 'MISC' END AS type FROM part")
+def aux_channel_type(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", L.aux_channel_type(F.col("p_name")).alias("type"))
+
+
+@query("+k AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS k FROM customer) SELECT c_custkey, CASE WHEN k = 1 THEN c_mktsegment ELSE c_mktsegment || '_' || k END AS unique_label FROM k", "sig")
+def unique_labels(spark, sf_dir):
+    return L.unique_labels(table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_custkey"], "c_mktsegment").select("c_custkey", "unique_label")
+
+
+@query("SELECT recording_id, unit_uid AS unit, 'g' || grid || '_mu' || (row_number() OVER (PARTITION BY recording_id, grid ORDER BY unit_uid) - 1) AS unit_uid FROM (SELECT DISTINCT recording_id, grid, unit_uid FROM spk)", "spk")
+def assign_unit_uids(spark, sf_dir):
+    u = spk(spark, sf_dir).select("recording_id", "grid", F.col("unit_uid").alias("unit")).distinct()
+    return L.assign_unit_uids(u, ["recording_id"], ["unit"]).select("recording_id", "unit", "unit_uid")
+
+
+@query("SELECT recording_id, grid, 'g' || grid || '_mu' || count(DISTINCT unit_uid) AS next_uid FROM spk GROUP BY 1, 2", "spk")
+def next_unit_uid(spark, sf_dir):
+    u = spk(spark, sf_dir).select("recording_id", "grid", F.col("unit_uid").alias("unit")).distinct()
+    return L.next_unit_uid(L.assign_unit_uids(u, ["recording_id"], ["unit"]), ["recording_id"])
+
+
+# --- signals
+
+_MA = "+s AS (SELECT *, sum(value) OVER (PARTITION BY channel ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM sig) "
+
+
+@query("SELECT channel, sample, round(value - avg(value) OVER (PARTITION BY channel), 6) AS value FROM sig", "sig")
+def demean(spark, sf_dir):
+    return _round(S.demean(sig(spark, sf_dir)).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT sample, round(avg(abs(value)), 6) AS activity FROM sig GROUP BY sample", "sig")
+def rectified_mean(spark, sf_dir):
+    return _round(S.rectified_mean(sig(spark, sf_dir)).select("sample", "activity"), "activity")
+
+
+@query("SELECT channel, round(avg(abs(value)), 6) AS mean_abs FROM sig GROUP BY channel", "sig")
+def channel_mean_abs(spark, sf_dir):
+    return _round(S.channel_mean_abs(sig(spark, sf_dir)).select("channel", "mean_abs"), "mean_abs")
+
+
+@query(_MA + "SELECT channel, sample, round(smooth, 6) AS smooth FROM s", "sig")
+def moving_average(spark, sf_dir):
+    return _round(S.moving_average(sig(spark, sf_dir), list(S.CHANNEL), 5).select("channel", "sample", "smooth"), "smooth")
+
+
+@query("SELECT channel, sample, round(value, 6) AS value FROM sig WHERE sample % 4 = 0", "sig")
+def decimate(spark, sf_dir):
+    return _round(S.decimate(sig(spark, sf_dir), 100.0, 25.0).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT channel, (sample - 10) // 5 AS bin, round(min(value), 6) AS low, round(max(value), 6) AS high FROM sig WHERE sample >= 10 AND sample < 410 GROUP BY 1, 2", "sig")
+def minmax_envelope(spark, sf_dir):
+    return _round(S.minmax_envelope(sig(spark, sf_dir), 10, 400, 96).select("channel", "bin", "low", "high"), "low", "high")
+
+
+@query("SELECT channel, sample, round(value, 6) AS value FROM sig WHERE channel = 3 AND sample >= 50 AND (sample - 50) % 2 = 0", "sig")
+def qc_window(spark, sf_dir):
+    return _round(S.qc_window(sig(spark, sf_dir), 0, 50, 0, 1 << 40, "raw", 2000.0, 3).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT channel, sample, round(value, 6) AS value FROM sig WHERE channel % 5 <> 0", "sig")
+def keep_channels(spark, sf_dir):
+    masks = spark.range(0, 64, 5).select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), F.col("id").cast("int").alias("channel"))
+    return _round(S.keep_channels(sig(spark, sf_dir), masks).select("channel", "sample", "value"), "value")
+
+
+@query("SELECT channel, sample, CASE WHEN sample < 250 THEN 0 ELSE 1 END AS win FROM sig WHERE (sample >= 20 AND sample < 230) OR (sample >= 270 AND sample < 480)", "sig")
+def assign_windows(spark, sf_dir):
+    w = spark.sql("select 'r' recording_id, 0 grid, cast(id as int) win, id * 250 start, id * 250 + 250 end from range(2)")
+    return S.assign_windows(sig(spark, sf_dir), w, 20).select("channel", "sample", "win")
+
+
+@query("SELECT channel, sample, CAST(round_even((value - lo) / (hi - lo) * 65535 - 32768, 0) AS BIGINT) AS digital FROM (SELECT *, min(value) OVER (PARTITION BY channel) AS lo, max(value) OVER (PARTITION BY channel) AS hi FROM sig)", "sig")
+def quantize(spark, sf_dir):
+    s = sig(spark, sf_dir)
+    return S.quantize(s, S.physical_range(s), 16).select("channel", "sample", "digital")
+
+
+@query()
+def bandpass(spark, sf_dir):
+    return _round(S.bandpass(sig(spark, sf_dir), 100.0, band=(10.0, 30.0, 2)).select("channel", "sample", "value"), "value")
+
+
+@query()
+def spectral_notch(spark, sf_dir):
+    return _round(S.spectral_notch(sig(spark, sf_dir), 100.0).select("channel", "sample", "value"), "value")
+
+
+@query("+a AS (SELECT sample, avg(abs(value)) AS activity FROM sig GROUP BY sample), s AS (SELECT sample, sum(activity) OVER (ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM a) SELECT sample, round(smooth, 6) AS smooth FROM s WHERE sample % 2 = 0", "sig")
+def preview_bundle(spark, sf_dir):
+    return _round(S.preview_bundle(sig(spark, sf_dir), 2000.0, 5)["overall"].select("sample", "smooth"), "smooth")
+
+
+# --- decomposition
+
+
+@query("+f AS (SELECT sample, channel, value FROM sig WHERE channel < 8), g AS (SELECT DISTINCT a.sample, m, a.channel FROM f a CROSS JOIN (SELECT unnest(range(3)) AS m)) SELECT g.sample, CAST(g.m * 8 + g.channel AS INTEGER) AS dim, round(coalesce(f.value, 0.0), 6) AS value FROM g LEFT JOIN f ON f.sample = g.sample - g.m AND f.channel = g.channel", "sig")
+def delay_embed(spark, sf_dir):
+    f = D.frames(sig(spark, sf_dir).where("channel < 8"))
+    return _round(D.delay_embed(f, 3).select("sample", F.posexplode("x").alias("dim", "value")), "value")
+
+
+@query("SELECT a.channel AS i, b.channel AS j, round(covar_pop(a.value, b.value), 6) AS cov FROM sig a JOIN sig b ON a.sample = b.sample AND a.channel <= b.channel GROUP BY 1, 2", "sig")
+def covariance_matrix(spark, sf_dir):
+    return _round(D.covariance_matrix(sig(spark, sf_dir)).select("i", "j", "cov"), "cov")
+
+
+@query()
+def whiten(spark, sf_dir):
+    s = sig(spark, sf_dir)
+    return _round(D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s))).select("sample", F.posexplode("x").alias("dim", "value")), "value")
+
+
+def _filters(spark):
+    w = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k % (F.col("id") + 2) == 0, 1.0).otherwise(-0.5))
+    return spark.range(3).select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), F.col("id").alias("unit_uid"), w.alias("filter"))
+
+
+_DOT = "+p AS (SELECT u AS unit_uid, sample, sum(value * (CASE WHEN channel % (u + 2) = 0 THEN 1.0 ELSE -0.5 END)) AS s FROM sig CROSS JOIN (SELECT unnest(range(3)) AS u) GROUP BY 1, 2) "
+
+
+@query(_DOT + "SELECT unit_uid, sample, round(s * abs(s), 6) AS value FROM p", "sig")
+def pulse_train(spark, sf_dir):
+    return _round(D.pulse_train(D.frames(sig(spark, sf_dir)), _filters(spark)).select("unit_uid", "sample", "value"), "value")
+
+
+@query(_DOT + "SELECT channel AS dim, round(avg(value * s * s) - 2 * avg(s) * max(CASE WHEN channel % 2 = 0 THEN 1.0 ELSE -0.5 END), 6) AS w FROM sig JOIN p USING (sample) WHERE unit_uid = 0 GROUP BY channel", "sig")
+def contrast_step(spark, sf_dir):
+    v = _filters(spark).where("unit_uid = 0").select("recording_id", "grid", F.col("filter").alias("w"))
+    return _round(D.contrast_step(D.frames(sig(spark, sf_dir)), v).select("dim", "w"), "w")
+
+
+def _at(spark, sf_dir):
+    s = table(spark, sf_dir, "embeddings").where("vec_id % 17 = 3").select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), (F.col("vec_id") % 2).alias("unit_uid"), F.col("vec_id").alias("sample"))
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("total_samples")).withColumn("recording_id", F.lit("r"))
+    return s, n
+
+
+_AT = "at_ AS (SELECT vec_id % 2 AS unit_uid, vec_id AS spike FROM embeddings WHERE vec_id % 17 = 3), fit AS (SELECT * FROM at_ WHERE spike >= 3 AND spike + 3 <= (SELECT max(vec_id) FROM embeddings)), seg AS (SELECT unit_uid, spike, channel, sample - spike AS off, value FROM fit JOIN sig ON sample BETWEEN spike - 3 AND spike + 3)"
+
+
+@query("+" + _AT + " SELECT unit_uid, channel AS dim, round(sum(value), 6) AS weight FROM at_ JOIN sig ON sample = spike GROUP BY 1, 2", "sig")
+def spike_triggered_sum(spark, sf_dir):
+    s, _ = _at(spark, sf_dir)
+    return _round(D.spike_triggered_sum(D.frames(sig(spark, sf_dir)), s).select("unit_uid", "dim", "weight"), "weight")
+
+
+@query("+" + _AT + " SELECT unit_uid, spike, channel, CAST(off AS INTEGER) AS off, round(value, 6) AS value FROM seg", "sig")
+def muap_segments(spark, sf_dir):
+    s, n = _at(spark, sf_dir)
+    return _round(D.muap_segments(sig(spark, sf_dir), s.drop("grid"), 3, n).select("unit_uid", "spike", "channel", F.col("offset").alias("off"), "value"), "value")
+
+
+@query("+" + _AT + " SELECT unit_uid, channel, CAST(off AS INTEGER) AS off, round(avg(value), 6) AS mean FROM seg GROUP BY ALL", "sig")
+def spike_triggered_average(spark, sf_dir):
+    s, n = _at(spark, sf_dir)
+    return _round(D.spike_triggered_average(sig(spark, sf_dir), s.drop("grid"), 3, n).select("unit_uid", "channel", F.col("offset").alias("off"), "mean"), "mean")
+
+
+@query("+" + _AT + ", mean AS (SELECT unit_uid, channel, off, avg(value) AS m FROM seg GROUP BY ALL), put AS (SELECT channel, spike + off AS sample, sum(m) AS s FROM fit JOIN mean USING (unit_uid) GROUP BY ALL) SELECT sig.channel, sig.sample, round(value - coalesce(s, 0), 6) AS value FROM sig LEFT JOIN put USING (channel, sample)", "sig")
+def peel_off(spark, sf_dir):
+    s, n = _at(spark, sf_dir)
+    return _round(D.peel_off(sig(spark, sf_dir), s.drop("grid"), 3, n).select("channel", "sample", "value"), "value")
+
+
+@query("+p AS (SELECT sample, round(pow(sum(value), 2), 9) AS p FROM sig GROUP BY sample) SELECT sample FROM p ORDER BY p DESC, sample LIMIT 1", "sig")
+def activity_seed(spark, sf_dir):
+    return D.activity_seed(D.frames(sig(spark, sf_dir))).select("sample")
+
+
+@query()
+def fit_units(spark, sf_dir):
+    s = sig(spark, sf_dir)
+    w = D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s)))
+    return D.fit_units(w, 8).select("unit", F.posexplode("filter").alias("dim", "w"))
+
+
+# --- units
+
+
+@query("+i AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM spk WINDOW w AS (PARTITION BY recording_id, unit_uid ORDER BY sample)) SELECT unit_uid, sample, value FROM i WHERE value > b AND value > a", "spk")
+def local_maxima(spark, sf_dir):
+    return U.local_maxima(spk(spark, sf_dir)).select("unit_uid", "sample", "value")
+
+
+@query()
+def find_peaks(spark, sf_dir):
+    return U.find_peaks(spk(spark, sf_dir), 40_000).select("unit_uid", "sample", "value")
+
+
+_SPLIT = """+k AS (SELECT *, row_number() OVER w AS k, sum(value) OVER w AS c, sum(value * value) OVER w AS q, count(*) OVER t AS n, sum(value) OVER t AS sc, sum(value * value) OVER t AS sq
+  FROM spk WINDOW w AS (PARTITION BY recording_id, unit_uid ORDER BY value, sample ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY recording_id, unit_uid)),
+  cost AS (SELECT *, CASE WHEN k < n THEN round(q - c * c / k + sq - q - (sc - c) * (sc - c) / (n - k), 9) END AS cost FROM k),
+  best AS (SELECT recording_id, unit_uid, arg_min(k, struct_pack(c := cost, k := k)) AS cut FROM cost WHERE cost IS NOT NULL GROUP BY 1, 2),
+  s AS (SELECT cost.*, k > cut AS high FROM cost JOIN best USING (recording_id, unit_uid)) """
+
+
+@query(_SPLIT + "SELECT unit_uid, sample, high FROM s", "spk")
+def two_means_split(spark, sf_dir):
+    return U.two_means_split(spk(spark, sf_dir)).select("unit_uid", "sample", "high")
+
+
+@query(_SPLIT + ", c AS (SELECT *, avg(CASE WHEN high THEN value END) OVER (PARTITION BY unit_uid) AS hi, avg(CASE WHEN NOT high THEN value END) OVER (PARTITION BY unit_uid) AS lo FROM s) SELECT unit_uid, round((sum(pow(value - lo, 2)) - sum(pow(value - hi, 2))) / greatest(sum(pow(value - lo, 2)), sum(pow(value - hi, 2))), 6) AS sil FROM c WHERE high GROUP BY unit_uid", "spk")
+def silhouette(spark, sf_dir):
+    return _round(U.silhouette(spk(spark, sf_dir)).select("unit_uid", "sil"), "sil")
+
+
+@query("SELECT unit_uid, sample FROM (SELECT *, avg(value) OVER (PARTITION BY unit_uid) + 3 * stddev_pop(value) OVER (PARTITION BY unit_uid) AS top FROM spk) WHERE value <= top", "spk")
+def reject_high_peaks(spark, sf_dir):
+    return U.reject_high_peaks(spk(spark, sf_dir)).select("unit_uid", "sample")
+
+
+@query("+" + _ISI + " SELECT unit_uid, sample, isi FROM i WHERE isi IS NOT NULL", "spk")
+def inter_spike_intervals(spark, sf_dir):
+    return U.inter_spike_intervals(spk(spark, sf_dir)).select("unit_uid", "sample", "isi")
+
+
+@query("+" + _ISI + " SELECT unit_uid, count(*) AS n_spikes, round(stddev_pop(isi) / avg(isi), 6) AS cov FROM i GROUP BY unit_uid", "spk")
+def isi_cov(spark, sf_dir):
+    return _round(U.isi_cov(spk(spark, sf_dir)).select("unit_uid", "n_spikes", "cov"), "cov")
+
+
+@query("+" + _ISI + ", c AS (SELECT unit_uid, round(stddev_pop(isi) / avg(isi), 6) AS cov FROM i GROUP BY unit_uid) SELECT * FROM c WHERE cov <= 1.0", "spk")
+def select_units(spark, sf_dir):
+    return U.select_units(_round(U.isi_cov(spk(spark, sf_dir)).select("unit_uid", "cov"), "cov"), cov=1.0)
+
+
+@query("+t AS (SELECT recording_id, max(sample) + 1 AS n FROM m GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM m WHERE unit_uid < 8), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT unit_uid, sample, CASE WHEN m.value IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN m USING (recording_id, unit_uid, sample)", "min")
+def pulse_from_spikes(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    t = m.groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
+    return U.pulse_from_spikes(m.where("unit_uid < 8"), t).select("unit_uid", "sample", "value")
+
+
+@query("SELECT unit_uid, sample, CASE WHEN sample % 3 = 0 THEN 0.0 ELSE value END AS value FROM spk", "spk")
+def spike_heights(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return U.spike_heights(s, s.where("sample % 3 <> 0").select("recording_id", "unit_uid", "sample", "value")).select("unit_uid", "sample", "value")
+
+
+@query("SELECT DISTINCT unit_uid FROM spk WHERE grid = 2", "spk")
+def units_for_grid(spark, sf_dir):
+    return U.units_for_grid(spk(spark, sf_dir).select("recording_id", "grid", "unit_uid").distinct(), 2).select("unit_uid")
+
+
+@query("SELECT DISTINCT unit_uid, unnest(range(greatest(sample - 1, 0), sample + 2)) AS sample FROM m", "min")
+def expand_jitter(spark, sf_dir):
+    return U.expand_jitter(minutes(spk(spark, sf_dir)), 1).select("unit_uid", "sample")
+
+
+_LAG = "+o AS (SELECT a.recording_id, a.unit_uid AS u, b.unit_uid AS v, b.sample - a.sample AS lag, count(*) AS n FROM m a JOIN m b ON a.recording_id = b.recording_id AND a.unit_uid < b.unit_uid AND b.sample - a.sample BETWEEN -4 AND 4 GROUP BY ALL) "
+
+
+@query(_LAG + "SELECT u, v, lag, n FROM o", "min")
+def lag_overlap(spark, sf_dir):
+    return U.lag_overlap(minutes(spk(spark, sf_dir)), 2).select("u", "v", "lag", "n")
+
+
+_BEST = _LAG + ", c AS (SELECT unit_uid, count(*) AS k FROM m GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY n DESC, lag) AS rk FROM o), best AS (SELECT u, v, lag, n, cu.k AS n_u, cv.k AS n_v FROM r JOIN c cu ON cu.unit_uid = u JOIN c cv ON cv.unit_uid = v WHERE rk = 1) "
+
+
+@query(_BEST + "SELECT u, v, lag, round(n / sqrt(CAST(n_u AS DOUBLE) * n_v), 6) AS share FROM best", "min")
+def best_lags(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    return _round(U.best_lags(U.lag_overlap(m, 2), m).select("u", "v", "lag", "share"), "share")
+
+
+@query(_BEST + ", h AS (SELECT best.*, a.sample, a.sample - lag(a.sample) OVER (PARTITION BY u, v ORDER BY a.sample) AS gap FROM best JOIN m a ON a.unit_uid = u JOIN m b ON b.unit_uid = v AND b.sample = a.sample + best.lag) SELECT u, v, round(sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) / CAST(greatest(max(n_u), max(n_v)) AS DOUBLE), 6) AS score FROM h GROUP BY u, v", "min")
+def duplicate_score(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    return _round(U.duplicate_score(m, U.best_lags(U.lag_overlap(m, 2), m)).select("u", "v", "score"), "score")
+
+
+@query()
+def dedup_units(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    scores = U.duplicate_score(m, U.best_lags(U.lag_overlap(m, 2), m))
+    units = U.isi_cov(m, 100.0).withColumn("ord", F.col("unit_uid"))
+    return U.dedup_units(units, scores, 0.02).select("recording_id", "unit_uid", F.round("cov", 6).alias("cov"))
+
+
+@query("+l AS (SELECT *, lead(sample) OVER (PARTITION BY unit_uid ORDER BY sample) - sample AS isi FROM spk) SELECT unit_uid, CAST(round_even(sample + isi / 2, 0) AS BIGINT) AS \"at\", round(1.0 / isi, 6) AS rate FROM l WHERE isi > 0", "spk")
+def discharge_rate(spark, sf_dir):
+    return _round(U.discharge_rate(spk(spark, sf_dir), 1.0).select("unit_uid", "at", "rate"), "rate")
+
+
+@query("+" + _ISI + ", c AS (SELECT recording_id, unit_uid, round(stddev_pop(isi) / avg(isi), 6) AS sil FROM i GROUP BY 1, 2) SELECT recording_id, count(*) AS n_units, round(avg(sil), 6) AS mean_sil FROM c GROUP BY 1", "spk")
+def unit_summary(spark, sf_dir):
+    u = _round(U.isi_cov(spk(spark, sf_dir)), "cov").withColumnRenamed("cov", "sil")
+    return _round(U.unit_summary(u).select("recording_id", "n_units", "mean_sil"), "mean_sil")
+
+
+# --- edits
+
+
+def _rois(spikes):
+    return spikes.select("recording_id", "unit_uid").distinct().select("recording_id", "unit_uid", F.lit(500_000).cast("long").alias("x_start"), F.lit(1_500_000).cast("long").alias("x_end"), F.lit(20.0).alias("y_min"), F.lit(60.0).alias("y_max"))
+
+
+@query("SELECT unit_uid, sample FROM spk WHERE NOT (sample BETWEEN 500000 AND 1500000 AND value BETWEEN 20 AND 61)", "spk")
+def delete_spikes_in_roi(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.delete_spikes_in_roi(s, s.select("recording_id", "unit_uid", "sample", "value"), _rois(s)).select("unit_uid", "sample")
+
+
+@query()
+def add_spikes_in_roi(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.add_spikes_in_roi(s.select("recording_id", "unit_uid", "sample", "value"), s.where("sample % 2 = 0"), _rois(s), 5000).select("unit_uid", "sample")
+
+
+_PAIR = "+p AS (SELECT unit_uid, sample, value, lead(sample) OVER w AS r, lead(value) OVER w AS rv FROM spk WINDOW w AS (PARTITION BY unit_uid ORDER BY sample)), q AS (SELECT *, r - sample AS isi, CASE WHEN value < rv THEN sample ELSE r END AS low FROM p WHERE r IS NOT NULL) "
+
+
+@query(_PAIR + "SELECT unit_uid, sample FROM spk EXCEPT SELECT unit_uid, low FROM q WHERE r - isi // 2 BETWEEN 500000 AND 1500000 AND 100000.0 / isi > 20", "spk")
+def delete_high_rate_in_roi(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.delete_high_rate_in_roi(s, s.select("recording_id", "unit_uid", "sample", "value"), _rois(s), 100_000.0).select("unit_uid", "sample")
+
+
+@query(_PAIR + ", t AS (SELECT *, avg(1.0 / isi) OVER (PARTITION BY unit_uid) + 3 * stddev_pop(1.0 / isi) OVER (PARTITION BY unit_uid) AS top, count(*) OVER (PARTITION BY unit_uid) AS n FROM q) SELECT unit_uid, sample FROM spk EXCEPT SELECT unit_uid, low FROM t WHERE 1.0 / isi > top AND n >= 2", "spk")
+def remove_rate_outliers(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.remove_rate_outliers(s, s.select("recording_id", "unit_uid", "sample", "value"), 1.0).select("unit_uid", "sample")
+
+
+@query("+a AS (SELECT unit_uid, sample FROM m WHERE sample % 2 = 0), b AS (SELECT unit_uid, sample AS peak FROM m WHERE sample % 2 = 1), r AS (SELECT a.unit_uid, sample, peak, row_number() OVER (PARTITION BY a.unit_uid, sample ORDER BY abs(peak - sample), peak) AS k FROM a LEFT JOIN b ON a.unit_uid = b.unit_uid AND abs(peak - sample) <= 200) SELECT DISTINCT unit_uid, coalesce(peak, sample) AS sample FROM r WHERE k = 1", "min")
+def lock_spikes(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    return E.lock_spikes(m.where("sample % 2 = 0"), m.where("sample % 2 = 1"), 200).select("unit_uid", "sample")
+
+
+@query("SELECT channel AS unit_uid, sample, round(CASE WHEN sample >= 110 AND sample < 390 THEN -value ELSE value END, 6) AS value FROM sig", "sig")
+def splice_pulse(spark, sf_dir):
+    p = sig(spark, sf_dir).select("recording_id", F.col("channel").alias("unit_uid"), "sample", "value")
+    return _round(E.splice_pulse(p, p.withColumn("value", -F.col("value")), 100, 400, 10).select("unit_uid", "sample", "value"), "value")
+
+
+@query("SELECT unit_uid, sample FROM spk UNION ALL SELECT 1000000, sample FROM spk WHERE unit_uid = 5", "spk")
+def duplicate_unit(spark, sf_dir):
+    s = spk(spark, sf_dir).select("unit_uid", "sample")
+    return E.duplicate_unit(s, 5, 1_000_000)
+
+
+@query("SELECT unit_uid, sample, CASE WHEN sample % 3 = 0 THEN 'removed' ELSE 'added' END AS change FROM spk WHERE (sample % 3 = 0) <> (sample % 5 = 0)", "spk")
+def spike_diff(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.spike_diff(s.where("sample % 3 = 0"), s.where("sample % 5 = 0")).select("unit_uid", "sample", "change")
+
+
+@query("SELECT unit_uid, 'add_spikes' AS type, string_agg(CASE WHEN sample % 5 = 0 THEN CAST(sample AS VARCHAR) END, ',' ORDER BY sample) AS added, string_agg(CASE WHEN sample % 3 = 0 THEN CAST(sample AS VARCHAR) END, ',' ORDER BY sample) AS removed FROM spk WHERE (sample % 3 = 0) <> (sample % 5 = 0) GROUP BY 1", "spk")
+def edit_history_entries(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    d = E.spike_diff(s.where("sample % 3 = 0"), s.where("sample % 5 = 0"))
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return E.edit_history_entries(d, "add_spikes").select("unit_uid", "type", join("added"), join("removed"))
+
+
+@query("SELECT DISTINCT unit_uid FROM spk WHERE sample % 50 = 0", "spk")
+def dirty_units(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.dirty_units(s.where("sample % 50 <> 0"), s).select("unit_uid")
+
+
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.lit("r").alias("recording_id"), F.col("conv_id").alias("unit_uid"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "flag_mu").otherwise("add_spikes").alias("type"), (F.col("turn") % 2 == 0).alias("flagged"))
+
+
+@query("SELECT conv_id AS unit_uid, max(turn) AS seq, CASE WHEN arg_max(role, turn) = 'user' THEN 'flag_mu' ELSE 'add_spikes' END AS type FROM conversations GROUP BY 1")
+def last_edit_per_unit(spark, sf_dir):
+    return E.last_edit_per_unit(_log(spark, sf_dir)).select("unit_uid", "seq", "type")
+
+
+@query("SELECT conv_id AS unit_uid, turn AS seq FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations) WHERE turn < top")
+def undo_last(spark, sf_dir):
+    return E.undo_last(_log(spark, sf_dir)).select("unit_uid", "seq")
+
+
+@query("SELECT conv_id AS unit_uid, turn AS seq FROM conversations WHERE conv_id % 4 <> 0")
+def reset_units(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return E.reset_units(log, log.where("unit_uid % 4 = 0").select("recording_id", "unit_uid").distinct()).select("unit_uid", "seq")
+
+
+@query("SELECT conv_id AS unit_uid, arg_max(CASE WHEN role = 'user' THEN turn % 2 = 0 ELSE false END, turn) AS flagged FROM conversations GROUP BY 1")
+def flag_units(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return E.flag_units(log.select("recording_id", "unit_uid").distinct(), log).select("unit_uid", "flagged")
+
+
+@query("SELECT conv_id AS unit_uid, turn AS seq FROM conversations UNION ALL SELECT conv_id, max(turn) + 1 FROM conversations GROUP BY 1")
+def append_edit_log(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    new = log.groupBy("recording_id", "unit_uid").agg((F.max("seq") + 1).alias("seq"))
+    return E.append_edit_log(log, new).select("unit_uid", "seq")
+
+
+# --- streaming
+
+
+@query("SELECT user_id AS unit_uid, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start, min(value) AS low, max(value) AS high, round(avg(abs(value)), 6) AS activity FROM events GROUP BY 1, 2")
+def stream_qc_envelope(spark, sf_dir):
+    from spikeloom.streaming.envelope import stream_qc_envelope as envelope
+
+    e = table(spark, sf_dir, "events").select(F.lit("r").alias("recording_id"), F.col("user_id").alias("unit_uid"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return _round(envelope(e, "1 day").select("unit_uid", F.unix_seconds("start").alias("start"), "low", "high", "activity"), "activity")
