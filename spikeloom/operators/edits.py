@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from spikeloom.operators.units import UNIT, find_peaks, spike_heights
 
-_by_sample = W.partitionBy(*UNIT).orderBy("sample")
+def _by_sample():
+    return W.partitionBy(*UNIT).orderBy("sample")
 
 
 def add_spikes_in_roi(pulses: DataFrame, spikes: DataFrame, rois: DataFrame, distance: int) -> DataFrame:
@@ -29,7 +30,7 @@ def delete_spikes_in_roi(spikes: DataFrame, pulses: DataFrame, rois: DataFrame)
 def _weaker_of_pairs(spikes: DataFrame, pulses: DataFrame) -> tuple[DataFrame, Column]:
     """Consecutive pairs, and the column that names the lower spike of each (the right one on ties)."""
     h = spike_heights(spikes, pulses)
-    p = h.withColumn("_right", F.lead("sample").over(_by_sample)).withColumn("_rv", F.lead("value").over(_by_sample)).where("_right is not null").withColumn("_isi", F.col("_right") - F.col("sample"))
+    p = h.withColumn("_right", F.lead("sample").over(_by_sample())).withColumn("_rv", F.lead("value").over(_by_sample())).where("_right is not null").withColumn("_isi", F.col("_right") - F.col("sample"))
     return p, F.when(F.col("value") < F.col("_rv"), F.col("sample")).otherwise(F.col("_right"))
 
 

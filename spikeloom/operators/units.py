@@ -12,13 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNIT = ("recording_id", "unit_uid")
-_by_sample = W.partitionBy(*UNIT).orderBy("sample")
+def _by_sample():
+    return W.partitionBy(*UNIT).orderBy("sample")
 
 
 def local_maxima(pulses: DataFrame) -> DataFrame:
     """Samples higher than both sides; the middle (rounded down) of a flat top. The ends of a series are no maxima."""
-    edge = F.coalesce(F.lag("value").over(_by_sample) != F.col("value"), F.lit(True)).cast("int")
-    runs = pulses.withColumn("_run", F.sum(edge).over(_by_sample)).groupBy(*UNIT, "_run").agg(F.min("sample").alias("a"), F.max("sample").alias("b"), F.first("value").alias("value"))
+    edge = F.coalesce(F.lag("value").over(_by_sample()) != F.col("value"), F.lit(True)).cast("int")
+    runs = pulses.withColumn("_run", F.sum(edge).over(_by_sample())).groupBy(*UNIT, "_run").agg(F.min("sample").alias("a"), F.max("sample").alias("b"), F.first("value").alias("value"))
     w = W.partitionBy(*UNIT).orderBy("_run")
     near = runs.withColumn("_before", F.lag("value").over(w)).withColumn("_after", F.lead("value").over(w))
     return near.where("value > _before and value > _after").select(*UNIT, F.floor((F.col("a") + F.col("b")) / 2).alias("sample"), "value")
@@ -26,8 +27,8 @@ def local_maxima(pulses: DataFrame) -> DataFrame:
 
 def peak_islands(peaks: DataFrame, distance: int) -> DataFrame:
     """Number the runs of peaks with gaps under `distance`; suppression never crosses two of them."""
-    new = F.coalesce(F.col("sample") - F.lag("sample").over(_by_sample) >= distance, F.lit(True)).cast("int")
-    return peaks.withColumn("island", F.sum(new).over(_by_sample))
+    new = F.coalesce(F.col("sample") - F.lag("sample").over(_by_sample()) >= distance, F.lit(True)).cast("int")
+    return peaks.withColumn("island", F.sum(new).over(_by_sample()))
 
 
 def thin_peaks(peaks: DataFrame, distance: int) -> DataFrame:
@@ -96,12 +97,12 @@ def silhouette(peaks: DataFrame) -> DataFrame:
 
 
 def inter_spike_intervals(spikes: DataFrame) -> DataFrame:
-    return spikes.withColumn("isi", F.col("sample") - F.lag("sample").over(_by_sample)).where("isi is not null")
+    return spikes.withColumn("isi", F.col("sample") - F.lag("sample").over(_by_sample())).where("isi is not null")
 
 
 def isi_cov(spikes: DataFrame, default: float | None = None) -> DataFrame:
     """Population deviation over mean of the intervals of each unit; the default without intervals or with a mean of 0 or less."""
-    isi = F.col("sample") - F.lag("sample").over(_by_sample)
+    isi = F.col("sample") - F.lag("sample").over(_by_sample())
     g = spikes.withColumn("isi", isi).groupBy(*UNIT).agg(F.count("*").alias("n_spikes"), F.stddev_pop("isi").alias("_s"), F.avg("isi").alias("_m"))
     return g.select(*UNIT, "n_spikes", F.coalesce(F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")), F.lit(default).cast("double")).alias("cov"))
 
@@ -230,5 +231,5 @@ def dedup_by_grid(units: DataFrame, spikes: DataFrame, fsamp: float, tol: float
 
 def discharge_rate(spikes: DataFrame, fsamp: float) -> DataFrame:
     """Rate fsamp / interval at the rounded middle of each interval; intervals of 0 or less are left out."""
-    isi = F.lead("sample").over(_by_sample) - F.col("sample")
+    isi = F.lead("sample").over(_by_sample()) - F.col("sample")
     return spikes.withColumn("isi", isi).where("isi > 0").select(*UNIT, F.rint(F.col("sample") + F.col("isi") / 2).cast("long").alias("at"), (F.lit(fsamp) / F.col("isi")).alias("rate"))
