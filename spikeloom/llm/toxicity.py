@@ -120,9 +120,13 @@ def _summary(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
-    s = next(X.slices(pa.array(texts, pa.binary()), 1 << 60))
-    w, h, begin = tokens(s)
-    doc = np.repeat(np.arange(len(texts)), w.last - w.first)
+    parts, n = [], 0
+    for s in X.slices(pa.array(texts, pa.binary())):  # slice by slice: hashing needs many times a text's bytes
+        w, h, begin = tokens(s)
+        parts.append((h, begin, w.first + n, w.last + n))
+        n += len(h)
+    h, begin, first, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    doc = np.repeat(np.arange(len(texts)), last - first)
     # document frequencies of words by label
     vocab, at = np.unique(h, return_inverse=True)
     seen = np.unique(at.astype(np.int64) * len(texts) + doc)
@@ -155,7 +159,7 @@ def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
         weight += 0.5 * gw / np.sqrt(speed_w)
         trans += 0.5 * gt / np.sqrt(speed_t)
     model = {"keys": vocab[kept], "weights": weight[:-1], "other": float(weight[-1]), "trans": trans, "lexicon": vocab[bad & (df1 + df0 >= VOCABULARY_DOCS)]}
-    x = np.hstack([_summary(marginals(weight[column], begin, trans), w.first, w.last), np.ones((len(texts), 1))])
+    x = np.hstack([_summary(marginals(weight[column], begin, trans), first, last), np.ones((len(texts), 1))])
     c, share = np.zeros(4), np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
