@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spikeloom.operators.units import find_peaks, isi_cov, two_means_split
+
 GRID = ("recording_id", "grid")
 
 
@@ -99,6 +103,51 @@ def pulse_train(frames_: DataFrame, filters: DataFrame) -> DataFrame:
     return frames_.join(F.broadcast(filters), list(GRID)).select("recording_id", "grid", "unit_uid", "sample", (s * F.abs(s)).alias("value"))
 
 
+def ready_checkpoints(spark: SparkSession) -> None:
+    """Use the shared folder of spark.checkpoint.dir; only where none is set (tests on one machine) a local one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+
+def apply_filters(frames_: DataFrame, filters: DataFrame, totals: DataFrame) -> DataFrame:
+    """Pulses of every unit over the whole recording from all windows of its grid: later windows win, zeros where there is none.
+
+    frames_ also has win, totals (recording_id, total_samples).
+    """
+    s = frames_.join(F.broadcast(filters), list(GRID)).groupBy(*GRID, "unit_uid", "sample").agg(F.max_by(dot("x", "filter"), "win").alias("_s"))
+    places = filters.select(*GRID, "unit_uid").join(totals, "recording_id").where("total_samples > 0").select(*GRID, "unit_uid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_samples") - 1)).alias("sample"))
+    return places.join(s, [*GRID, "unit_uid", "sample"], "left").select(*GRID, "unit_uid", "sample", F.coalesce(F.col("_s") * F.abs("_s"), F.lit(0.0)).alias("value"))
+
+
+def refine_by_isi(frames_: DataFrame, filters: DataFrame, distance: int) -> DataFrame:
+    """(unit_uid, filter, cov): the least variability of intervals, and the sum of the vectors at the spikes that gave it.
+
+    All units advance together: spikes of the current filter, their variability, and the sum of the vectors
+    at them as the next filter. A unit stops when its variability no longer falls below that of the round
+    before (at first `cov` of filters, if it has that column), or with fewer than two spikes. Only the count of units still moving comes to the driver; each round is checkpointed.
+    """
+    key = [*GRID, "unit_uid"]
+    ready_checkpoints(frames_.sparkSession)
+    now = filters.select(*key, "filter", (F.col("cov") if "cov" in filters.columns else F.lit(None).cast("double")).alias("last"))
+    done = None
+    while True:
+        peaks = find_peaks(pulse_train(frames_, now.select(*key, "filter")).select("recording_id", F.concat_ws("/", F.col("grid").cast("string"), F.col("unit_uid").cast("string")).alias("unit_uid"), "sample", "value"), distance)
+        spikes = two_means_split(peaks).where("high").select("recording_id", "unit_uid", "sample")
+        named = now.withColumn("_u", F.concat_ws("/", F.col("grid").cast("string"), F.col("unit_uid").cast("string")))
+        cov = isi_cov(spikes).select("recording_id", F.col("unit_uid").alias("_u"), "cov")
+        moves = F.col("cov").isNotNull() & (F.col("last").isNull() | (F.col("cov") < F.col("last")))
+        step = named.join(cov, ["recording_id", "_u"], "left").withColumn("moves", moves)
+        at = spikes.withColumnRenamed("unit_uid", "_u").join(F.broadcast(step.where("moves").select(*key, "_u")), ["recording_id", "_u"])
+        total = spike_triggered_sum(frames_, at.select(*key, "sample"))
+        new = total.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("dim", "weight")))["weight"].alias("_new"))
+        step = step.join(new, key, "left").select(*key, "filter", "last", "cov", "moves", "_new").checkpoint()
+        kept = step.where("not moves").select(*key, "filter", F.col("last").alias("cov"))
+        done = kept if done is None else done.union(kept)
+        if step.where("moves").isEmpty():
+            return done
+        now = step.where("moves").select(*key, F.col("_new").alias("filter"), F.col("cov").alias("last"))
+
+
 def spike_triggered_sum(frames_: DataFrame, spikes: DataFrame, unit_norm: bool = False) -> DataFrame:
     """(unit_uid, dim, weight): sum of the vectors at each unit's spikes."""
     at = frames_.join(spikes, [*GRID, "sample"])

@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 SIG = "sig AS (SELECT 'r' AS recording_id, CAST(0 AS INTEGER) AS grid, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS channel, CAST(vec_id AS BIGINT) AS sample, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 SPK = "spk AS (SELECT 'r' || (user_id % 4) AS recording_id, user_id AS unit_uid, CAST(user_id // 4 % 4 AS INTEGER) AS grid, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS sample, max(value) AS value FROM events GROUP BY ALL)"
 MIN = "m AS (SELECT recording_id, unit_uid, grid, sample // 60 AS sample, max(value) AS value FROM spk GROUP BY ALL)"
+CH = "ch AS (SELECT 'r' || c_nationkey AS recording_id, c_custkey AS row_no, CASE WHEN c_custkey % 5 = 0 THEN 'MISC' ELSE 'EMG' END AS type, CASE WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE 'Grid' || (c_custkey % 12) END AS \"group\", CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END AS target_muscle, CASE WHEN c_custkey % 2 = 0 THEN 'n/a' ELSE CAST(2000 + c_custkey AS VARCHAR) END AS sampling_frequency, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || ' Hz' END AS low_cutoff, 'n/a' AS high_cutoff, CAST(c_nationkey // 20 * c_custkey AS VARCHAR) AS gain FROM customer)"
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel rows: customers as channels, their nations as recordings."""
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    row = {
+        "recording_id": F.concat(F.lit("r"), text(F.col("c_nationkey"))), "row_no": k,
+        "type": F.when(k % 5 == 0, "MISC").otherwise("EMG"), "group": F.when(k % 13 == 0, "n/a").otherwise(F.concat(F.lit("Grid"), text(k % 12))),
+        "target_muscle": F.when(k % 4 == 0, " ").otherwise(F.col("c_mktsegment")), "sampling_frequency": F.when(k % 2 == 0, "n/a").otherwise(text(k + 2000)),
+        "low_cutoff": F.when(k % 3 == 0, F.concat(text(k), F.lit(" Hz"))), "high_cutoff": F.lit("n/a"), "gain": text(F.floor(F.col("c_nationkey") / 20) * k),
+    }
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(*(c.alias(n) for n, c in row.items()))
 
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:

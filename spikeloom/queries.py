@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spikeloom.functions import labels as L
+from spikeloom.operators import channels as C
 from spikeloom.operators import decompose as D
 from spikeloom.operators import edits as E
 from spikeloom.operators import signals as S
 from spikeloom.operators import units as U
-from spikeloom.plans.views import MIN, SIG, SPK, minutes, sig, spk, table
+from spikeloom.plans.views import CH, MIN, SIG, SPK, channels, minutes, sig, spk, table
+from spikeloom.streaming import adaptive as A
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -24,7 +26,7 @@ def query(sql: str | None = None, views: str = ""):
     def add(f: Callable) -> Callable:
         _queries[f.__name__] = f
         if sql:
-            parts = {"sig": SIG, "spk": SPK, "min": f"{SPK}, {MIN}"}
+            parts = {"sig": SIG, "spk": SPK, "min": f"{SPK}, {MIN}", "ch": CH}
             head = ", ".join(parts[v] for v in views.split())
             body = sql.strip()
             _sql[f.__name__] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}" if head else body
@@ -599,3 +601,143 @@ def stream_qc_envelope(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select(F.lit("r").alias("recording_id"), F.col("user_id").alias("unit_uid"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return _round(envelope(e, "1 day").select("unit_uid", F.unix_seconds("start").alias("start"), "low", "high", "activity"), "activity")
+
+
+# --- channels, grids and saved units
+
+
+@query("+e AS (SELECT recording_id, \"group\" AS g, coalesce(arg_min(trim(target_muscle), row_no), '') AS m FROM ch WHERE type = 'EMG' AND \"group\" <> 'n/a' GROUP BY 1, 2), f AS (SELECT recording_id, arg_min(TRY_CAST(sampling_frequency AS DOUBLE), row_no) FILTER (WHERE TRY_CAST(sampling_frequency AS DOUBLE) IS NOT NULL) AS fsamp FROM ch WHERE type = 'EMG' AND \"group\" <> 'n/a' GROUP BY 1) SELECT recording_id, string_agg(g, ',' ORDER BY length(g), g) AS grids, regexp_replace(string_agg(m, ',' ORDER BY length(g), g), ',+$', '') AS muscles, any_value(fsamp) AS fsamp FROM e JOIN f USING (recording_id) GROUP BY 1", "ch")
+def grid_summary(spark, sf_dir):
+    return C.grid_summary(channels(spark, sf_dir)).select("recording_id", F.array_join("grids", ",").alias("grids"), F.array_join("muscles", ",").alias("muscles"), "fsamp")
+
+
+@query("+u AS (SELECT recording_id, trim(target_muscle) AS m, min(row_no) AS k FROM ch WHERE trim(target_muscle) <> '' GROUP BY 1, 2), n AS (SELECT recording_id, string_agg(m, ',' ORDER BY k) AS muscles FROM u GROUP BY 1) SELECT recording_id, arg_min(low_cutoff, row_no) FILTER (WHERE low_cutoff IS NOT NULL) AS low_cutoff, arg_min(gain, row_no) AS gain, coalesce(any_value(muscles), '') AS muscles FROM ch LEFT JOIN n USING (recording_id) GROUP BY 1", "ch")
+def recording_auto_info(spark, sf_dir):
+    return C.recording_auto_info(channels(spark, sf_dir)).select("recording_id", "low_cutoff", "gain", F.array_join("muscles", ",").alias("muscles"))
+
+
+@query("+a AS (SELECT recording_id, count(*) FILTER (WHERE type = 'EMG') AS emg, count(*) FILTER (WHERE type = 'MISC') AS misc, CASE WHEN min(gain) = max(gain) THEN min(gain) END AS gain, arg_min(row_no, row_no) FILTER (WHERE low_cutoff IS NOT NULL) AS low, sum(row_no) AS n FROM ch GROUP BY 1) SELECT recording_id, CAST(emg AS VARCHAR) AS emg, CAST(misc AS VARCHAR) AS misc, gain, CASE WHEN emg % 2 = 0 THEN 'own' ELSE CAST(low AS VARCHAR) END AS low, CAST(n / 1024.0 AS DOUBLE) AS duration FROM a", "ch")
+def recording_sidecar(spark, sf_dir):
+    ch = channels(spark, sf_dir)
+    even = F.count_if(F.col("type") == "EMG") % 2 == 0
+    r = ch.groupBy("recording_id").agg(F.lit(1024.0).alias("fsamp"), F.sum("row_no").alias("total_samples"), F.when(even, F.create_map(F.lit("HighpassCutoff"), F.lit("own"), F.lit("EMGChannelCount"), F.lit("-1"))).alias("extra"))
+    m = F.col("sidecar")
+    return C.recording_sidecar(r, ch).select("recording_id", m["EMGChannelCount"].alias("emg"), m["MISCChannelCount"].alias("misc"), m["EMGGain"].alias("gain"), m["HighpassCutoff"].alias("low"), m["RecordingDuration"].cast("double").alias("duration"))
+
+
+@query("SELECT p_partkey, CAST(a AS INTEGER) AS adapter, CASE WHEN a IN (3, 4) THEN 'grid' WHEN a = 5 THEN 'aux' ELSE 'other' END AS kind FROM (SELECT p_partkey, CASE WHEN contains(d, '16') THEN 2 WHEN contains(d, '32') THEN 3 WHEN contains(d, '64') THEN 4 WHEN contains(d, 'General') THEN 1 ELSE 5 END AS a FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'General' ELSE p_name || (p_size * 2) END AS d FROM part))")
+def classify_channels(spark, sf_dir):
+    d = F.when(F.col("p_partkey") % 10 == 0, "General").otherwise(F.concat("p_name", (F.col("p_size") * 2).cast("string")))
+    return C.classify_channels(table(spark, sf_dir, "part").select("p_partkey", d.alias("description"))).select("p_partkey", "adapter", "kind")
+
+
+@query("SELECT channel, sample, round(value * CASE channel % 8 WHEN 0 THEN 0.1526 WHEN 1 THEN 1.0 WHEN 2 THEN 0.00024928 WHEN 3 THEN 0.00025177 WHEN 4 THEN 0.00014648 WHEN 5 THEN 4.8 / 16777216 * 1000 / 2.0 WHEN 6 THEN 0.00037217 ELSE 4.8 / 16777216 * 1000 END, 9) AS value FROM sig", "sig")
+def scale_by_device(spark, sf_dir):
+    k = F.col("id") % 8
+    pick = lambda *v: F.element_at(F.array(*(F.lit(x) for x in v)), (k + 1).cast("int"))
+    meta = spark.range(64).select(F.col("id").cast("int").alias("channel"), pick("QUATTRO", "QUATTROCENTO", "DUE+", "DUE", "SESSANTAQUATTRO", "SESSANTAQUATTRO+", "SYNCSTATION", "x").alias("device"), pick("Direct connection", "AdapterControl", "a", "a", C.AUX_INPUT, "a", "AdapterLoadCell", "a").alias("adapter"), pick(16, 16, 16, 16, 16, 24, 16, 24).alias("bits"), pick(1.0, 1.0, 1.0, 1.0, 1.0, 0.5, 1.0, 0.0).alias("gain"))
+    return C.scale_by_device(sig(spark, sf_dir), meta).select("channel", "sample", F.round("value", 9).alias("value"))
+
+
+@query("+c AS (SELECT p_partkey, CAST(p_size % 4 AS INTEGER) AS a, CAST(p_partkey % 3 AS INTEGER) AS b, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END AS n FROM part) SELECT p_partkey, CASE WHEN n = 2 AND a < 2 AND b < 2 THEN a || ',' || b WHEN a BETWEEN 1 AND n AND b BETWEEN 1 AND n THEN array_to_string([CASE WHEN k IN (a, b) THEN 1 ELSE 0 END FOR k IN range(1, n + 1)], ',') WHEN a < n AND b < n THEN array_to_string([CASE WHEN k IN (a, b) THEN 1 ELSE 0 END FOR k IN range(n)], ',') WHEN n = 2 THEN CAST(a <> 0 AS INTEGER) || ',' || CAST(b <> 0 AS INTEGER) ELSE '0,0,0,0' END AS mask FROM c", "sig")
+def normalize_bad_masks(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    cells = F.array((F.col("p_size") % 4).cast("int"), (F.col("p_partkey") % 3).cast("int"))
+    mask = C.normalize_bad_mask(cells, F.when(F.col("p_partkey") % 2 == 0, 2).otherwise(4))
+    return p.select("p_partkey", F.array_join(F.transform(mask, lambda x: x.cast("string")), ",").alias("mask"))
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("+r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS unit FROM conversations) SELECT conv_id, CAST(unit AS INTEGER) AS unit, array_to_string(list_sort(list_distinct(list_filter([turn, 2 * turn - 5, turn], lambda x: x >= 0))), ',') AS spikes FROM r", "sig")
+def normalize_spike_lists(spark, sf_dir):
+    t = F.col("turn").cast("long")
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", F.array(t, 2 * t - 5, t).alias("v"))))["v"]).alias("payload"))
+    return C.normalize_spike_lists(g, "payload").select("conv_id", "unit", _text("spikes").alias("spikes"))
+
+
+@query("+d AS (SELECT c_custkey AS k, 1 + c_custkey % 3 AS n0, c_custkey % 2 AS n1 FROM customer), u AS (SELECT *, unnest(range(n0 + n1)) AS unit FROM d) SELECT k AS recording_id, CAST(unit AS INTEGER) AS unit, CAST(CASE k % 4 WHEN 0 THEN CASE WHEN unit < n0 THEN 0 ELSE 1 END WHEN 1 THEN CASE WHEN n0 + n1 = 3 THEN 5 + unit ELSE 0 END ELSE 0 END AS INTEGER) AS grid, CASE WHEN unit >= n0 THEN CAST(k + 2 AS VARCHAR) WHEN unit < 2 THEN CAST(k + unit AS VARCHAR) ELSE '' END AS spikes FROM u", "sig")
+def unpack_gridwise_units(spark, sf_dir):
+    k = F.col("c_custkey").cast("long")
+    num = lambda c: c.cast("int")
+    d = table(spark, sf_dir, "customer").select(k.alias("recording_id"), F.array(F.array(F.array(k), F.array(k + 1)), F.array(F.array(k + 2))).alias("spikes"), F.array(num(1 + k % 3), num(k % 2)).alias("pulse_rows"), F.when(k % 4 == 1, F.array(F.lit(5), F.lit(6), F.lit(7))).when(k % 4 > 1, F.array(F.lit(9), F.lit(9), F.lit(9), F.lit(9), F.lit(9))).alias("mapping"))
+    return C.unpack_gridwise_units(d).select("recording_id", "unit", "grid", _text("spikes").alias("spikes"))
+
+
+@query("SELECT DISTINCT 'E' || (channel + 1) AS name, round((channel // 8) * 4.0, 4) AS x, round((channel % 8) * 4.0, 4) AS y, 'HD08MM' AS coordinate_system FROM sig", "sig")
+def electrodes_table(spark, sf_dir):
+    c = F.col("channel")
+    e = sig(spark, sf_dir).select("recording_id", "grid", "channel").distinct().select("*", F.lit("HD-08 MM").alias("grid_name"), F.floor(c / 8).alias("row"), (c % 8).alias("col"), F.lit(4.0).alias("ied"), F.lit(None).cast("string").alias("material"))
+    return C.electrodes_table(e).select("name", "x", "y", "coordinate_system")
+
+
+@query("+g AS (SELECT p_partkey % 10 AS recording_id, p_partkey AS grid, CASE WHEN p_partkey % 7 = 0 THEN 'Grid' || (p_partkey + 1) ELSE regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') END AS space, CASE WHEN p_size % 2 = 0 THEN 'mm' ELSE 'a.u.' END AS units FROM part) SELECT recording_id, space, arg_min(units, grid) AS units FROM g GROUP BY 1, 2", "sig")
+def coordinate_spaces(spark, sf_dir):
+    k = F.col("p_partkey")
+    g = table(spark, sf_dir, "part").select((k % 10).alias("recording_id"), k.alias("grid"), F.when(k % 7 == 0, "-").otherwise(F.col("p_name")).alias("grid_name"), F.when(F.col("p_size") % 2 == 0, 4.0).alias("ied"))
+    return C.coordinate_spaces(g)
+
+
+# --- filters over windows and adaptive decomposition
+
+
+@query(_DOT + ", n AS (SELECT max(sample) + 11 AS n FROM sig), q AS (SELECT unnest(range(n)) AS sample FROM n) SELECT unit_uid, q.sample, round(coalesce(s * abs(s) * CASE WHEN q.sample >= 200 THEN 4 ELSE 1 END, 0.0), 5) AS value FROM (SELECT unnest(range(3)) AS unit_uid) CROSS JOIN q LEFT JOIN p USING (unit_uid, sample)", "sig")
+def apply_filters(spark, sf_dir):
+    f = D.frames(sig(spark, sf_dir))
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 11).alias("total_samples")).withColumn("recording_id", F.lit("r"))
+    late = f.where("sample >= 200").select("recording_id", "grid", "sample", F.transform("x", lambda v: 2 * v).alias("x"), F.lit(1).alias("win"))
+    out = D.apply_filters(f.where("sample < 300").withColumn("win", F.lit(0)).union(late), _filters(spark), n)
+    return out.select("unit_uid", "sample", F.round("value", 5).alias("value"))
+
+
+@query()
+def refine_by_isi(spark, sf_dir):
+    return D.refine_by_isi(D.frames(sig(spark, sf_dir)), _filters(spark), 4).select("unit_uid", F.posexplode("filter").alias("dim", "w"), "cov")
+
+
+_CENTRES = "c AS (SELECT recording_id, unit_uid, avg(value) * 0.5 AS low, avg(value) AS high FROM spk GROUP BY 1, 2)"
+
+
+def _centres(spikes):
+    return spikes.groupBy("recording_id", "unit_uid").agg((F.avg("value") * 0.5).alias("low"), F.avg("value").alias("high"))
+
+
+@query(_SPLIT + "SELECT unit_uid, round(coalesce(avg(value) FILTER (WHERE NOT high), 0), 6) AS low, round(avg(value) FILTER (WHERE high), 6) AS high FROM s GROUP BY 1", "spk")
+def calibration_centroids(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return _round(A.calibration_centroids(s, s.select("recording_id", "unit_uid").distinct()).select("unit_uid", "low", "high"), "low", "high")
+
+
+_DETECT = "+" + _CENTRES + ", i AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM spk WINDOW w AS (PARTITION BY recording_id, unit_uid ORDER BY sample)), d AS (SELECT i.unit_uid, sample, value, low, high, value > (low + high) / 2 AS spike FROM i JOIN c USING (recording_id, unit_uid) WHERE value > b AND value > a AND value >= low / 3 AND value <= high * 3) "
+
+
+@query(_DETECT + "SELECT unit_uid, sample, spike FROM d", "spk")
+def bounded_spike_detect(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return A.bounded_spike_detect(s, _centres(s), 1).select("unit_uid", "sample", "spike")
+
+
+@query(_DETECT + "SELECT c.unit_uid, round((5 * c.low + coalesce(sum(value) FILTER (WHERE NOT spike), 0)) / (5 + count(*) FILTER (WHERE NOT spike)), 6) AS low, round((5 * c.high + coalesce(sum(value) FILTER (WHERE spike), 0)) / (5 + count(*) FILTER (WHERE spike)), 6) AS high FROM c LEFT JOIN d USING (unit_uid) GROUP BY c.unit_uid, c.low, c.high", "spk")
+def centroid_update(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    c = _centres(s)
+    return _round(A.centroid_update(c, A.bounded_spike_detect(s, c, 1)).select("unit_uid", "low", "high"), "low", "high")
+
+
+@query("SELECT unit_uid, sample // 86400 AS batch, round(pow((ln(cosh(avg(value / 50) FILTER (WHERE sample % 2 = 0))) - 0.4) / (0.2 + 1e-12), 2), 6) AS loss FROM spk GROUP BY 1, 2", "spk")
+def contrast_loss(spark, sf_dir):
+    s = spk(spark, sf_dir).select("recording_id", "unit_uid", "sample", (F.col("value") / 50).alias("source"), (F.col("sample") % 2 == 0).alias("spike"))
+    cal = s.select("recording_id", "unit_uid").distinct().withColumns({"mean": F.lit(0.4), "std": F.lit(0.2)})
+    return _round(A.contrast_loss(s, cal, 86_400).select("unit_uid", "batch", "loss"), "loss")
+
+
+@query()
+def adaptive_corpus(spark, sf_dir):
+    f = D.frames(sig(spark, sf_dir))
+    basis = D.whitening_basis(D.covariance_matrix(sig(spark, sf_dir)))
+    unit = F.array(*(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k, u=u: F.when(k == u, 1.0).otherwise(0.0)) for u in range(3)))
+    level = lambda x: F.array_repeat(F.lit(x), 3)
+    m = basis.select("recording_id", "grid", F.lit(0).cast("long").alias("start"), F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
+    return _round(A.adaptive_corpus(f, m, A.Config(100, distance=4)).select("unit", "sample", "value", "spike"), "value")
