@@ -31,25 +31,32 @@ def peak_islands(peaks: DataFrame, distance: int) -> DataFrame:
     return peaks.withColumn("island", F.sum(new).over(_by_sample()))
 
 
+def apart(at: np.ndarray, value: np.ndarray, distance: int) -> np.ndarray:
+    """Flags of the sorted places kept: highest first (the later of equal ones), nothing nearer than `distance` to a chosen one."""
+    keep = np.ones(len(at), bool)
+    lo, hi = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
+    for k in np.lexsort((-at, -value)):
+        if keep[k]:
+            keep[lo[k] : hi[k]] = False
+            keep[k] = True
+    return keep
+
+
 def thin_peaks(peaks: DataFrame, distance: int) -> DataFrame:
     """Highest first (the later of equal ones), peaks nearer than `distance` to a chosen one are dropped.
 
-    Islands of one peak pass straight through; only longer ones go to Python.
+    One row per island goes to Python in Arrow batches; islands keep the
+    partitioning by unit, so nothing is shuffled for them.
     """
-    marked = peak_islands(peaks, distance).select(*UNIT, "sample", "value", "island")
-    sized = marked.withColumn("_n", F.count("*").over(W.partitionBy(*UNIT, "island")))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        at, keep = pdf["sample"].to_numpy(), np.ones(len(pdf), bool)
-        for k in np.lexsort((-at, -pdf["value"].to_numpy())):
-            if keep[k]:
-                keep &= (np.abs(at - at[k]) >= distance) | (np.arange(len(at)) == k)
-        return pdf[keep]
-
-    single = sized.where("_n = 1").drop("_n")
-    many = sized.where("_n > 1").drop("_n")
-    return single.union(many.groupBy(*UNIT, "island").applyInPandas(choose, many.schema)).drop("island")
+
+    @F.pandas_udf("array<boolean>")
+    def flags(at: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([apart(a, v, distance) if len(a) > 1 else np.ones(len(a), bool) for a, v in zip(at, value, strict=True)])
+
+    own = peak_islands(peaks, distance).groupBy(*UNIT, "island").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("_p"))
+    flagged = own.withColumn("_keep", flags("_p.sample", "_p.value"))
+    kept = F.filter("_p", lambda p, k: F.get("_keep", k))
+    return flagged.select(*UNIT, F.explode(kept).alias("_p")).select(*UNIT, "_p.sample", "_p.value")
 
 
 def find_peaks(pulses: DataFrame, distance: int, low: float | None = None, high: float | None = None) -> DataFrame:

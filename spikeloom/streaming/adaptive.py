@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spikeloom.operators.units import UNIT, local_maxima, thin_peaks, two_means_split
+from spikeloom.operators.units import UNIT, apart, local_maxima, thin_peaks, two_means_split
 
 KEYS = ("recording_id", "grid")
 OUT = "recording_id string, grid int, unit int, sample long, source double, value double, spike boolean"
@@ -87,11 +87,7 @@ def _peaks(v: np.ndarray, distance: int, low: float, high: float) -> np.ndarray:
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1 if len(level) > 2 else np.array([], int)
     at = (first[top] + last[top]) // 2
     at = at[(v[at] >= low) & (v[at] <= high)]
-    keep = np.ones(len(at), bool)
-    for k in np.lexsort((-at, -v[at])):
-        if keep[k]:
-            keep &= (np.abs(at - at[k]) >= distance) | (np.arange(len(at)) == k)
-    return at[keep]
+    return at[apart(at, v[at], distance)]
 
 
 class GridState:
