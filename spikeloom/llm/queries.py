@@ -81,6 +81,22 @@ c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (doc_id)
 """
 
+OP8_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+g AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)),
+f AS MATERIALIZED (SELECT x, min(doc_id) AS least FROM g GROUP BY x),
+hit AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS fresh FROM g JOIN f USING (x) WHERE least < doc_id),
+run AS (SELECT doc_id, p, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM hit),
+gone AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+keep AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM gone
+  UNION ALL SELECT doc_id, coalesce(max(gone.b), 0), any_value(n) FROM d LEFT JOIN gone USING (doc_id) GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS r FROM keep JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(r)) AS kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
 OP9_SQL = rf"""
 WITH b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -110,4 +126,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
