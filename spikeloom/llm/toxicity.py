@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, with document scores from its marginals.
 
 Sentences are the chains. Token labels are derived from document labels: in a
-toxic document the words that are far more frequent in toxic than in clean
-documents are the labelled toxic tokens. Forward-backward runs over all
-sentences of a slice at once, step by step along the chain.
+toxic document the words, and words with a beginning, that are far more frequent
+in toxic than in clean documents are the labelled toxic tokens. A token's
+features are the word and its beginning, so that unseen forms of a toxic stem
+are found. Forward-backward runs over all sentences of a slice at once, step by
+step along the chain.
 """
 
 from __future__ import annotations
@@ -17,39 +19,42 @@ from spikeloom.llm import text as X
 from spikeloom.llm.training import balanced, remainder
 
 #: Labelled rows to learn from for each label; in learning alone, longer documents than LEARN_BYTES are left out.
-PER_LABEL, LEARN_BYTES = 2000, 20_000
-#: A word is a labelled toxic token from this share of the toxic documents (and three) and this log odds ratio on.
-LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.02, 3, 2.5
-#: Words with a weight of their own occur in this many documents of the sample.
-VOCABULARY_DOCS = 4
+PER_LABEL, LEARN_BYTES = 2000, 10_000
+#: A word or beginning is toxic from this many toxic documents, log odds ratio and likelihood ratio (G squared, p about 1e-5) on.
+LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.5, 20.0
+#: Features with a weight of their own occur in this many documents of the sample; bytes of a beginning.
+VOCABULARY_DOCS, STEM = 4, 6
 SPAN_AT = 0.5
 _U = np.uint64
 
 
 def tokens(s: X.Slice) -> tuple[X.Words, np.ndarray, np.ndarray]:
-    """Words, their hashes, and whether each begins a sentence (after . ! ? or a line end, or a document's start)."""
+    """Words, hashes of each and of its beginning (2 rows, 0 if it is shorter), and whether each begins a sentence (after . ! ? or a line end, or a document's start)."""
     buf = X.LOWER[s.buf]
     w = X.words(s, X.word_table("alnum"), buf)
-    h = X.span_hash(X.prefix_hash(buf), w.start, w.end)
+    before = X.prefix_hash(buf)
+    stem = X.span_hash(before, w.start, np.minimum(w.start + STEM, w.end)) ^ _U(0x9E3779B97F4A7C15)
+    h = np.stack([X.span_hash(before, w.start, w.end), np.where(w.end - w.start >= STEM, stem, _U(0))])
     stops = np.concatenate([[0], np.cumsum((buf == 10) | (buf == 33) | (buf == 46) | (buf == 63))])
-    begin = np.ones(len(h), bool)
+    begin = np.ones(h.shape[1], bool)
     begin[1:] = stops[w.start[1:]] > stops[w.end[:-1]]
     begin[w.first[w.first < w.last]] = True
     return w, h, begin
 
 
 def emissions(h: np.ndarray, model: dict) -> np.ndarray:
-    """Weight of the toxic state at each token; words outside the vocabulary share one weight."""
+    """Weight of the toxic state at each token; words outside the vocabulary share one weight, other beginnings have none."""
     keys, weights = model["keys"], model["weights"]
-    out = np.full(len(h), model["other"])
+    out = np.full(h.shape, [[model["other"]], [0.0]])
     if len(keys):
         places = np.zeros(1 << 22, bool)
         places[keys >> _U(42)] = True
-        maybe = np.flatnonzero(places[h >> _U(42)])
-        at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-        same = keys[at] == h[maybe]
-        out[maybe[same]] = weights[at[same]]
-    return out
+        for own, found in zip(out, h, strict=True):
+            maybe = np.flatnonzero(places[found >> _U(42)])
+            at = np.minimum(np.searchsorted(keys, found[maybe]), len(keys) - 1)
+            same = keys[at] == found[maybe]
+            own[maybe[same]] = weights[at[same]]
+    return out.sum(0)
 
 
 def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -124,42 +129,53 @@ def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
     for s in X.slices(pa.array(texts, pa.binary())):  # slice by slice: hashing needs many times a text's bytes
         w, h, begin = tokens(s)
         parts.append((h, begin, w.first + n, w.last + n))
-        n += len(h)
-    h, begin, first, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    doc = np.repeat(np.arange(len(texts)), last - first)
-    # document frequencies of words by label
-    vocab, at = np.unique(h, return_inverse=True)
-    seen = np.unique(at.astype(np.int64) * len(texts) + doc)
-    word, toxic = seen // len(texts), y[seen % len(texts)] > 0
+        n += h.shape[1]
+    begin, first, last = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), last - first)
     n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
-    df1, df0 = np.bincount(word[toxic], minlength=len(vocab)), np.bincount(word[~toxic], minlength=len(vocab))
-    odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
-    bad = (df1 >= max(LEAST_DOCS, LEAST_SHARE * n1)) & (odds >= LEAST_ODDS)
-    gold = (bad[at] & (y[doc] > 0)).astype(float)
-    kept = np.flatnonzero(df1 + df0 >= VOCABULARY_DOCS)
-    column = np.full(len(vocab), len(kept))
-    column[kept] = np.arange(len(kept))
-    column = column[at]
-    weight, trans = np.zeros(len(kept) + 1), np.zeros((3, 2))
-    base = np.clip(gold.mean(), 1e-6, 1)
-    weight[:] = np.log(base / (1 - base))
+    gold, keys, lexicon, columns = np.zeros(n), [], [], []
+    for kind in (0, 1):  # words, beginnings
+        vocab, at = np.unique(np.concatenate([p[0][kind] for p in parts]), return_inverse=True)
+        at = at.astype(np.int32)
+        # document frequencies by label
+        seen = np.unique(at.astype(np.int64) * len(texts) + doc)
+        word, toxic = seen // len(texts), y[seen % len(texts)] > 0
+        df1, df0 = np.bincount(word[toxic], minlength=len(vocab)), np.bincount(word[~toxic], minlength=len(vocab))
+        odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
+        total = (df1 + df0) / (n1 + n0)
+        ratio = 2 * (df1 * np.log(np.maximum(df1, 1e-9) / (total * n1)) + df0 * np.log(np.maximum(df0, 1e-9) / (total * n0)))
+        use = (df1 + df0 >= VOCABULARY_DOCS) & (vocab != 0)
+        bad = (df1 >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO) & use
+        gold[bad[at] & (y[doc] > 0)] = 1
+        kept = np.flatnonzero(use)
+        column = np.full(len(vocab), -2 + kind, np.int32)  # the last places: an unknown word, no known beginning
+        column[kept] = np.arange(len(kept)) + sum(map(len, keys))
+        keys.append(vocab[kept]), lexicon.append(vocab[bad]), columns.append(column[at])
+    del parts, seen, word, toxic
+    keys = np.concatenate(keys)
+    columns = [np.where(c < 0, len(keys) + 2 + c, c).astype(np.int32) for c in columns]
+    weight, trans = np.zeros(len(keys) + 2), np.zeros((3, 2))
+    base = np.clip(gold.mean(), 1e-6, 1 - 1e-6)
+    weight[np.unique(columns[0])] = np.log(base / (1 - base))
+    total_of = lambda v=None: sum(np.bincount(c, v, len(weight)) for c in columns)
     q = np.flatnonzero(~begin)
     want = np.stack([np.bincount(gold[q].astype(int)[gold[q - 1] == k], minlength=2)[:2] for k in (0, 1)]).astype(float)
     open_ = np.bincount(gold[begin].astype(int), minlength=2)[:2].astype(float)
-    count = np.bincount(column, minlength=len(weight)).astype(float)
-    aim = np.bincount(column, gold, minlength=len(weight))
+    count, aim = total_of(), total_of(gold)
     speed_w, speed_t = np.full(len(weight), 1e-3), np.full((3, 2), 1e-3)
     for _ in range(steps):
-        p, xi, st = marginals(weight[column], begin, trans, True)
-        gw = (aim - np.bincount(column, p, minlength=len(weight))) / np.sqrt(count + 1) - 1e-3 * weight
+        p, xi, st = marginals(weight[columns[0]] + weight[columns[1]], begin, trans, True)
+        gw = (aim - total_of(p)) / np.sqrt(count + 1) - 1e-3 * weight
+        gw[-1] = 0
         gt = (np.vstack([want, open_]) - np.vstack([xi, st])) / np.sqrt(np.vstack([want, open_]).sum(1, keepdims=True) + 1) - 1e-3 * trans
         gt[:, 0] = 0
         speed_w += gw**2
         speed_t += gt**2
         weight += 0.5 * gw / np.sqrt(speed_w)
         trans += 0.5 * gt / np.sqrt(speed_t)
-    model = {"keys": vocab[kept], "weights": weight[:-1], "other": float(weight[-1]), "trans": trans, "lexicon": vocab[bad & (df1 + df0 >= VOCABULARY_DOCS)]}
-    x = np.hstack([_summary(marginals(weight[column], begin, trans), first, last), np.ones((len(texts), 1))])
+    order = np.argsort(keys)
+    model = {"keys": keys[order], "weights": weight[:-2][order], "other": float(weight[-2]), "trans": trans, "lexicon": np.concatenate(lexicon)}
+    x = np.hstack([_summary(marginals(weight[columns[0]] + weight[columns[1]], begin, trans), first, last), np.ones((len(texts), 1))])
     c, share = np.zeros(4), np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
