@@ -140,8 +140,11 @@ class Levels:
         group = np.cumsum(new_c) - 1
         first = doc[at][group]
         same = doc > first
-        classes = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
-        return run, same, new_c & (classes > 1)
+        each = np.cumsum(new_a) - 1
+        classes = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[each]
+        # further places of a class in its first document share only in part with a document before it, as its first place does
+        later = ~same & (doc > np.minimum.reduceat(doc, np.flatnonzero(new_a))[each])
+        return run, same, (new_c | later) & (classes > 1)
 
 
 def _unpack(docs: bytes, entries: bytes) -> list[np.ndarray]:
