@@ -3,9 +3,10 @@
 Random hyperplane blocks give every vector a first neighbour list; lists are
 refined by joins of neighbours with neighbours of neighbours until an audit
 against brute force on a bounded sample is satisfied. Edges over the threshold
-make components. Lists filled with linked vectors are saturated: they are
-enlarged to the whole component, whose links are counted in tiles, so no
-partner is capped and no pair is written out.
+make components. Lists can be too short for all links of a vector, so an exact
+search follows for links between different components: every vector is compared
+with every cell of vectors that can hold one. Links are counted in tiles of whole
+components, so no partner is capped and no pair is written out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from spikeloom.llm.graph import components, saved
 LIST, TABLES, BLOCK, TILE = 8, 6, 64, 512
 #: Sampled queries of an audit, recall to reach, refinements at most.
 AUDIT, RECALL, ROUNDS = 256, 0.995, 4
+#: Bytes of vectors that one pass of the exact search broadcasts, cells of each kind among them at most, places of one matrix.
+HELD, CELLS, PLACES = 16_000_000, 64, 2_000_000
 
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
@@ -84,7 +87,7 @@ def _edges(found):
 
 
 def first_lists(reps: DataFrame, n: int) -> DataFrame:
-    """Neighbours inside hyperplane blocks; a block over TILE rows is dealt out anew by a hash of the id."""
+    """Neighbours inside hyperplane blocks; a block over TILE rows is dealt out anew by a hash of the id, another one in each table."""
     bits = int(np.clip(np.ceil(np.log2(max(1, n) / BLOCK)), 0, 48))
 
     def code(batches):
@@ -102,7 +105,7 @@ def first_lists(reps: DataFrame, n: int) -> DataFrame:
 
     coded = reps.mapInArrow(code, "vec_id long, block string, vec binary")
     size = coded.groupBy("block").agg(F.count("*").alias("size"))
-    dealt = coded.join(size, "block").select("vec_id", "vec", F.concat_ws("/", "block", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / TILE)))).alias("block"))
+    dealt = coded.join(size, "block").select("vec_id", "vec", F.concat_ws("/", "block", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("vec_id", "block"), F.ceil(F.col("size") / TILE)))).alias("block"))
 
     def search(batches):
         yield from _edges(e for t in _by_group(batches, "block") for e in _best(*_matrix(t), LIST))
@@ -156,6 +159,88 @@ def missed(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
     return r[1] / r[0] if r[0] else 1.0
 
 
+def _cells(t: pa.Table) -> dict[str, tuple]:
+    """By kind: pivots, and the vectors and components in order of the nearest pivot, with the cuts between cells."""
+    kinds, out = np.array(t.column("kind").to_pylist(), object), {}
+    raw, comp = t.column("vec").to_pylist(), t.column("component").to_numpy()
+    for kind in set(kinds):
+        rows = np.flatnonzero(kinds == kind)
+        x = _unit([raw[r] for r in rows], len(raw[rows[0]]) // 4)
+        n = int(np.clip(np.sqrt(len(x)), 1, CELLS))
+        pivots = x[np.random.default_rng(n).choice(len(x), n, replace=False)]
+        cell = (x @ pivots.T).argmax(1)
+        order = np.argsort(cell, kind="stable")
+        out[kind] = pivots, [raw[r] for r in rows[order]], comp[rows[order]], np.searchsorted(cell[order], np.arange(n + 1))
+    return out
+
+
+def _bridges(x: np.ndarray, own: np.ndarray, cells: tuple, threshold: float):
+    """Pairs of components that links between x and the vectors of the cells join, as a forest."""
+    pivots, raw, comp, cuts = cells
+    y, comp = _unit(raw, x.shape[1]), comp.copy()
+    # nearest pivots of u and v are p and q: u.(p - q) >= 0, and a link moves v.(q - p) by |p - q| |u - v| at most
+    far = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    c = x @ pivots.T
+    best = c.argmax(1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    may = c[np.arange(len(x)), best][:, None] - c <= far * apart[best] + 1e-6
+    top: dict[int, int] = {}
+
+    def root(k):
+        while k in top:
+            k = top[k]
+        return k
+
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        rows = np.flatnonzero(may[:, k]) if hi > lo else []
+        step = max(1, PLACES // max(1, hi - lo))
+        for at in range(0, len(rows), step):
+            q = rows[at : at + step]
+            near = x[q] @ y[lo:hi].T >= threshold
+            if not near.any():
+                continue
+            i, j = np.nonzero(near & (own[q][:, None] != comp[lo:hi]))
+            if not len(i):
+                continue
+            ends = np.unique(np.stack([own[q[i]], comp[lo + j]], 1), axis=0)
+            for a, b in ends.tolist():
+                a, b = sorted((root(a), root(b)))
+                if a != b:
+                    top[b] = a
+                    yield a, b
+            old = np.unique(ends)
+            new = np.array([root(z) for z in old.tolist()])
+            for labels in (own, comp):
+                place = np.minimum(np.searchsorted(old, labels), len(old) - 1)
+                labels[:] = np.where(old[place] == labels, new[place], labels)
+
+
+def completed(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """comp with all components joined that have a link between them; exact, whatever the lists have missed.
+
+    Passes of HELD bytes of vectors are broadcast, and each is compared with the rows of its own and later passes.
+    """
+    passes = -(-(reps.agg(F.sum(F.length("vec"))).first()[0] or 0) // HELD)
+    rows = saved(reps.join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component"), F.col("component").isNotNull().alias("linked"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, passes))).alias("pass")))
+    edges = rows.sparkSession.createDataFrame([], "a long, b long")
+    for k in range(passes):
+        held = rows.sparkSession.sparkContext.broadcast(_cells(rows.where(F.col("pass") == k).select("kind", "vec", "component").toArrow()))
+
+        def test(batches, held=held):
+            for b in batches:
+                kinds, raw, own = np.array(b.column("kind").to_pylist(), object), b.column("vec").to_pylist(), b.column("component").to_numpy()
+                found = []
+                for kind in set(kinds) & set(held.value):
+                    at = np.flatnonzero(kinds == kind)
+                    found += _bridges(_unit([raw[r] for r in at], len(raw[at[0]]) // 4), own[at], held.value[kind], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        edges = edges.union(saved(rows.where(F.col("pass") >= k).select("kind", "vec", "component").mapInArrow(test, "a long, b long").distinct()))
+        held.unpersist()
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return rows.join(joined, "component", "left").where(F.col("linked") | F.col("least").isNotNull()).select("vec_id", F.coalesce("least", "component").alias("component"))
+
+
 def count_links(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
     """(vec_id, links): linked vectors of each, with their copies, in tiles of its component."""
     rows = reps.join(comp, "vec_id")
@@ -198,6 +283,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         if missed(reps, comp, threshold) >= RECALL:
             break
         size *= 2
+    comp = saved(completed(reps, comp, threshold))
     counted = count_links(reps, comp, threshold)
     found = reps.join(comp, "vec_id", "left").join(counted, "vec_id", "left").select("kind", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     own = rows.join(found, ["kind", "vec"]).select("vec_id", "n_links", "component_id").distinct()
