@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 
 from spikeloom.llm import queries as Q
-from spikeloom.llm import neighbors, suffixes
+from spikeloom.llm import neighbors, suffixes, toxicity
 
 
 def test_repeats_inside_a_later_document(spark):
@@ -55,3 +55,13 @@ def test_exact_search_needs_no_lists(spark, monkeypatch):
             break
         want = now
     assert got == {k: c for k, c in want.items() if near[k].sum() > 1} and len(set(got.values())) > 20
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    filler = " ".join(f"word{k % 97}." for k in range(2500))
+    rows = [(k, f"{filler} zorkvile {filler}" if k % 2 else "plain words only.") for k in range(60)]
+    docs = spark.createDataFrame([*rows, (100, "a zorkvile thing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model is not None and len(model["lexicon"])
+    assert all(r.score >= 0.5 for r in toxicity.score(docs, model).where("doc_id % 2 = 1").collect())
