@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (tests on one machine) a local one is made."""
+    """The folder named by spark.checkpoint.dir; only where none is set and all runs on one machine (tests) a local one is made."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _ranks() -> tuple[str, str]:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_join(_read(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,9 @@ links AS MATERIALIZED (
 e AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, node) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.node),
-c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (doc_id)
+c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM s JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 OP8_SQL = """

@@ -50,7 +50,8 @@ def shingle_components(docs, size, percent):
         for x in s:
             shared.update((e, d) for e in held[x])
             held[x].append(d)
-    return least([p for p, n in shared.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)], sets), sets
+    links = [p for p, n in shared.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    return least(links, sets), sets, Counter(d for p in links for d in p)
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
@@ -64,8 +65,8 @@ def test_sql_twin(spark, name):
 
 
 def test_jaccard(spark):
-    comp, sets = shingle_components(table(spark, "documents"), 4, 85)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, "op1_ngram_jaccard_join")} == {d: (len(sets[d]), comp[d]) for d in sets}
+    comp, sets, links = shingle_components(table(spark, "documents"), 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in run(spark, "op1_ngram_jaccard_join")} == {d: (len(sets[d]), comp[d], links[d]) for d in sets}
 
 
 def test_bpe_is_the_library_and_comes_back(spark):
@@ -155,7 +156,7 @@ def test_scores_on_held_out_rows(spark, name, column, parts, rest, enough):
 def test_pipeline(spark):
     docs = table(spark, "documents")
     docs = [r for r in docs if any(c.isalpha() for c in r.text or "")]
-    comp, _ = shingle_components(docs, 5, 80)
+    comp, _, _ = shingle_components(docs, 5, 80)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {tuple(w[k : k + 10]) for r in table(spark, "benchmark") if (w := words(r.text)) for k in range(max(1, len(w) - 9))}
     sizes = {len(w) for w in windows}

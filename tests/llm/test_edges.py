@@ -32,7 +32,9 @@ def by_id(df):
 
 
 def test_jaccard(docs, none):
-    got = by_id(jaccard.jaccard_components(docs.where("doc_id is not null"), 4, 85))
+    got = by_id(jaccard.jaccard_join(docs, 4, 85))
+    assert (got[None].n_shingles, got[None].component_id, got[None].n_links) == (3, None, 0)
+    assert [got[k].n_links for k in (1, 2, 3, 4, 5, 6, 7, 8)] == [0, 0, 1, 1, 1, 1, 0, 0]
     assert (got[1].n_shingles, got[2].n_shingles, got[3].n_shingles) == (0, 0, 1)
     assert [got[k].component_id for k in (1, 2, 3, 4, 5, 6, 7, 8)] == [1, 2, 3, 3, 5, 5, 7, 8]
     assert jaccard.jaccard_components(none).count() == 0
@@ -44,9 +46,11 @@ def test_tree_bound_never_loses_a_pair():
     for _ in range(150):
         base = sets[rng.integers(len(sets))]
         sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], rng.integers(0, 1 << 60, 3).astype(np.uint64)])))
-    n = np.array([len(s) for s in sets])
-    tree = jaccard.CountTree(np.stack([jaccard.group_counts(s) for s in sets]), n, 85, leaf=4)
-    found = {(min(a, b), max(a, b)) for x, y in tree.pairs(np.arange(len(sets))) for a, b in zip(x, y, strict=True)}
+    for s in list(sets[:40]):  # sets of other sizes, with more and fewer groups
+        sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 60, 8).astype(np.uint64)])))
+    n, points, all_ = np.array([len(s) for s in sets]), jaccard.Points([jaccard.group_counts(s).tobytes() for s in sets]), np.arange(len(sets))
+    assert len(set(points.groups)) > 1
+    found = {(min(a, b), max(a, b)) for x, y in jaccard.block_pairs(points, all_, n, n, np.full(len(sets), 2), all_, 85) for a, b in zip(x, y, strict=True)}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert want and want <= found
 
