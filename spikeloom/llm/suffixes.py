@@ -1,13 +1,18 @@
 """Exact repeated-substring removal with logarithmic families of sparse suffix arrays.
 
 A repeat of SPAN bytes always holds the same anchor: the 20-byte string of
-least hash in it. Only suffixes at anchors are indexed. Every batch of
-documents gets a suffix array (anchors in order, with the hash of what surrounds
-each), cut by anchor range so that one task holds one range of all batches. A
-task keeps a family of levels: a new array is merged into levels of its own
-size, so sizes grow geometrically, and one scan over the merged order finds the
-matches. Where surroundings differ only in part, the bytes themselves are
-fetched and all windows around the anchor are compared.
+least hash in it. Suffixes are sampled at anchors, so every long match is met at
+one of them. Every batch of documents gets a suffix array: its sampled suffixes
+in byte order of their first 20 bytes, each with a hash of all that windows
+around the anchor can reach. Arrays are cut by hash ranges of these 20 bytes, so
+that one task holds one range of all batches and suffixes that share 20 bytes
+meet in it. A task keeps a family of levels: a new array is merge-scanned
+against every level, which finds the neighbours in byte order with common
+prefixes of 20 bytes and more, and is then merged with levels of its own size,
+so sizes grow geometrically. Where surroundings differ only in part, the bytes
+themselves are fetched, all windows around the anchor are compared and the
+matches verified byte by byte. Levels can be kept in a folder: the next batch
+is then scanned against all before it without their texts being indexed anew.
 """
 
 from __future__ import annotations
@@ -24,10 +29,13 @@ from spikeloom.llm.graph import forget, saved
 
 ANCHOR = 20
 _U = np.uint64
-#: One indexed suffix: anchor hash (without its range), hash of the surroundings, row of the document table, place.
-ENTRY = np.dtype([("anchor", "<u4"), ("more", "u1"), ("around_hi", "<u4"), ("around_lo", "<u2"), ("doc", "<u2"), ("pos", "<u4")])
-#: Documents that one batch's suffix array covers at most.
-BATCH_DOCS = 20_000
+#: Documents that one batch's suffix array covers at most, and entries that are gathered to one array of a task at least.
+BATCH_DOCS, BATCH_ENTRIES = 20_000, 1 << 17
+#: Rows of one stored piece of a level, and ranges of kept levels.
+PIECE, KEPT_RANGES = 50_000, 64
+#: One indexed suffix: its first 20 bytes as numbers (in byte order), hash of the surroundings, row of the document table, place.
+ENTRY = np.dtype([("w0", "<u8"), ("w1", "<u8"), ("w2", "<u4"), ("around", "<u8"), ("doc", "<u2"), ("pos", "<u4")])
+WORDS = ("w0", "w1", "w2")
 
 
 def anchors(s: X.Slice, prefix: np.ndarray, span: int) -> np.ndarray:
@@ -63,99 +71,174 @@ def edges(s: X.Slice, p: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray,
     return d, np.minimum(p - s.start[d], reach), np.minimum(s.end[d] - p - ANCHOR, reach)
 
 
+def first_bytes(buf: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
+    """The 20 bytes from each place on as three numbers whose order is byte order."""
+    b = buf[p[:, None] + np.arange(ANCHOR)]
+    return [np.ascontiguousarray(b[:, lo:hi]).view(kind).ravel().astype(kind[1:]) for lo, hi, kind in ((0, 8, ">u8"), (8, 16, ">u8"), (16, 20, ">u4"))]
+
+
+def pack(c: dict[str, np.ndarray]) -> tuple[bytes, bytes]:
+    """A sorted run of entries as (documents, entries); byte by byte planes, which a sorted run compresses."""
+    used, doc = np.unique(c["doc"], return_inverse=True)
+    planes = []
+    for k in ENTRY.names:
+        col = np.ascontiguousarray((doc if k == "doc" else c[k]).astype(ENTRY[k]))
+        planes.append(col.view(np.uint8).reshape(len(doc), -1).T.tobytes())
+    return used.astype(np.int64).tobytes(), pa.compress(b"".join(planes), "zstd", asbytes=True) + len(doc).to_bytes(8, "little")
+
+
+def unpack(docs: bytes, entries: bytes) -> dict[str, np.ndarray]:
+    n, at, c = int.from_bytes(entries[-8:], "little"), 0, {}
+    raw = np.frombuffer(pa.decompress(entries[:-8], n * ENTRY.itemsize, "zstd", asbytes=True), np.uint8)
+    for k in ENTRY.names:
+        kind = ENTRY[k]
+        c[k] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(-1, n).T).view(kind).ravel()
+        at += n * kind.itemsize
+    return c | {"doc": np.frombuffer(docs, np.int64)[c["doc"]], "pos": c["pos"].astype(np.int64)}
+
+
+def byte_order(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Order of the first 20 bytes, surroundings and document: by eight bytes, and by the rest where these are equal."""
+    order = np.argsort(c["w0"])
+    w = c["w0"][order]
+    new = np.append(True, w[1:] != w[:-1])
+    tied = ~(new & np.append(new[1:], True))
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((c["doc"][rows], c["around"][rows], c["w2"][rows], c["w1"][rows], np.cumsum(new)[tied]))]
+    return order
+
+
 def suffix_arrays(docs: DataFrame, span: int, ranges: int) -> DataFrame:
-    """(bucket, docs, entries): for each batch of documents one sorted run of suffix entries per anchor range."""
+    """(bucket, level, docs, entries): for each batch of documents one sorted run of suffix entries per range; level is -1."""
 
     def build(batches):
         held, ids, n = [], [], 0
 
         def flush():
-            a, around, d, p = (np.concatenate([h[k] for h in held]) for k in range(4))
-            bucket = ((a >> _U(40)) * _U(ranges)) >> _U(24)
-            order = np.lexsort((d, around, a))
-            a, around, d, p, bucket = a[order], around[order], d[order], p[order], bucket[order].astype(np.int64)
-            e = np.empty(len(a), ENTRY)
-            e["anchor"], e["more"] = a >> _U(8), a & _U(255)
-            e["around_hi"], e["around_lo"] = around >> _U(32), around >> _U(16)
-            e["doc"], e["pos"] = d, p
+            c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            bucket = ((c.pop("range") >> _U(40)) * _U(ranges) >> _U(24)).astype(np.int64)
+            order = byte_order(c)
+            order = order[np.argsort(bucket[order].astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")]
+            bucket = bucket[order]
+            table = np.array(ids, np.int64)
+            c = {k: x[order] for k, x in c.items()} | {"doc": table[c["doc"][order]]}
             cut = np.searchsorted(bucket, np.arange(ranges + 1))
             some = np.flatnonzero(np.diff(cut))
-            table, rows = np.array(ids, np.int64), []
-            for b in some:
-                part = e[cut[b] : cut[b + 1]]
-                used, part_doc = np.unique(part["doc"], return_inverse=True)
-                part["doc"] = part_doc
-                # columns one after another: hashes of a sorted run compress, places don't
-                rows.append((table[used].tobytes(), b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ENTRY.names)))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), X.blobs([r[0] for r in rows]), X.blobs([r[1] for r in rows])], ["bucket", "docs", "entries"])
+            rows = [pack({k: x[cut[b] : cut[b + 1]] for k, x in c.items()}) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), -1, np.int32)), X.blobs([r[0] for r in rows]), X.blobs([r[1] for r in rows])], ["bucket", "level", "docs", "entries"])
 
         for b in batches:
             own = b.column("doc_id").to_numpy(zero_copy_only=False)
             for s in X.slices(b.column("text"), max_rows=BATCH_DOCS):
-                if held and (len(ids) + s.hi - s.lo > BATCH_DOCS or n > 1_500_000):
+                if held and (len(ids) + s.hi - s.lo > BATCH_DOCS or n > 1_000_000):
                     yield flush()
                     held, ids, n = [], [], 0
                 prefix = X.prefix_hash(s.buf)
                 p = anchors(s, prefix, span)
                 d, left, right = edges(s, p, span)
                 shape = left * 64 + right
-                a = X.span_hash(prefix, p, p + ANCHOR)
                 around = X.mix(X.span_hash(prefix, p - left, p + ANCHOR + right) + shape.astype(_U) * X.PLACE[5])
-                held.append((a, around, (d + len(ids)).astype(np.int64), p - s.start[d]))
+                words = dict(zip(WORDS, first_bytes(s.buf, p), strict=True))
+                held.append(words | {"around": around, "doc": (d + len(ids)).astype(np.int64), "pos": p - s.start[d], "range": X.span_hash(prefix, p, p + ANCHOR)})
                 ids += own[s.lo : s.hi].tolist()
                 n += len(p)
         if held and n:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(build, "bucket int, docs binary, entries binary")
+    return rows.mapInArrow(build, "bucket int, level int, docs binary, entries binary")
+
+
+def common_prefix(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each row with the row before it: how many of the first 20 bytes are equal."""
+    out, going = np.zeros(len(c["w0"]), np.int64), np.ones(max(0, len(c["w0"]) - 1), bool)
+    for k, size in (("w0", 8), ("w1", 8), ("w2", 4)):
+        x = (c[k][1:] ^ c[k][:-1]).astype(np.uint64)
+        equal = np.zeros(len(x), np.int64)
+        for j in range(1, size + 1):
+            equal += (x >> _U(8 * (size - j))) == 0
+        out[1:] += np.where(going, equal, 0)
+        going &= x == 0
+    return out
+
+
+class Array:
+    """A suffix array: entries in order of bytes, surroundings and document.
+
+    Each entry knows the least document met so far with its surroundings
+    (first) and with its 20 bytes (least), and whether other surroundings of
+    these 20 bytes have been met (many).
+    """
+
+    def __init__(self, c: dict[str, np.ndarray], own: bool = True):
+        if "first" not in c:
+            c = c | {"first": c["doc"].copy(), "least": c["doc"].copy(), "many": np.zeros(len(c["doc"]), bool), "new": np.full(len(c["doc"]), own)}
+        order = byte_order(c)
+        self.c = {k: x[order] for k, x in c.items()}
+        new_g = common_prefix(self.c) < ANCHOR
+        new_k = new_g | np.append(True, self.c["around"][1:] != self.c["around"][:-1])
+        self.new_k, self.klass, self.group = new_k, np.cumsum(new_k) - 1, np.cumsum(new_g) - 1
+        self.k_at, self.g_at = np.flatnonzero(new_k), np.flatnonzero(new_g)
+        self.k_group = self.group[self.k_at]
+        # states of classes and groups of equal bytes
+        self.first = np.minimum.reduceat(self.c["first"], self.k_at)
+        self.least = np.minimum.reduceat(self.c["least"], self.g_at)
+        self.many = np.logical_or.reduceat(self.c["many"], self.g_at) | (np.add.reduceat(new_k.astype(np.int64), self.g_at) > 1)
+
+    def __len__(self) -> int:
+        return len(self.klass)
+
+    def columns(self) -> dict[str, np.ndarray]:
+        return self.c | {"first": self.first[self.klass], "least": self.least[self.group], "many": self.many[self.group]}
+
+
+def merge_scan(x: Array, y: Array) -> None:
+    """Walk two arrays in common order; suffixes of both that share 20 bytes or more tell each other what they have met."""
+    both = {k: np.concatenate([a.c[k][a.g_at] for a in (x, y)]) for k in WORDS}
+    n = len(x.g_at)
+    order = np.lexsort((np.arange(len(both["w0"])) >= n, *(both[k] for k in reversed(WORDS))))
+    long = np.flatnonzero(common_prefix({k: v[order] for k, v in both.items()}) >= ANCHOR)
+    i, j = order[long - 1], order[long] - n
+    x.least[i] = y.least[j] = np.minimum(x.least[i], y.least[j])
+    # classes of the groups that meet
+    pair = np.full(len(y.g_at), -1)
+    pair[j] = i
+    kx, ky = np.flatnonzero(np.isin(x.k_group, i)), np.flatnonzero(pair[y.k_group] >= 0)
+    g = np.concatenate([x.k_group[kx], pair[y.k_group[ky]]])
+    around = np.concatenate([x.c["around"][x.k_at[kx]], y.c["around"][y.k_at[ky]]])
+    order = np.lexsort((np.arange(len(g)) >= len(kx), around, g))
+    same = np.flatnonzero((g[order][1:] == g[order][:-1]) & (around[order][1:] == around[order][:-1]))
+    a, b = kx[order[same]], ky[order[same + 1] - len(kx)]
+    x.first[a] = y.first[b] = np.minimum(x.first[a], y.first[b])
+    # a group has seen other surroundings unless both sides have one class and it is the same
+    alike = np.zeros(len(x.g_at), bool)
+    alike[x.k_group[a]] = True
+    x.many[i] = y.many[j] = x.many[i] | y.many[j] | ~alike[i]
 
 
 class Levels:
-    """A logarithmic family of suffix arrays: columns (anchor, around, doc, pos) in order of anchor, surroundings and document."""
-
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
-
-    @staticmethod
-    def merge(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
-        both = [np.concatenate(c) for c in zip(x, y, strict=True)]
-        order = np.lexsort((both[2], both[1], both[0]))
-        return [c[order] for c in both]
-
-    def add(self, run: list[np.ndarray]) -> None:
-        """Take in a new array; levels that are no larger than it are merged, as carries of a binary counter."""
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(run[0]):
-            run = self.merge(self.levels.pop(), run)
-        self.levels.append(run)
-
-    def scan(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """All suffixes in order; which have an earlier document with equal surroundings; which must be compared byte by byte."""
-        while len(self.levels) > 1:
-            self.levels.append(self.merge(self.levels.pop(), self.levels.pop()))
-        a, around, doc, pos = run = self.levels.pop()
-        new_a = np.append(True, a[1:] != a[:-1])
-        new_c = new_a | np.append(True, around[1:] != around[:-1])
-        at = np.flatnonzero(new_c)
-        group = np.cumsum(new_c) - 1
-        first = doc[at][group]
-        same = doc > first
-        each = np.cumsum(new_a) - 1
-        classes = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[each]
-        # further places of a class in its first document share only in part with a document before it, as its first place does
-        later = ~same & (doc > np.minimum.reduceat(doc, np.flatnonzero(new_a))[each])
-        return run, same, (new_c | later) & (classes > 1)
-
-
-def _unpack(docs: bytes, entries: bytes) -> list[np.ndarray]:
-    n, at, c = len(entries) // ENTRY.itemsize, 0, {}
-    for name in ENTRY.names:
-        kind = ENTRY[name]
-        c[name] = np.frombuffer(entries, kind, n, at)
-        at += n * kind.itemsize
-    a = (c["anchor"].astype(_U) << _U(8)) | c["more"]
-    around = (c["around_hi"].astype(_U) << _U(16)) | c["around_lo"]
-    return [a, around, np.frombuffer(docs, np.int64)[c["doc"]], c["pos"].astype(np.int64)]
+    """A logarithmic family of suffix arrays."""
+
+    def __init__(self, levels: list[Array] = ()):
+        self.levels = list(levels)
+
+    def add(self, new: Array) -> None:
+        """Scan a new array against every level, then merge it with levels that are no larger, as carries of a binary counter."""
+        for level in self.levels:
+            merge_scan(level, new)
+        while self.levels and len(self.levels[-1]) <= 2 * len(new):
+            x, y = self.levels.pop().columns(), new.columns()
+            new = Array({k: np.concatenate([x[k], y[k]]) for k in y})
+        self.levels.append(new)
+
+    def found(self):
+        """For each level: its entries, which have an earlier document with equal surroundings, and which must be compared byte by byte."""
+        for a in self.levels:
+            doc, first = a.c["doc"], a.first[a.klass]
+            same = doc > first
+            # of the first document of a class one place is enough, unless a document before it shares a part
+            part = ~same & (a.new_k | (doc > a.least[a.group])) & a.many[a.group]
+            yield a.c, same, part
 
 
 def _rows(cols: list[np.ndarray], names: list[str], step: int = 100_000):
@@ -163,25 +246,69 @@ def _rows(cols: list[np.ndarray], names: list[str], step: int = 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in cols], names)
 
 
-def matches(runs: DataFrame, span: int, ranges: int) -> DataFrame:
-    """(doc_id, span, anchor): places with an equal surrounding in an earlier document, and, with anchor set, places to compare.
+def matches(runs: DataFrame, ranges: int, keep: bool = False) -> DataFrame:
+    """(doc_id, pos, anchor): places with equal surroundings in an earlier document, and, with anchor set, places to compare.
 
-    span packs place and nothing else: the reach is found again from the document's length.
+    runs has new arrays (level -1) and levels of earlier jobs. With keep, the
+    levels after it come as rows too (bucket, level, docs, entries; doc_id null).
     """
 
     def merge(batches):
-        family = Levels()
+        kept, new, n = {}, {}, {}
+        family: dict[int, Levels] = {}
+
+        def flush(bucket):
+            parts = new.pop(bucket, [])
+            if parts:
+                if bucket not in family:
+                    family[bucket] = Levels([Array({k: np.concatenate([c[k] for c in cs]) for k in cs[0]}, False) for _, cs in sorted(kept.pop(bucket, {}).items())])
+                family[bucket].add(Array({k: np.concatenate([c[k] for c in parts]) for k in parts[0]}))
+            n[bucket] = 0
+
+        waiting = []
         for b in batches:
-            for docs, entries in zip(b.column("docs").to_pylist(), b.column("entries").to_pylist(), strict=True):
-                family.add(_unpack(docs, entries))
-        if not family.levels:
-            return
-        (a, _, doc, pos), same, part = family.scan()
-        a = a.view(np.int64)
-        yield from _rows([doc[same], pos[same], np.full(int(same.sum()), -1, np.int64)], ["doc_id", "pos", "anchor"])
-        yield from _rows([doc[part], pos[part], a[part]], ["doc_id", "pos", "anchor"])
-
-    return runs.repartitionById(ranges, F.col("bucket")).mapInArrow(merge, "doc_id long, pos long, anchor long")
+            for bucket, level, docs, entries in zip(*(b.column(k).to_pylist() for k in ("bucket", "level", "docs", "entries")), strict=True):
+                if level >= 0:
+                    kept.setdefault(bucket, {}).setdefault(level, []).append(unpack(docs, entries))
+                elif keep:
+                    waiting.append((bucket, docs, entries))  # levels come first
+                else:
+                    c = unpack(docs, entries)
+                    new.setdefault(bucket, []).append(c)
+                    n[bucket] = n.get(bucket, 0) + len(c["doc"])
+                    if n[bucket] >= BATCH_ENTRIES:
+                        flush(bucket)
+        for bucket, docs, entries in waiting:
+            new.setdefault(bucket, []).append(unpack(docs, entries))
+        for bucket in list(new):
+            flush(bucket)
+        for bucket, levels in family.items():
+            for k, (c, same, part) in enumerate(levels.found()):
+                told = same & c["new"]
+                anchor = X.mix(c["w0"] ^ X.mix(c["w1"] ^ X.mix(c["w2"].astype(_U)))).view(np.int64) & np.int64((1 << 63) - 1)
+                for use, mark in ((told, np.full(int(told.sum()), -1, np.int64)), (part, anchor[part])):
+                    for r in _rows([c["doc"][use], c["pos"][use], mark], ["doc_id", "pos", "anchor"]):
+                        yield pa.RecordBatch.from_arrays([*r.columns, *(pa.nulls(r.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary()))][: 7 if keep else 3], ["doc_id", "pos", "anchor", "bucket", "level", "docs", "entries"][: 7 if keep else 3])
+                for lo in range(0, len(c["doc"]), PIECE) if keep else ():
+                    docs, entries = pack({x: c[x][lo : lo + PIECE] for x in ENTRY.names})
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), X.blobs([docs]), X.blobs([entries])], ["doc_id", "pos", "anchor", "bucket", "level", "docs", "entries"])
+        for bucket, levels in kept.items() if keep else ():  # nothing new in this range
+            for k, (_, cs) in enumerate(sorted(levels.items())):
+                for c in cs:
+                    docs, entries = pack(c)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), X.blobs([docs]), X.blobs([entries])], ["doc_id", "pos", "anchor", "bucket", "level", "docs", "entries"])
+
+    schema = "doc_id long, pos long, anchor long" + ", bucket int, level int, docs binary, entries binary" * keep
+    return runs.repartitionById(ranges, F.col("bucket")).mapInArrow(merge, schema)
+
+
+def _newest(spark, folder: str) -> str | None:
+    """The last complete version of the kept levels."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    done = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return f"{folder}/{max(done)}" if done else None
 
 
 def _by_doc(rows: DataFrame, cols: str) -> DataFrame:
@@ -266,7 +393,10 @@ def _chunks(at: np.ndarray, n: int, size: int = 200_000):
 
 
 def windows_covered(e: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest offset of the anchor in a window that an earlier document has too (-1: none)."""
+    """Least and greatest offset of the anchor in a window that an earlier document has too (-1: none).
+
+    Windows meet by a rolling hash, offset by offset; each is then compared, byte by byte, with the one that it met.
+    """
     span = reach + ANCHOR
     base, byte = X._BASE, X._BYTE
     ctx = e["bytes"]
@@ -282,32 +412,50 @@ def windows_covered(e: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         if len(ok) < 2:
             continue
         key = X.mix(h[ok] ^ X.mix(e["anchor"][ok].view(_U)))
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((e["doc"][ok], key))
         k, d = key[order], e["doc"][ok][order]
         new = np.append(True, k[1:] != k[:-1])
-        first = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = ok[order[d > first]]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = np.flatnonzero(d > d[first])
+        hit, with_ = ok[order[later]], ok[order[first[later]]]
+        at = slice(reach - o, reach - o + span)
+        hit = hit[(ctx[hit, at] == ctx[with_, at]).all(1)]
         low[hit] = np.where(low[hit] < 0, o, low[hit])
         high[hit] = o
     return low, high
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, levels: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Remove every byte covered by a span-byte string that also starts in a document of smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary)
     per input row. Strings are judged on the input, overlaps count, and nothing
     is matched across documents. Null counts as empty; rows with one doc_id
     never count against each other; a null doc_id keeps all its bytes.
+
+    levels is a folder that all executors share: docs are then the next batch
+    of a growing corpus, scanned against the levels kept there, which take it
+    in afterwards. earlier must hold the documents of the batches before, whose
+    texts are read again only where matches have to be compared.
     """
     if not 2 * ANCHOR <= span <= ANCHOR + 63:
         raise ValueError(f"span must be from {2 * ANCHOR} to {ANCHOR + 63}")
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = KEPT_RANGES if levels else int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    found = saved(matches(suffix_arrays(docs, span, ranges), span, ranges))
+    runs = suffix_arrays(docs, span, ranges)
+    if levels:
+        now = _newest(spark, levels)
+        if now:
+            runs = runs.union(spark.read.parquet(now).select("bucket", "level", "docs", "entries"))
+        found = saved(matches(runs, ranges, True))
+        found.where("doc_id is null").select("bucket", "level", "docs", "entries").write.parquet(f"{levels}/{0 if now is None else int(now.rpartition('/')[2]) + 1}")
+        found = found.where("doc_id is not null")
+    else:
+        found = saved(matches(runs, ranges))
     forget(spark)
-    cover = saved(surroundings(docs, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
+    all_ = docs if earlier is None else docs.union(earlier.select("doc_id", "text"))
+    cover = saved(surroundings(all_, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
     forget(spark)
     whole = found.where("anchor < 0").select("doc_id", F.col("pos").alias("start"), F.lit(-1).cast("long").alias("end"))
     spans = _by_doc(whole.union(cover), "start end")
