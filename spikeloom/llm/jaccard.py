@@ -305,42 +305,41 @@ def candidates(members: DataFrame, percent: int, stars: bool) -> DataFrame:
     """Distinct pairs (a < b) that the R-trees of the blocks let through; members has block, doc_id, n, place, counts, side, comp."""
 
     def search(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        block, doc, n, comp, side = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "comp", "side"))
-        rest = n - t.column("place").to_numpy()
-        points = Points(t.column("counts").to_pylist())
-        order = np.lexsort((doc, block))
-        at = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
-        size = np.diff(np.append(at, len(order)))
-        found = []
-        two = at[size == 2]
-        i, j = order[two], order[two + 1]
-        big, small, least = np.maximum(n[i], n[j]), np.minimum(n[i], n[j]), needed(n[i], n[j], percent)
-        ok = (np.minimum(rest[i], rest[j]) >= least) & (100 * small >= percent * big) & ((side[i] != side[j]) | (side[i] == 2)) & (stars | (comp[i] != comp[j]))
-        i, j, least = i[ok], j[ok], least[ok]
-        low = np.minimum(points.groups[i], points.groups[j])
-        for g in np.unique(low):
-            own = np.flatnonzero(low == g)
-            for k in range(0, len(own), step := max(1, (1 << 22) // int(g))):
-                p, q = i[own[k : k + step]], j[own[k : k + step]]
-                fit = np.minimum(points.of(p, int(g)), points.of(q, int(g))).sum(1, dtype=np.int64) >= least[own[k : k + step]]
-                found.append((doc[p[fit]], doc[q[fit]]))
-        for k, m in zip(at[size > 2], size[size > 2], strict=True):
-            rows = order[k : k + m]
-            if not stars and (comp[rows] == comp[rows[0]]).all():
-                continue
-            for a, b in block_pairs(points, rows, n, rest, side, None if stars else comp, percent):
-                found.append((doc[a], doc[b]))
-        if found:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for k in range(0, len(both), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, c].copy()) for c in (0, 1)], ["a", "b"])
-
-    return members.select("block", "doc_id", "n", "place", "counts", "side", "comp").repartition("block").mapInArrow(search, "a long, b long").distinct()
+        for t in X.whole_groups(batches, "block"):
+            yield from _searched(t, percent, stars)
+
+    rows = members.select("block", "doc_id", "n", "place", "counts", "side", "comp").repartition("block").sortWithinPartitions("block", "doc_id")
+    return rows.mapInArrow(search, "a long, b long").distinct()
+
+
+def _searched(t: pa.Table, percent: int, stars: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole blocks that the trees let through; rows come in order of block and doc_id."""
+    block, doc, n, comp, side = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "comp", "side"))
+    rest = n - t.column("place").to_numpy()
+    points = Points(t.column("counts").to_pylist())
+    at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    size = np.diff(np.append(at, len(block)))
+    found = []
+    i = at[size == 2]
+    j = i + 1
+    big, small, least = np.maximum(n[i], n[j]), np.minimum(n[i], n[j]), needed(n[i], n[j], percent)
+    ok = (np.minimum(rest[i], rest[j]) >= least) & (100 * small >= percent * big) & ((side[i] != side[j]) | (side[i] == 2)) & (stars | (comp[i] != comp[j]))
+    i, j, least = i[ok], j[ok], least[ok]
+    low = np.minimum(points.groups[i], points.groups[j])
+    for g in np.unique(low):
+        own = np.flatnonzero(low == g)
+        for k in range(0, len(own), step := max(1, (1 << 22) // int(g))):
+            p, q = i[own[k : k + step]], j[own[k : k + step]]
+            fit = np.minimum(points.of(p, int(g)), points.of(q, int(g))).sum(1, dtype=np.int64) >= least[own[k : k + step]]
+            found.append((doc[p[fit]], doc[q[fit]]))
+    for k, m in zip(at[size > 2], size[size > 2], strict=True):
+        if stars or (comp[k : k + m] != comp[k]).any():
+            found += ((doc[a], doc[b]) for a, b in block_pairs(points, np.arange(k, k + m), n, rest, side, None if stars else comp, percent))
+    if found:
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        for k in range(0, len(both), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, c].copy()) for c in (0, 1)], ["a", "b"])
 
 
 def _tile(tiles) -> F.Column:
@@ -486,19 +485,13 @@ def count_links(members: DataFrame, links: DataFrame, docs: DataFrame, words: in
     c = mixed.where("not inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(1), F.least("tile", "j"), F.greatest("tile", "j")).alias("group"), *row, F.when(F.col("tile") == F.col("j"), 2).otherwise((F.col("tile") > F.col("j")).cast("int")).alias("side"))
 
     def count(batches):
-        got = [x for x in batches if x.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).sort_by("group")
-        group, node, copies, side = (t.column(k).to_numpy() for k in ("group", "node", "copies", "side"))
-        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        for lo, hi in zip(at, np.append(at[1:], len(group)), strict=True):
-            near = linked([np.frombuffer(x.as_buffer(), _U) for x in t.column("hashes").slice(lo, hi - lo)], percent)
-            s = side[lo:hi]
-            near &= (s[:, None] != s[None]) | (s[:, None] == 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.array(near @ copies[lo:hi])], ["node", "n"])
-
-    outer = a.union(b).union(c).repartition("group").mapInArrow(count, "node long, n long")
+        for t in X.each_group(batches, "group"):
+            copies, side = t.column("copies").to_numpy(), t.column("side").to_numpy()
+            near = linked([np.frombuffer(x.as_buffer(), _U) for x in t.column("hashes")], percent)
+            near &= (side[:, None] != side[None]) | (side[:, None] == 2)
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("node").to_numpy()), pa.array(near @ copies)], ["node", "n"])
+
+    outer = a.union(b).union(c).repartition("group").sortWithinPartitions("group").mapInArrow(count, "node long, n long")
     return pairs.union(inner).union(outer).groupBy("node").agg(F.sum("n").alias("n"))
 
 

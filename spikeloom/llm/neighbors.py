@@ -1,12 +1,16 @@
 """Embedding near-duplicates by NN-descent.
 
 Random hyperplane blocks give every vector a first neighbour list; lists are
-refined by joins of neighbours with neighbours of neighbours until an audit
-against brute force on a bounded sample is satisfied. Edges over the threshold
-make components. Lists can be too short for all links of a vector, so an exact
-search follows for links between different components: every vector is compared
-with every cell of vectors that can hold one. Links are counted in tiles of whole
-components, so no partner is capped and no pair is written out.
+refined by joins of neighbours with neighbours of neighbours. A list whose last
+entry still reaches the threshold is saturated and may grow; rounds go on until
+an audit against brute force, on a bounded sample of vectors of which most have
+links, is satisfied and lists no longer fill up. All edges over the threshold
+that any round has found make components. Lists can be too short for all links
+of a vector, so an exact search follows for links between different components:
+every vector is compared with every cell of vectors that can hold one. Links are
+then counted inside components: vectors within half of the allowed angle from a
+pivot all link and are only counted, the others are compared in tiles, so no
+partner is capped and no pair is written out.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spikeloom.llm import text as X
 from spikeloom.llm.graph import components, saved
 
-#: Length of neighbour lists, tables of hyperplanes, aimed size of a block, most rows of one matrix.
-LIST, TABLES, BLOCK, TILE = 8, 6, 64, 512
+#: Length of neighbour lists and of saturated ones at most, tables of hyperplanes, aimed size of a block, most rows of one matrix.
+LIST, LONGEST, TABLES, BLOCK, TILE = 8, 32, 6, 64, 512
 #: Sampled queries of an audit, recall to reach, refinements at most.
 AUDIT, RECALL, ROUNDS = 256, 0.995, 4
 #: Bytes of vectors that one pass of the exact search broadcasts, cells of each kind among them at most, places of one matrix.
@@ -50,17 +55,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "vec_id long, kind string, vec binary")
 
 
-def _by_group(batches, key: str):
-    """Tables of the rows of one key after another, from a partition that holds keys whole."""
-    got = [b for b in batches if b.num_rows]
-    if got:
-        t = pa.Table.from_batches(got).sort_by(key)
-        k = t.column(key).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        for lo, hi in zip(at, np.append(at[1:], len(k)), strict=True):
-            yield t.slice(lo, hi - lo)
-
-
 def _best(ids: np.ndarray, x: np.ndarray, most: int):
     """Each row's `most` nearest other rows: (u, v, sim)."""
     n = len(ids)
@@ -108,34 +102,48 @@ def first_lists(reps: DataFrame, n: int) -> DataFrame:
     dealt = coded.join(size, "block").select("vec_id", "vec", F.concat_ws("/", "block", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("vec_id", "block"), F.ceil(F.col("size") / TILE)))).alias("block"))
 
     def search(batches):
-        yield from _edges(e for t in _by_group(batches, "block") for e in _best(*_matrix(t), LIST))
+        for t in X.each_group(batches, "block"):
+            name = t.column("name").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))  # blocks whose names share a hash
+            for lo, hi in zip(at, np.append(at[1:], len(name)), strict=True):
+                yield from _edges(_best(*_matrix(t.slice(lo, hi - lo)), LIST))
 
-    return dealt.repartition("block").mapInArrow(search, "u long, v long, sim double")
+    return dealt.select(F.xxhash64("block").alias("block"), "vec_id", "vec", F.col("block").alias("name")).repartition("block").sortWithinPartitions("block", "name").mapInArrow(search, "u long, v long, sim double")
 
 
-def shortest(edges: DataFrame, size: int) -> DataFrame:
-    """The `size` nearest of each list, each neighbour once."""
+def shortest(edges: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The LIST nearest of each list, each neighbour once; up to `size` of those that reach the threshold."""
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     order = W.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop("rank")
+    ranked = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return ranked.where((F.col("rank") <= LIST) | (F.col("sim") >= threshold)).drop("rank")
 
 
-def descend(lists: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+def descend(lists: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
     """One refinement: at every vector, its neighbours (of both directions) are compared with each other."""
     back = lists.select(F.col("v").alias("hub"), F.col("u").alias("vec_id"), "sim")
     fewer = back.withColumn("rank", F.row_number().over(W.partitionBy("hub").orderBy(F.desc("sim"), F.xxhash64("vec_id")))).where(F.col("rank") <= 2 * size)
     own = lists.select(F.col("u").alias("hub"), F.col("v").alias("vec_id")).union(fewer.select("hub", "vec_id")).distinct()
 
     def join(batches):
-        yield from _edges(e for t in _by_group(batches, "hub") for e in _best(*_matrix(t), 4))
+        for t in X.each_group(batches, "hub"):
+            yield from _edges(_best(*_matrix(t), max(4, size // 2)))
+
+    found = own.join(reps.select("vec_id", "vec"), "vec_id").select("hub", "vec_id", "vec").repartition("hub").sortWithinPartitions("hub").mapInArrow(join, "u long, v long, sim double")
+    return shortest(lists.union(found), size, threshold)
 
-    found = own.join(reps.select("vec_id", "vec"), "vec_id").select("hub", "vec_id", "vec").repartition("hub").mapInArrow(join, "u long, v long, sim double")
-    return shortest(lists.union(found), size)
 
+def recall(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
+    """Share of the links of a sample (brute force against all vectors) whose ends are in one component; 1 without links.
 
-def missed(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
-    """Recall on a sample: of the pairs over the threshold (brute force of AUDIT vectors against all), those in one component."""
-    sample = reps.orderBy(F.xxhash64("vec_id")).limit(AUDIT).join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component")).collect()
+    Links are counted exactly inside components, so these are the links that a
+    result keeps. Of the AUDIT vectors sampled, three quarters have links that
+    were found, if so many have, and the others are any.
+    """
+    place = F.xxhash64("vec_id", F.lit(5))
+    some = reps.join(comp, "vec_id").orderBy(place).limit(AUDIT * 3 // 4).select("vec_id", "kind", "vec", "component")
+    any_ = reps.orderBy(place).limit(AUDIT // 4).join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component"))
+    sample = some.union(any_).distinct().collect()
     held = reps.sparkSession.sparkContext.broadcast([(r.vec_id, r.kind, bytes(r.vec), r.component) for r in sample])
 
     def test(batches):
@@ -242,24 +250,47 @@ def completed(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
 
 
 def count_links(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, links): linked vectors of each, with their copies, in tiles of its component."""
-    rows = reps.join(comp, "vec_id")
-    size = rows.groupBy("component").agg(F.count("*").alias("size"))
-    rows = rows.join(size, "component").withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = rows.withColumn("other", other).select("vec_id", "vec", "copies", F.col("tile"), F.concat_ws("/", "component", F.least("tile", "other"), F.greatest("tile", "other")).alias("group"))
+    """(vec_id, links): linked vectors of each, with their copies, inside its component.
+
+    The least vector of a component is its pivot. Angles obey the triangle
+    inequality, so vectors within half of the allowed angle from it (inner ones)
+    all link. The others (outer ones) are compared with all, tile by tile.
+    """
+    rows = reps.join(comp, "vec_id").select("vec_id", "vec", "copies", "component")
+    pivots = reps.join(comp.where("vec_id = component"), "vec_id").select("component", F.col("vec").alias("pivot"))
+    half = np.cos(np.arccos(threshold) / 2) + 1e-9
+
+    def tell(batches):
+        for b in batches:
+            raw, piv = b.column("vec").to_pylist(), b.column("pivot").to_pylist()
+            inner = np.zeros(b.num_rows, bool)
+            for dim in {len(r) // 4 for r in raw}:
+                at = np.flatnonzero([len(r) == 4 * dim for r in raw])
+                inner[at] = (_unit([raw[k] for k in at], dim) * _unit([piv[k] for k in at], dim)).sum(1) >= half
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), b.column("copies"), b.column("component"), pa.array(inner)], ["vec_id", "vec", "copies", "component", "inner"])
+
+    rows = saved(rows.join(pivots, "component").select("vec_id", "vec", "copies", "component", "pivot").mapInArrow(tell, "vec_id long, vec binary, copies long, component long, inner boolean"))
+    sums = rows.groupBy("component").agg(F.sum(F.when(F.col("inner"), F.col("copies")).otherwise(0)).alias("in_copies"), F.count_if("inner").alias("inners"), F.count_if(~F.col("inner")).alias("outers"))
+    rows = rows.join(sums, "component")
+    counted = rows.where("inner").select("vec_id", (F.col("in_copies") - F.col("copies")).alias("links"))
+    mixed = rows.where("outers > 0").withColumn("ins", F.ceil(F.col("inners") / TILE)).withColumn("outs", F.ceil(F.col("outers") / TILE))
+    mixed = mixed.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    row = ("vec_id", "vec", "copies", "component")
+    a = mixed.where("inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(0), "tile", "j").alias("group"), *row, F.lit(0).alias("side"))
+    b = mixed.where("not inner").withColumn("j", upto("ins")).select(F.xxhash64("component", F.lit(0), "j", "tile").alias("group"), *row, F.lit(1).alias("side"))
+    c = mixed.where("not inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(1), F.least("tile", "j"), F.greatest("tile", "j")).alias("group"), *row, F.when(F.col("tile") == F.col("j"), 2).otherwise((F.col("tile") > F.col("j")).cast("int")).alias("side"))
 
     def count(batches):
-        for t in _by_group(batches, "group"):
-            raw = t.column("vec").to_pylist()
-            x, ids, copies, tile = _unit(raw, len(raw[0]) // 4), t.column("vec_id").to_numpy(), t.column("copies").to_numpy(), t.column("tile").to_numpy()
-            near = x @ x.T >= threshold
+        for t in X.each_group(batches, "group"):
+            ids, x = _matrix(t)
+            copies, side, own = (t.column(k).to_numpy() for k in ("copies", "side", "component"))
+            near = (x @ x.T >= threshold) & ((side[:, None] != side[None]) | (side[:, None] == 2)) & (own[:, None] == own[None])
             np.fill_diagonal(near, False)
-            if tile.min() != tile.max():
-                near &= tile[:, None] != tile[None]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ copies)], ["vec_id", "links"])
 
-    return dealt.repartition("group").mapInArrow(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    outer = a.union(b).union(c).repartition("group").sortWithinPartitions("group").mapInArrow(count, "vec_id long, links long")
+    return counted.union(outer).groupBy("vec_id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -267,22 +298,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Vectors link when label and dimension are equal and the cosine, in double
     precision, reaches the threshold. Null or zero vectors, null or non-finite
-    components, and null labels link with nothing. Equal vectors are one class
-    during the search and count one by one in n_links.
+    components, null labels and null ids link with nothing. Equal vectors are
+    one class during the search and count one by one in n_links.
     """
     rows = saved(usable(vectors))
     classes = rows.groupBy("kind", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = saved(classes.select(F.col("rep").alias("vec_id"), "kind", "vec", "copies"))
     most = reps.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    size = LIST
-    lists = saved(shortest(first_lists(reps, most), size))
+    size, links = LIST, None
+    lists = saved(shortest(first_lists(reps, most), size, threshold))
     for _ in range(ROUNDS):
-        lists = saved(descend(lists, reps, size))
-        links = lists.where(F.col("sim") >= threshold)
+        lists = saved(descend(lists, reps, size, threshold))
+        found = lists.where(F.col("sim") >= threshold).select("u", "v")
+        links = found if links is None else links.union(found)
         comp = saved(components(links, "u", "v").select(F.col("node").alias("vec_id"), "component"))
-        if missed(reps, comp, threshold) >= RECALL:
+        full = not lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("last")).where((F.col("n") >= size) & (F.col("last") >= threshold)).isEmpty()
+        if (not full or size >= LONGEST) and recall(reps, comp, threshold) >= RECALL:
             break
-        size *= 2
+        if full:
+            size = min(2 * size, LONGEST)
     comp = saved(completed(reps, comp, threshold))
     counted = count_links(reps, comp, threshold)
     found = reps.join(comp, "vec_id", "left").join(counted, "vec_id", "left").select("kind", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -175,3 +175,40 @@ def gather(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def blobs(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def whole_groups(batches, key: str, rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about `rows` rows, from batches that come in order of key (sortWithinPartitions)."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(k == k[-1])[0])  # the last group may go on
+        if not cut and held[0].column(key)[0] == b.column(key)[-1]:
+            continue
+        if not cut:
+            t = pa.Table.from_batches(held)
+            all_ = t.column(key).to_numpy()
+            cut = int(np.flatnonzero(all_ == all_[-1])[0])
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+        else:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+            held = [b.slice(cut)]
+        n = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def each_group(batches, key: str) -> Iterator[pa.Table]:
+    """The rows of one key after another, from batches that come in order of key."""
+    for t in whole_groups(batches, key):
+        k = t.column(key).to_numpy()
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        for lo, hi in zip(at, np.append(at[1:], len(k)), strict=True):
+            yield t.slice(lo, hi - lo)

@@ -112,10 +112,10 @@ def test_colliding_surrogates_are_turned(spark, monkeypatch):
 
 def test_neighbours(spark):
     one, nan = [1.0, 0.0, 0.5], [float("nan"), 1.0, 1.0]
-    rows = [(1, one, 0), (2, [2.0, 0.0, 1.0], 0), (3, one, 0), (4, one, 1), (5, None, 0), (6, nan, 0), (7, [0.0, 0.0, 0.0], 0), (8, one, None), (9, [0.0, 1.0, 0.0], 0)]
+    rows = [(1, one, 0), (2, [2.0, 0.0, 1.0], 0), (3, one, 0), (4, one, 1), (5, None, 0), (6, nan, 0), (7, [0.0, 0.0, 0.0], 0), (8, one, None), (9, [0.0, 1.0, 0.0], 0), (None, one, 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbors.near_duplicates(v).collect()}
-    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)} | {k: (0, k, True) for k in (4, 5, 6, 7, 8, 9)}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)} | {k: (0, k, True) for k in (4, 5, 6, 7, 8, 9)} | {None: (0, None, None)}
     assert neighbors.near_duplicates(v.limit(0)).count() == 0
 
 
