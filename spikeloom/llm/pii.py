@@ -3,10 +3,16 @@
 A surrogate is a keyed permutation of the entity's own format (which characters
 are digits, which letters of which script and case stand where), so equal
 entities get equal surrogates everywhere and different ones stay different
-without any shared state. Names after a title get a given name of the same
-gender. A check over all distinct entities of the corpus finds the rare
-surrogates that equal a real entity or each other; those get another key turn,
-and only these exceptions are broadcast.
+without any shared state. Names are found by what stands around them (titles
+and phrases that introduce a person, in several scripts); given names and
+surnames are entities of their own, so that a full name, a title with a surname
+and a later bare surname agree in all documents. A surrogate of a given name
+ends as names of its gender do.
+
+A check over all distinct entities of the corpus finds surrogates that equal a
+real entity or each other; those get another key turn, in a longer format if
+theirs can grow. Where a format is so full that no turn is free, its entities
+are shifted within it, which keeps them distinct from each other and themselves.
 """
 
 from __future__ import annotations
@@ -16,26 +22,73 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm.graph import saved
 
-#: Exceptions that may be broadcast; beyond it all entities get the next turn of the key.
+#: Entities with another turn that are broadcast at most; more of them are joined to the documents that hold them.
 EXCEPTIONS = 50_000
-TURNS = 8
-#: Given names for surrogates, by gender of the title.
-GIVEN = {"m": "Alan Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nico Oscar Paul Rafael Simon Tomas Victor".split(), "f": "Alice Bianca Clara Diana Emma Flora Greta Helena Irene Julia Karin Laura Maria Nadia Olga Paula Rosa Sofia Teresa Vera".split()}
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Signor": "m", "Signora": "f"}
-
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Turns of the key before entities of a full format are shifted; the last is the mark of those.
+TURNS, SHIFTED = 8, 1000
+#: Titles and introducing phrases, by the gender of who follows (x: either).
+TITLES = {
+    "m": "Mr Mister Herr Herrn Señor Sr Don Monsieur Signor Signore Senhor Pan господин г-н сэр κύριος κ السيد श्री",
+    "f": "Mrs Ms Miss Frau Fräulein Señora Señorita Sra Srta Doña Madame Mme Mademoiselle Mlle Signora Signorina Senhora Pani госпожа г-жа κυρία السيدة श्रीमती",
+    "x": "Dr Prof Professor Doctor Doktor Docteur Profesor доктор профессор",
+}
+INTRODUCED = "my name is|I am called|signed by|name:|Name:|mein Name ist|ich heiße|je m'appelle|mon nom est|me llamo|mi nombre es|mi chiamo|меня зовут|Имя:"
+AFTER = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f"}
+#: Words inside surnames that are not capitalised, and endings of surrogates by gender, in Latin and Cyrillic letters.
+PARTICLES = "van von de der den del della di da dos du la le bin ibn al"
+ENDINGS = {"f": {"latin": "ae", "cyrillic": "ая"}, "m": {"latin": "nrsktd", "cyrillic": "нрктвм"}}
+
+_EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _PLUS = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)")
 _LOCAL = re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)")
-_DIGITS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19}")
-_KEY = re.compile(r"A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+_DIGITS = re.compile(r"[0-9](?:\d{0,2}(?:\.\d{1,3}){3}|\d{2}-\d{2}-\d{4}|\d{2}[-.]\d{3}[-.]\d{4}|\d{3}([ -])\d{4}\1\d{4}\1\d{4}|\d{12,18})")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){1,6}:(?:[0-9a-fA-F]{1,4}:){0,5}[0-9a-fA-F]{1,4}(?![\w:])")
 _VALUE = re.compile(r"[=:] ?[\"']?([^\s\"'=:]{8,})")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?$", re.IGNORECASE)
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)(?: ([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+))?(?!\w)")
+_TITLE_OF = {t: g for g, of in TITLES.items() for t in of.split()}
+_ONE = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*|[\p{Arabic}\p{Devanagari}]{2,}"
+_NAME = regex.compile(rf"(?<!\w)(?:({'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.? |({INTRODUCED}) )(?:(?:{'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.? )*(?P<surname>(?:(?:{'|'.join(PARTICLES.split())}) )*(?:{_ONE}))(?P<more> (?:(?:{'|'.join(PARTICLES.split())}) )*(?:{_ONE}))?(?!\w)")
+_CUES = sorted({*_TITLE_OF, *INTRODUCED.split("|")}, key=len, reverse=True)
+_CUE = re.compile(rf"(?<!\w)(?=[{''.join(sorted({c[0] for c in _CUES}))}])(?:{'|'.join(_CUES)})\.? ")
+_HAN = re.compile(r"([一-鿿]{1,3})(" + "|".join(AFTER) + ")")
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Given names and surnames: after a title or an introduction, and wherever else the same document repeats them."""
+    found, given, family = [], {}, set()
+    if _CUE.search(text):
+        for m in _NAME.finditer(text):
+            gender = _TITLE_OF.get(m[1] or "", "x")
+            parts = [(m.start("surname"), m.end("surname"))] + ([(m.start("more") + 1, m.end("more"))] if m["more"] else [])
+            # words such as "van der" stay and the name after them is the entity
+            parts = [(y - len(text[x:y].rpartition(" ")[2]), y) for x, y in parts]
+            kinds = [f"given_{gender}", "surname"] if m["more"] else ["surname" if m[1] else f"given_{gender}"]
+            found += [(x, y, k) for (x, y), k in zip(parts, kinds, strict=True)]
+    for m in _HAN.finditer(text) if "先" in text or "女" in text or "小" in text or "太" in text else ():
+        found.append((*m.span(1), "surname"))
+    if not found:
+        return found
+    for x, y, kind in found:
+        if kind == "surname":
+            family.add(text[x:y])
+        elif given.get(text[x:y], "given_x") == "given_x":
+            given[text[x:y]] = kind
+    # one kind for one name in a document: a name known as given stays so after a title, and has one gender
+    found = [(x, y, given.get(text[x:y], "surname") if kind != "surname" or text[x:y] in given else kind) for x, y, kind in found]
+    done = {x for x, _, _ in found}
+    cased = sorted((n for n in {*given, *family} if n[0].isupper()), key=len, reverse=True)
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, cased)) + r")(?!\w)", text) if cased else ():
+        if m.start() not in done:
+            found.append((m.start(), m.end(), given.get(m.group(), "surname")))
+    return found
 
 
 def _apart(text: str, a: int, b: int) -> bool:
@@ -55,7 +108,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _VALUE.finditer(text):
         if _NAMED.search(text, max(0, m.start() - 16), m.start()):
             found.append((m.start(1), m.end(1), "secret"))
-    found += [(m.start(), m.end(), "key") for m in _KEY.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
+    found += [(m.start(), m.end(), "key") for m in _KEY.finditer(text)]
+    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if _mod97(m.group()) == 1]
+    if "::" in text or text.count(":") > 6:
+        found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text)]
     if "+" in text:
         found += [(m.start(), m.end(), "phone") for m in _PLUS.finditer(text)]
     if "(" in text:
@@ -68,7 +124,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                     found.append((m.start(), m.end(), "ip"))
             else:
                 found.append((m.start(), m.end(), "ssn" if len(s) == 11 and s[3] == "-" == s[6] else "phone" if len(s) == 12 else "card"))
-    found += [(m.start(3), m.end(), "name_" + TITLES[m[1]]) for m in _NAME.finditer(text)]
+    found += _names(text)
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
@@ -109,13 +165,53 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
 
 
+def _mod97(iban: str) -> int:
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def _shifted(key: bytes, kind: str, parts: list[str], values: list[str]) -> list[str]:
+    """Keyed shift of a sequence, read as a number over its alphabets: another one for each, and never itself."""
+    size = number = 0
+    for p, v in zip(parts, values, strict=True):
+        size, number = (size or 1) * len(p), number * len(p) + p.index(v)
+    if size > 1:
+        form = repr([len(p) for p in parts]).encode() + kind.encode()
+        number = (number + 1 + int.from_bytes(hashlib.blake2b(form, key=key, digest_size=32).digest(), "little") % (size - 1)) % size
+    out = []
+    for p in reversed(parts):
+        number, k = divmod(number, len(p))
+        out.append(p[k])
+    return out[::-1]
+
+
+def _longer(kind: str, entity: str, by: int) -> str:
+    """The entity in a format with `by` more places, if its type allows for it."""
+    if kind == "ip":
+        for _ in range(by):
+            short = min(entity.split("."), key=len)
+            entity = ".".join({1: "1" + v, 2: "1" + v, 3: v}[len(v)] if v == short else v for v in entity.split("."))
+        return entity
+    if kind == "email":
+        at = entity.index("@")
+        return entity[:at] + "a" * by + entity[at:]
+    if kind == "surname" or kind.startswith("given_"):
+        more = entity[-1] if entity[-1].isalpha() else "a"
+        return entity[:-1] + more * by + entity[-1]
+    return entity
+
+
 def surrogate(key: bytes, kind: str, entity: str, turn: int = 0) -> str:
-    """The replacement of one entity under a key; another turn gives another one."""
+    """The replacement of one entity under a key; another turn gives another one, in a longer format from the third on."""
+    shift = turn == SHIFTED
+    if turn > 1 and not shift:
+        entity = _longer(kind, entity, turn - 1)
+    _permute_ = _shifted if shift else _permute
     key = hashlib.blake2b(key + turn.to_bytes(2, "little"), digest_size=32).digest()
     if kind == "ip":
         values = entity.split(".")
         if all(str(int(v)) == v for v in values):
-            return ".".join(_permute(key, kind, [_OCTETS[len(v)] for v in values], values))
+            return ".".join(_permute_(key, kind, [_OCTETS[len(v)] for v in values], values))
     fixed, check = set(), False
     if kind == "email":
         fixed = set(range(entity.rindex("."), len(entity)))
@@ -127,32 +223,46 @@ def surrogate(key: bytes, kind: str, entity: str, turn: int = 0) -> str:
         plain = re.sub(r"\D", "", entity)
         check = _luhn(plain) == 0
         fixed = {len(entity) - 1} if check else set()
-    elif kind.startswith("name_") and " " in entity:
-        given, rest = entity.split(" ", 1)
-        names = GIVEN[kind[-1]]
-        pick = int.from_bytes(hashlib.blake2b(given.encode(), key=key, digest_size=8).digest(), "little") % len(names)
-        return names[pick] + " " + surrogate(key, "surname", rest)
-    hexa = kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity)
+    elif kind == "iban":
+        fixed = {0, 1, 2, 3}
+    ending = _ending(kind, entity) if not shift else ""
+    if ending:
+        fixed = {len(entity) - 1}
+    hexa = kind == "ipv6" and entity == entity.lower() or kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity)
     at, parts = [], []
     for k, c in enumerate(entity):
         if k in fixed:
             continue
         if hexa:
-            at.append(k), parts.append("0123456789abcdef")
+            if c in "0123456789abcdef":
+                at.append(k), parts.append("0123456789abcdef")
         elif c in "0123456789":
             lead = c != "0" and not entity[k - 1 : k].isdigit() and kind in ("card", "phone", "ssn")
             at.append(k), parts.append("123456789" if lead else "0123456789")
         elif c.isalpha() and c in _letters(c):
             at.append(k), parts.append(_letters(c))
     out = list(entity)
-    for k, v in zip(at, _permute(key, kind, parts, [entity[k] for k in at]), strict=True):
+    for k, v in zip(at, _permute_(key, kind, parts, [entity[k] for k in at]), strict=True):
         out[k] = v
     if check:
         plain = re.sub(r"\D", "", "".join(out[:-1]))
         out[-1] = str((10 - _luhn(plain + "0")) % 10)
+    if kind == "iban":
+        out[2:4] = f"{98 - _mod97(entity[:2] + '00' + ''.join(out[4:])):02d}"
+    if ending:
+        out[-1] = ending[int.from_bytes(hashlib.blake2b("".join(out).encode(), key=key, digest_size=8).digest(), "little") % len(ending)]
     return "".join(out)
 
 
+def _ending(kind: str, entity: str) -> str:
+    """Last letters of a surrogate: by the gender of a title, else by how the name itself ends; none for surnames and other scripts."""
+    script = "latin" if "a" <= entity[-1] <= "ɏ" else "cyrillic" if "а" <= entity[-1] <= "я" else ""
+    if not kind.startswith("given_") or not script:
+        return ""
+    gender = kind[-1] if kind[-1] in "mf" else "f" if entity[-1] in "aeiаяе" else "m"
+    return ENDINGS[gender][script]
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, entity) of all texts."""
 
@@ -173,67 +283,90 @@ def _turned(found: DataFrame, key: bytes) -> DataFrame:
     return found.select("kind", "entity", "turn").mapInArrow(turn, "kind string, entity string, turn int, surrogate string")
 
 
-def exceptions(found: DataFrame, key: bytes) -> tuple[int, dict[tuple[str, str], int]]:
-    """First turn for all, and the later turn of each entity whose surrogate was taken.
+def _taken(current: DataFrame, found: DataFrame) -> DataFrame:
+    """Entities whose surrogate equals any entity of the corpus, or that of an entity before them in (kind, entity) order."""
+    real = found.select(F.col("entity").alias("surrogate"), F.lit("").alias("k"), F.lit("").alias("e"))
+    made = current.select("surrogate", F.concat(F.lit("1"), "kind").alias("k"), F.col("entity").alias("e"))
+    owner = real.union(made).groupBy("surrogate").agg(F.min(F.struct("k", "e")).alias("o"), F.count("*").alias("n")).where("n > 1")
+    return current.join(owner, "surrogate").where((F.col("o.k") != F.concat(F.lit("1"), "kind")) | (F.col("o.e") != F.col("entity"))).select("kind", "entity").distinct()
 
-    A surrogate is taken if it equals any entity of the corpus, or the
-    surrogate of an entity that comes before in (kind, entity) order. Turns go
-    up until none is taken; one that is taken under every turn is an error.
+
+def turns(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, turn) of the entities whose turn is not 0.
+
+    Taken surrogates get the next turn, until none is taken. What is still
+    taken after TURNS, as in formats of which most values occur, is shifted
+    within its format, and so is what the shifted ones displace.
     """
-    base, late = 0, {}
-    while base < TURNS:
-        turn, late = F.lit(base), {}
-        current = saved(_turned(found.withColumn("turn", turn.cast("int")), key))
-        for step in range(1, TURNS + 1):
-            real = found.select(F.col("entity").alias("surrogate"), F.lit("").alias("k"), F.lit("").alias("e"))
-            made = current.select("surrogate", F.concat(F.lit("1"), "kind").alias("k"), F.col("entity").alias("e"))
-            owner = real.union(made).groupBy("surrogate").agg(F.min(F.struct("k", "e")).alias("o"), F.count("*").alias("n")).where("n > 1")
-            taken = current.join(owner, "surrogate").where((F.col("o.k") != F.concat(F.lit("1"), "kind")) | (F.col("o.e") != F.col("entity"))).select("kind", "entity").distinct()
-            rows = taken.limit(EXCEPTIONS + 1).collect()
-            if not rows:
-                return base, late
-            late.update(((r.kind, r.entity), base + step * TURNS) for r in rows)
-            if len(late) > EXCEPTIONS:
-                break
-            moved = found.sparkSession.createDataFrame([(r.kind, r.entity) for r in rows], "kind string, entity string")
-            again = _turned(moved.withColumn("turn", F.lit(base + step * TURNS).cast("int")), key)
-            current = saved(current.join(F.broadcast(moved), ["kind", "entity"], "left_anti").select("kind", "entity", "turn", "surrogate").union(again))
-        base += 1
-    raise ValueError("surrogates collide under every turn of the key")
+    keys = ["kind", "entity"]
+    current = saved(_turned(found.withColumn("turn", F.lit(0)), key))
+    for turn in range(1, TURNS + 1):
+        taken = saved(_taken(current, found))
+        if taken.isEmpty():
+            return current.where("turn <> 0").select(*keys, "turn")
+        current = saved(current.join(taken, keys, "left_anti").select(*keys, "turn", "surrogate").union(_turned(taken.withColumn("turn", F.lit(turn)), key)))
+    moved = saved(_taken(current, found))
+    shifted = saved(_turned(moved.withColumn("turn", F.lit(SHIFTED)), key))
+    while not moved.isEmpty():
+        current = saved(current.join(moved, keys, "left_anti").select(*keys, "turn", "surrogate"))
+        moved = saved(current.join(shifted.select("surrogate").distinct(), "surrogate", "left_semi").select(*keys))
+        shifted = saved(shifted.union(_turned(moved.withColumn("turn", F.lit(SHIFTED)), key)))
+    return current.where("turn <> 0").select(*keys, "turn").union(shifted.select(*keys, "turn"))
 
 
 def replace_pii(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
     """doc_id, rest, new_text, n_entities, entities (kind, start, end in the old text, surrogate) of every input row.
 
-    rest is a struct of the other columns, whatever their names.
-
-    Texts without entities stay as they are; a null text stays null with no
-    entities. Equal entities of one kind get equal surrogates in all documents.
+    rest is a struct of the other columns, whatever their names (it has one
+    more, null). Texts without entities stay as they are; a null text stays
+    null with no entities. Equal entities of one kind get equal surrogates in
+    all documents and different ones different surrogates; a surrogate equals no
+    entity of the corpus unless its format is full.
     """
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(None).cast("int").alias("_none"))
+    spare = "_none"
+    while spare in docs.columns:
+        spare += "_"
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(None).cast("int").alias(spare))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("rest"), F.col("text").cast("string").alias("text"))
-    base, late = exceptions(saved(entities(docs)), key)
-    held = docs.sparkSession.sparkContext.broadcast(late)
+    late = saved(turns(saved(entities(docs)), key))
+    few = late.count() <= EXCEPTIONS
+    held = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.turn for r in late.collect()} if few else {})
+    own = "array<struct<kind: string, entity: string, turn: int>>"
+    if few:
+        rows = docs.withColumn("own", F.lit(None).cast(own))
+    else:
+        rows = docs.withColumn("hash", F.xxhash64("text"))
+
+        def mentions(batches):
+            for b in batches:
+                got = [(h, kind, t[x:y]) for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True) if t for x, y, kind in detect(t)]
+                got = list(dict.fromkeys(got))
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in (1, 2))], ["hash", "kind", "entity"])
+
+        named = rows.select("hash", "text").mapInArrow(mentions, "hash long, kind string, entity string").join(late, ["kind", "entity"])
+        per = named.groupBy("hash").agg(F.collect_set(F.struct("kind", "entity", F.col("turn").cast("int").alias("turn"))).cast(own).alias("own"))
+        rows = rows.join(per, "hash", "left").drop("hash")
 
     def put(batches):
         known: dict = {}
         for b in batches:
             texts, spans = [], []
-            for v in b.column("text"):
+            for v, mine in zip(b.column("text"), b.column("own").to_pylist(), strict=True):
                 text = v.as_py()
-                out, at, own = [], 0, []
+                out, at, found = [], 0, []
+                turn = held.value if mine is None else {(x["kind"], x["entity"]): x["turn"] for x in mine}
                 for x, y, kind in detect(text or ""):
-                    e = (kind, text[x:y])
+                    e = (kind, text[x:y], turn.get((kind, text[x:y]), 0))
                     if e not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        known[e] = surrogate(key, *e, held.value.get(e, base))
+                        known[e] = surrogate(key, *e)
                     out += [text[at:x], known[e]]
-                    own.append({"kind": kind, "start": x, "end": y, "surrogate": known[e]})
+                    found.append({"kind": kind, "start": x, "end": y, "surrogate": known[e]})
                     at = y
-                texts.append("".join(out) + text[at:] if own else text)
-                spans.append(own)
+                texts.append("".join(out) + text[at:] if found else text)
+                spans.append(found)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rest"), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "rest", "new_text", "n_entities", "entities"])
 
-    return docs.mapInArrow(put, f"doc_id long, rest {docs.schema['rest'].dataType.simpleString()}, new_text string, n_entities long, entities array<struct<kind: string, start: int, end: int, surrogate: string>>")
+    return rows.mapInArrow(put, f"doc_id long, rest {docs.schema['rest'].dataType.simpleString()}, new_text string, n_entities long, entities array<struct<kind: string, start: int, end: int, surrogate: string>>")
