@@ -462,27 +462,29 @@ def count_links(members: DataFrame, links: DataFrame, docs: DataFrame, words: in
     counted. The others (outer ones) are compared with all of their component,
     in tiles of whole sets.
     """
+    spark = docs.sparkSession
     per = members.groupBy("component").agg(F.count("*").alias("classes"), F.sum("copies").alias("all"))
     members = saved(members.join(per, "component"))
     pairs = members.where("classes = 2").select("node", (F.col("all") - F.col("copies")).alias("n"))
     more = members.where("classes > 2")
     spokes = more.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     known = links.join(spokes, ["a", "b"], "left_semi").select("a", "b", "na", "nb", "both")
-    spokes = known.union(intersections(spokes.join(links, ["a", "b"], "left_anti"), docs, words))
-    near = spokes.where(200 * F.col("both") >= F.lit(100 + percent) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("b").alias("node"), F.lit(True).alias("near"))
+    spokes = known.union(intersections(saved(spokes.join(links, ["a", "b"], "left_anti")), docs, words))
+    near = saved(spokes.where(200 * F.col("both") >= F.lit(100 + percent) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("b").alias("node"), F.lit(True).alias("near")))
+    forget(spark)
     more = more.join(near, "node", "left").withColumn("inner", (F.col("node") == F.col("component")) | F.col("near").isNotNull()).drop("near")
     sums = more.groupBy("component").agg(F.sum(F.when(F.col("inner"), F.col("copies")).otherwise(0)).alias("in_copies"), F.count_if("inner").alias("inners"), F.count_if(~F.col("inner")).alias("outers"))
     more = saved(more.join(sums, "component").select("node", "component", "copies", "inner", "in_copies", "inners", "outers"))
     inner = more.where("inner").select("node", (F.col("in_copies") - F.col("copies")).alias("n"))
     mixed = more.where("outers > 0").withColumn("ins", F.ceil(F.col("inners") / COUNTED)).withColumn("outs", F.ceil(F.col("outers") / COUNTED))
     mixed = mixed.withColumn("tile", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))))
-    sets = shingles(docs, mixed.select(F.col("node").alias("doc_id")), words)
-    mixed = mixed.join(sets.withColumnRenamed("doc_id", "node"), "node")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    row = ("node", "copies", "hashes")
-    a = mixed.where("inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(0), "tile", "j").alias("group"), *row, F.lit(0).alias("side"))
-    b = mixed.where("not inner").withColumn("j", upto("ins")).select(F.xxhash64("component", F.lit(0), "j", "tile").alias("group"), *row, F.lit(1).alias("side"))
-    c = mixed.where("not inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(1), F.least("tile", "j"), F.greatest("tile", "j")).alias("group"), *row, F.when(F.col("tile") == F.col("j"), 2).otherwise((F.col("tile") > F.col("j")).cast("int")).alias("side"))
+    a = mixed.where("inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(0), "tile", "j").alias("group"), "node", "copies", F.lit(0).alias("side"))
+    b = mixed.where("not inner").withColumn("j", upto("ins")).select(F.xxhash64("component", F.lit(0), "j", "tile").alias("group"), "node", "copies", F.lit(1).alias("side"))
+    c = mixed.where("not inner").withColumn("j", upto("outs")).select(F.xxhash64("component", F.lit(1), F.least("tile", "j"), F.greatest("tile", "j")).alias("group"), "node", "copies", F.when(F.col("tile") == F.col("j"), 2).otherwise((F.col("tile") > F.col("j")).cast("int")).alias("side"))
+    dealt = saved(a.union(b).union(c))
+    forget(spark)
+    sets = shingles(docs, dealt.select(F.col("node").alias("doc_id")).distinct(), words).withColumnRenamed("doc_id", "node")
 
     def count(batches):
         for t in X.each_group(batches, "group"):
@@ -491,7 +493,9 @@ def count_links(members: DataFrame, links: DataFrame, docs: DataFrame, words: in
             near &= (side[:, None] != side[None]) | (side[:, None] == 2)
             yield pa.RecordBatch.from_arrays([pa.array(t.column("node").to_numpy()), pa.array(near @ copies)], ["node", "n"])
 
-    outer = a.union(b).union(c).repartition("group").sortWithinPartitions("group").mapInArrow(count, "node long, n long")
+    outer = dealt.join(sets, "node").select("group", "node", "copies", "side", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(count, "node long, n long")
+    outer = saved(outer)
+    forget(spark)
     return pairs.union(inner).union(outer).groupBy("node").agg(F.sum("n").alias("n"))
 
 
@@ -521,6 +525,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     ids = classes.where("class_id is not null").select("class_id", "doc_id").distinct()
     copies = saved(ids.groupBy("class_id").agg(F.count("*").alias("copies")))
     members = comp.join(copies, F.col("node") == F.col("class_id")).select("node", "component", "copies")
+    forget(docs.sparkSession)
     others = count_links(members, links, docs, words, percent).withColumnRenamed("node", "class_id")
     per = copies.join(others, "class_id", "left").select("class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return _out(classes, comp).join(per, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
