@@ -3,9 +3,11 @@
 Sentences are the chains. Token labels are derived from document labels: in a
 toxic document the words, and words with a beginning, that are far more frequent
 in toxic than in clean documents are the labelled toxic tokens. A token's
-features are the word and its beginning, so that unseen forms of a toxic stem
-are found. Forward-backward runs over all sentences of a slice at once, step by
-step along the chain.
+features are the word, its beginning (so that unseen forms of a toxic stem are
+found) and the words before and after it in its sentence. Forward-backward runs
+over all sentences of a slice at once, step by step along the chain; the chain
+of a text without stops is cut into blocks that are joined by their transfer
+matrices.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ PER_LABEL = 2000
 #: A word or beginning is toxic from this many toxic documents, log odds ratio and likelihood ratio (G squared, p about 1e-5) on.
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.5, 20.0
 #: Features with a weight of their own occur in this many documents of the sample; bytes of a beginning.
-VOCABULARY_DOCS, STEM = 4, 6
+#: These bounds were chosen by cross-validation inside the rows that may be learned from.
+VOCABULARY_DOCS, STEM = 4, 4
 SPAN_AT = 0.5
+#: Tokens of a block of a chain.
+LONG = 1024
 _U = np.uint64
 
 
@@ -42,19 +47,73 @@ def tokens(s: X.Slice) -> tuple[X.Words, np.ndarray, np.ndarray]:
     return w, h, begin
 
 
-def emissions(h: np.ndarray, model: dict) -> np.ndarray:
-    """Weight of the toxic state at each token; words outside the vocabulary share one weight, other beginnings have none."""
-    keys, weights = model["keys"], model["weights"]
-    out = np.full(h.shape, [[model["other"]], [0.0]])
+def lookup(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Place of each hash among sorted keys, or -1; a bitmap of 2^22 places rules out most first."""
+    out = np.full(len(found), -1, np.int64)
     if len(keys):
         places = np.zeros(1 << 22, bool)
         places[keys >> _U(42)] = True
-        for own, found in zip(out, h, strict=True):
-            maybe = np.flatnonzero(places[found >> _U(42)])
-            at = np.minimum(np.searchsorted(keys, found[maybe]), len(keys) - 1)
-            same = keys[at] == found[maybe]
-            own[maybe[same]] = weights[at[same]]
-    return out.sum(0)
+        maybe = np.flatnonzero(places[found >> _U(42)])
+        at = np.minimum(np.searchsorted(keys, found[maybe]), len(keys) - 1)
+        out[maybe] = np.where(keys[at] == found[maybe], at, -1)
+    return out
+
+
+def emissions(h: np.ndarray, begin: np.ndarray, model: dict) -> np.ndarray:
+    """Weight of the toxic state at each token; words outside the vocabulary share one weight, as neighbours and beginnings they have none."""
+    at, stem = lookup(model["keys"], h[0]), lookup(model["stems"], h[1])
+    known = at >= 0
+    out = np.full(len(at), model["other"])
+    out[known] = model["weights"][at[known]]
+    out[stem >= 0] += model["stem_weights"][stem[stem >= 0]]
+    before, after = np.zeros(len(at)), np.zeros(len(at))
+    before[known], after[known] = model["before"][at[known]], model["after"][at[known]]
+    out[1:] += np.where(begin[1:], 0, before[:-1])
+    out[:-1] += np.where(begin[1:], 0, after[1:])
+    return out
+
+
+def _blocks(t: np.ndarray, g: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts of chains into blocks of at most LONG tokens, with the state before each block and after it.
+
+    Returns whether a block begins at each token, the share of the toxic state
+    just before each block, and the backward share at its last token; blocks at
+    the ends of chains get -1 and 0.5. Along a chain only 2 x 2 matrices of
+    whole blocks are multiplied.
+    """
+    at = np.flatnonzero(begin)
+    place = np.arange(len(g)) - np.repeat(at, np.diff(np.append(at, len(g))))
+    cut = place % LONG == 0
+    first = np.flatnonzero(cut)
+    before, after = np.full(len(first), -1.0), np.full(len(first), 0.5)
+    if len(first) == len(at):
+        return cut, before, after
+    size = np.diff(np.append(first, len(g)))
+    inner = ~begin[first]  # blocks that go on from the one before
+    long = np.flatnonzero(inner | np.append(inner[1:], False))
+    m = np.broadcast_to(np.eye(2), (len(first), 2, 2)).copy()  # transfer of each block: from the state before it to its last token
+    for k in range(int(size.max())):
+        use = long[(size[long] > k) & (inner[long] | (k > 0))]
+        step = t[:2][None] * np.stack([np.ones(len(use)), g[first[use] + k]], 1)[:, None, :]
+        m[use] = m[use] @ step
+        m[use] /= m[use].sum((1, 2), keepdims=True)
+    state = None
+    for b in long:
+        if inner[b]:
+            before[b] = state[1]
+            v = state @ m[b]
+        else:
+            v = np.array([t[2, 0], t[2, 1] * g[first[b]]]) @ m[b]
+        state = v / v.sum()
+    back = None
+    for b in long[::-1]:
+        if b + 1 == len(first) or not inner[b + 1]:
+            back = np.array([0.5, 0.5])
+        else:
+            v = m[b + 1] @ back
+            back = v / v.sum()
+        after[b] = back[1]
+    return cut, before, after
 
 
 def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -67,16 +126,17 @@ def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool =
         return (np.zeros(0), np.zeros((2, 2)), np.zeros(2)) if pairs else np.zeros(0)
     t = np.exp(trans)
     g = np.exp(np.clip(e, -30, 30))
-    first = np.flatnonzero(begin)
+    cut, before, after = _blocks(t, g, begin)
+    first = np.flatnonzero(cut)
     size = np.diff(np.append(first, n))
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    # how many chains are longer than each step
+    first, size, before, after = first[order], size[order], before[order], after[order]
+    # how many blocks are longer than each step
     alive = np.searchsorted(-size, -np.arange(size[0]), "left")
     alpha, beta = np.empty(n), np.empty(n)  # shares of the toxic state
     p = first
-    a1 = t[2, 1] * g[p]
-    a1 = a1 / (a1 + t[2, 0])
+    a1 = np.where(before < 0, t[2, 1], (1 - before) * t[0, 1] + before * t[1, 1]) * g[p]
+    a1 = a1 / (a1 + np.where(before < 0, t[2, 0], (1 - before) * t[0, 0] + before * t[1, 0]))
     alpha[p] = a1
     for k in range(1, size[0]):
         m = alive[k]
@@ -88,8 +148,8 @@ def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool =
         a1 = x1 / (x1 + x0)
         alpha[p] = a1
     last = first + size - 1
-    b1 = np.full(len(first), 0.5)
-    beta[last] = 0.5
+    b1 = after
+    beta[last] = b1
     for k in range(1, size[0]):
         m = alive[k]
         p = last[:m] - k
@@ -109,8 +169,8 @@ def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool =
     b = np.stack([1 - beta[q], beta[q] * g[q]], 1)
     xi = a[:, :, None] * t[:2][None] * b[:, None, :]
     xi /= xi.sum((1, 2), keepdims=True)
-    start = out[first]
-    return out, xi.sum(0), np.array([len(first) - start.sum(), start.sum()])
+    start = out[begin]
+    return out, xi.sum(0), np.array([len(start) - start.sum(), start.sum()])
 
 
 def _summary(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -124,47 +184,62 @@ def _summary(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lexicon(at: np.ndarray, size: int, doc: np.ndarray, y: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a numbered vocabulary: which entries occur in VOCABULARY_DOCS documents, and which are far more frequent in toxic ones."""
+    seen = np.unique(at.astype(np.int64) * len(y) + doc)
+    word, toxic = seen // len(y), y[seen % len(y)] > 0
+    df1, df0 = np.bincount(word[toxic], minlength=size), np.bincount(word[~toxic], minlength=size)
+    n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
+    odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
+    total = (df1 + df0) / (n1 + n0)
+    ratio = 2 * (df1 * np.log(np.maximum(df1, 1e-9) / (total * n1)) + df0 * np.log(np.maximum(df0, 1e-9) / (total * n0)))
+    use = (df1 + df0 >= VOCABULARY_DOCS) & usable
+    return use, (df1 >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO) & use
+
+
 def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
     parts, n = [], 0
     for s in X.slices(pa.array(texts, pa.binary())):  # slice by slice: hashing needs many times a text's bytes
         w, h, begin = tokens(s)
-        parts.append((h, begin, w.first + n, w.last + n))
+        parts.append((h[0], h[1], begin, w.first + n, w.last + n))
         n += h.shape[1]
-    begin, first, last = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    begin, first, last = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), last - first)
     n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
     gold, keys, lexicon, columns = np.zeros(n), [], [], []
     for kind in (0, 1):  # words, beginnings
-        vocab, at = np.unique(np.concatenate([p[0][kind] for p in parts]), return_inverse=True)
+        vocab, at = np.unique(np.concatenate([p[kind] for p in parts]), return_inverse=True)
         at = at.astype(np.int32)
-        # document frequencies by label
-        seen = np.unique(at.astype(np.int64) * len(texts) + doc)
-        word, toxic = seen // len(texts), y[seen % len(texts)] > 0
-        df1, df0 = np.bincount(word[toxic], minlength=len(vocab)), np.bincount(word[~toxic], minlength=len(vocab))
-        odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
-        total = (df1 + df0) / (n1 + n0)
-        ratio = 2 * (df1 * np.log(np.maximum(df1, 1e-9) / (total * n1)) + df0 * np.log(np.maximum(df0, 1e-9) / (total * n0)))
-        use = (df1 + df0 >= VOCABULARY_DOCS) & (vocab != 0)
-        bad = (df1 >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO) & use
+        use, bad = _lexicon(at, len(vocab), doc, y, vocab != 0)
         gold[bad[at] & (y[doc] > 0)] = 1
-        kept = np.flatnonzero(use)
-        column = np.full(len(vocab), -2 + kind, np.int32)  # the last places: an unknown word, no known beginning
-        column[kept] = np.arange(len(kept)) + sum(map(len, keys))
-        keys.append(vocab[kept]), lexicon.append(vocab[bad]), columns.append(column[at])
-    del parts, seen, word, toxic
-    keys = np.concatenate(keys)
-    columns = [np.where(c < 0, len(keys) + 2 + c, c).astype(np.int32) for c in columns]
-    weight, trans = np.zeros(len(keys) + 2), np.zeros((3, 2))
+        column = np.full(len(vocab), -1, np.int32)
+        column[use] = np.arange(use.sum())
+        keys.append(vocab[use]), lexicon.append(vocab[bad]), columns.append(column[at])
+        del at, column
+    del parts, doc
+    # places of weights: words, an unknown word, beginnings, words before, words after, and one that stays 0
+    k, none = len(keys[0]), 3 * len(keys[0]) + len(keys[1]) + 1
+    word = columns[0]
+    before, after = np.full(n, none, np.int32), np.full(n, none, np.int32)
+    inside = np.flatnonzero(~begin)
+    known = inside[word[inside - 1] >= 0]
+    before[known] = k + 1 + len(keys[1]) + word[known - 1]
+    known = inside[word[inside] >= 0] - 1
+    after[known] = 2 * k + 1 + len(keys[1]) + word[known + 1]
+    columns = [np.where(word < 0, k, word).astype(np.int32), np.where(columns[1] < 0, none, columns[1] + k + 1).astype(np.int32), before, after]
+    del word, known
+    weight, trans = np.zeros(none + 1), np.zeros((3, 2))
     base = np.clip(gold.mean(), 1e-6, 1 - 1e-6)
-    weight[np.unique(columns[0])] = np.log(base / (1 - base))
+    weight[: k + 1] = np.log(base / (1 - base))
     total_of = lambda v=None: sum(np.bincount(c, v, len(weight)) for c in columns)
-    q = np.flatnonzero(~begin)
-    want = np.stack([np.bincount(gold[q].astype(int)[gold[q - 1] == k], minlength=2)[:2] for k in (0, 1)]).astype(float)
+    of = lambda: weight[columns[0]] + weight[columns[1]] + weight[columns[2]] + weight[columns[3]]
+    q = inside
+    want = np.stack([np.bincount(gold[q].astype(int)[gold[q - 1] == j], minlength=2)[:2] for j in (0, 1)]).astype(float)
     open_ = np.bincount(gold[begin].astype(int), minlength=2)[:2].astype(float)
     count, aim = total_of(), total_of(gold)
     speed_w, speed_t = np.full(len(weight), 1e-3), np.full((3, 2), 1e-3)
     for _ in range(steps):
-        p, xi, st = marginals(weight[columns[0]] + weight[columns[1]], begin, trans, True)
+        p, xi, st = marginals(of(), begin, trans, True)
         gw = (aim - total_of(p)) / np.sqrt(count + 1) - 1e-3 * weight
         gw[-1] = 0
         gt = (np.vstack([want, open_]) - np.vstack([xi, st])) / np.sqrt(np.vstack([want, open_]).sum(1, keepdims=True) + 1) - 1e-3 * trans
@@ -173,9 +248,8 @@ def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
         speed_t += gt**2
         weight += 0.5 * gw / np.sqrt(speed_w)
         trans += 0.5 * gt / np.sqrt(speed_t)
-    order = np.argsort(keys)
-    model = {"keys": keys[order], "weights": weight[:-2][order], "other": float(weight[-2]), "trans": trans, "lexicon": np.concatenate(lexicon)}
-    x = np.hstack([_summary(marginals(weight[columns[0]] + weight[columns[1]], begin, trans), first, last), np.ones((len(texts), 1))])
+    model = {"keys": keys[0], "weights": weight[:k], "other": float(weight[k]), "stems": keys[1], "stem_weights": weight[k + 1 : k + 1 + len(keys[1])], "before": weight[-2 * k - 1 : -k - 1], "after": weight[-k - 1 : -1], "trans": trans, "lexicon": np.concatenate(lexicon)}
+    x = np.hstack([_summary(marginals(of(), begin, trans), first, last), np.ones((len(texts), 1))])
     c, share = np.zeros(4), np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
@@ -214,7 +288,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                     spans += [[] for _ in range(s.hi - s.lo)]
                     continue
                 w, h, begin = tokens(s)
-                p = marginals(emissions(h, m), begin, m["trans"])
+                p = marginals(emissions(h, begin, m), begin, m["trans"])
                 x = np.hstack([_summary(p, w.first, w.last), np.ones((s.hi - s.lo, 1))])
                 scores.append(1 / (1 + np.exp(-np.clip(x @ m["combine"], -30, 30))))
                 at = np.flatnonzero(p >= SPAN_AT)
