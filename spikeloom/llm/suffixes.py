@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.graph import forget, saved
+from spikeloom.llm.graph import forget, written
 
 ANCHOR = 20
 _U = np.uint64
@@ -448,14 +448,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, lev
         now = _newest(spark, levels)
         if now:
             runs = runs.union(spark.read.parquet(now).select("bucket", "level", "docs", "entries"))
-        found = saved(matches(runs, ranges, True))
+        found = written(matches(runs, ranges, True))
         found.where("doc_id is null").select("bucket", "level", "docs", "entries").write.parquet(f"{levels}/{0 if now is None else int(now.rpartition('/')[2]) + 1}")
         found = found.where("doc_id is not null")
     else:
-        found = saved(matches(runs, ranges))
+        found = written(matches(runs, ranges))
     forget(spark)
     all_ = docs if earlier is None else docs.union(earlier.select("doc_id", "text"))
-    cover = saved(surroundings(all_, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
+    cover = written(surroundings(all_, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
     forget(spark)
     whole = found.where("anchor < 0").select("doc_id", F.col("pos").alias("start"), F.lit(-1).cast("long").alias("end"))
     spans = _by_doc(whole.union(cover), "start end")
