@@ -1,9 +1,10 @@
 """Benchmark decontamination by a broadcast set of normalised word n-grams.
 
-The benchmark's windows are hashed once; a benchmark beyond BROADCAST_WINDOWS
-windows is dealt out in blocks that are scanned one after another, so what is
-broadcast never grows. Tasks hash all word windows of their documents, look
-them up, and verify each hit on the words themselves.
+Tasks hash all word windows of their documents, look them up in the broadcast
+windows of the benchmark, and verify each hit on the words themselves. A
+benchmark beyond BROADCAST_WINDOWS windows is dealt out in blocks: each is
+broadcast and scanned for in a job of its own, whose few hits are written, so
+that one block is alive at a time in the driver and in the tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
+from spikeloom.llm.graph import written
 
 BROADCAST_WINDOWS = 500_000
 _U = np.uint64
@@ -57,56 +59,108 @@ def _index(rows) -> dict[int, tuple[np.ndarray, dict]]:
     return {size: (np.sort(np.array(list(d), np.int64).view(_U)), d) for size, d in out.items()}
 
 
-def _scan(docs: DataFrame, rows: list, first: bool, last: bool) -> DataFrame:
-    """Add one block's hits to each document's items and hit word ranges; the last block also counts and cuts."""
+def _search(s: X.Slice, index: dict) -> tuple[np.ndarray, X.Words, dict[int, set], np.ndarray]:
+    """Words of a slice; by document the items with verified windows; which words are hit."""
+    buf, w, h = _normal(s)
+    mark = np.zeros(len(h) + 1, np.int64)
+    found: dict[int, set] = {}
+    for size, (keys, behind) in index.items():
+        if len(h) < size:
+            continue
+        g = X.ngram_hash(h, size)[: len(h) - size + 1]
+        for i in np.flatnonzero(_among(keys, g)):
+            d = int(np.searchsorted(w.last, i, "right"))
+            if i + size > w.last[d]:
+                continue
+            win = b" ".join(buf[x:y].tobytes() for x, y in zip(w.start[i : i + size], w.end[i : i + size], strict=True))
+            if got := behind[int(g[i : i + 1].view(np.int64)[0])].get(win):
+                found.setdefault(d, set()).update(got)
+                mark[i] += 1
+                mark[i + size] -= 1
+    return buf, w, found, np.cumsum(mark[:-1]) > 0
+
+
+def _runs(own: np.ndarray) -> np.ndarray:
+    """Rows (first, end) of the runs of true values."""
+    edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
+    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
+
+
+_NO_RUNS = np.zeros((0, 2), np.int64)
+_OUT = "doc_id long, n_words long, n_hit long, items array<long>, cut_text string"
+
+
+class _Rows:
+    """Result rows of a batch, document by document."""
+
+    def __init__(self):
+        self.cols: list[list] = [[], [], [], []]
+
+    def add(self, s: X.Slice, w: X.Words, k: int, runs: np.ndarray, items) -> None:
+        row = int(w.last[k] - w.first[k]), int((runs[:, 1] - runs[:, 0]).sum()), sorted(items), _without(s, w, runs, k) if len(runs) else None
+        for c, v in zip(self.cols, row, strict=True):
+            c.append(v)
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(self.cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "cut_text"])
+
+
+def _whole(docs: DataFrame, rows: list) -> DataFrame:
+    """All of the result in one pass: the whole benchmark is one block."""
     held = docs.sparkSession.sparkContext.broadcast(rows)
     state: dict = {}
 
     def scan(batches):
         index = state.get("index") or state.setdefault("index", _index(held.value))
         for b in batches:
-            n_words, n_hit, spans, items, texts = [], [], [], [], []
-            had = [None] * b.num_rows if first else list(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True))
+            out = _Rows()
             for s in X.slices(b.column("text")):
-                buf, w, h = _normal(s)
-                mark = np.zeros(len(h) + 1, np.int64)
-                found: dict[int, set] = {}
-                for size, (keys, behind) in index.items():
-                    if len(h) < size:
-                        continue
-                    g = X.ngram_hash(h, size)[: len(h) - size + 1]
-                    for i in np.flatnonzero(_among(keys, g)):
-                        d = int(np.searchsorted(w.last, i, "right"))
-                        if i + size > w.last[d]:
-                            continue
-                        win = b" ".join(buf[x:y].tobytes() for x, y in zip(w.start[i : i + size], w.end[i : i + size], strict=True))
-                        if got := behind[int(g[i : i + 1].view(np.int64)[0])].get(win):
-                            found.setdefault(d, set()).update(got)
-                            mark[i] += 1
-                            mark[i + size] -= 1
-                hit = np.cumsum(mark[:-1]) > 0
+                _, w, found, hit = _search(s, index)
                 for k in range(s.hi - s.lo):
-                    a, e = int(w.first[k]), int(w.last[k])
-                    own = hit[a:e]
-                    if had[s.lo + k] and len(had[s.lo + k][0]):
-                        own = own | (np.cumsum(_marks(had[s.lo + k][0], e - a))[:-1] > 0)
-                    edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]])) if k in found or had[s.lo + k] else np.zeros(1, np.int8)
-                    runs = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
-                    n_words.append(e - a)
-                    spans.append(runs.astype(np.int64).tobytes())
-                    items.append(sorted(found.get(k, set()) | set(had[s.lo + k][1] if had[s.lo + k] else ())))
-                    if last:
-                        n_hit.append(int((runs[:, 1] - runs[:, 0]).sum()))
-                        texts.append(_without(s, w, runs, k) if len(runs) else None)
-            cols = [b.column("doc_id"), b.column("text"), pa.array(n_words, pa.int64()), X.blobs(spans), pa.array(items, pa.list_(pa.int64()))]
-            names = ["doc_id", "text", "n_words", "spans", "items"]
-            if last:
-                cols = [cols[0], cols[2], pa.array(n_hit, pa.int64()), cols[4], pa.array(texts, pa.string())]
-                names = ["doc_id", "n_words", "n_hit", "items", "cut_text"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = "doc_id long, n_words long, n_hit long, items array<long>, cut_text string" if last else "doc_id long, text string, n_words long, spans binary, items array<long>"
-    return docs.mapInArrow(scan, schema)
+                    out.add(s, w, k, _runs(hit[w.first[k] : w.last[k]]) if k in found else _NO_RUNS, found.get(k, ()))
+            yield out.batch(b.column("doc_id"))
+
+    return docs.mapInArrow(scan, _OUT)
+
+
+def _block(docs: DataFrame, rows: list) -> DataFrame:
+    """(row, spans, items) of the documents that one block of windows hits."""
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def scan(batches):
+        index = _index(held.value)
+        for b in batches:
+            row, spans, items = [], [], []
+            for s in X.slices(b.column("text")):
+                _, w, found, hit = _search(s, index)
+                for k in sorted(found):
+                    row.append(b.column("row")[s.lo + k].as_py())
+                    spans.append(_runs(hit[w.first[k] : w.last[k]]).astype(np.int64).tobytes())
+                    items.append(sorted(found[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), X.blobs(spans), pa.array(items, pa.list_(pa.int64()))], ["row", "spans", "items"])
+
+    out = written(docs.mapInArrow(scan, "row long, spans binary, items array<long>"))
+    held.destroy()
+    return out
+
+
+def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The result from the hits of all blocks."""
+    per = hits.groupBy("row").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def finish(batches):
+        for b in batches:
+            out, spans, items = _Rows(), b.column("spans").to_pylist(), b.column("items").to_pylist()
+            for s in X.slices(b.column("text")):
+                _, w, _ = _normal(s)
+                for k in range(s.hi - s.lo):
+                    own = spans[s.lo + k] or []
+                    runs = _runs(np.cumsum(sum(_marks(x, int(w.last[k] - w.first[k])) for x in own))[:-1] > 0) if own else _NO_RUNS
+                    out.add(s, w, k, runs, items[s.lo + k] or ())
+            yield out.batch(b.column("doc_id"))
+
+    return docs.join(per, "row", "left").select("doc_id", "text", "spans", "items").mapInArrow(finish, _OUT)
 
 
 def _marks(spans: bytes, n: int) -> np.ndarray:
@@ -148,8 +202,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 10) -> Dat
     windows = benchmark_windows(benchmark, words)
     parts = -(-windows.count() // BROADCAST_WINDOWS) or 1
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for p in range(parts):
-        block = windows.where(F.pmod(F.xxhash64("size", "hash"), F.lit(parts)) == p) if parts > 1 else windows
-        rows = [tuple(r) for r in block.select("item_id", "size", "hash", "window").collect()]
-        out = _scan(out, rows, p == 0, p == parts - 1)
+    columns = ("item_id", "size", "hash", "window")
+    if parts == 1:
+        out = _whole(out, [tuple(r) for r in windows.select(*columns).collect()])
+    else:
+        rows, windows, hits = written(out.withColumn("row", F.monotonically_increasing_id())), written(windows), None
+        for p in range(parts):
+            block = windows.where(F.pmod(F.xxhash64("size", "hash"), F.lit(parts)) == p)
+            found = _block(rows, [tuple(r) for r in block.select(*columns).collect()])
+            hits = found if hits is None else hits.union(found)
+        out = _joined(rows, hits)
     return out.withColumn("contaminated", F.col("n_hit") > 0)
