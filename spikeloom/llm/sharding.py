@@ -46,14 +46,14 @@ def shard_by_size(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot per input row; documents with equal texts share a shard.
 
     size is the text's UTF-8 bytes (null: none) plus 1; a null text's crc32 is
-    null, and null texts are one group apart from empty ones. Slots of a shard
+    0, as that of no bytes, and null texts are one group apart from empty ones. Slots of a shard
     are gapless from 0. Groups are told apart by 64-bit hash and length, so
     different texts stay together only if both agree.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit(-1)).otherwise(F.xxhash64(F.col("text"), F.octet_length("text"))).alias("h1"),
     )
     groups = rows.groupBy("h1").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

@@ -78,6 +78,7 @@ def test_bpe(docs, none):
 def test_shards(docs, none):
     rows = sharding.shard_by_size(docs, 4).collect()
     assert len(rows) == len(ROWS)
+    assert {r.doc_id: r.text_crc32 for r in rows}[1] == 0
     at = {(r.doc_id, r.shard) for r in rows}
     assert len({s for d, s in at if d in (3, 4)}) == 1 and len({s for d, s in at if d == 6}) == 1
     for s in range(4):
