@@ -20,13 +20,13 @@ def build_entity_label(**parts: Column) -> Column:
 
 
 def parse_entity_label(label: Column) -> Column:
-    """Struct of the six entities; the last of a repeated one counts, a missing one is null."""
+    """Struct of the six entities; the last of a repeated one that is not empty counts, hyphens in it stay, a missing one is null."""
     return F.struct(*(_entity(label, e).alias(e) for e in ENTITIES))
 
 
 def _entity(label: Column, name: str) -> Column:
-    of = F.filter(F.split(label, "_"), lambda p: p.startswith(f"{name}-"))
-    return F.when(F.size(of) > 0, F.substring_index(F.element_at(of, -1), "-", -1))
+    of = F.filter(F.split(label, "_"), lambda p: p.startswith(f"{name}-") & (F.length(p) > len(name) + 1))
+    return F.when(F.size(of) > 0, F.substring(F.element_at(of, -1), len(name) + 2, 1 << 20))
 
 
 def strip_artifact_suffix(name: Column) -> Column:
@@ -100,7 +100,7 @@ def next_unit_uid(units: DataFrame, recording: list[str]) -> DataFrame:
 
 def pad_grid_names(names: Column, n: Column, numbered: bool = False) -> Column:
     """Blanks dropped, padded to n with the last name (or `Grid <k>`)."""
-    kept = F.filter(F.transform(names, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
     more = F.greatest(n - F.size(kept), F.lit(0))
     if numbered:
         extra = F.when(more > 0, F.transform(F.sequence(F.size(kept) + 1, n), lambda k: F.concat(F.lit("Grid "), k.cast("string")))).otherwise(F.array().cast("array<string>"))
@@ -109,6 +109,13 @@ def pad_grid_names(names: Column, n: Column, numbered: bool = False) -> Column:
     return F.concat(kept, extra)
 
 
+def normalize_unit_lists(flags: Column, grids: Column, muscles: Column, n: Column) -> Column:
+    """Struct of per-unit lists: flags and grid numbers cut or padded (false, 0) to n units, muscle names without blanks."""
+    names = F.filter(F.transform(F.coalesce(muscles, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    flags, grids = F.coalesce(flags, F.array().cast("array<boolean>")), F.coalesce(grids, F.array().cast("array<int>"))
+    return F.struct(pad_list(flags, n, F.lit(False)).alias("flags"), pad_list(grids, n, F.lit(0)).alias("grids"), names.alias("muscles"))
+
+
 def pad_list(values: Column, n: Column, fill: Column) -> Column:
     """A list cut or padded to n entries."""
     return F.slice(F.concat(values, F.array_repeat(fill, n)), F.lit(1), n)

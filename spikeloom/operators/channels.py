@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spikeloom.functions.labels import na_to_null, safe_token
+from spikeloom.functions.labels import aux_channel_type, format_hz, na_to_null, safe_token
 
 
 def _ordered(value: str, *order: str) -> Column:
@@ -160,3 +160,41 @@ def recording_sidecar(recordings: DataFrame, channels: DataFrame) -> DataFrame:
     extra = F.coalesce("extra", F.create_map().cast("map<string,string>"))
     over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
     return j.select("recording_id", over(over(base, extra), last).alias("sidecar"))
+
+
+#: Columns of a channel listing, in order.
+LISTING = ("name", "type", "units", "description", "sampling_frequency", "signal_electrode", "reference", "group", "target_muscle", "placement_scheme", "placement_description", "interelectrode_distance", "grid_name", "low_cutoff", "high_cutoff", "notch", "status", "status_description", "gain")
+
+
+def channels_sidecar(recordings: DataFrame, channels: DataFrame, aux: DataFrame) -> DataFrame:
+    """recording_id, row_no and the 19 text columns of a channel listing; unknown values are `n/a`.
+
+    recordings: recording_id, fsamp, units, reference, placement_scheme, and
+    what holds for all channels of a recording: gain, low_cutoff, high_cutoff,
+    notch. channels: recording_id, grid, channel, grid_name, target_muscle, ied,
+    discard, and gain, low_cutoff, high_cutoff, notch, which come first. aux:
+    recording_id, ord, label, gain, low_cutoff, high_cutoff. Electrodes are
+    numbered over all grids of a recording; auxiliary rows follow.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("n/a"))
+    none, of_all = F.lit("n/a"), {c: f"_{c}" for c in ("gain", "low_cutoff", "high_cutoff", "notch")}
+    r = recordings.select("recording_id", "fsamp", "units", "reference", F.when(F.lower("placement_scheme") == "measured", "measured").otherwise("other").alias("scheme"), *(F.col(c).alias(n) for c, n in of_all.items()))
+    j = channels.join(r, "recording_id").withColumn("row_no", F.row_number().over(W.partitionBy("recording_id").orderBy("grid", "channel")))
+    number, own = F.col("row_no").cast("string"), lambda c: F.coalesce(F.col(c), F.col(f"_{c}"))
+    bad = F.col("discard") == 1
+    emg = {
+        "name": F.concat(F.lit("Ch"), F.when(F.col("row_no") < 10, F.lpad(number, 2, "0")).otherwise(number)), "type": F.lit("EMG"), "units": text(F.col("units")), "description": F.lit("ElectroMyoGraphy"),
+        "sampling_frequency": text(F.col("fsamp")), "signal_electrode": F.concat(F.lit("E"), number), "reference": text(F.col("reference")), "group": F.concat(F.lit("Grid"), (F.col("grid") + 1).cast("string")),
+        "target_muscle": text(F.col("target_muscle")), "placement_scheme": F.col("scheme"), "placement_description": none, "interelectrode_distance": text(F.nullif(F.col("ied"), F.lit(0.0))), "grid_name": text(F.col("grid_name")),
+        "low_cutoff": format_hz(own("low_cutoff")), "high_cutoff": format_hz(own("high_cutoff")), "notch": text(own("notch")), "status": F.when(bad, "bad").otherwise("good"),
+        "status_description": F.when(bad, "manually excluded").otherwise("n/a"), "gain": text(own("gain")),
+    }
+    count = channels.groupBy("recording_id").agg(F.count("*").alias("_n"))
+    k = aux.join(r.select("recording_id", "fsamp"), "recording_id").join(count, "recording_id", "left")
+    k = k.withColumn("row_no", F.coalesce("_n", F.lit(0)) + F.row_number().over(W.partitionBy("recording_id").orderBy("ord")))
+    more = {c: none for c in LISTING} | {
+        "name": F.col("label"), "type": aux_channel_type(F.col("label")), "units": F.lit("a.u."), "description": F.lit("Auxiliary Channel"), "sampling_frequency": text(F.col("fsamp")), "group": F.lit("Aux"),
+        "low_cutoff": format_hz(F.col("low_cutoff")), "high_cutoff": format_hz(F.col("high_cutoff")), "status": F.lit("good"), "gain": text(F.col("gain")),
+    }
+    out = lambda df, cols: df.select("recording_id", F.col("row_no").cast("long").alias("row_no"), *(cols[c].alias(c) for c in LISTING))
+    return out(j, emg).union(out(k, more))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spikeloom.operators.units import find_peaks, isi_cov, two_means_split
+from spikeloom.operators.units import find_peaks, isi_cov, places, ready_checkpoints, two_means_split
 
 GRID = ("recording_id", "grid")
+#: Contrast functions with their derivatives.
+CONTRASTS = {"skew": (lambda v: v * v, lambda v: 2 * v), "kurtosis": (lambda v: v**3, lambda v: 3 * v * v), "logcosh": (np.tanh, lambda v: 1 - np.tanh(v) ** 2)}
 
 
 def frames(samples: DataFrame) -> DataFrame:
@@ -64,6 +64,14 @@ def eigen_cut(values: np.ndarray) -> float:
     return (above[-1] + below[0]) / 2 if len(above) and len(below) else floor
 
 
+def symmetric_whitening(c: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symmetric whitening matrix of a covariance from the eigenvalues above the cut, and their number."""
+    d, e = np.linalg.eigh(c)
+    d, e = d[::-1], e[:, ::-1]
+    keep = d > eigen_cut(d)
+    return (e[:, keep] / np.sqrt(d[keep])) @ e[:, keep].T, int(keep.sum())
+
+
 def whitening_basis(cov: DataFrame) -> DataFrame:
     """Symmetric whitening matrix (row-major) and rank of each grid's covariance."""
 
@@ -71,26 +79,28 @@ def whitening_basis(cov: DataFrame) -> DataFrame:
         n = int(pdf["j"].max()) + 1
         c = np.zeros((n, n))
         c[pdf["i"], pdf["j"]] = c[pdf["j"], pdf["i"]] = pdf["cov"]
-        d, e = np.linalg.eigh(c)
-        d, e = d[::-1], e[:, ::-1]
-        keep = d > eigen_cut(d)
-        m = (e[:, keep] / np.sqrt(d[keep])) @ e[:, keep].T
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "grid": [pdf["grid"].iloc[0]], "matrix": [m.ravel()], "rank": [int(keep.sum())]})
+        m, rank = symmetric_whitening(c)
+        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "grid": [pdf["grid"].iloc[0]], "matrix": [m.ravel()], "rank": [rank]})
 
     return cov.groupBy(*GRID).applyInPandas(solve, "recording_id string, grid int, matrix array<double>, rank int")
 
 
 def whiten(frames_: DataFrame, basis: DataFrame) -> DataFrame:
-    """Every vector times its grid's whitening matrix, in Arrow batches."""
+    """Every vector times its grid's whitening matrix, block by block."""
 
     def apply(batches):
         for pdf in batches:
-            for _, g in pdf.groupby(list(GRID)):
-                x = np.stack(g["x"].to_numpy())
-                m = g["matrix"].iloc[0].reshape(x.shape[1], -1)
-                yield g.assign(x=list(x @ m))[["recording_id", "grid", "sample", "x"]]
+            for row in pdf.itertuples(index=False):
+                x = np.array([p["x"] for p in row.part])
+                out = x @ np.asarray(row.matrix).reshape(x.shape[1], -1)
+                yield pd.DataFrame({"recording_id": row.recording_id, "grid": row.grid, "sample": [p["sample"] for p in row.part], "x": list(out)})
 
-    return frames_.join(F.broadcast(basis.select(*GRID, "matrix")), list(GRID)).mapInPandas(apply, "recording_id string, grid int, sample long, x array<double>")
+    return packed(frames_).join(basis.select(*GRID, "matrix"), list(GRID)).mapInPandas(apply, "recording_id string, grid int, sample long, x array<double>")
+
+
+def packed(frames_: DataFrame, block: int = 1024) -> DataFrame:
+    """One row per block of samples with its vectors (part), so that what is joined to a grid travels once a block and not with each sample."""
+    return frames_.groupBy(*GRID, F.floor(F.col("sample") / block).alias("block")).agg(F.collect_list(F.struct("sample", "x")).alias("part"))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -100,13 +110,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def pulse_train(frames_: DataFrame, filters: DataFrame) -> DataFrame:
     """Signed square of each vector's product with each unit's filter."""
     s = dot("x", "filter")
-    return frames_.join(F.broadcast(filters), list(GRID)).select("recording_id", "grid", "unit_uid", "sample", (s * F.abs(s)).alias("value"))
-
-
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where none is set (tests on one machine) a local one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return frames_.join(filters, list(GRID)).select("recording_id", "grid", "unit_uid", "sample", (s * F.abs(s)).alias("value"))
 
 
 def apply_filters(frames_: DataFrame, filters: DataFrame, totals: DataFrame) -> DataFrame:
@@ -114,9 +118,8 @@ def apply_filters(frames_: DataFrame, filters: DataFrame, totals: DataFrame) ->
 
     frames_ also has win, totals (recording_id, total_samples).
     """
-    s = frames_.join(F.broadcast(filters), list(GRID)).groupBy(*GRID, "unit_uid", "sample").agg(F.max_by(dot("x", "filter"), "win").alias("_s"))
-    places = filters.select(*GRID, "unit_uid").join(totals, "recording_id").where("total_samples > 0").select(*GRID, "unit_uid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_samples") - 1)).alias("sample"))
-    return places.join(s, [*GRID, "unit_uid", "sample"], "left").select(*GRID, "unit_uid", "sample", F.coalesce(F.col("_s") * F.abs("_s"), F.lit(0.0)).alias("value"))
+    s = frames_.join(filters, list(GRID)).groupBy(*GRID, "unit_uid", "sample").agg(F.max_by(dot("x", "filter"), "win").alias("_s"))
+    return places(filters.select(*GRID, "unit_uid").join(totals, "recording_id")).join(s, [*GRID, "unit_uid", "sample"], "left").select(*GRID, "unit_uid", "sample", F.coalesce(F.col("_s") * F.abs("_s"), F.lit(0.0)).alias("value"))
 
 
 def refine_by_isi(frames_: DataFrame, filters: DataFrame, distance: int) -> DataFrame:
@@ -137,7 +140,7 @@ def refine_by_isi(frames_: DataFrame, filters: DataFrame, distance: int) -> Data
         cov = isi_cov(spikes).select("recording_id", F.col("unit_uid").alias("_u"), "cov")
         moves = F.col("cov").isNotNull() & (F.col("last").isNull() | (F.col("cov") < F.col("last")))
         step = named.join(cov, ["recording_id", "_u"], "left").withColumn("moves", moves)
-        at = spikes.withColumnRenamed("unit_uid", "_u").join(F.broadcast(step.where("moves").select(*key, "_u")), ["recording_id", "_u"])
+        at = spikes.withColumnRenamed("unit_uid", "_u").join(step.where("moves").select(*key, "_u"), ["recording_id", "_u"])
         total = spike_triggered_sum(frames_, at.select(*key, "sample"))
         new = total.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("dim", "weight")))["weight"].alias("_new"))
         step = step.join(new, key, "left").select(*key, "filter", "last", "cov", "moves", "_new").checkpoint()
@@ -165,25 +168,32 @@ def activity_seed(frames_: DataFrame) -> DataFrame:
 
 def deflate(vectors: DataFrame, basis: DataFrame) -> DataFrame:
     """Vectors (array w) minus their projections on the accepted, orthonormal ones of their grid, at unit length."""
-    b = F.broadcast(basis.groupBy(*GRID).agg(F.collect_list("w").alias("_basis")))
+    b = basis.groupBy(*GRID).agg(F.collect_list("w").alias("_basis"))
     j = vectors.join(b, list(GRID), "left")
-    out = F.aggregate(F.coalesce("_basis", F.array().cast("array<array<double>>")), F.col("w"), lambda acc, q: F.zip_with(acc, q, lambda x, y: x - y * dot("w", q)))
-    r = j.withColumn("w", out).drop("_basis")
-    return r.withColumn("w", F.transform("w", lambda x: x / F.sqrt(dot("w", "w"))))
+    # a value bound by one-element lists is computed once, not again for each element
+    out = F.aggregate(F.coalesce("_basis", F.array().cast("array<array<double>>")), F.col("w"), lambda acc, q: F.get(F.transform(F.array(dot("w", q)), lambda d: F.zip_with(acc, q, lambda x, y: x - y * d)), F.lit(0)))
+    unit = lambda w: F.get(F.transform(F.array(F.sqrt(dot(w, w))), lambda n: F.transform(w, lambda x: x / n)), F.lit(0))
+    return j.withColumn("w", F.get(F.transform(F.array(out), unit), F.lit(0))).drop("_basis")
 
 
 def contrast_step(frames_: DataFrame, vectors: DataFrame, contrast: str = "skew") -> DataFrame:
     """One fixed-point update E[x g(w'x)] - E[g'(w'x)] w of every grid's vector, before deflation: (dim, w)."""
-    s = dot("x", "w")
-    g, dg = {"skew": (lambda v: v * v, lambda v: 2 * v), "kurtosis": (lambda v: v**3, lambda v: 3 * v * v), "logcosh": (F.tanh, lambda v: 1 - F.tanh(v) ** 2)}[contrast]
-    p = frames_.join(F.broadcast(vectors), list(GRID)).withColumn("_s", s)
-    rows = p.select(*GRID, g(F.col("_s")).alias("_g"), dg(F.col("_s")).alias("_d"), F.posexplode(F.arrays_zip("x", "w")).alias("dim", "z"))
-    return rows.groupBy(*GRID, "dim").agg((F.avg(F.col("z.x") * F.col("_g")) - F.avg("_d") * F.first("z.w")).alias("w"))
+    g, dg = CONTRASTS[contrast]
+
+    def sums(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, w = np.array([p["x"] for p in row.part]), np.asarray(row.w)
+                s = x @ w
+                yield pd.DataFrame({"recording_id": row.recording_id, "grid": row.grid, "dim": np.arange(len(w)), "n": len(s), "xg": x.T @ g(s), "dg": dg(s).sum(), "w": w})
+
+    part = packed(frames_).join(vectors.select(*GRID, "w"), list(GRID)).mapInPandas(sums, "recording_id string, grid int, dim int, n long, xg double, dg double, w double")
+    return part.groupBy(*GRID, "dim").agg((F.sum("xg") / F.sum("n") - F.sum("dg") / F.sum("n") * F.first("w")).alias("w"))
 
 
 def muap_segments(samples: DataFrame, spikes: DataFrame, r: int, totals: DataFrame) -> DataFrame:
     """(unit_uid, spike, channel, offset, value) around each spike whose window fits into the recording."""
-    fit = spikes.join(F.broadcast(totals), "recording_id").where((F.col("sample") >= r) & (F.col("sample") + r < F.col("total_samples")))
+    fit = spikes.join(totals, "recording_id").where((F.col("sample") >= r) & (F.col("sample") + r < F.col("total_samples")))
     at = fit.select("recording_id", "unit_uid", F.col("sample").alias("spike"), F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("offset")).withColumn("sample", F.col("spike") + F.col("offset"))
     return samples.join(at, ["recording_id", "sample"]).select("recording_id", "grid", "unit_uid", "spike", "channel", "offset", "value")
 
@@ -194,39 +204,7 @@ def spike_triggered_average(samples: DataFrame, spikes: DataFrame, r: int, total
 
 def peel_off(samples: DataFrame, spikes: DataFrame, r: int, totals: DataFrame) -> DataFrame:
     """The signal minus each unit's mean segment at all of its valid spikes; overlaps add up."""
-    seg = muap_segments(samples, spikes, r, totals)
-    mean = seg.groupBy("recording_id", "grid", "unit_uid", "channel", "offset").agg(F.avg("value").alias("_m"))
-    put = seg.join(mean, ["recording_id", "grid", "unit_uid", "channel", "offset"]).groupBy("recording_id", "grid", "channel", (F.col("spike") + F.col("offset")).alias("sample")).agg(F.sum("_m").alias("_sum"))
+    mean = spike_triggered_average(samples, spikes, r, totals)
+    fit = spikes.join(totals, "recording_id").where((F.col("sample") >= r) & (F.col("sample") + r < F.col("total_samples"))).select("recording_id", "unit_uid", F.col("sample").alias("spike"))
+    put = fit.join(mean, ["recording_id", "unit_uid"]).groupBy("recording_id", "grid", "channel", (F.col("spike") + F.col("offset")).alias("sample")).agg(F.sum("mean").alias("_sum"))
     return samples.join(put, ["recording_id", "grid", "channel", "sample"], "left").withColumn("value", F.col("value") - F.coalesce("_sum", F.lit(0.0))).drop("_sum")
-
-
-def fit_grid(x: np.ndarray, niter: int, contrast: str = "skew", most: int = 499, tol: float = 1e-4) -> np.ndarray:
-    """Deflationary fixed-point extraction on whitened vectors (rows): one vector per iteration."""
-    g, dg = {"skew": (lambda v: v * v, lambda v: 2 * v), "kurtosis": (lambda v: v**3, lambda v: 3 * v * v), "logcosh": (np.tanh, lambda v: 1 - np.tanh(v) ** 2)}[contrast]
-    seed = x[int((x.sum(1) ** 2).argmax())]
-    b = np.zeros((x.shape[1], 0))
-    for _ in range(min(niter, x.shape[1])):
-        w = seed - b @ (b.T @ seed)
-        w = w / max(np.linalg.norm(w), 1e-12)
-        for _ in range(most):
-            s = x @ w
-            new = x.T @ g(s) / len(x) - dg(s).mean() * w
-            new -= b @ (b.T @ new)
-            new /= max(np.linalg.norm(new), 1e-12)
-            moved = abs(1 - abs(new @ w))
-            w = new
-            if moved <= tol:
-                break
-        b = np.column_stack([b, w])
-    return b
-
-
-def fit_units(whitened: DataFrame, niter: int = 150, contrast: str = "skew") -> DataFrame:
-    """Separating vectors of every (recording, grid): each group is one window, which a task holds."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = fit_grid(np.stack(pdf.sort_values("sample")["x"].to_numpy()), niter, contrast)
-        n = b.shape[1]
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "grid": pdf["grid"].iloc[0], "unit": np.arange(n), "filter": list(b.T)})
-
-    return whitened.groupBy(*GRID).applyInPandas(fit, "recording_id string, grid int, unit int, filter array<double>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spikeloom.operators.units import UNIT, find_peaks, spike_heights
+from spikeloom.operators.units import UNIT, dedup_by_grid, find_peaks, isi_cov, pulse_from_spikes, spike_heights
 
 def _by_sample():
     return W.partitionBy(*UNIT).orderBy("sample")
@@ -15,18 +15,28 @@ def _by_sample():
 def add_spikes_in_roi(pulses: DataFrame, spikes: DataFrame, rois: DataFrame, distance: int) -> DataFrame:
     """Existing spikes and the peaks of at least y_min inside each unit's range (values outside count as 0); sorted out as a set."""
     r = rois.select(*UNIT, "x_start", "x_end", "y_min")
-    masked = pulses.join(F.broadcast(r), list(UNIT)).withColumn("value", F.when(F.col("sample").between(F.col("x_start"), F.col("x_end")), F.col("value")).otherwise(0.0))
-    peaks = find_peaks(masked.select(*UNIT, "sample", "value"), distance).join(F.broadcast(r), list(UNIT)).where("value >= y_min and sample between x_start and x_end")
+    masked = pulses.join(r, list(UNIT)).withColumn("value", F.when(F.col("sample").between(F.col("x_start"), F.col("x_end")), F.col("value")).otherwise(0.0))
+    peaks = find_peaks(masked.select(*UNIT, "sample", "value"), distance).join(r, list(UNIT)).where("value >= y_min and sample between x_start and x_end")
     return spikes.select(*UNIT, "sample").union(peaks.select(*UNIT, "sample")).distinct()
 
 
 def delete_spikes_in_roi(spikes: DataFrame, pulses: DataFrame, rois: DataFrame) -> DataFrame:
     """Spikes without those in a range whose pulse (0 if missing) is from y_min to y_max + 1."""
-    r = F.broadcast(rois.select(*UNIT, "x_start", "x_end", F.least("y_min", "y_max").alias("_lo"), F.greatest("y_min", "y_max").alias("_hi")))
+    r = rois.select(*UNIT, "x_start", "x_end", F.least("y_min", "y_max").alias("_lo"), F.greatest("y_min", "y_max").alias("_hi"))
     gone = spike_heights(spikes, pulses).join(r, list(UNIT)).where("sample between x_start and x_end and value between _lo and _hi + 1")
     return spikes.join(gone.select(*UNIT, "sample").distinct(), [*UNIT, "sample"], "left_anti")
 
 
+def add_artifacts_in_roi(pulses: DataFrame, artifacts: DataFrame, rois: DataFrame, distance: int) -> DataFrame:
+    """Artifacts are marked as spikes are (see add_spikes_in_roi)."""
+    return add_spikes_in_roi(pulses, artifacts, rois, distance)
+
+
+def delete_artifacts_in_roi(artifacts: DataFrame, pulses: DataFrame, rois: DataFrame) -> DataFrame:
+    """Artifacts without those in a range (see delete_spikes_in_roi), each once; places before the start go too."""
+    return delete_spikes_in_roi(artifacts, pulses, rois).where("sample >= 0").select(*UNIT, "sample").distinct()
+
+
 def _weaker_of_pairs(spikes: DataFrame, pulses: DataFrame) -> tuple[DataFrame, Column]:
     """Consecutive pairs, and the column that names the lower spike of each (the right one on ties)."""
     h = spike_heights(spikes, pulses)
@@ -38,7 +48,7 @@ def delete_high_rate_in_roi(spikes: DataFrame, pulses: DataFrame, rois: DataFram
     """Of consecutive spikes whose middle is in a range and whose rate exceeds y, the lower goes; all is decided on the original list."""
     p, lower = _weaker_of_pairs(spikes, pulses)
     middle = F.col("_right") - F.floor(F.col("_isi") / 2)
-    hit = p.join(F.broadcast(rois.select(*UNIT, "x_start", "x_end", "y_min")), list(UNIT)).where((middle >= F.col("x_start")) & (middle <= F.col("x_end")) & (F.col("_isi") > 0) & (F.lit(fsamp) / F.col("_isi") > F.col("y_min")))
+    hit = p.join(rois.select(*UNIT, "x_start", "x_end", "y_min"), list(UNIT)).where((middle >= F.col("x_start")) & (middle <= F.col("x_end")) & (F.col("_isi") > 0) & (F.lit(fsamp) / F.col("_isi") > F.col("y_min")))
     return spikes.join(hit.select(*UNIT, lower.alias("sample")).distinct(), [*UNIT, "sample"], "left_anti")
 
 
@@ -118,7 +128,24 @@ def dirty_units(current: DataFrame, original: DataFrame) -> DataFrame:
     return spike_diff(original, current).select(*UNIT).distinct()
 
 
-def save_edits(units: DataFrame, spikes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units and spikes without the flagged ones (duplicates are removed by dedup_by_grid before they are written)."""
-    kept = units.where(~F.coalesce("flagged", F.lit(False)))
-    return kept, spikes.join(kept.select(*UNIT), list(UNIT), "left_semi")
+def save_edits(units: DataFrame, spikes: DataFrame, pulses: DataFrame, totals: DataFrame, fsamp: float, tol: float = 0.3, remove_flagged: bool = True, remove_duplicates: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, spikes, pulses) as they are to be saved.
+
+    Flagged units go, then duplicates over all grids of a recording (of each
+    group the unit with the most even intervals stays). A unit whose pulse is
+    missing or not as long as its recording gets one of its spikes.
+    """
+    kept = units.where(~F.coalesce("flagged", F.lit(False))) if remove_flagged else units
+    rows = spikes.where("sample >= 0").select(*UNIT, "sample").distinct()
+    if remove_duplicates:
+        scored = kept.join(isi_cov(rows.join(kept.select(*UNIT), list(UNIT), "left_semi"), 100.0).select(*UNIT, "cov"), list(UNIT), "left").withColumn("cov", F.coalesce("cov", F.lit(100.0)))
+        scored = scored if "ord" in kept.columns else scored.withColumn("ord", F.col("unit_uid"))
+        silent = scored.join(rows.select(*UNIT).distinct(), list(UNIT), "left_anti")
+        unique = dedup_by_grid(scored.join(silent.select(*UNIT), list(UNIT), "left_anti"), rows, fsamp, tol, totals=totals, over="recording")
+        kept = unique.select(*kept.columns)
+    rows = rows.join(kept.select(*UNIT), list(UNIT), "left_semi")
+    shape = pulses.groupBy(*UNIT).agg(F.count_distinct("sample").alias("_n"), F.max("sample").alias("_last"), F.min("sample").alias("_first"))
+    whole = shape.join(totals, "recording_id").where("_n = total_samples and _first = 0 and _last = total_samples - 1").select(*UNIT)
+    own = pulses.join(whole.join(kept.select(*UNIT), list(UNIT)), list(UNIT), "left_semi").select(*UNIT, "sample", "value")
+    built = pulse_from_spikes(rows.join(whole, list(UNIT), "left_anti"), totals)
+    return kept, rows, own.union(built)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spikeloom.operators.units import places
+
 CHANNEL = ("recording_id", "grid", "channel")
 
 
@@ -20,7 +22,7 @@ def read_grid_window(samples: DataFrame, recording: str, grid: int, start: int,
 def scale_adc_counts(raw: DataFrame, tracks: DataFrame) -> DataFrame:
     """Counts to mV by each channel's range, bits and gain; a gain that is null or 0 counts as 1. tracks is one row per channel of a device."""
     gain = F.coalesce(F.nullif(F.col("gain").try_cast("double"), F.lit(0.0)), F.lit(1.0))
-    return raw.join(F.broadcast(tracks), "channel").withColumn("value", F.col("value") * F.col("range") / F.pow(F.lit(2.0), F.col("bits")) * 1000 / gain)
+    return raw.join(tracks, "channel").withColumn("value", F.col("value") * F.col("range") / F.pow(F.lit(2.0), F.col("bits")) * 1000 / gain)
 
 
 def sanitize_values(samples: DataFrame) -> DataFrame:
@@ -31,9 +33,8 @@ def sanitize_values(samples: DataFrame) -> DataFrame:
 
 def align_lengths(samples: DataFrame, lengths: DataFrame) -> DataFrame:
     """Channels cut, or padded with zeros, to `length` samples of their recording."""
-    channels = samples.select(*CHANNEL).distinct().join(lengths, "recording_id").where("length > 0")
-    places = channels.select(*CHANNEL, F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("sample"))
-    return places.join(samples, [*CHANNEL, "sample"], "left").select(*CHANNEL, "sample", F.coalesce("value", F.lit(0.0)).alias("value"))
+    channels = samples.select(*CHANNEL).distinct().join(lengths.withColumnRenamed("length", "total_samples"), "recording_id")
+    return places(channels).join(samples, [*CHANNEL, "sample"], "left").select(*CHANNEL, "sample", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def demean(samples: DataFrame) -> DataFrame:
@@ -95,11 +96,19 @@ def keep_channels(samples: DataFrame, masks: DataFrame) -> DataFrame:
     return samples.join(masks.select(*CHANNEL), list(CHANNEL), "left_anti")
 
 
+def eight_characters(c: Column) -> Column:
+    """A number as the longest decimal, of at most six places, that fits into eight characters; six digits if none does."""
+    texts = [F.format_string(f"%.{k}f", c) for k in range(6, -1, -1)]
+    fits = F.coalesce(*(F.when(F.length(t) <= 8, t.cast("double")) for t in texts))
+    return F.coalesce(fits, F.format_string("%.5e", c).cast("double"))
+
+
 def physical_range(samples: DataFrame) -> DataFrame:
-    """Least and greatest value of each channel, widened by 1 both ways where equal."""
+    """Least and greatest value of each channel, widened by 1 both ways where equal, as decimals of at most eight characters."""
     r = samples.groupBy(*CHANNEL).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     flat = F.col("low") == F.col("high")
-    return r.select(*CHANNEL, F.when(flat, F.col("low") - 1).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("high") + 1).otherwise(F.col("high")).alias("high"))
+    low, high = F.when(flat, F.col("low") - 1).otherwise(F.col("low")), F.when(flat, F.col("high") + 1).otherwise(F.col("high"))
+    return r.select(*CHANNEL, eight_characters(low).alias("low"), eight_characters(high).alias("high"))
 
 
 def quantize(samples: DataFrame, ranges: DataFrame, bits: int) -> DataFrame:
@@ -127,7 +136,7 @@ def assign_windows(samples: DataFrame, windows: DataFrame, trim: int = 0, embed:
     """
     trimmed = (F.col("end") - F.col("start") + embed - 1) > 2 * trim
     w = windows.select("recording_id", "grid", "win", (F.col("start") + F.when(trimmed, trim).otherwise(0)).alias("_a"), (F.col("end") - F.when(trimmed, trim).otherwise(0)).alias("_b"))
-    return samples.join(F.broadcast(w), ["recording_id", "grid"]).where("sample >= _a and sample < _b").drop("_a", "_b")
+    return samples.join(w, ["recording_id", "grid"]).where("sample >= _a and sample < _b").drop("_a", "_b")
 
 
 def match_grid_spec(grids: DataFrame, catalog: DataFrame, name: str = "grid_name") -> DataFrame:
@@ -166,6 +175,26 @@ def butterworth_bandpass(order: int, low: float, high: float, fs: float) -> list
     return sections
 
 
+def section(u: np.ndarray, b: np.ndarray, a: np.ndarray, z: np.ndarray, size: int = 256) -> np.ndarray:
+    """A second-order section from state z on, block by block: within blocks by matrices, from block to block by the state alone."""
+    step, drive = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    kernel = np.array([b[0], *(powers[k][0] @ drive for k in range(size - 1))])
+    lag = np.arange(size)[:, None] - np.arange(size)[None]
+    inside = np.where(lag >= 0, kernel[np.abs(lag)], 0.0)  # what earlier inputs of a block add to each output
+    seen = np.array([p[0] for p in powers[:size]])  # what the state before a block adds
+    carry = np.array([powers[size - 1 - k] @ drive for k in range(size)])
+    rows = np.zeros((-(-len(u) // size), size))
+    rows.ravel()[: len(u)] = u
+    push, states = rows @ carry, np.empty((len(rows), 2))
+    for k in range(len(rows)):
+        states[k] = z
+        z = powers[size] @ z + push[k]
+    return (rows @ inside.T + states @ seen.T).ravel()[: len(u)]
+
+
 def filtfilt(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Forward and backward pass with odd padding, each section starting in its steady state."""
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
@@ -173,15 +202,7 @@ def filtfilt(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np
     for _ in range(2):
         for b, a in sections:
             # a band-pass section has no response to a constant input, so its steady state is known
-            u = y[0]
-            z1, z2 = -b[0] * u, b[2] * u
-            out = np.empty_like(y)
-            for k, v in enumerate(y.tolist()):
-                o = b[0] * v + z1
-                z1 = b[1] * v - a[1] * o + z2
-                z2 = b[2] * v - a[2] * o
-                out[k] = o
-            y = out
+            y = section(y, b, a, np.array([-b[0], b[2]]) * y[0])
         y = y[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y
 

@@ -5,13 +5,28 @@ Tables: pulses and spikes (recording_id, unit_uid, sample[, value]).
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNIT = ("recording_id", "unit_uid")
+
+
+def ready_checkpoints(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only where none is set and all runs on one machine (tests) a local one."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
+
+
 def _by_sample():
     return W.partitionBy(*UNIT).orderBy("sample")
 
@@ -121,12 +136,60 @@ def select_units(units: DataFrame, sil: float | None = None, cov: float | None =
     return units if cov is None else units.where(F.col("cov") <= cov)
 
 
+def peaks_1d(v: np.ndarray, distance: int, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+    """Local maxima of one series (middle of flat tops) within the height band, highest first (the later on ties), `distance` apart."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    last, level = np.append(first[1:], len(v)) - 1, v[first]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1 if len(level) > 2 else np.array([], int)
+    at = (first[top] + last[top]) // 2
+    at = at[(v[at] >= low) & (v[at] <= high)]
+    return at[apart(at, v[at], distance)]
+
+
+def upper_cluster(v: np.ndarray) -> np.ndarray:
+    """Flags of the upper cluster of the best two-means split of some heights (all, if they are equal); the rule of two_means_split."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    if len(s) < 2 or s[0] == s[-1]:
+        return np.ones(len(v), bool)
+    c, q, k = np.cumsum(s)[:-1], np.cumsum(s * s)[:-1], np.arange(1, len(s))
+    total, squares = s.sum(), (s * s).sum()
+    cost = np.round(q - c * c / k + squares - q - (total - c) ** 2 / (len(s) - k), 9)
+    out = np.zeros(len(v), bool)
+    out[order[int(cost.argmin()) + 1 :]] = True
+    return out
+
+
+def shift_index_base(spikes: DataFrame, totals: DataFrame) -> DataFrame:
+    """1-based places of a recording become 0-based, unless one of its places is 0; what lies outside the recording goes."""
+    low = spikes.groupBy("recording_id").agg((F.min("sample") > 0).cast("long").alias("_base"))
+    moved = spikes.join(low, "recording_id").join(totals, "recording_id").withColumn("sample", F.col("sample") - F.col("_base"))
+    return moved.where("sample >= 0 and sample < total_samples").drop("_base", "total_samples").distinct()
+
+
+def infer_total_samples(recordings: DataFrame, pulses: DataFrame, spikes: DataFrame) -> DataFrame:
+    """(recording_id, total_samples): the length given, else that of the pulses, else the last spike's place + 1, else 0."""
+    of = lambda df, name: df.groupBy("recording_id").agg((F.max("sample") + 1).alias(name))
+    given = F.col("total_samples") if "total_samples" in recordings.columns else F.lit(None).cast("long")
+    rows = recordings.select("recording_id", given.alias("_given")).distinct()
+    rows = rows.join(of(pulses, "_pulses"), "recording_id", "left").join(of(spikes, "_spikes"), "recording_id", "left")
+    return rows.select("recording_id", F.coalesce("_given", "_pulses", "_spikes", F.lit(0).cast("long")).alias("total_samples"))
+
+
+def places(rows: DataFrame, block: int = 65_536) -> DataFrame:
+    """Every row once for each `sample` of its `total_samples`, laid out block by block, so no array grows with a recording."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total_samples") - 1) / block)))
+    cut = rows.where("total_samples > 0").withColumn("_b", blocks).withColumn("sample", F.explode(F.sequence(F.col("_b") * block, F.least(F.col("total_samples"), (F.col("_b") + 1) * block) - 1)))
+    return cut.drop("_b", "total_samples")
+
+
 def pulse_from_spikes(spikes: DataFrame, totals: DataFrame) -> DataFrame:
     """Series of 0 and 1 over the whole recording for every unit that has spikes."""
     at = spikes.select(*UNIT, "sample").distinct().withColumn("_one", F.lit(1.0))
-    units = spikes.select(*UNIT).distinct().join(totals, "recording_id").where("total_samples > 0")
-    places = units.select(*UNIT, F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_samples") - 1)).alias("sample"))
-    return places.join(at, [*UNIT, "sample"], "left").select(*UNIT, "sample", F.coalesce("_one", F.lit(0.0)).alias("value"))
+    units = spikes.select(*UNIT).distinct().join(totals, "recording_id")
+    return places(units).join(at, [*UNIT, "sample"], "left").select(*UNIT, "sample", F.coalesce("_one", F.lit(0.0)).alias("value"))
 
 
 def spikes_from_pulse(pulses: DataFrame) -> DataFrame:
@@ -154,7 +217,7 @@ def expand_jitter(spikes: DataFrame, jitter: int, totals: DataFrame | None = Non
     """Spikes widened by `jitter` samples both ways, distinct, inside the recording."""
     wide = spikes.select(*UNIT, F.explode(F.sequence(F.col("sample") - jitter, F.col("sample") + jitter)).alias("sample")).where("sample >= 0")
     if totals is not None:
-        wide = wide.join(F.broadcast(totals), "recording_id").where("sample < total_samples").drop("total_samples")
+        wide = wide.join(totals, "recording_id").where("sample < total_samples").drop("total_samples")
     return wide.distinct()
 
 
@@ -212,7 +275,8 @@ def dedup_units(units: DataFrame, scores: DataFrame, tol: float = 0.3, group: st
         kept = []
         for uid, others in zip(pdf["unit_uid"], pdf["others"], strict=True):
             if uid in active:
-                taken = [uid] + [o for o in active if o != uid and others is not None and o in set(others)]
+                near = set(others) if others is not None else set()
+                taken = [uid] + [o for o in active if o != uid and o in near]
                 kept.append(min(taken, key=lambda x: cov[x]))
                 for o in taken:
                     del active[o]
@@ -221,18 +285,25 @@ def dedup_units(units: DataFrame, scores: DataFrame, tol: float = 0.3, group: st
     return lists.groupBy(group).applyInPandas(greedy, units.select(*(c for c in lists.columns if c != "others")).schema)
 
 
-def dedup_by_grid(units: DataFrame, spikes: DataFrame, fsamp: float, tol: float = 0.3, across: bool = False) -> DataFrame:
-    """Duplicates removed within each grid, and then over all grids of a recording if asked for."""
+def dedup_by_grid(units: DataFrame, spikes: DataFrame, fsamp: float, tol: float = 0.3, across: bool = False, totals: DataFrame | None = None, over: str = "grid") -> DataFrame:
+    """Duplicates removed within each grid, and then over all grids of a recording if asked for; with over="recording" over all at once.
+
+    totals (recording_id, total_samples) cuts widened spikes at the end of the
+    recording. Pairs whose best share is at most 0.2 are scored without a shift.
+    """
     jitter, maxlag = round(0.00025 * fsamp), round(fsamp / 40)
 
+    ready_checkpoints(units.sparkSession)
+    spikes = spikes.checkpoint()
+
     def once(u: DataFrame, key: list[str]) -> DataFrame:
         named = u.withColumn("_group", F.concat_ws("/", *key))
         own = spikes.join(named.select("recording_id", "unit_uid", "_group"), list(UNIT))
-        wide = expand_jitter(own, jitter).join(named.select("recording_id", "unit_uid", "_group"), list(UNIT))
-        lags = best_lags(lag_overlap(wide, maxlag, "_group"), own, "_group").where("share > 0.2")
-        return dedup_units(named, duplicate_score(wide, lags, "_group"), tol, "_group").drop("_group")
+        wide = expand_jitter(own, jitter, totals).join(named.select("recording_id", "unit_uid", "_group"), list(UNIT)).checkpoint()
+        lags = best_lags(lag_overlap(wide, maxlag, "_group"), own, "_group").withColumn("lag", F.when(F.col("share") > 0.2, F.col("lag")).otherwise(F.lit(0)))
+        return dedup_units(named, duplicate_score(wide, lags.checkpoint(), "_group"), tol, "_group").drop("_group").checkpoint()
 
-    out = once(units, ["recording_id", "grid"])
+    out = once(units, ["recording_id"] if over == "recording" else ["recording_id", "grid"])
     return once(out, ["recording_id"]) if across else out
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spikeloom.functions import labels as L
@@ -13,6 +15,7 @@ from spikeloom.operators import decompose as D
 from spikeloom.operators import edits as E
 from spikeloom.operators import signals as S
 from spikeloom.operators import units as U
+from spikeloom.operators import windows as V
 from spikeloom.plans.views import CH, MIN, SIG, SPK, channels, minutes, sig, spk, table
 from spikeloom.streaming import adaptive as A
 
@@ -68,9 +71,9 @@ def scale_adc_counts(spark, sf_dir):
     return _round(S.scale_adc_counts(sig(spark, sf_dir), tracks).select("channel", "sample", "value"), "value")
 
 
-@query("SELECT channel, sample, CASE WHEN channel = 0 THEN 0.0 WHEN channel = 1 THEN 1.7976931348623157e308 ELSE round(value, 6) END AS value FROM sig WHERE channel < 8", "sig")
+@query("SELECT channel, sample, CASE WHEN channel = 0 THEN 0.0 WHEN channel = 1 THEN 1.7976931348623157e308 ELSE round(value, 6) END AS value FROM sig", "sig")
 def sanitize_values(spark, sf_dir):
-    s = sig(spark, sf_dir).where("channel < 8")
+    s = sig(spark, sf_dir)
     bad = s.withColumn("value", F.when(F.col("channel") == 0, float("nan")).when(F.col("channel") == 1, float("inf")).otherwise(F.round("value", 6)))
     return S.sanitize_values(bad).select("channel", "sample", "value")
 
@@ -82,21 +85,31 @@ def align_lengths(spark, sf_dir):
     return _round(S.align_lengths(s, n).select("channel", "sample", "value"), "value")
 
 
-@query("SELECT unit_uid, sample - CASE WHEN min(sample) OVER (PARTITION BY recording_id) > 0 THEN 1 ELSE 0 END AS sample FROM spk WHERE sample < 2000000", "spk")
+def _totals(spikes):
+    return spikes.groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
+
+
+@query("+l AS (SELECT recording_id, min(sample) AS low, max(sample) // 2 AS n FROM spk GROUP BY 1), b AS (SELECT unit_uid, sample - CASE WHEN low > 0 THEN 1 ELSE 0 END AS sample, n FROM spk JOIN l USING (recording_id)) SELECT unit_uid, sample FROM b WHERE sample >= 0 AND sample < n", "spk")
 def shift_index_base(spark, sf_dir):
-    s = spk(spark, sf_dir).where("sample < 2000000")
-    low = s.groupBy("recording_id").agg((F.min("sample") > 0).cast("long").alias("base"))
-    return s.join(F.broadcast(low), "recording_id").select("unit_uid", (F.col("sample") - F.col("base")).alias("sample"))
+    s = spk(spark, sf_dir)
+    half = s.groupBy("recording_id").agg(F.floor(F.max("sample") / 2).alias("total_samples"))
+    return U.shift_index_base(s.select("recording_id", "unit_uid", "sample"), half).select("unit_uid", "sample")
 
 
-@query("SELECT recording_id, max(sample) + 1 AS total_samples FROM spk GROUP BY recording_id", "spk")
+@query("SELECT recording_id, CASE recording_id WHEN 'r0' THEN 7 WHEN 'r1' THEN coalesce(max(sample) FILTER (WHERE unit_uid % 8 = 1), max(sample)) + 1 ELSE max(sample) + 1 END AS total_samples FROM spk GROUP BY recording_id UNION ALL SELECT 'empty', 0", "spk")
 def infer_total_samples(spark, sf_dir):
-    return spk(spark, sf_dir).groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
+    s = spk(spark, sf_dir)
+    r = s.select("recording_id").distinct().union(spark.sql("select 'empty'")).withColumn("total_samples", F.when(F.col("recording_id") == "r0", 7).cast("long"))
+    return U.infer_total_samples(r, s.where("recording_id = 'r1' and unit_uid % 8 = 1"), s)
+
+
+_FIT8 = "coalesce(" + ", ".join(f"CASE WHEN length(printf('%.{k}f', {{0}})) <= 8 THEN CAST(printf('%.{k}f', {{0}}) AS DOUBLE) END" for k in range(6, -1, -1)) + ")"
 
 
-@query("SELECT channel, round(CASE WHEN min(value) = max(value) THEN min(value) - 1 ELSE min(value) END, 6) AS low, round(CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END, 6) AS high FROM sig GROUP BY channel", "sig")
+@query("+r AS (SELECT channel, CASE WHEN min(value) = max(value) THEN min(value) - 1 ELSE min(value) END * pow(10.0, channel % 7) AS low, CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END * pow(10.0, channel % 7) AS high FROM sig GROUP BY channel) SELECT channel, " + _FIT8.format("low") + " AS low, " + _FIT8.format("high") + " AS high FROM r", "sig")
 def physical_range(spark, sf_dir):
-    return _round(S.physical_range(sig(spark, sf_dir)).select("channel", "low", "high"), "low", "high")
+    s = sig(spark, sf_dir)
+    return S.physical_range(s.withColumn("value", F.col("value") * F.pow(F.lit(10.0), F.col("channel") % 7))).select("channel", "low", "high")
 
 
 @query("SELECT printf('%.6f', sample / 1.0) AS onset, 0.0 AS duration, sample, unit_uid FROM spk", "spk")
@@ -149,10 +162,33 @@ def build_entity_label(spark, sf_dir):
     return c.select("c_custkey", L.build_entity_label(sub=F.col("c_custkey").cast("string"), ses=F.when(F.col("c_nationkey") % 2 == 0, n), task=F.lower("c_mktsegment"), acq=F.lit(""), run=F.when(F.col("c_nationkey") % 3 == 0, n)).alias("label"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS sub, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS ses, lower(c_mktsegment) AS task FROM customer")
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS sub, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS ses, CASE WHEN c_custkey % 3 = 0 THEN 'a-b-' || c_custkey ELSE lower(c_mktsegment) END AS task FROM customer")
 def parse_entity_label(spark, sf_dir):
     b = build_entity_label(spark, sf_dir)
-    return b.select("c_custkey", L.parse_entity_label(F.col("label")).alias("p")).select("c_custkey", "p.sub", "p.ses", "p.task")
+    more = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("_task-a-b-"), F.col("c_custkey").cast("string"))).otherwise("")
+    label = F.concat("label", more, F.when(F.col("c_custkey") % 4 == 0, "_sub-_run-").otherwise(""))
+    return b.select("c_custkey", L.parse_entity_label(label).alias("p")).select("c_custkey", "p.sub", "p.ses", "p.task")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END AS other, CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE c_custkey % 12 END AS number, CASE WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE 'Grid' || (c_custkey % 12) END AS label FROM customer")
+def grid_sort_key(spark, sf_dir):
+    c = channels(spark, sf_dir)
+    return c.select(F.col("row_no").alias("c_custkey"), L.grid_sort_key(F.col("group")).alias("k")).select("c_custkey", "k.other", F.coalesce("k.number", F.lit(-1)).alias("number"), "k.label")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN repeat('Grid 1,', c_custkey % 4) ELSE repeat(c_mktsegment || ',', greatest(1, c_custkey % 4)) END AS padded FROM customer")
+def pad_grid_names(spark, sf_dir):
+    k = F.col("c_custkey")
+    names = F.when(k % 3 == 0, F.array(F.lit(" "))).otherwise(F.array(F.concat(F.lit(" "), "c_mktsegment"), F.lit("")))
+    padded = L.pad_grid_names(names, (k % 4).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("", F.transform(padded, lambda x: F.concat(x, F.lit(",")))).alias("padded"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'true' ELSE 'true,false' END AS flags, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '4' ELSE '4,0' END AS grids, c_mktsegment AS muscles FROM customer")
+def normalize_unit_lists(spark, sf_dir):
+    n = (F.col("c_custkey") % 3).cast("int")
+    lists = L.normalize_unit_lists(F.array(F.lit(True)), F.array(F.lit(4)), F.array(F.lit(" "), F.concat("c_mktsegment", F.lit(" "))), n)
+    return table(spark, sf_dir, "customer").select("c_custkey", lists.alias("l")).select("c_custkey", _text("l.flags").alias("flags"), _text("l.grids").alias("grids"), F.array_join("l.muscles", ",").alias("muscles"))
 
 
 @query(r"SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '(_decomp|_edited)+$', '') AS label FROM part")
@@ -167,10 +203,11 @@ def safe_token(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", L.safe_token(F.col("p_name"), "x").alias("token"))
 
 
-@query("SELECT p_partkey, '/data/set' || (p_partkey % 7) AS root FROM part WHERE p_partkey % 3 < 2")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN '/data/set' || (p_partkey % 7) WHEN p_partkey % 2 = 0 THEN '/data/set' || (p_partkey % 7) || '/bids_out' END AS root FROM part")
 def infer_dataset_root(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 < 2")
-    path = F.concat(F.lit("/data/set"), (F.col("p_partkey") % 7).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "/derivatives/decomp/sub-01/x.npz").otherwise("/sub-01/emg/x.edf"))
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    path = F.concat(F.lit("/data/set"), (F.col("p_partkey") % 7).cast("string"), F.when(k == 0, "/derivatives/decomp/sub-01/x.npz").when(k == 1, "/sub-01/emg/x.edf").when(F.col("p_partkey") % 2 == 0, "/bids_out/x.edf").otherwise("/x.edf"))
     return p.select("p_partkey", L.infer_dataset_root(path).alias("root"))
 
 
@@ -245,9 +282,10 @@ def decimate(spark, sf_dir):
     return _round(S.decimate(sig(spark, sf_dir), 100.0, 25.0).select("channel", "sample", "value"), "value")
 
 
-@query("SELECT channel, (sample - 10) // 5 AS bin, round(min(value), 6) AS low, round(max(value), 6) AS high FROM sig WHERE sample >= 10 AND sample < 410 GROUP BY 1, 2", "sig")
+@query("+n AS (SELECT max(sample) + 1 AS n FROM sig) SELECT channel, sample // ((n + 95) // 96) AS bin, round(min(value), 6) AS low, round(max(value), 6) AS high FROM sig, n GROUP BY 1, 2", "sig")
 def minmax_envelope(spark, sf_dir):
-    return _round(S.minmax_envelope(sig(spark, sf_dir), 10, 400, 96).select("channel", "bin", "low", "high"), "low", "high")
+    n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return _round(S.minmax_envelope(sig(spark, sf_dir), 0, n, 96).select("channel", "bin", "low", "high"), "low", "high")
 
 
 @query("SELECT channel, sample, round(value, 6) AS value FROM sig WHERE channel = 3 AND sample >= 50 AND (sample - 50) % 2 = 0", "sig")
@@ -261,13 +299,14 @@ def keep_channels(spark, sf_dir):
     return _round(S.keep_channels(sig(spark, sf_dir), masks).select("channel", "sample", "value"), "value")
 
 
-@query("SELECT channel, sample, CASE WHEN sample < 250 THEN 0 ELSE 1 END AS win FROM sig WHERE (sample >= 20 AND sample < 230) OR (sample >= 270 AND sample < 480)", "sig")
+@query("SELECT channel, sample, CAST(sample // 250 AS INTEGER) AS win FROM sig WHERE sample % 250 BETWEEN 20 AND 229", "sig")
 def assign_windows(spark, sf_dir):
-    w = spark.sql("select 'r' recording_id, 0 grid, cast(id as int) win, id * 250 start, id * 250 + 250 end from range(2)")
+    win = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 250).alias("win")).distinct()
+    w = win.select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), F.col("win").cast("int").alias("win"), (F.col("win") * 250).alias("start"), (F.col("win") * 250 + 250).alias("end"))
     return S.assign_windows(sig(spark, sf_dir), w, 20).select("channel", "sample", "win")
 
 
-@query("SELECT channel, sample, CAST(round_even((value - lo) / (hi - lo) * 65535 - 32768, 0) AS BIGINT) AS digital FROM (SELECT *, min(value) OVER (PARTITION BY channel) AS lo, max(value) OVER (PARTITION BY channel) AS hi FROM sig)", "sig")
+@query("+r AS (SELECT channel, min(value) AS a, max(value) AS b FROM sig GROUP BY channel), f AS (SELECT channel, " + _FIT8.format("a") + " AS lo, " + _FIT8.format("b") + " AS hi FROM r) SELECT channel, sample, CAST(round_even((value - lo) / (hi - lo) * 65535 - 32768, 0) AS BIGINT) AS digital FROM sig JOIN f USING (channel)", "sig")
 def quantize(spark, sf_dir):
     s = sig(spark, sf_dir)
     return S.quantize(s, S.physical_range(s), 16).select("channel", "sample", "digital")
@@ -291,9 +330,9 @@ def preview_bundle(spark, sf_dir):
 # --- decomposition
 
 
-@query("+f AS (SELECT sample, channel, value FROM sig WHERE channel < 8), g AS (SELECT DISTINCT a.sample, m, a.channel FROM f a CROSS JOIN (SELECT unnest(range(3)) AS m)) SELECT g.sample, CAST(g.m * 8 + g.channel AS INTEGER) AS dim, round(coalesce(f.value, 0.0), 6) AS value FROM g LEFT JOIN f ON f.sample = g.sample - g.m AND f.channel = g.channel", "sig")
+@query("+f AS (SELECT sample, channel, value FROM sig), g AS (SELECT DISTINCT a.sample, m, a.channel FROM f a CROSS JOIN (SELECT unnest(range(3)) AS m)) SELECT g.sample, CAST(g.m * 64 + g.channel AS INTEGER) AS dim, round(coalesce(f.value, 0.0), 6) AS value FROM g LEFT JOIN f ON f.sample = g.sample - g.m AND f.channel = g.channel", "sig")
 def delay_embed(spark, sf_dir):
-    f = D.frames(sig(spark, sf_dir).where("channel < 8"))
+    f = D.frames(sig(spark, sf_dir))
     return _round(D.delay_embed(f, 3).select("sample", F.posexplode("x").alias("dim", "value")), "value")
 
 
@@ -328,12 +367,12 @@ def contrast_step(spark, sf_dir):
 
 
 def _at(spark, sf_dir):
-    s = table(spark, sf_dir, "embeddings").where("vec_id % 17 = 3").select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), (F.col("vec_id") % 2).alias("unit_uid"), F.col("vec_id").alias("sample"))
+    s = table(spark, sf_dir, "embeddings").select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), (F.col("vec_id") % 17).alias("unit_uid"), F.col("vec_id").alias("sample"))
     n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("total_samples")).withColumn("recording_id", F.lit("r"))
     return s, n
 
 
-_AT = "at_ AS (SELECT vec_id % 2 AS unit_uid, vec_id AS spike FROM embeddings WHERE vec_id % 17 = 3), fit AS (SELECT * FROM at_ WHERE spike >= 3 AND spike + 3 <= (SELECT max(vec_id) FROM embeddings)), seg AS (SELECT unit_uid, spike, channel, sample - spike AS off, value FROM fit JOIN sig ON sample BETWEEN spike - 3 AND spike + 3)"
+_AT = "at_ AS (SELECT vec_id % 17 AS unit_uid, vec_id AS spike FROM embeddings), fit AS (SELECT * FROM at_ WHERE spike >= 3 AND spike + 3 <= (SELECT max(vec_id) FROM embeddings)), seg AS (SELECT unit_uid, spike, channel, sample - spike AS off, value FROM fit JOIN sig ON sample BETWEEN spike - 3 AND spike + 3)"
 
 
 @query("+" + _AT + " SELECT unit_uid, channel AS dim, round(sum(value), 6) AS weight FROM at_ JOIN sig ON sample = spike GROUP BY 1, 2", "sig")
@@ -365,11 +404,37 @@ def activity_seed(spark, sf_dir):
     return D.activity_seed(D.frames(sig(spark, sf_dir))).select("sample")
 
 
+@query()
+def whitening_basis(spark, sf_dir):
+    b = D.whitening_basis(D.covariance_matrix(sig(spark, sf_dir)))
+    return b.select("recording_id", "grid", "rank", F.posexplode("matrix").alias("place", "value"))
+
+
+_TWO = "+b AS (SELECT CAST(0 AS INTEGER) AS dim, 0.6 AS q UNION ALL SELECT 1, 0.8), f AS (SELECT sample, channel AS dim, value FROM sig), d AS (SELECT sample, sum(value * q) AS s FROM f JOIN b USING (dim) GROUP BY 1), r AS (SELECT sample, dim, value - coalesce(q, 0) * s AS v FROM f LEFT JOIN b USING (dim) JOIN d USING (sample)) "
+
+
+@query(_TWO + "SELECT sample, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY sample)), 6) AS w FROM r", "sig")
+def deflate(spark, sf_dir):
+    v = D.frames(sig(spark, sf_dir)).withColumnRenamed("x", "w")
+    q = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k == 0, 0.6).when(k == 1, 0.8).otherwise(0.0))
+    basis = spark.sql("select 'r' recording_id, 0 grid").withColumn("w", q)
+    return _round(D.deflate(v, basis).select("sample", F.posexplode("w").alias("dim", "w")), "w")
+
+
 @query()
 def fit_units(spark, sf_dir):
     s = sig(spark, sf_dir)
     w = D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s)))
-    return D.fit_units(w, 8).select("unit", F.posexplode("filter").alias("dim", "w"))
+    rows = w.withColumn("win", F.floor(F.col("sample") / 2000).cast("int"))
+    return V.fit_units(rows, V.Fit(100.0, sil=0.0, apart=0.02)).select("recording_id", "grid", "win", "unit", F.round("sil", 6).alias("sil"), F.round("cov", 6).alias("cov"), F.size("spikes").alias("n_spikes"))
+
+
+@query()
+def update_filter_window(spark, sf_dir):
+    s, n = _at(spark, sf_dir)
+    views = s.select("recording_id", "grid", "unit_uid", (F.floor(F.col("sample") / 2000) * 2000).alias("start")).distinct().withColumn("end", F.col("start") + 2000)
+    out = V.update_filter_window(sig(spark, sf_dir), s, views, 100.0, 64, peel_others=True, band=(10.0, 30.0, 2))
+    return out.select("unit_uid", "start", "changed", F.size("spikes").alias("n_spikes"), F.round(F.aggregate("pulse", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 # --- units
@@ -422,11 +487,11 @@ def select_units(spark, sf_dir):
     return U.select_units(_round(U.isi_cov(spk(spark, sf_dir)).select("unit_uid", "cov"), "cov"), cov=1.0)
 
 
-@query("+t AS (SELECT recording_id, max(sample) + 1 AS n FROM m GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM m WHERE unit_uid < 8), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT unit_uid, sample, CASE WHEN m.value IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN m USING (recording_id, unit_uid, sample)", "min")
+@query("+t AS (SELECT recording_id, max(sample) + 1 AS n FROM m GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM m), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT unit_uid, sample, CASE WHEN m.value IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN m USING (recording_id, unit_uid, sample)", "min")
 def pulse_from_spikes(spark, sf_dir):
     m = minutes(spk(spark, sf_dir))
     t = m.groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
-    return U.pulse_from_spikes(m.where("unit_uid < 8"), t).select("unit_uid", "sample", "value")
+    return U.pulse_from_spikes(m, t).select("unit_uid", "sample", "value")
 
 
 @query("SELECT unit_uid, sample, CASE WHEN sample % 3 = 0 THEN 0.0 ELSE value END AS value FROM spk", "spk")
@@ -741,3 +806,188 @@ def adaptive_corpus(spark, sf_dir):
     level = lambda x: F.array_repeat(F.lit(x), 3)
     m = basis.select("recording_id", "grid", F.lit(0).cast("long").alias("start"), F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
     return _round(A.adaptive_corpus(f, m, A.Config(100, distance=4)).select("unit", "sample", "value", "spike"), "value")
+
+
+# --- listings, catalogues, masks and ranges
+
+
+@query("SELECT DISTINCT '/d/s' || (p_partkey % 50) AS folder, 'sub-' || (p_partkey // 50) AS label, '/d/s' || (p_partkey % 50) || '/sub-' || (p_partkey // 50) || CASE WHEN p_partkey % 3 = 0 THEN '_emg.bdf' WHEN p_partkey % 3 = 1 THEN '_emg.edf' ELSE '_emg.csv' END AS path, CASE WHEN p_partkey % 5 < 4 THEN '/d/s' || (p_partkey % 50) || '/sub-' || (p_partkey // 50) || CASE WHEN p_partkey % 5 < 2 THEN '_channels.tsv' ELSE '_emg_channels.tsv' END END AS channels FROM part")
+def resolve_recording_paths(spark, sf_dir):
+    from spikeloom.sources.tables import resolve_recording_paths as resolve
+
+    k = F.col("p_partkey")
+    stem = F.concat(F.lit("/d/s"), (k % 50).cast("string"), F.lit("/sub-"), F.floor(k / 50).cast("string"))
+    some = lambda cond, *names: F.when(cond, F.array(*(F.lit(n) for n in names))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(some(k % 3 == 0, "_emg.bdf"), some(k % 3 < 2, "_emg.edf"), some(F.lit(True), "_emg.csv", "_emg.json"), some(k % 5 < 2, "_channels.tsv"), some(k % 5 < 4, "_emg_channels.tsv"))
+    return resolve(table(spark, sf_dir, "part").select(stem.alias("stem"), F.explode(names).alias("name")).select(F.concat("stem", "name").alias("path")))
+
+
+@query("SELECT recording_id, row_no, type, CASE WHEN \"group\" <> 'n/a' THEN \"group\" END AS \"group\", row_no % 7 = 0 AS bad FROM ch", "ch")
+def read_channels_table(spark, sf_dir):
+    from spikeloom.sources.tables import read_channels_table as read
+
+    root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
+    c = channels(spark, sf_dir).withColumn("status", F.when(F.col("row_no") % 7 == 0, "BAD").otherwise("good"))
+    c.write.option("header", True).option("sep", "\t").csv(root)
+    return read(spark, root).select("recording_id", F.col("row_no").cast("long").alias("row_no"), "type", "group", "bad")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS DOUBLE) END AS rate, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS maker FROM customer")
+def read_recording_sidecars(spark, sf_dir):
+    from spikeloom.sources.tables import read_recording_sidecars as read
+
+    root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    j = F.to_json(F.struct(k.alias("id"), F.when(k % 2 == 0, k.cast("double")).alias("rate"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("maker")))
+    table(spark, sf_dir, "customer").select(j.alias("value")).write.text(root)
+    return read(spark, root, "id long, rate double, maker string", lines=True).select("id", "rate", "maker")
+
+
+@query("SELECT recording_id, unit_uid, sample, value, grid FROM spk WHERE sample >= 0", "spk")
+def save_decomposition(spark, sf_dir):
+    from spikeloom.sources.tables import save_decomposition as save
+
+    root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
+    s = spk(spark, sf_dir)
+    save(s.select("recording_id", "unit_uid", "grid").distinct(), s.select("recording_id", "unit_uid", "sample", "value"), s.union(s).select("recording_id", "unit_uid", "sample"), s.select("recording_id").distinct().withColumn("total_samples", F.lit(None).cast("long")), root)
+    read = lambda n: spark.read.parquet(f"{root}/{n}")
+    return read("spikes").join(read("pulses"), ["recording_id", "unit_uid", "sample"]).join(read("units"), ["recording_id", "unit_uid"]).select("recording_id", "unit_uid", "sample", "value", "grid")
+
+
+@query("SELECT c_custkey, array_to_string(list_sort(list_filter(['a=' || CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 > 0 THEN 'new' ELSE 'old' END, 'b=' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'c=' || c_mktsegment END], lambda x: x IS NOT NULL)), ',') AS meta FROM customer")
+def patch_metadata(spark, sf_dir):
+    from spikeloom.sources.tables import patch_metadata as patch
+
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    old = c.select("c_custkey", F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), k.cast("string")).alias("meta"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.create_map(F.lit("a"), F.when(k % 3 > 0, "new").otherwise(""), F.lit("c"), F.col("c_mktsegment")).alias("meta"))
+    once = patch(old, new, "c_custkey")
+    pairs = F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return patch(once, new, "c_custkey").select("c_custkey", F.array_join(pairs, ",").alias("meta"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'a') THEN 'a' WHEN contains(p_name, 'e') THEN 'e' WHEN contains(p_name, 'o') THEN 'o' END AS key FROM part")
+def match_grid_spec(spark, sf_dir):
+    catalog = spark.createDataFrame([("a", 0), ("e", 1), ("o", 2)], "key string, ord int")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("grid_name"))
+    return S.match_grid_spec(p, catalog).select("p_partkey", "spec.key")
+
+
+_MAP = "+m AS (SELECT DISTINCT o_orderkey AS key, unnest(range(6)) AS cell FROM orders), c AS (SELECT key, cell, CASE WHEN cell = 5 THEN 1 ELSE (cell + key) % 7 END AS channel FROM m), r AS (SELECT key, channel, max(cell) AS cell FROM c WHERE channel BETWEEN 1 AND 5 GROUP BY 1, 2) "
+
+
+@query(_MAP + "SELECT key, CAST(channel AS INTEGER) AS channel, CAST(cell // 3 AS INTEGER) AS \"row\", CAST(cell % 3 AS INTEGER) AS col FROM r", "sig")
+def electrode_coordinates(spark, sf_dir):
+    key = F.col("o_orderkey")
+    cell = lambda k: (F.lit(1) if k == 5 else (key + k) % 7).cast("int")
+    grid = F.array(F.array(*(cell(k) for k in range(3))), F.array(*(cell(k) for k in range(3, 6))))
+    return S.electrode_coordinates(table(spark, sf_dir, "orders").select(key.alias("key"), F.lit(5).alias("n"), grid.alias("channel_map")))
+
+
+@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS channel, l_orderkey % 2 = 0 AND count(*) OVER (PARTITION BY l_orderkey) = 3 AND row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 2 AS discard FROM lineitem")
+def channel_masks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("channel", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    c = rows.select(F.col("l_orderkey").alias("recording_id"), F.lit(0).alias("grid"), "channel")
+    over = c.where("recording_id % 2 = 0").select("recording_id", "grid").distinct().withColumn("mask", F.array(F.lit(0), F.lit(1), F.lit(0)))
+    return S.channel_masks(c, over).select(F.col("recording_id").alias("l_orderkey"), "channel", "discard")
+
+
+@query("+r AS (SELECT o_orderkey, o_orderkey % 90 + 1 AS n, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 200 - 50 ELSE 0 END AS a, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 70 ELSE 40 END AS b FROM orders), s AS (SELECT *, greatest(0, least(a, n - 1)) AS start FROM r) SELECT o_orderkey, start, greatest(start + 1, least(b, n)) AS \"end\" FROM s", "sig")
+def resolve_rois(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    r = o.select(k.alias("recording_id"), (k % 90 + 1).alias("total_samples"), F.lit(20.0).alias("fsamp"))
+    given = o.where("o_orderkey % 2 = 0").select(k.alias("recording_id"), (k % 200 - 50).alias("start"), (k % 70).alias("end"))
+    return S.resolve_rois(r, given, 2.0).select(F.col("recording_id").alias("o_orderkey"), "start", "end")
+
+
+_LIST = "+e AS (SELECT *, 'r' || c_nationkey AS recording_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3, c_custkey) AS k FROM customer WHERE c_custkey % 5 > 0), x AS (SELECT *, 'r' || c_nationkey AS recording_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer WHERE c_custkey % 5 = 0), n AS (SELECT recording_id, count(*) AS n FROM e GROUP BY 1) "
+
+
+@query(_LIST + "SELECT recording_id, k AS row_no, 'Ch' || CASE WHEN k < 10 THEN '0' ELSE '' END || k AS name, 'EMG' AS type, 'E' || k AS electrode, 'Grid' || (c_custkey % 3 + 1) AS grp, c_mktsegment AS muscle, CASE WHEN c_custkey % 7 = 0 THEN 'bad/manually excluded' ELSE 'good/n/a' END AS status, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '5' END AS gain, CASE WHEN c_custkey % 4 = 0 THEN '20.5' ELSE 'n/a' END AS low, 'measured' AS scheme FROM e UNION ALL SELECT recording_id, coalesce(n, 0) + k, CASE WHEN c_custkey % 2 = 0 THEN 'trigger' ELSE c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'TRIG' ELSE 'MISC' END, 'n/a', 'Aux', 'n/a', 'good/n/a', 'n/a', '0.1', 'n/a' FROM x LEFT JOIN n USING (recording_id)", "sig")
+def channels_sidecar(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumn("recording_id", F.concat(F.lit("r"), F.col("c_nationkey").cast("string")))
+    null = F.lit(None).cast("double")
+    r = c.select("recording_id").distinct().select("recording_id", F.lit(2048.0).alias("fsamp"), F.lit("uV").alias("units"), F.lit("wrist").alias("reference"), F.lit("Measured").alias("placement_scheme"), F.lit("5").alias("gain"), *(null.alias(n) for n in ("low_cutoff", "high_cutoff", "notch")))
+    e = c.where("c_custkey % 5 > 0").select("recording_id", (k % 3).cast("int").alias("grid"), k.alias("channel"), F.lit("HD").alias("grid_name"), F.col("c_mktsegment").alias("target_muscle"), F.lit(4.0).alias("ied"), (k % 7 == 0).cast("int").alias("discard"), F.when(k % 2 == 0, k.cast("string")).alias("gain"), F.when(k % 4 == 0, 20.5).alias("low_cutoff"), null.alias("high_cutoff"), null.alias("notch"))
+    x = c.where("c_custkey % 5 = 0").select("recording_id", k.alias("ord"), F.when(k % 2 == 0, "trigger").otherwise(F.col("c_mktsegment")).alias("label"), F.lit(None).cast("string").alias("gain"), F.lit(0.1).alias("low_cutoff"), null.alias("high_cutoff"))
+    out = C.channels_sidecar(r, e, x)
+    return out.select("recording_id", "row_no", "name", "type", F.col("signal_electrode").alias("electrode"), F.col("group").alias("grp"), F.col("target_muscle").alias("muscle"), F.concat_ws("/", "status", "status_description").alias("status"), "gain", F.col("low_cutoff").alias("low"), F.col("placement_scheme").alias("scheme"))
+
+
+# --- artifacts and saved edits
+
+
+@query("SELECT unit_uid, sample FROM spk WHERE sample >= 0 AND NOT (sample BETWEEN 500000 AND 1500000 AND value BETWEEN 20 AND 61)", "spk")
+def delete_artifacts_in_roi(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.delete_artifacts_in_roi(s.select("recording_id", "unit_uid", "sample"), s.select("recording_id", "unit_uid", "sample", "value"), _rois(s)).select("unit_uid", "sample")
+
+
+@query("+z AS (SELECT *, CASE WHEN sample BETWEEN 500000 AND 1500000 THEN value ELSE 0 END AS v FROM spk), p AS (SELECT unit_uid, sample, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM z WINDOW w AS (PARTITION BY unit_uid ORDER BY sample)) SELECT unit_uid, sample FROM p WHERE v > b AND v > a AND v >= 20 UNION SELECT unit_uid, sample FROM spk WHERE sample % 2 = 0", "spk")
+def add_artifacts_in_roi(spark, sf_dir):
+    s = spk(spark, sf_dir)
+    return E.add_artifacts_in_roi(s.select("recording_id", "unit_uid", "sample", "value"), s.where("sample % 2 = 0"), _rois(s), 1).select("unit_uid", "sample")
+
+
+@query()
+def dedup_by_grid(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    u = U.isi_cov(m, 100.0).join(m.select("recording_id", "unit_uid", "grid").distinct(), ["recording_id", "unit_uid"]).withColumn("ord", F.col("unit_uid"))
+    return U.dedup_by_grid(u, m.select("recording_id", "unit_uid", "sample"), 100.0, 0.01, True, _totals(m)).select("recording_id", "unit_uid", "grid")
+
+
+@query("SELECT unit_uid, count(DISTINCT sample) AS n_spikes, max(top) + 1 AS length, CAST(count(DISTINCT sample) AS DOUBLE) AS total FROM (SELECT *, max(sample) OVER (PARTITION BY recording_id) AS top FROM m) WHERE unit_uid % 3 > 0 GROUP BY unit_uid", "min")
+def save_edits(spark, sf_dir):
+    m = minutes(spk(spark, sf_dir))
+    units = m.select("recording_id", "unit_uid", "grid").distinct().withColumn("flagged", F.col("unit_uid") % 3 == 0)
+    kept, spikes, pulses = E.save_edits(units, m, m.select("recording_id", "unit_uid", "sample", "value"), _totals(m), 100.0, 2.0)
+    n = spikes.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("n_spikes"))
+    p = pulses.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("length"), F.sum("value").alias("total"))
+    return kept.join(n, ["recording_id", "unit_uid"]).join(p, ["recording_id", "unit_uid"]).select("unit_uid", "n_spikes", "length", "total")
+
+
+# --- adaptive state
+
+
+def _models(spark, sf_dir, start=0):
+    basis = D.whitening_basis(D.covariance_matrix(sig(spark, sf_dir)))
+    unit = F.array(*(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k, u=u: F.when(k == u, 1.0).otherwise(0.0)) for u in range(3)))
+    level = lambda x: F.array_repeat(F.lit(x), 3)
+    return basis.select("recording_id", "grid", F.lit(start).cast("long").alias("start"), F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
+
+
+@query()
+def init_whitening_state(spark, sf_dir):
+    m = A.init_whitening_state(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir), A.Config(100))
+    return m.select("recording_id", "grid", F.round("kl_mean", 6).alias("kl_mean"), F.round("kl_std", 6).alias("kl_std"), F.posexplode(F.transform("cov", lambda v: F.round(v, 6))).alias("place", "cov"))
+
+
+@query()
+def whitening_update(spark, sf_dir):
+    m = A.whitening_update(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir), A.Config(100))
+    return m.select("recording_id", "grid", F.posexplode(F.transform("whitening", lambda v: F.round(v, 6))).alias("place", "weight"))
+
+
+@query()
+def separation_update(spark, sf_dir):
+    f = D.frames(sig(spark, sf_dir))
+    f = f.withColumn("spikes", F.array(*(F.get("x", F.lit(u)) > 1 for u in range(3))))
+    m = A.separation_update(f, _models(spark, sf_dir), A.Config(100, epochs=5))
+    return m.select("recording_id", "grid", F.posexplode("vectors").alias("unit", "w")).select("recording_id", "grid", "unit", F.posexplode(F.transform("w", lambda v: F.round(v, 6))).alias("dim", "w"))
+
+
+@query("+c AS (SELECT p_partkey AS k, 1.0 + p_size % 5 AS a, 0.5 + p_size % 3 AS b FROM part), q AS (SELECT k, 0.5 * (a + b - ln(a * b) - 2) AS kl FROM c) SELECT 'p' || k AS recording_id, round(kl, 6) AS kl, round(pow((kl - 0.25) / (0.5 + 1e-12), 2), 6) AS loss FROM q", "sig")
+def whitening_loss(spark, sf_dir):
+    size = F.col("p_size")
+    cov = F.array((1.0 + size % 5).cast("double"), F.lit(0.0), F.lit(0.0), (0.5 + size % 3).cast("double"))
+    m = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("recording_id"), F.lit(0).alias("grid"), cov.alias("cov"), F.lit(0.25).alias("kl_mean"), F.lit(0.5).alias("kl_std"))
+    return _round(A.whitening_loss(m).select("recording_id", "kl", "loss"), "kl", "loss")
+
+
+@query()
+def adaptive_bidirectional(spark, sf_dir):
+    out = A.adaptive_bidirectional(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir, 250), A.Config(100, distance=4))
+    return _round(out.select("unit", "sample", "value", "spike"), "value")

@@ -12,10 +12,12 @@ def spike_events_table(spikes: DataFrame, fsamp: float) -> DataFrame:
 
 
 def upsert_participants(existing: DataFrame, updates: DataFrame, key: str = "participant_id") -> DataFrame:
-    """One row per participant, updates win; null becomes `n/a`. updates has one row per participant."""
+    """One row per participant, updates win; null becomes `n/a`. Numeric labels come first, by number, then others. updates has one row per participant."""
     rest = [c for c in existing.columns if c != key]
     j = existing.alias("a").join(updates.alias("b"), key, "full")
-    return j.select(key, *(F.coalesce(f"b.{c}", f"a.{c}", F.lit("n/a")).alias(c) for c in rest))
+    label = F.regexp_replace(F.col(key).cast("string"), "^sub-", "")
+    out = j.select(key, *(F.coalesce(f"b.{c}", f"a.{c}", F.lit("n/a")).alias(c) for c in rest))
+    return out.orderBy(label.try_cast("long").asc_nulls_last(), label)
 
 
 def uniform_or_null(df: DataFrame, keys: list[str], cols: dict[str, str], ignore: str | None = None) -> DataFrame:
@@ -51,12 +53,51 @@ def read_channels_table(spark: SparkSession, paths: str | list[str]) -> DataFram
     return rows.select("*", F.col("_metadata.file_path").alias("path")).withColumn("bad", F.coalesce(F.lower("status") == "bad", F.lit(False)))
 
 
-def read_recording_sidecars(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """One row per JSON sidecar under an explicit schema; missing keys are null."""
-    return spark.read.schema(schema).option("multiLine", True).json(paths).select("*", F.col("_metadata.file_path").alias("path"))
-
-
-def save_decomposition(tables: dict[str, DataFrame], root: str) -> None:
-    """Every table as Parquet, in a folder per recording."""
+def read_recording_sidecars(spark: SparkSession, paths: str | list[str], schema: str, lines: bool = False) -> DataFrame:
+    """One row per JSON sidecar (with lines: per line of a file) under an explicit schema; missing keys are null."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(paths).select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def resolve_recording_paths(listing: DataFrame) -> DataFrame:
+    """(folder, label, path, channels): the signal file of each entity label and its channel sidecar, from a listing of paths.
+
+    A signal is `<label>_emg.<suffix>`: .bdf before .edf before any other but
+    .json and .tsv. The sidecar is `<label>_channels.tsv`, else the older
+    `<label>_emg_channels.tsv`, else null.
+    """
+    name = F.substring_index("path", "/", -1)
+    files = listing.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("_name"))
+    suffix = F.lower(F.regexp_extract("_name", r"\.([^.]*)$", 1))
+    signal = files.withColumn("label", F.regexp_extract("_name", r"^(.*)_emg\.[^.]*$", 1)).where((F.col("label") != "") & ~suffix.isin("json", "tsv"))
+    rank = F.when(suffix == "bdf", 0).when(suffix == "edf", 1).otherwise(2)
+    best = signal.groupBy("folder", "label").agg(F.min(F.struct(rank.alias("r"), "path")).alias("s"))
+    side = files.withColumn("label", F.regexp_extract("_name", r"^(.*?)(?:_emg)?_channels\.tsv$", 1)).where("label <> ''")
+    older = F.col("_name").endswith("_emg_channels.tsv")
+    side = side.groupBy("folder", "label").agg(F.min(F.struct(older.alias("r"), "path")).alias("c"))
+    return best.join(side, ["folder", "label"], "left").select("folder", "label", F.col("s.path").alias("path"), F.col("c.path").alias("channels"))
+
+
+def only_recording(resolved: DataFrame) -> DataFrame:
+    """One row per folder; a folder with several recordings is an error."""
+    one = resolved.groupBy("folder").agg(F.count("*").alias("_n"), F.first(F.struct("label", "path", "channels")).alias("r"))
+    path = F.when(F.col("_n") == 1, F.col("r.path")).otherwise(F.raise_error(F.concat(F.lit("several recordings in "), "folder")).cast("string"))
+    return one.select("folder", "r.label", path.alias("path"), "r.channels")
+
+
+def save_decomposition(units: DataFrame, pulses: DataFrame, spikes: DataFrame, recordings: DataFrame, root: str) -> None:
+    """A decomposition as four Parquet tables, each in a folder per recording.
+
+    Spikes are distinct and inside their recording, whose length is its own
+    `total_samples`, else that of the pulses, else the last spike's place + 1;
+    units without a grid get grid 0.
+    """
+    from spikeloom.operators.units import UNIT, infer_total_samples
+
+    totals = infer_total_samples(recordings, pulses, spikes)
+    rows = spikes.select(*UNIT, "sample").distinct().join(totals, "recording_id").where("sample >= 0 and sample < total_samples").drop("total_samples")
+    tables = {
+        "units": units.withColumn("grid", F.coalesce("grid", F.lit(0))) if "grid" in units.columns else units.withColumn("grid", F.lit(0)),
+        "pulses": pulses.select(*UNIT, "sample", "value"), "spikes": rows, "recordings": recordings.drop("total_samples").join(totals, "recording_id"),
+    }
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("recording_id").parquet(f"{root}/{name}")
+        df.repartition("recording_id").sortWithinPartitions("recording_id").write.mode("overwrite").partitionBy("recording_id").parquet(f"{root}/{name}")

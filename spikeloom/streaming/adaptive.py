@@ -3,14 +3,16 @@
 frames: (recording_id, grid, sample, x), delay-embedded. models, one row per
 (recording_id, grid): start long (first sample), whitening array<double>
 (row-major), vectors array<array<double>>, low and high array<double> (the
-two spike levels of every unit).
+two spike levels of every unit); optional: cov array<double> (covariance of the
+whitened signal so far, row-major), kl_mean and kl_std double, and total long
+(samples of the recording, by which a stream knows its last batch).
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spikeloom.operators.units import UNIT, apart, local_maxima, thin_peaks, two_means_split
+from spikeloom.operators.units import UNIT, local_maxima, peaks_1d, thin_peaks, two_means_split
 
 KEYS = ("recording_id", "grid")
 OUT = "recording_id string, grid int, unit int, sample long, source double, value double, spike boolean"
@@ -37,6 +39,8 @@ class Config:
     weight: float = 5.0
     height: float = 3.0
     contrast: str = "logcosh"
+    epochs: int = 1
+    tol: float = 1e-4
 
 
 # --- single steps as DataFrame operators
@@ -73,23 +77,13 @@ def contrast_loss(sources: DataFrame, calibration: DataFrame, batch: int, contra
     m = F.avg(F.when(F.col("spike"), F.col("source")))
     g = sources.groupBy(*UNIT, F.floor(F.col("sample") / batch).alias("batch")).agg(m.alias("_m"))
     value = F.log(F.cosh("_m")) if contrast == "logcosh" else F.col("_m") ** 3 / 6
-    j = g.join(F.broadcast(calibration), list(UNIT))
+    j = g.join(calibration, list(UNIT))
     return j.select(*UNIT, "batch", F.pow((value - F.col("mean")) / (F.col("std") + 1e-12), F.lit(2.0)).alias("loss"))
 
 
 # --- the state of one grid
 
 
-def _peaks(v: np.ndarray, distance: int, low: float, high: float) -> np.ndarray:
-    """Local maxima (middle of flat tops) within the height band, highest first (the later on ties), `distance` apart."""
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    last, level = np.append(first[1:], len(v)) - 1, v[first]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1 if len(level) > 2 else np.array([], int)
-    at = (first[top] + last[top]) // 2
-    at = at[(v[at] >= low) & (v[at] <= high)]
-    return at[apart(at, v[at], distance)]
-
-
 class GridState:
     """Model of one grid, advanced by `feed` with one batch of vectors after another."""
 
@@ -98,21 +92,32 @@ class GridState:
         self.whitening = np.array(row["whitening"], float).reshape(n, -1)
         self.vectors = np.array([np.asarray(v, float) for v in row["vectors"]])
         self.levels = np.array([row["low"], row["high"]], float)
-        self.cov = np.eye(n)
+        cov = row.get("cov")
+        self.cov = np.eye(n) if cov is None or np.size(cov) < n * n else np.array(cov, float).reshape(n, n)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.whitening.T @ self.vectors.T
 
-    def feed(self, x: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
-        """Sources and spike flags of a batch; whitening, levels and vectors then follow it."""
+    def follow(self, white: np.ndarray, cfg: Config) -> None:
+        """The covariance drawn to that of a batch of whitened vectors."""
+        if len(white) > 1:
+            self.cov = self.cov + cfg.alpha * (np.cov(white, rowvar=False).reshape(self.cov.shape) - self.cov)
+
+    def whiten(self, x: np.ndarray, cfg: Config) -> np.ndarray:
+        """A batch whitened by the matrix as it is, which then takes a step that makes the covariance more like the identity."""
         white = x @ self.whitening.T
         if len(x) > 1:
-            self.cov += cfg.alpha * (np.cov(white, rowvar=False).reshape(self.cov.shape) - self.cov)
+            self.follow(white, cfg)
             self.whitening = self.whitening - cfg.whitening_rate * (self.cov - np.eye(len(self.cov))) @ self.whitening
+        return white
+
+    def feed(self, x: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+        """Sources and spike flags of a batch; whitening, levels and vectors then follow it."""
+        white = self.whiten(x, cfg)
         source = white @ self.vectors.T
         power, spikes = source * np.abs(source), np.zeros(source.shape, bool)
         for u, (low, high) in enumerate(self.levels.T):
-            at = _peaks(power[:, u], cfg.distance, low / cfg.height, high * cfg.height)
+            at = peaks_1d(power[:, u], cfg.distance, low / cfg.height, high * cfg.height)
             up = power[at, u] > (low + high) / 2
             spikes[at[up], u] = True
             for level, part in ((0, at[~up]), (1, at[up])):
@@ -124,6 +129,8 @@ class GridState:
         """One step up the contrast at the spikes, then each vector made orthogonal to those before it; units without spikes stay."""
         slope = (np.tanh(source) if cfg.contrast == "logcosh" else source**2 / 2) * spikes
         count = spikes.sum(0)
+        if cfg.epochs > 1:
+            return self._turn_often(slope.T @ white / np.maximum(count, 1)[:, None], count, cfg)
         step = self.vectors + cfg.vector_rate * (slope.T @ white) / np.maximum(count, 1)[:, None]
         new = np.where((count > 0)[:, None], step / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-8), self.vectors)
         for u in np.flatnonzero(count > 0):
@@ -132,6 +139,98 @@ class GridState:
         self.vectors = new
 
 
+    def _turn_often(self, slope: np.ndarray, count: np.ndarray, cfg: Config) -> None:
+        """Unit by unit several steps, until one hardly moves the vector; then it is made orthogonal to those before it."""
+        for u in np.flatnonzero(count > 0):
+            w = self.vectors[u]
+            for _ in range(cfg.epochs):
+                new = w + cfg.vector_rate * slope[u]
+                new = new / max(np.linalg.norm(new), 1e-8)
+                moved, w = 1 - abs(new @ w), new
+                if moved < cfg.tol:
+                    break
+            rest = w - self.vectors[:u].T @ (self.vectors[:u] @ w)
+            self.vectors[u] = rest / max(np.linalg.norm(rest), 1e-8)
+
+
+def kl_to_identity(cov: np.ndarray) -> float:
+    """Divergence of a normal distribution of that covariance from the standard one; NaN if it isn't positive."""
+    sign, logdet = np.linalg.slogdet(cov)
+    return float((np.trace(cov) - logdet - len(cov)) / 2) if sign > 0 else np.nan
+
+
+def _per_grid(frames: DataFrame, models: DataFrame, step, extra: str) -> DataFrame:
+    """models with what step(state, x in sample order, row) gives for the frames of their grid, a bounded window."""
+    names = [c.split()[0] for c in extra.split(", ")]
+    kept = [f for f in models.schema if f.name not in names]
+
+    def run(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame()
+        row = rows.to_dict("records")[0]
+        x = np.stack(pdf.sort_values("sample")["x"].to_numpy()) if len(pdf) else np.zeros((0, len(row["vectors"][0])))
+        return pd.DataFrame([{f.name: row[f.name] for f in kept} | step(GridState(row), x, row)])
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [extra])
+    return frames.groupBy(*KEYS).cogroup(models.groupBy(*KEYS)).applyInPandas(run, schema)
+
+
+def init_whitening_state(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """models with cov, kl_mean and kl_std from calibration frames: their covariance, then drawn to that of each full batch in order.
+
+    The divergences after each batch give mean and deviation (1 if it is 0).
+    """
+
+    def step(state: GridState, x: np.ndarray, row: dict) -> dict:
+        white = x @ state.whitening.T
+        if len(white) > 1:
+            state.cov = np.cov(white, rowvar=False).reshape(state.cov.shape)
+        kl = []
+        for lo in range(0, len(white) - cfg.batch + 1, cfg.batch):
+            state.follow(white[lo : lo + cfg.batch], cfg)
+            kl.append(kl_to_identity(state.cov))
+        kl = np.array([v for v in kl if not np.isnan(v)])
+        return {"cov": state.cov.ravel(), "kl_mean": float(kl.mean()) if len(kl) else 0.0, "kl_std": (float(kl.std()) or 1.0) if len(kl) else 1.0}
+
+    return _per_grid(frames, models, step, "cov array<double>, kl_mean double, kl_std double")
+
+
+def whitening_update(batch: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """models after one batch of frames: covariance and whitening matrix."""
+
+    def step(state: GridState, x: np.ndarray, row: dict) -> dict:
+        state.whiten(x, cfg)
+        return {"cov": state.cov.ravel(), "whitening": state.whitening.ravel()}
+
+    return _per_grid(batch, models, step, "cov array<double>, whitening array<double>")
+
+
+def separation_update(batch: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """models after one batch of frames with `spikes` (array<boolean>, a flag for each unit): separation vectors."""
+    packed = batch.select(*KEYS, "sample", F.concat("x", F.transform("spikes", lambda s: s.cast("double"))).alias("x"))
+
+    def step(state: GridState, x: np.ndarray, row: dict) -> dict:
+        n = len(row["vectors"][0])
+        white = x[:, :n] @ state.whitening.T
+        state._turn(white, white @ state.vectors.T, x[:, n:] > 0, cfg)
+        return {"vectors": list(state.vectors)}
+
+    return _per_grid(packed, models, step, "vectors array<array<double>>")
+
+
+def whitening_loss(models: DataFrame) -> DataFrame:
+    """(recording_id, grid, kl, loss): divergence of the covariance from the identity, and its squared z-score against calibration; null if it isn't positive."""
+
+    def tell(batches):
+        for pdf in batches:
+            n = pdf["cov"].map(lambda c: int(np.sqrt(len(c))))
+            yield pdf[["recording_id", "grid"]].assign(kl=[kl_to_identity(np.reshape(c, (k, k))) for c, k in zip(pdf["cov"], n, strict=True)], kl_mean=pdf["kl_mean"], kl_std=pdf["kl_std"])
+
+    rows = models.select(*KEYS, "cov", "kl_mean", "kl_std").mapInPandas(tell, "recording_id string, grid int, kl double, kl_mean double, kl_std double")
+    kl = F.nanvl("kl", F.lit(None).cast("double"))
+    return rows.select(*KEYS, kl.alias("kl"), F.pow((kl - F.col("kl_mean")) / (F.col("kl_std") + 1e-12), F.lit(2.0)).alias("loss"))
+
+
 def _rows(key: tuple, sample: np.ndarray, source: np.ndarray, spikes: np.ndarray) -> pd.DataFrame:
     n, u = source.shape
     s = source.ravel()
@@ -142,16 +241,19 @@ class _Feeder:
     """Collects the samples of one grid and hands over whole batches in order, whatever order rows come in."""
 
     def __init__(self):
-        self.model, self.start, self.next, self.waiting = None, 0, 0, {}
+        self.model, self.start, self.next, self.waiting, self.total = None, 0, 0, {}, None
 
     def add(self, pdf: pd.DataFrame, cfg: Config) -> Iterator[tuple]:
         for row in pdf[pdf["vectors"].notna()].to_dict("records")[:1]:
             self.model, self.start = GridState(row), int(row["start"])
+            self.total = None if pd.isna(row["total"]) else int(row["total"])
         self.waiting |= dict(zip(pdf["sample"].tolist(), pdf["x"], strict=True))
         while self.model is not None:
             lo = self.start + self.next * cfg.batch
             places = range(lo, lo + cfg.batch)
             if not all(k in self.waiting for k in places):
+                if self.total is not None and lo < self.total <= lo + cfg.batch and all(k in self.waiting for k in range(lo, self.total)):
+                    yield from self.rest()
                 return
             x = np.stack([self.waiting.pop(k) for k in places])
             skip = cfg.skip if self.next == 0 else 0
@@ -163,13 +265,14 @@ class _Feeder:
         if self.model is not None and self.waiting:
             at = np.array(sorted(k for k in self.waiting if k >= self.start), np.int64)
             if len(at):
-                source = self.model.project(np.stack([self.waiting[k] for k in at]))
+                source = self.model.project(np.stack([self.waiting.pop(k) for k in at]))
                 yield at, source, np.zeros(source.shape, bool)
 
 
 def _with_model(frames: DataFrame, models: DataFrame) -> DataFrame:
     """The model rides on the first sample of its grid alone, so it crosses the shuffle once."""
-    m = models.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "start", "whitening", "vectors", "low", "high")
+    more = [F.col(c) if c in models.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("cov", "array<double>"), ("total", "long"))]
+    m = models.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "start", "whitening", "vectors", "low", "high", *more)
     on = (F.col("recording_id") == F.col("_recording_id")) & (F.col("grid") == F.col("_grid")) & (F.col("sample") == F.col("start"))
     return frames.select(*KEYS, "sample", "x").join(m, on, "left").drop("_recording_id", "_grid")
 
@@ -199,7 +302,11 @@ def adaptive_corpus(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFr
 
 
 def adaptive_stream(stream: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
-    """The same on a stream of frames: a grid's model, open batch and batch number are its state; a batch closes when all its samples are there."""
+    """The same on a stream of frames: a grid's model, open batch and batch number are its state; a batch closes when all its samples are there.
+
+    With `total` in models the incomplete last batch is projected, without
+    spikes, once the recording's last sample is there.
+    """
 
     def run(key, pdfs, state: GroupState):
         feeder = pickle.loads(state.get[0]) if state.exists else _Feeder()
@@ -208,3 +315,27 @@ def adaptive_stream(stream: DataFrame, models: DataFrame, cfg: Config) -> DataFr
         state.update((pickle.dumps(feeder),))
 
     return _with_model(stream, models).groupBy(*KEYS).applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def adaptive_bidirectional(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """Forward from one batch before each model's start, and backward over what lies before it, block after block in reversed order.
+
+    Samples keep their order inside a block; the blocks of the earlier part are
+    numbered from its end. Both runs begin with the given model; the rows of
+    both, in samples of the recording, are one result.
+    """
+    size = F.lit(cfg.batch)
+    known = frames.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS))
+    forward = adaptive_corpus(frames, models.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("start") - size)), cfg)
+    forward = forward.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS)).where("sample >= _start").drop("_start")
+    # blocks of the earlier part; the last of them may be short and comes first
+    last = F.floor((F.col("_start") - 1) / size)
+    rest = F.col("_start") - last * size
+    own = F.floor(F.col("sample") / size)
+    place = F.when(own == last, F.col("sample") - last * size).otherwise(rest + (last - 1 - own) * size + F.col("sample") % size)
+    turned = known.where("sample < _start").select(*KEYS, place.alias("sample"), "x")
+    back = adaptive_corpus(turned, models.where("start > 0").withColumn("start", F.lit(0).cast("long")), replace(cfg, skip=0))
+    back = back.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS))
+    after = F.col("sample") - rest
+    home = F.when(after < 0, last * size + F.col("sample")).otherwise((last - 1 - F.floor(after / size)) * size + after % size)
+    return forward.union(back.withColumn("sample", home.cast("long")).select(forward.columns))
