@@ -18,8 +18,10 @@ from spikeloom.llm import text as X
 from spikeloom.llm.training import balanced, remainder
 
 FEATURES = 4096
-#: Labelled rows to learn from, for each language.
-PER_LANGUAGE = 700
+#: Labelled rows to learn from, for each language and in all (fewer of each, if there are many languages).
+PER_LANGUAGE, IN_ALL = 700, 14_000
+#: Bytes whose n-grams are hashed at once.
+PIECE = 1 << 20
 #: Closely related languages by ISO code; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
@@ -38,16 +40,18 @@ def family(lang: str) -> str:
 def features(s: X.Slice) -> np.ndarray:
     """One row per document: log counts of hashed n-grams, scaled to length 1."""
     rows = s.hi - s.lo
-    b = X.LOWER[s.buf].astype(np.uint32)
-    out = np.zeros(rows * FEATURES, np.float32)
-    if len(b) > 1:
-        doc = np.repeat(np.arange(rows, dtype=np.int64) * FEATURES, s.end - s.start)
-        left = np.repeat(s.end, s.end - s.start) - np.arange(len(b))
+    count = np.zeros(rows * FEATURES, np.int64)
+    for lo in range(0, len(s.buf), PIECE):  # n-grams that begin in one piece of the bytes after another
+        b = X.LOWER[s.buf[lo : lo + PIECE + 2]].astype(np.uint32)
+        at = np.arange(lo, min(lo + PIECE, len(s.buf)))
+        doc = np.searchsorted(s.end, at, "right")
+        left = s.end[doc] - at
         two = b[:-1] * np.uint32(2654435761) + b[1:] * np.uint32(2246822519)
         three = two[:-1] + b[2:] * np.uint32(3266489917)
-        count = np.bincount((doc[:-1] + (two * np.uint32(668265263) >> np.uint32(20)))[left[:-1] > 1], minlength=len(out))
-        count += np.bincount((doc[:-2] + (three * np.uint32(374761393) >> np.uint32(20)))[left[:-2] > 2], minlength=len(out))
-        out = np.log1p(count.astype(np.float32))
+        for gram, size, factor in ((two, 2, 668265263), (three, 3, 374761393)):
+            use = np.flatnonzero(left >= size)
+            np.add.at(count, doc[use] * FEATURES + (gram[use] * np.uint32(factor) >> np.uint32(20)), 1)
+    out = np.log1p(count.astype(np.float32))
     out = out.reshape(rows, FEATURES)
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
@@ -120,7 +124,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
             yield pa.RecordBatch.from_arrays([b.column("lang"), X.blobs([r.tobytes() for m in x for r in m])], ["lang", "x"])
 
     known = docs.select("doc_id", "text", "lang").where((remainder(5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = balanced(known, "lang", per_language).select("lang", "text").mapInArrow(rows, "lang string, x binary").toArrow()
+    languages = known.select("lang").distinct().count()
+    got = balanced(known, "lang", min(per_language, -(-IN_ALL // max(1, languages)))).select("lang", "text").mapInArrow(rows, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(got.num_rows, FEATURES).astype(np.float32)

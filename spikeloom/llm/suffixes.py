@@ -30,7 +30,9 @@ from spikeloom.llm.graph import forget, written
 ANCHOR = 20
 _U = np.uint64
 #: Documents that one batch's suffix array covers at most, and entries that are gathered to one array of a task at least.
-BATCH_DOCS, BATCH_ENTRIES = 20_000, 1 << 17
+BATCH_DOCS, BATCH_ENTRIES = 20_000, 1 << 16
+#: Bytes of text for each range of suffixes, about, so that a task's share doesn't grow with the input.
+RANGE_BYTES = 12_000_000
 #: Rows of one stored piece of a level, and ranges of kept levels.
 PIECE, KEPT_RANGES = 50_000, 64
 #: One indexed suffix: its first 20 bytes as numbers (in byte order), hash of the surroundings, row of the document table, place.
@@ -130,7 +132,7 @@ def suffix_arrays(docs: DataFrame, span: int, ranges: int) -> DataFrame:
         for b in batches:
             own = b.column("doc_id").to_numpy(zero_copy_only=False)
             for s in X.slices(b.column("text"), max_rows=BATCH_DOCS):
-                if held and (len(ids) + s.hi - s.lo > BATCH_DOCS or n > 1_000_000):
+                if held and (len(ids) + s.hi - s.lo > BATCH_DOCS or n > 600_000):
                     yield flush()
                     held, ids, n = [], [], 0
                 prefix = X.prefix_hash(s.buf)
@@ -441,8 +443,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, lev
     if not 2 * ANCHOR <= span <= ANCHOR + 63:
         raise ValueError(f"span must be from {2 * ANCHOR} to {ANCHOR + 63}")
     spark = docs.sparkSession
-    ranges = KEPT_RANGES if levels else int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
+    if levels:
+        ranges = KEPT_RANGES
+    else:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     runs = suffix_arrays(docs, span, ranges)
     if levels:
         now = _newest(spark, levels)
