@@ -1,7 +1,10 @@
 """Corpus pipeline: language ID, near-duplicate removal, decontamination, surrogates for personal data, tokens.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
-kept and returns a DataFrame; all but the last return the columns of docs.
+kept and returns a DataFrame; all but the last return the columns of docs, in
+whatever number and under whatever names. What depends on a text alone is
+decided by text, so it holds for rows that repeat a doc_id or have none; a row
+without a doc_id is in no group of near duplicates. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -15,10 +18,20 @@ from spikeloom.llm import bpe, decontaminate, jaccard, langid, pii
 from spikeloom.llm.graph import shared_folder
 
 
+def _without(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """docs without the rows whose text has one of these hashes (doc_id of texts)."""
+    gone = texts.select(F.col("doc_id").alias("_hash")).distinct()
+    return docs.join(gone, F.xxhash64(docs["text"].cast("string")) == gone["_hash"], "left_anti")
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or no letter) go."""
-    rejected = langid.language_id(docs).where(F.col("lang_pred") == "und").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    found = langid.identify(_by_text(docs), langid.train(docs))
+    return _without(docs, found.where(F.col("lang_pred") == "und"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +42,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or all of a shorter one) go."""
-    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.decontaminate(_by_text(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    return _without(docs, found.where("contaminated"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
