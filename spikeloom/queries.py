@@ -487,11 +487,18 @@ def select_units(spark, sf_dir):
     return U.select_units(_round(U.isi_cov(spk(spark, sf_dir)).select("unit_uid", "cov"), "cov"), cov=1.0)
 
 
-@query("+t AS (SELECT recording_id, max(sample) + 1 AS n FROM m GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM m), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT unit_uid, sample, CASE WHEN m.value IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN m USING (recording_id, unit_uid, sample)", "min")
+_HOUR = "+h AS (SELECT DISTINCT recording_id, unit_uid, sample // 60 AS sample FROM m)"
+
+
+def _hours(spikes):
+    """The spike trains by hours, for series over whole recordings."""
+    return minutes(spikes).select("recording_id", "unit_uid", "grid", F.floor(F.col("sample") / 60).alias("sample")).distinct()
+
+
+@query(_HOUR + ", t AS (SELECT recording_id, max(sample) + 1 AS n FROM h GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM h), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT p.unit_uid, p.sample, CASE WHEN h.sample IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN h ON h.recording_id = p.recording_id AND h.unit_uid = p.unit_uid AND h.sample = p.sample", "min")
 def pulse_from_spikes(spark, sf_dir):
-    m = minutes(spk(spark, sf_dir))
-    t = m.groupBy("recording_id").agg((F.max("sample") + 1).alias("total_samples"))
-    return U.pulse_from_spikes(m, t).select("unit_uid", "sample", "value")
+    h = _hours(spk(spark, sf_dir))
+    return U.pulse_from_spikes(h, _totals(h)).select("unit_uid", "sample", "value")
 
 
 @query("SELECT unit_uid, sample, CASE WHEN sample % 3 = 0 THEN 0.0 ELSE value END AS value FROM spk", "spk")
@@ -939,11 +946,12 @@ def dedup_by_grid(spark, sf_dir):
     return U.dedup_by_grid(u, m.select("recording_id", "unit_uid", "sample"), 100.0, 0.01, True, _totals(m)).select("recording_id", "unit_uid", "grid")
 
 
-@query("SELECT unit_uid, count(DISTINCT sample) AS n_spikes, max(top) + 1 AS length, CAST(count(DISTINCT sample) AS DOUBLE) AS total FROM (SELECT *, max(sample) OVER (PARTITION BY recording_id) AS top FROM m) WHERE unit_uid % 3 > 0 GROUP BY unit_uid", "min")
+@query(_HOUR + " SELECT unit_uid, count(*) AS n_spikes, max(top) + 1 AS length, CAST(count(*) AS DOUBLE) AS total FROM (SELECT *, max(sample) OVER (PARTITION BY recording_id) AS top FROM h) WHERE unit_uid % 3 > 0 GROUP BY unit_uid", "min")
 def save_edits(spark, sf_dir):
-    m = minutes(spk(spark, sf_dir))
-    units = m.select("recording_id", "unit_uid", "grid").distinct().withColumn("flagged", F.col("unit_uid") % 3 == 0)
-    kept, spikes, pulses = E.save_edits(units, m, m.select("recording_id", "unit_uid", "sample", "value"), _totals(m), 100.0, 2.0)
+    h = _hours(spk(spark, sf_dir))
+    units = h.select("recording_id", "unit_uid", "grid").distinct().withColumn("flagged", F.col("unit_uid") % 3 == 0)
+    short = h.select("recording_id", "unit_uid", "sample", F.lit(1.0).alias("value"))  # pulses that aren't as long as the recording
+    kept, spikes, pulses = E.save_edits(units, h, short, _totals(h), 100.0, 2.0)
     n = spikes.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("n_spikes"))
     p = pulses.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("length"), F.sum("value").alias("total"))
     return kept.join(n, ["recording_id", "unit_uid"]).join(p, ["recording_id", "unit_uid"]).select("unit_uid", "n_spikes", "length", "total")
