@@ -164,13 +164,15 @@ def marginals(e: np.ndarray, begin: np.ndarray, trans: np.ndarray, pairs: bool =
     out = up / (up + (1 - alpha) * (1 - beta))
     if not pairs:
         return out
-    q = np.flatnonzero(~begin)
-    a = np.stack([1 - alpha[q - 1], alpha[q - 1]], 1)
-    b = np.stack([1 - beta[q], beta[q] * g[q]], 1)
-    xi = a[:, :, None] * t[:2][None] * b[:, None, :]
-    xi /= xi.sum((1, 2), keepdims=True)
+    inside, expected = np.flatnonzero(~begin), np.zeros((2, 2))
+    for k in range(0, len(inside), 1 << 17):  # piece by piece, for the sake of memory
+        q = inside[k : k + (1 << 17)]
+        a = np.stack([1 - alpha[q - 1], alpha[q - 1]], 1)
+        b = np.stack([1 - beta[q], beta[q] * g[q]], 1)
+        xi = a[:, :, None] * t[:2][None] * b[:, None, :]
+        expected += (xi / xi.sum((1, 2), keepdims=True)).sum(0)
     start = out[begin]
-    return out, xi.sum(0), np.array([len(start) - start.sum(), start.sum()])
+    return out, expected, np.array([len(start) - start.sum(), start.sum()])
 
 
 def _summary(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
