@@ -177,15 +177,15 @@ def blobs(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def whole_groups(batches, key: str, rows: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, of about `rows` rows, from batches that come in order of key (sortWithinPartitions)."""
-    held, n = [], 0
+def whole_groups(batches, key: str, rows: int = 50_000, size: int = 1 << 25) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about `rows` rows or `size` bytes, from batches that come in order of key (sortWithinPartitions)."""
+    held, n, held_bytes = [], 0, 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        n += b.num_rows
-        if n < rows:
+        n, held_bytes = n + b.num_rows, held_bytes + b.nbytes
+        if n < rows and held_bytes < size:
             continue
         k = b.column(key).to_numpy(zero_copy_only=False)
         cut = int(np.flatnonzero(k == k[-1])[0])  # the last group may go on
@@ -200,7 +200,7 @@ def whole_groups(batches, key: str, rows: int = 50_000) -> Iterator[pa.Table]:
         else:
             yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
             held = [b.slice(cut)]
-        n = sum(x.num_rows for x in held)
+        n, held_bytes = sum(x.num_rows for x in held), sum(x.nbytes for x in held)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -70,7 +70,7 @@ def test_groups_stay_whole_across_batches():
 
     keys = np.sort(np.random.default_rng(3).integers(0, 40, 5000))
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 70]), pa.array(np.arange(k, min(k + 70, 5000)))], ["key", "row"]) for k in range(0, 5000, 70)]
-    for rows in (1, 100, 10_000):
-        got = list(X.whole_groups(iter(batches), "key", rows))
+    for rows, size in ((1, 1 << 25), (100, 1 << 25), (10_000, 1 << 25), (10_000, 5000)):
+        got = list(X.whole_groups(iter(batches), "key", rows, size))
         seen = [set(t.column("key").to_pylist()) for t in got]
         assert sum(map(len, seen)) == len(set().union(*seen)) and [r for t in got for r in t.column("row").to_pylist()] == list(range(5000))
