@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, decontaminate, jaccard, langid, neighbors, pii, quality, sharding, suffixes, toxicity
+from spikeloom.llm import bpe, decontaminate, exact, jaccard, langid, neighbors, periods, pii, quality, sharding, suffixes, toxicity, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"), mixed=True)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(_read(spark, sf_dir, "documents"), rewrite=True)
+
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP1_SQL = rf"""
@@ -118,13 +130,49 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END) AS v FROM range(256) r(i)),
+ids AS MATERIALIZED (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t),
+step(c, s, k, v) AS (
+  SELECT c, s, 0, 4294967295::BIGINT FROM ids
+  UNION ALL SELECT c, s, k + 1, xor(step.v // 256, crc.v) FROM step JOIN crc ON crc.i = xor(step.v % 256, ascii(substr(s, k + 1, 1))) WHERE k < length(s)),
+h AS MATERIALIZED (SELECT c, xor(v, 4294967295::BIGINT) % 4 AS h FROM step WHERE k = length(s)),
+r AS MATERIALIZED (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d, role, text FROM (
+    SELECT h.c, 0 AS own, k, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 AND k < h
+    UNION ALL SELECT h.c, 1, k, role, text FROM h JOIN t ON t.c = h.c AND k >= h)),
+p AS MATERIALIZED (
+  SELECT c, d, text, array_agg(struct_pack(r := role, t := text)) OVER (PARTITION BY c ORDER BY d) AS seq FROM r
+  UNION ALL SELECT c, 0, '', [] FROM ids),
+n AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT seq, min(d) AS d, min(c) AS c, count(*) AS m, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS w FROM p GROUP BY seq)),
+q AS MATERIALIZED (SELECT p.c, p.d, n.id, n.m, n.w, n.c AS least FROM p JOIN n USING (seq)),
+up AS MATERIALIZED (SELECT DISTINCT lo.id, hi.id AS parent, hi.least FROM q lo JOIN q hi ON lo.c = hi.c AND lo.d = hi.d + 1),
+kids AS (SELECT parent AS id, count(*) AS n_children FROM up GROUP BY 1),
+below AS (SELECT DISTINCT hi.id, lo.id AS x, lo.m, lo.w FROM q hi JOIN q lo ON lo.c = hi.c AND lo.d >= hi.d),
+sums AS (SELECT below.id, sum((m - 1) * w) AS saved, sum((n_children IS NULL)::INTEGER) AS leaves FROM below LEFT JOIN kids ON kids.id = x GROUP BY 1),
+ends AS (SELECT id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM (SELECT c, max_by(id, d) AS id FROM q GROUP BY c) GROUP BY id)
+SELECT n.c AS conv_id, n.d AS depth, up.least AS parent_conv_id, n.m AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM n JOIN sums USING (id) LEFT JOIN up USING (id) LEFT JOIN kids USING (id) LEFT JOIN ends USING (id)
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents),
+k AS (SELECT doc_id, x, count(*) OVER (PARTITION BY x) AS group_size, first_value(doc_id) OVER (PARTITION BY x ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM k
+"""
+
 
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_ngram_jaccard_join, op2_language_id, op3_byte_bpe, op4_sharding, op5_pii_surrogates, op6_embedding_near_dedup, op7_quality, op8_suffix_dedup, op9_decontamination, op10_toxicity)
+    own = (op1_ngram_jaccard_join, op2_language_id, op3_byte_bpe, op4_sharding, op5_pii_surrogates, op6_embedding_near_dedup, op7_quality, op8_suffix_dedup, op9_decontamination, op10_toxicity, op11_conversation_trie, op12_exact_dedup, op13_periodic_runs)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_exact_dedup": OP12_SQL}

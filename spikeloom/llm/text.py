@@ -62,12 +62,17 @@ def _grow(n: int) -> None:
             _powers[key] = np.cumprod(a, dtype=_U)
 
 
+def prefix_of(h: np.ndarray) -> np.ndarray:
+    """Prefix sums from which span_hash() reads the hash of any range of a sequence of hashes."""
+    _grow(len(h) + 1)
+    out = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * _powers["p"][: len(h)], dtype=_U, out=out[1:])
+    return out
+
+
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """Prefix sums from which span_hash() reads the hash of any byte range."""
-    _grow(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_BYTE[buf] * _powers["p"][: len(buf)], dtype=_U, out=out[1:])
-    return out
+    return prefix_of(_BYTE[buf])
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
