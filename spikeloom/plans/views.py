@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The same views for DuckDB, as common table expressions.
 SIG = "sig AS (SELECT 'r' AS recording_id, CAST(0 AS INTEGER) AS grid, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS channel, CAST(vec_id AS BIGINT) AS sample, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+PARTS = "parts AS (SELECT 'r' || (sample // 125) AS recording_id, grid, channel, sample % 125 AS sample, value FROM sig)"
 SPK = "spk AS (SELECT 'r' || (user_id % 4) AS recording_id, user_id AS unit_uid, CAST(user_id // 4 % 4 AS INTEGER) AS grid, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS sample, max(value) AS value FROM events GROUP BY ALL)"
 MIN = "m AS (SELECT recording_id, unit_uid, grid, sample // 60 AS sample, max(value) AS value FROM spk GROUP BY ALL)"
 CH = "ch AS (SELECT 'r' || c_nationkey AS recording_id, c_custkey AS row_no, CASE WHEN c_custkey % 5 = 0 THEN 'MISC' ELSE 'EMG' END AS type, CASE WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE 'Grid' || (c_custkey % 12) END AS \"group\", CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END AS target_muscle, CASE WHEN c_custkey % 2 = 0 THEN 'n/a' ELSE CAST(2000 + c_custkey AS VARCHAR) END AS sampling_frequency, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || ' Hz' END AS low_cutoff, 'n/a' AS high_cutoff, CAST(c_nationkey // 20 * c_custkey AS VARCHAR) AS gain FROM customer)"
@@ -30,6 +31,12 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), F.posexplode("embedding").alias("channel", "v"), F.col("vec_id").alias("sample")).select("recording_id", "grid", "channel", "sample", F.col("v").cast("double").alias("value"))
 
 
+def parts(spark: SparkSession, sf_dir: str, length: int = 125) -> DataFrame:
+    """samples: the same signal as many recordings, each of so many samples, so that their number grows with the table."""
+    s = sig(spark, sf_dir)
+    return s.withColumn("recording_id", F.concat(F.lit("r"), F.floor(F.col("sample") / length).cast("string"))).withColumn("sample", F.col("sample") % length)
+
+
 def spk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pulses and spikes: users as units, their events as spikes in seconds of the month; users are dealt out to four recordings and four grids."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -16,7 +16,7 @@ from spikeloom.operators import edits as E
 from spikeloom.operators import signals as S
 from spikeloom.operators import units as U
 from spikeloom.operators import windows as V
-from spikeloom.plans.views import CH, MIN, SIG, SPK, channels, minutes, sig, spk, table
+from spikeloom.plans.views import CH, MIN, PARTS, SIG, SPK, channels, minutes, parts, sig, spk, table
 from spikeloom.streaming import adaptive as A
 
 _queries: dict[str, Callable] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None, views: str = ""):
     def add(f: Callable) -> Callable:
         _queries[f.__name__] = f
         if sql:
-            parts = {"sig": SIG, "spk": SPK, "min": f"{SPK}, {MIN}", "ch": CH}
+            parts = {"sig": SIG, "parts": f"{SIG}, {PARTS}", "spk": SPK, "min": f"{SPK}, {MIN}", "ch": CH}
             head = ", ".join(parts[v] for v in views.split())
             body = sql.strip()
             _sql[f.__name__] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}" if head else body
@@ -152,6 +152,38 @@ def lookup_participants(spark, sf_dir):
     return look(r, p).select("c_custkey", "c_nationkey", F.concat(F.lit("sub-"), "subject").alias("participant"), "age")
 
 
+_EDF = (
+    "+s AS (SELECT 'sub-' || (sample // 150) AS recording_id, channel, sample % 150 AS sample, value FROM sig), r AS (SELECT recording_id, channel, min(value) AS a, max(value) AS b, (max(sample) // 100 + 1) * 100 AS n FROM s GROUP BY 1, 2), "
+    "f AS (SELECT recording_id, channel, n, " + _FIT8.format("a") + " AS lo, " + _FIT8.format("b") + " AS hi FROM r), p AS (SELECT *, unnest(range(n)) AS sample FROM f), "
+    "d AS (SELECT recording_id, channel, p.sample, lo, hi, round_even((coalesce(value, 0.0) - lo) / (hi - lo) * 65535 - 32768, 0) AS d FROM p LEFT JOIN s USING (recording_id, channel, sample)) "
+    "SELECT recording_id, CASE WHEN channel < 32 THEN 0 WHEN channel < 48 THEN 1 ELSE -1 END AS grid, CASE WHEN channel < 32 THEN channel WHEN channel < 48 THEN channel - 32 ELSE channel - 48 END AS local, sample, channel % 7 = 0 AS bad, "
+    "CASE WHEN channel < 48 THEN CASE WHEN CAST(substr(recording_id, 5) AS INTEGER) % 2 = 0 THEN 'G' || (channel // 32) ELSE 'model' END END AS grid_name, 100.0 AS fsamp, n AS total_samples, "
+    "round((greatest(-32768, least(32767, d)) + 32768) * ((hi - lo) / 65535) + lo, 6) AS value FROM d JOIN r USING (recording_id, channel)"
+)
+
+
+@query(_EDF, "sig")
+def ingest_edf_corpus(spark, sf_dir):
+    from spikeloom.sources import edf
+
+    root = f"{U.ready_checkpoints(spark)}/edf-{uuid.uuid4().hex}"
+    c, k = F.col("channel"), F.floor(F.col("sample") / 150)
+    s = sig(spark, sf_dir).select(F.concat(F.lit("sub-"), k.cast("string")).alias("recording_id"), "channel", F.concat(F.lit("E"), c.cast("string")).alias("label"), (F.col("sample") % 150).alias("sample"), "value")
+    ranges = S.physical_range(s.withColumn("grid", F.lit(0))).drop("grid")
+    edf.write_edf(s, ranges, root, 100.0, 100).write.format("noop").mode("overwrite").save()
+    odd = F.substring_index("recording_id", "-", -1).cast("int") % 2 == 1
+    group = F.when(c < 32, "Grid2").when(c < 48, "Grid10").otherwise("n/a")
+    line = F.concat_ws("\t", "label", F.when(c < 48, "EMG").otherwise("MISC"), group, F.when(odd, "n/a").otherwise(F.concat(F.lit("G"), F.floor(c / 32).cast("string"))), F.when(c % 7 == 0, "bad").otherwise("good"))
+    rows = s.select("recording_id", "channel", "label").distinct().withColumn("line", line).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel", "line")))["line"].alias("lines"))
+    listing = rows.select(F.concat("recording_id", F.lit("_channels.tsv")).alias("name"), F.concat_ws("\n", F.lit("name\ttype\tgroup\tgrid_name\tstatus"), "lines").alias("text"))
+    side = rows.select(F.concat("recording_id", F.lit("_emg.json")).alias("name"), F.to_json(F.struct(F.lit(100.0).alias("SamplingFrequency"), F.when(odd, "model").alias("ElectrodeManufacturersModelName"))).alias("text"))
+    edf.write_texts(listing.union(side), root).write.format("noop").mode("overwrite").save()
+    recordings, listed, samples = edf.ingest_edf_corpus(spark, root, split_bytes=6400)
+    grids = recordings.select("recording_id", "fsamp", "total_samples", F.explode("grids").alias("g")).select("recording_id", "g.grid", "g.grid_name")
+    out = samples.join(listed.select("recording_id", "channel", "bad"), ["recording_id", "channel"]).join(recordings.select("recording_id", F.col("fsamp").alias("rate"), "total_samples"), "recording_id").join(grids, ["recording_id", "grid"], "left")
+    return _round(out.select("recording_id", "grid", "local", "sample", "bad", "grid_name", F.col("rate").alias("fsamp"), "total_samples", "value"), "value")
+
+
 # --- labels
 
 
@@ -487,18 +519,10 @@ def select_units(spark, sf_dir):
     return U.select_units(_round(U.isi_cov(spk(spark, sf_dir)).select("unit_uid", "cov"), "cov"), cov=1.0)
 
 
-_HOUR = "+h AS (SELECT DISTINCT recording_id, unit_uid, sample // 60 AS sample FROM m)"
-
-
-def _hours(spikes):
-    """The spike trains by hours, for series over whole recordings."""
-    return minutes(spikes).select("recording_id", "unit_uid", "grid", F.floor(F.col("sample") / 60).alias("sample")).distinct()
-
-
-@query(_HOUR + ", t AS (SELECT recording_id, max(sample) + 1 AS n FROM h GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM h), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT p.unit_uid, p.sample, CASE WHEN h.sample IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN h ON h.recording_id = p.recording_id AND h.unit_uid = p.unit_uid AND h.sample = p.sample", "min")
+@query("+t AS (SELECT recording_id, max(sample) + 1 AS n FROM m GROUP BY 1), u AS (SELECT DISTINCT recording_id, unit_uid FROM m), p AS (SELECT recording_id, unit_uid, unnest(range(n)) AS sample FROM u JOIN t USING (recording_id)) SELECT p.unit_uid, p.sample, CASE WHEN m.sample IS NULL THEN 0.0 ELSE 1.0 END AS value FROM p LEFT JOIN m ON m.recording_id = p.recording_id AND m.unit_uid = p.unit_uid AND m.sample = p.sample", "min")
 def pulse_from_spikes(spark, sf_dir):
-    h = _hours(spk(spark, sf_dir))
-    return U.pulse_from_spikes(h, _totals(h)).select("unit_uid", "sample", "value")
+    m = minutes(spk(spark, sf_dir))
+    return U.pulse_from_spikes(m, _totals(m)).select("unit_uid", "sample", "value")
 
 
 @query("SELECT unit_uid, sample, CASE WHEN sample % 3 = 0 THEN 0.0 ELSE value END AS value FROM spk", "spk")
@@ -805,16 +829,6 @@ def contrast_loss(spark, sf_dir):
     return _round(A.contrast_loss(s, cal, 86_400).select("unit_uid", "batch", "loss"), "loss")
 
 
-@query()
-def adaptive_corpus(spark, sf_dir):
-    f = D.frames(sig(spark, sf_dir))
-    basis = D.whitening_basis(D.covariance_matrix(sig(spark, sf_dir)))
-    unit = F.array(*(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k, u=u: F.when(k == u, 1.0).otherwise(0.0)) for u in range(3)))
-    level = lambda x: F.array_repeat(F.lit(x), 3)
-    m = basis.select("recording_id", "grid", F.lit(0).cast("long").alias("start"), F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
-    return _round(A.adaptive_corpus(f, m, A.Config(100, distance=4)).select("unit", "sample", "value", "spike"), "value")
-
-
 # --- listings, catalogues, masks and ranges
 
 
@@ -850,15 +864,29 @@ def read_recording_sidecars(spark, sf_dir):
     return read(spark, root, "id long, rate double, maker string", lines=True).select("id", "rate", "maker")
 
 
-@query("SELECT recording_id, unit_uid, sample, value, grid FROM spk WHERE sample >= 0", "spk")
+@query(
+    "+v AS (SELECT * FROM (VALUES (0, 'r0'), (0, 'r1'), (1, 'r0'), (1, 'r1'), (1, 'r2'), (1, 'r3')) x(version, recording_id)), o AS (SELECT version, spk.* FROM spk JOIN v USING (recording_id) WHERE recording_id <> 'r1' OR version = 1 OR unit_uid % 8 = 1) "
+    "SELECT version, recording_id, unit_uid, sample, value, coalesce(CASE WHEN version = 0 OR recording_id <> 'r0' THEN grid END, grid) AS grid, max(sample) OVER (PARTITION BY version, recording_id) + 1 AS total_samples FROM o WHERE sample >= 0",
+    "spk",
+)
 def save_decomposition(spark, sf_dir):
+    from spikeloom.sources import versions
     from spikeloom.sources.tables import save_decomposition as save
 
     root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
-    s = spk(spark, sf_dir)
-    save(s.select("recording_id", "unit_uid", "grid").distinct(), s.select("recording_id", "unit_uid", "sample", "value"), s.union(s).select("recording_id", "unit_uid", "sample"), s.select("recording_id").distinct().withColumn("total_samples", F.lit(None).cast("long")), root)
-    read = lambda n: spark.read.parquet(f"{root}/{n}")
-    return read("spikes").join(read("pulses"), ["recording_id", "unit_uid", "sample"]).join(read("units"), ["recording_id", "unit_uid"]).select("recording_id", "unit_uid", "sample", "value", "grid")
+    all_ = spk(spark, sf_dir)
+
+    def put(s):
+        rows = s.select("recording_id", "unit_uid", "sample")
+        save(s.select("recording_id", "unit_uid", "grid").distinct(), s.select("recording_id", "unit_uid", "sample", "value"), rows.union(rows), s.select("recording_id").distinct().withColumn("total_samples", F.lit(None).cast("long")), root)
+
+    put(all_.where("recording_id = 'r0' or recording_id = 'r1' and unit_uid % 8 = 1"))
+    put(all_.where("recording_id <> 'r0'"))  # r0 stays as it is, r1 is saved anew
+    keys, out = ["recording_id", "unit_uid"], []
+    for v in (0, 1):
+        read = lambda n: versions.read(spark, root, n, v)  # noqa: B023, E731
+        out.append(read("spikes").join(read("pulses"), [*keys, "sample"]).join(read("units"), keys).join(read("recordings"), "recording_id").select(F.lit(v).alias("version"), *keys, "sample", "value", "grid", "total_samples"))
+    return out[0].union(out[1])
 
 
 @query("SELECT c_custkey, array_to_string(list_sort(list_filter(['a=' || CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 > 0 THEN 'new' ELSE 'old' END, 'b=' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'c=' || c_mktsegment END], lambda x: x IS NOT NULL)), ',') AS meta FROM customer")
@@ -946,44 +974,70 @@ def dedup_by_grid(spark, sf_dir):
     return U.dedup_by_grid(u, m.select("recording_id", "unit_uid", "sample"), 100.0, 0.01, True, _totals(m)).select("recording_id", "unit_uid", "grid")
 
 
-@query(_HOUR + " SELECT unit_uid, count(*) AS n_spikes, max(top) + 1 AS length, CAST(count(*) AS DOUBLE) AS total FROM (SELECT *, max(sample) OVER (PARTITION BY recording_id) AS top FROM h) WHERE unit_uid % 3 > 0 GROUP BY unit_uid", "min")
+@query(
+    "+o AS (SELECT *, max(sample) OVER (PARTITION BY recording_id) + 1 AS length FROM m) SELECT recording_id, unit_uid, count(*) AS n_spikes, max(length) AS length, CAST(count(*) AS DOUBLE) AS total, count(*) AS n_events, "
+    "printf('%.6f', min(sample) / 100.0) AS onset, CAST(sum(CASE WHEN sample % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_artifacts, CAST(2 AS BIGINT) AS n_log, CAST(CASE WHEN recording_id < 'r2' THEN 31 ELSE 30 END AS VARCHAR) AS age FROM o WHERE unit_uid % 3 > 0 GROUP BY recording_id, unit_uid",
+    "min",
+)
 def save_edits(spark, sf_dir):
-    h = _hours(spk(spark, sf_dir))
-    units = h.select("recording_id", "unit_uid", "grid").distinct().withColumn("flagged", F.col("unit_uid") % 3 == 0)
-    short = h.select("recording_id", "unit_uid", "sample", F.lit(1.0).alias("value"))  # pulses that aren't as long as the recording
-    kept, spikes, pulses = E.save_edits(units, h, short, _totals(h), 100.0, 2.0)
-    n = spikes.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("n_spikes"))
-    p = pulses.groupBy("recording_id", "unit_uid").agg(F.count("*").alias("length"), F.sum("value").alias("total"))
-    return kept.join(n, ["recording_id", "unit_uid"]).join(p, ["recording_id", "unit_uid"]).select("unit_uid", "n_spikes", "length", "total")
+    from spikeloom.sources import versions
+    from spikeloom.sources.tables import save_edited
+
+    root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
+    m, keys = minutes(spk(spark, sf_dir)), ["recording_id", "unit_uid"]
+    people = m.select("recording_id").distinct().select(F.concat(F.lit("sub-"), "recording_id").alias("participant_id"), F.lit("30").alias("age"))
+
+    def save(rows, seq, people):
+        units = rows.select(*keys, "grid").distinct().withColumn("flagged", F.col("unit_uid") % 3 == 0)
+        short = rows.select(*keys, "sample", F.lit(1.0).alias("value"))  # pulses that aren't as long as the recording
+        log = units.select(*keys, F.lit(seq).cast("long").alias("seq"), F.lit("add_spikes").alias("type"))
+        save_edited(root, units, rows, short, _totals(rows), 100.0, log, rows.where("sample % 7 = 0"), people, tol=2.0)
+
+    save(m, 1, people)
+    save(m.where("recording_id < 'r2'"), 1, None)  # entries that the log has already
+    save(m, 2, people.where("participant_id < 'sub-r2'").withColumn("age", F.lit("31")))
+    count = lambda t, n: versions.read(spark, root, t).groupBy(*keys).agg(F.count("*").alias(n))
+    p = versions.read(spark, root, "pulses").groupBy(*keys).agg(F.count("*").alias("length"), F.sum("value").alias("total"))
+    e = versions.read(spark, root, "events").groupBy(*keys).agg(F.count("*").alias("n_events"), F.min_by("onset", "sample").alias("onset"))
+    out = versions.read(spark, root, "units").join(count("spikes", "n_spikes"), keys).join(p, keys).join(e, keys).join(count("artifacts", "n_artifacts"), keys, "left").join(count("edit_log", "n_log"), keys)
+    ages = versions.read(spark, root, "participants").select(F.substring("participant_id", 5, 9).alias("recording_id"), "age")
+    return out.join(ages, "recording_id").select(*keys, "n_spikes", "length", "total", "n_events", "onset", F.coalesce("n_artifacts", F.lit(0).cast("long")).alias("n_artifacts"), "n_log", "age")
 
 
 # --- adaptive state
 
 
-def _models(spark, sf_dir, start=0):
-    basis = D.whitening_basis(D.covariance_matrix(sig(spark, sf_dir)))
-    unit = F.array(*(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k, u=u: F.when(k == u, 1.0).otherwise(0.0)) for u in range(3)))
+def _models(spark, sf_dir, starts=(0,)):
+    """A model for each recording and window, each window with a start of its own."""
+    basis = D.whitening_basis(D.covariance_matrix(parts(spark, sf_dir)))
+    unit = F.array(*(F.array(*(F.lit(float(k == u)) for k in range(64))) for u in range(3)))
     level = lambda x: F.array_repeat(F.lit(x), 3)
-    return basis.select("recording_id", "grid", F.lit(start).cast("long").alias("start"), F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
+    win = F.posexplode(F.array(*(F.lit(x).cast("long") for x in starts))).alias("win", "start")
+    return basis.select("recording_id", "grid", win, F.col("matrix").alias("whitening"), unit.alias("vectors"), level(0.5).alias("low"), level(4.0).alias("high"))
 
 
 @query()
 def init_whitening_state(spark, sf_dir):
-    m = A.init_whitening_state(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir), A.Config(100))
+    m = A.init_whitening_state(D.frames(parts(spark, sf_dir)), _models(spark, sf_dir), A.Config(25))
     return m.select("recording_id", "grid", F.round("kl_mean", 6).alias("kl_mean"), F.round("kl_std", 6).alias("kl_std"), F.posexplode(F.transform("cov", lambda v: F.round(v, 6))).alias("place", "cov"))
 
 
+def _batch(spark, sf_dir):
+    """The third batch of 25 samples of every recording."""
+    return D.frames(parts(spark, sf_dir).where("sample >= 50 and sample < 75"))
+
+
 @query()
 def whitening_update(spark, sf_dir):
-    m = A.whitening_update(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir), A.Config(100))
+    m = A.whitening_update(_batch(spark, sf_dir), _models(spark, sf_dir), A.Config(25))
     return m.select("recording_id", "grid", F.posexplode(F.transform("whitening", lambda v: F.round(v, 6))).alias("place", "weight"))
 
 
 @query()
 def separation_update(spark, sf_dir):
-    f = D.frames(sig(spark, sf_dir))
+    f = _batch(spark, sf_dir)
     f = f.withColumn("spikes", F.array(*(F.get("x", F.lit(u)) > 1 for u in range(3))))
-    m = A.separation_update(f, _models(spark, sf_dir), A.Config(100, epochs=5))
+    m = A.separation_update(f, _models(spark, sf_dir), A.Config(25, epochs=5))
     return m.select("recording_id", "grid", F.posexplode("vectors").alias("unit", "w")).select("recording_id", "grid", "unit", F.posexplode(F.transform("w", lambda v: F.round(v, 6))).alias("dim", "w"))
 
 
@@ -997,5 +1051,45 @@ def whitening_loss(spark, sf_dir):
 
 @query()
 def adaptive_bidirectional(spark, sf_dir):
-    out = A.adaptive_bidirectional(D.frames(sig(spark, sf_dir)), _models(spark, sf_dir, 250), A.Config(100, distance=4))
-    return _round(out.select("unit", "sample", "value", "spike"), "value")
+    out = A.adaptive_bidirectional(A.adaptive_frames(parts(spark, sf_dir), 1), _models(spark, sf_dir, (60, 100)), A.Config(25, distance=4))
+    return _round(out.select("recording_id", "win", "unit", "sample", "value", "spike"), "value")
+
+
+_SIMPLE = "+a AS (SELECT recording_id, channel AS unit, sample, value - avg(value) OVER (PARTITION BY recording_id, channel) AS source FROM parts WHERE channel < 3), l AS (SELECT *, max(sample) OVER (PARTITION BY recording_id) + 1 AS n FROM a)"
+
+
+def _plain_models(spark, sf_dir, starts=(0,)):
+    """Models that whiten by the identity, whose first batch SQL can follow."""
+    eye = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: F.when(k % 65 == 0, 1.0).otherwise(0.0))
+    return _models(spark, sf_dir, starts).withColumn("whitening", eye)
+
+
+@query(_SIMPLE + ", w AS (SELECT * FROM (VALUES (0, 0), (1, 30)) w(win, start)) SELECT recording_id, win, unit, sample, CASE WHEN sample < start + 25 THEN round(source * abs(source), 6) END AS value FROM l, w WHERE sample >= start", "parts")
+def adaptive_corpus(spark, sf_dir):
+    out = A.adaptive_corpus(A.adaptive_frames(parts(spark, sf_dir), 1), _plain_models(spark, sf_dir, (0, 30)), A.Config(25, distance=4))
+    first = F.col("sample") < F.when(F.col("win") == 0, 25).otherwise(55)
+    return _round(out.select("recording_id", "win", "unit", "sample", F.when(first, F.col("value")).alias("value")), "value")
+
+
+@query()
+def adaptive_losses(spark, sf_dir):
+    frames = A.adaptive_frames(parts(spark, sf_dir), 1)
+    models = A.init_whitening_state(frames, _models(spark, sf_dir).withColumn("contrast_mean", F.array_repeat(F.lit(0.1), 3)).withColumn("contrast_std", F.array_repeat(F.lit(0.2), 3)), A.Config(25))
+    return _round(A.adaptive_losses(frames, models, A.Config(25, distance=4)), "whitening_loss", "contrast_loss", "total_loss")
+
+
+@query(_SIMPLE + " SELECT recording_id, unit, sample, CASE WHEN sample < 25 THEN round(source * abs(source), 6) END AS value FROM l", "parts")
+def adaptive_stream(spark, sf_dir):
+    """Frames of all recordings as files in mixed order, read as a stream to the end of what is there."""
+    root = f"{U.ready_checkpoints(spark)}/{uuid.uuid4().hex}"
+    frames = A.adaptive_frames(parts(spark, sf_dir), 1)
+    ts = F.timestamp_micros((F.lit(1_700_000_000_000_000) + F.col("sample") * 10_000).cast("long"))
+    frames.withColumn("ts", ts).repartition(6, F.xxhash64("recording_id", "sample")).write.parquet(f"{root}/in")
+    totals = frames.groupBy("recording_id", "grid").agg((F.max("sample") + 1).alias("total"))
+    models = _plain_models(spark, sf_dir).join(totals, ["recording_id", "grid"])
+    live = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    out = A.adaptive_stream(live, models, A.Config(25, distance=4), 100.0, "1 minute")
+    run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return _round(out.select("recording_id", "unit", "sample", F.when(F.col("sample") < 25, F.col("value")).alias("value")), "value")

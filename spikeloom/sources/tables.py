@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spikeloom.sources import versions
 
-def spike_events_table(spikes: DataFrame, fsamp: float) -> DataFrame:
-    """One row per spike: onset in seconds with six decimals, duration 0, sample, unit and label."""
-    return spikes.select(F.format_string("%.6f", F.col("sample") / F.lit(float(fsamp))).alias("onset"), F.lit(0.0).alias("duration"), "sample", "unit_uid", F.lit("motor unit discharge").alias("description"))
+
+def spike_events_table(spikes: DataFrame, fsamp: float, *keys: str) -> DataFrame:
+    """One row per spike: onset in seconds with six decimals, duration 0, sample, unit and label, after any further keys."""
+    return spikes.select(*keys, F.format_string("%.6f", F.col("sample") / F.lit(float(fsamp))).alias("onset"), F.lit(0.0).alias("duration"), "sample", "unit_uid", F.lit("motor unit discharge").alias("description"))
 
 
 def upsert_participants(existing: DataFrame, updates: DataFrame, key: str = "participant_id") -> DataFrame:
@@ -84,20 +86,55 @@ def only_recording(resolved: DataFrame) -> DataFrame:
     return one.select("folder", "r.label", path.alias("path"), "r.channels")
 
 
-def save_decomposition(units: DataFrame, pulses: DataFrame, spikes: DataFrame, recordings: DataFrame, root: str) -> None:
-    """A decomposition as four Parquet tables, each in a folder per recording.
+def save_decomposition(units: DataFrame, pulses: DataFrame, spikes: DataFrame, recordings: DataFrame, root: str, **more: DataFrame) -> int:
+    """Commit decompositions of recordings, all tables at once; what is saved of other recordings stays (see versions.commit). Returns the version.
 
     Spikes are distinct and inside their recording, whose length is its own
     `total_samples`, else that of the pulses, else the last spike's place + 1;
-    units without a grid get grid 0.
+    units without a grid get grid 0. more: further tables with recording_id, such
+    as losses, emg, masks or coordinates.
     """
     from spikeloom.operators.units import UNIT, infer_total_samples
 
     totals = infer_total_samples(recordings, pulses, spikes)
     rows = spikes.select(*UNIT, "sample").distinct().join(totals, "recording_id").where("sample >= 0 and sample < total_samples").drop("total_samples")
     tables = {
-        "units": units.withColumn("grid", F.coalesce("grid", F.lit(0))) if "grid" in units.columns else units.withColumn("grid", F.lit(0)),
-        "pulses": pulses.select(*UNIT, "sample", "value"), "spikes": rows, "recordings": recordings.drop("total_samples").join(totals, "recording_id"),
+        "recordings": recordings.drop("total_samples").join(totals, "recording_id"), "units": units.withColumn("grid", F.coalesce("grid", F.lit(0))) if "grid" in units.columns else units.withColumn("grid", F.lit(0)),
+        "pulses": pulses.select(*UNIT, "sample", "value"), "spikes": rows,
     }
-    for name, df in tables.items():
-        df.repartition("recording_id").sortWithinPartitions("recording_id").write.mode("overwrite").partitionBy("recording_id").parquet(f"{root}/{name}")
+    return versions.commit(recordings.sparkSession, root, tables | more)
+
+
+def save_edited(root: str, units: DataFrame, spikes: DataFrame, pulses: DataFrame, totals: DataFrame, fsamp: float, entries: DataFrame | None = None, artifacts: DataFrame | None = None, participants: DataFrame | None = None, **rules) -> int:
+    """Commit edited recordings: units, spikes, pulses, artifacts, edit log, events and participants in one version, which is returned.
+
+    Units and series are those of edits.save_edits (rules are its switches).
+    totals (recording_id, total_samples) names the recordings that are saved. The
+    stored log of a recording is only ever added to: entries (recording_id, seq,
+    ...) that it has already are not written twice. Events are the remaining
+    spikes in seconds; artifacts are kept for remaining units; participants
+    (participant_id, ...) are put over those of the dataset.
+    """
+    from spikeloom.operators.edits import append_edit_log, save_edits
+    from spikeloom.operators.units import UNIT
+
+    spark = totals.sparkSession
+    known = versions.tables(spark, root) if versions.versions(spark, root) else set()
+    kept, rows, series = save_edits(units, spikes, pulses, totals, fsamp, **rules)
+    total = F.when(F.col("total_samples") > 0, F.col("total_samples")).otherwise(F.raise_error(F.lit("total_samples is required to save edits")).cast("long"))
+    recordings = totals.select("recording_id", total.alias("total_samples"), F.lit(float(fsamp)).alias("fsamp"))
+    names = kept.select(*UNIT)
+    out = {"recordings": recordings, "units": kept, "spikes": rows, "pulses": series, "events": spike_events_table(rows, fsamp, "recording_id")}
+    if artifacts is not None:
+        out["artifacts"] = artifacts.where("sample >= 0").select(*UNIT, "sample").distinct().join(names, list(UNIT), "left_semi")
+    if entries is not None:
+        mine = entries.join(recordings.select("recording_id"), "recording_id", "left_semi")
+        if "edit_log" in known:
+            old = versions.read(spark, root, "edit_log").join(recordings.select("recording_id"), "recording_id", "left_semi")
+            mine = append_edit_log(old, mine.join(old.select("recording_id", "seq"), ["recording_id", "seq"], "left_anti"))
+        out["edit_log"] = mine
+    shared = {}
+    if participants is not None:
+        there = versions.read(spark, root, "participants") if "participants" in known else participants.limit(0)
+        shared["participants"] = upsert_participants(there, participants)
+    return versions.commit(spark, root, out, shared)

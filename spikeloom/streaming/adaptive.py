@@ -4,13 +4,14 @@ frames: (recording_id, grid, sample, x), delay-embedded. models, one row per
 (recording_id, grid): start long (first sample), whitening array<double>
 (row-major), vectors array<array<double>>, low and high array<double> (the
 two spike levels of every unit); optional: cov array<double> (covariance of the
-whitened signal so far, row-major), kl_mean and kl_std double, and total long
-(samples of the recording, by which a stream knows its last batch).
+whitened signal so far, row-major), kl_mean and kl_std double, contrast_mean and
+contrast_std array<double> (calibration of losses), total long (samples of the
+recording, by which a stream knows its last batch), and win int where a grid has
+models of several windows.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -18,12 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spikeloom.operators.units import UNIT, local_maxima, peaks_1d, thin_peaks, two_means_split
 
 KEYS = ("recording_id", "grid")
-OUT = "recording_id string, grid int, unit int, sample long, source double, value double, spike boolean"
+WINDOW = (*KEYS, "win")
+OUT = "recording_id string, grid int, win int, unit int, sample long, source double, value double, spike boolean"
 
 
 @dataclass
@@ -94,6 +96,8 @@ class GridState:
         self.levels = np.array([row["low"], row["high"]], float)
         cov = row.get("cov")
         self.cov = np.eye(n) if cov is None or np.size(cov) < n * n else np.array(cov, float).reshape(n, n)
+        self.calibration = {k: row.get(k) for k in ("kl_mean", "kl_std", "contrast_mean", "contrast_std")}
+        self.losses: tuple[float, np.ndarray] | None = None
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.whitening.T @ self.vectors.T
@@ -122,9 +126,21 @@ class GridState:
             spikes[at[up], u] = True
             for level, part in ((0, at[~up]), (1, at[up])):
                 self.levels[level, u] = (cfg.weight * self.levels[level, u] + power[part, u].sum()) / (cfg.weight + len(part))
+        self._score(source, spikes, cfg)
         self._turn(white, source, spikes, cfg)
         return source, spikes
 
+    def _score(self, source: np.ndarray, spikes: np.ndarray, cfg: Config) -> None:
+        """Losses of the last batch against calibration."""
+        c, z = self.calibration, lambda v, mean, std: ((v - mean) / (std + 1e-12)) ** 2
+        count = spikes.sum(0)
+        mean = np.where(count > 0, (source * spikes).sum(0) / np.maximum(count, 1), np.nan)
+        value = np.log(np.cosh(mean)) if cfg.contrast == "logcosh" else mean**3 / 6
+        known = c["kl_mean"] is not None and not pd.isna(c["kl_mean"])
+        kl = z(kl_to_identity(self.cov), c["kl_mean"], c["kl_std"]) if known else np.nan
+        some = c["contrast_mean"] is not None and np.size(c["contrast_mean"]) == len(value)
+        self.losses = kl, z(value, np.asarray(c["contrast_mean"], float), np.asarray(c["contrast_std"], float)) if some else np.full(len(value), np.nan)
+
     def _turn(self, white: np.ndarray, source: np.ndarray, spikes: np.ndarray, cfg: Config) -> None:
         """One step up the contrast at the spikes, then each vector made orthogonal to those before it; units without spikes stay."""
         slope = (np.tanh(source) if cfg.contrast == "logcosh" else source**2 / 2) * spikes
@@ -234,87 +250,240 @@ def whitening_loss(models: DataFrame) -> DataFrame:
 def _rows(key: tuple, sample: np.ndarray, source: np.ndarray, spikes: np.ndarray) -> pd.DataFrame:
     n, u = source.shape
     s = source.ravel()
-    return pd.DataFrame({"recording_id": key[0], "grid": key[1], "unit": np.tile(np.arange(u, dtype=np.int32), n), "sample": np.repeat(sample, u), "source": s, "value": s * np.abs(s), "spike": spikes.ravel()})
-
-
-class _Feeder:
-    """Collects the samples of one grid and hands over whole batches in order, whatever order rows come in."""
-
-    def __init__(self):
-        self.model, self.start, self.next, self.waiting, self.total = None, 0, 0, {}, None
-
-    def add(self, pdf: pd.DataFrame, cfg: Config) -> Iterator[tuple]:
-        for row in pdf[pdf["vectors"].notna()].to_dict("records")[:1]:
-            self.model, self.start = GridState(row), int(row["start"])
-            self.total = None if pd.isna(row["total"]) else int(row["total"])
-        self.waiting |= dict(zip(pdf["sample"].tolist(), pdf["x"], strict=True))
-        while self.model is not None:
-            lo = self.start + self.next * cfg.batch
-            places = range(lo, lo + cfg.batch)
-            if not all(k in self.waiting for k in places):
-                if self.total is not None and lo < self.total <= lo + cfg.batch and all(k in self.waiting for k in range(lo, self.total)):
-                    yield from self.rest()
+    return pd.DataFrame({"recording_id": key[0], "grid": key[1], "win": key[2], "unit": np.tile(np.arange(u, dtype=np.int32), n), "sample": np.repeat(sample, u), "source": s, "value": s * np.abs(s), "spike": spikes.ravel()})
+
+
+class Feeder:
+    """Hands the samples of one model over in whole batches, in order, whatever order they come in.
+
+    A batch is fed when all its samples are there. One that is known to stay
+    incomplete (`upto`: no sample before this place is still to come; or the
+    recording ends in it) is projected as far as it is there, without spikes and
+    without a change of the model. Of a sample that comes twice the last counts;
+    samples before the open batch are late and left out.
+    """
+
+    def __init__(self, state: GridState, cfg: Config, start: int, total: int | None = None, next_: int = 0):
+        self.state, self.cfg, self.start, self.total, self.next = state, cfg, start, total, next_
+        self.at, self.x = np.zeros(0, np.int64), None
+
+    @classmethod
+    def of(cls, row: dict, cfg: Config) -> Feeder:
+        return cls(GridState(row), cfg, int(row["start"]), None if pd.isna(row.get("total")) else int(row["total"]))
+
+    @property
+    def low(self) -> int:
+        """First sample of the open batch."""
+        return self.start + self.next * self.cfg.batch
+
+    def add(self, at: np.ndarray, x: np.ndarray) -> None:
+        ok = at >= self.low
+        at, x = at[ok], x[ok]
+        if self.x is not None:
+            at, x = np.concatenate([self.at, at]), np.concatenate([self.x, x])
+        self.at, last = np.unique(at[::-1], return_index=True)
+        self.x = x[len(x) - 1 - last]
+
+    def ready(self, upto: float = -np.inf) -> Iterator[tuple]:
+        """(samples, sources, spikes, losses or None) of each batch that can be closed."""
+        while self.x is not None:
+            lo, hi = self.low, self.low + self.cfg.batch
+            n = int(np.searchsorted(self.at, hi))
+            ends = self.total is not None and lo < self.total <= hi and n >= self.total - lo
+            if n < self.cfg.batch and hi > upto and not ends:
+                return
+            if not n and not len(self.at):
                 return
-            x = np.stack([self.waiting.pop(k) for k in places])
-            skip = cfg.skip if self.next == 0 else 0
-            self.next += 1
-            yield np.arange(lo + skip, lo + cfg.batch), *self.model.feed(x[skip:], cfg)
+            at, x, self.at, self.x = self.at[:n], self.x[:n], self.at[n:], self.x[n:]
+            first, self.next = self.next == 0, self.next + 1 if n else max(self.next + 1, min(int(self.at[0] - self.start) // self.cfg.batch, int(min(upto, 1 << 62) - self.start) // self.cfg.batch))
+            if n == self.cfg.batch:
+                skip = self.cfg.skip if first else 0
+                yield at[skip:], *self.state.feed(x[skip:], self.cfg), self.state.losses
+            elif n:
+                source = self.state.project(x)
+                yield at, source, np.zeros(source.shape, bool), None
 
-    def rest(self) -> Iterator[tuple]:
-        """What fills no batch is projected and has no spikes."""
-        if self.model is not None and self.waiting:
-            at = np.array(sorted(k for k in self.waiting if k >= self.start), np.int64)
-            if len(at):
-                source = self.model.project(np.stack([self.waiting.pop(k) for k in at]))
-                yield at, source, np.zeros(source.shape, bool)
 
+MODEL = ("start", "whitening", "vectors", "low", "high")
+EXTRA = {"cov": "array<double>", "total": "long", "kl_mean": "double", "kl_std": "double", "contrast_mean": "array<double>", "contrast_std": "array<double>"}
 
-def _with_model(frames: DataFrame, models: DataFrame) -> DataFrame:
-    """The model rides on the first sample of its grid alone, so it crosses the shuffle once."""
-    more = [F.col(c) if c in models.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("cov", "array<double>"), ("total", "long"))]
-    m = models.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "start", "whitening", "vectors", "low", "high", *more)
-    on = (F.col("recording_id") == F.col("_recording_id")) & (F.col("grid") == F.col("_grid")) & (F.col("sample") == F.col("start"))
-    return frames.select(*KEYS, "sample", "x").join(m, on, "left").drop("_recording_id", "_grid")
 
+def _whole(models: DataFrame) -> DataFrame:
+    """models with win (0 if there is none) and all optional columns."""
+    win = F.col("win") if "win" in models.columns else F.lit(0)
+    more = [F.col(c) if c in models.columns else F.lit(None).cast(kind).alias(c) for c, kind in EXTRA.items()]
+    return models.select(*KEYS, win.cast("int").alias("win"), *MODEL, *more)
 
-def adaptive_corpus(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
-    """Sources, signed squares and spikes of all grids; a task holds one batch and one model of a grid at a time.
 
-    Grids without a model give no rows, nor do samples before a model's start.
-    """
+def _fed(frames: DataFrame, models: DataFrame, cfg: Config, tell, schema: str) -> DataFrame:
+    """What tell(key, batch result) gives for all batches of every model, whose row comes before its samples; a task holds one open batch and one model at a time."""
+    m = _whole(models)
+    rows = frames.select(*KEYS, "sample", "x").where("sample >= 0").join(m.select(*KEYS, "win"), list(KEYS))
+    rows = rows.unionByName(m.withColumn("sample", F.lit(-1).cast("long")), allowMissingColumns=True)
+
+    def told(key, feeder, upto):
+        return (df for r in feeder.ready(upto) if (df := tell(key, feeder, r)) is not None)
 
     def run(batches):
         key, feeder = None, None
         for pdf in batches:
-            for own, g in pdf.groupby(list(KEYS), sort=False):
+            for own, g in pdf.groupby(list(WINDOW), sort=False):
                 if own != key:
                     if feeder:
-                        yield from (_rows(key, *r) for r in feeder.rest())
-                    key, feeder = own, _Feeder()
-                yield from (_rows(key, *r) for r in feeder.add(g[g["sample"] >= 0], cfg))
-                if feeder.model is None:
-                    feeder.waiting.clear()
+                        yield from told(key, feeder, np.inf)
+                    key, feeder = own, None
+                if g["sample"].iloc[0] < 0:
+                    feeder, g = Feeder.of(g.iloc[0].to_dict(), cfg), g.iloc[1:]
+                if feeder and len(g):
+                    feeder.add(g["sample"].to_numpy(), np.stack(g["x"].to_numpy()))
+                    yield from told(key, feeder, float(g["sample"].iloc[-1]))
         if feeder:
-            yield from (_rows(key, *r) for r in feeder.rest())
+            yield from told(key, feeder, np.inf)
 
-    dealt = _with_model(frames, models).repartition(*KEYS).sortWithinPartitions(*KEYS, "sample")
-    return dealt.mapInPandas(run, OUT)
+    return rows.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "sample").mapInPandas(run, schema)
 
 
-def adaptive_stream(stream: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
-    """The same on a stream of frames: a grid's model, open batch and batch number are its state; a batch closes when all its samples are there.
+def adaptive_frames(samples: DataFrame, r: int) -> DataFrame:
+    """The input of adaptive runs: channels without their mean over the recording, delay-embedded r times."""
+    from spikeloom.operators.decompose import delay_embed
+    from spikeloom.operators.decompose import frames as framed
+    from spikeloom.operators.signals import demean
 
-    With `total` in models the incomplete last batch is projected, without
-    spikes, once the recording's last sample is there.
+    return delay_embed(framed(demean(samples)), r)
+
+
+def adaptive_corpus(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """Sources, signed squares and spikes that every window's model gives over all of its grid's recording.
+
+    models may have several windows (`win`) of one grid; each follows the signal
+    by itself. Grids without a model give no rows, nor do samples before a
+    model's start.
     """
+    return _fed(frames, models, cfg, lambda key, _, r: _rows(key, *r[:3]), OUT)
+
 
-    def run(key, pdfs, state: GroupState):
-        feeder = pickle.loads(state.get[0]) if state.exists else _Feeder()
-        for pdf in pdfs:
-            yield from (_rows(key, *r) for r in feeder.add(pdf, cfg))
-        state.update((pickle.dumps(feeder),))
+LOSS = "recording_id string, grid int, win int, batch long, unit int, whitening_loss double, contrast_loss double, total_loss double"
 
-    return _with_model(stream, models).groupBy(*KEYS).applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+def adaptive_losses(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
+    """Losses of each whole batch of the same runs, a row per unit.
+
+    whitening_loss is the squared z-score of the divergence (kl_mean and kl_std of
+    models), contrast_loss that of the contrast of the mean source value at the
+    unit's spikes (contrast_mean and contrast_std), null without spikes or
+    calibration; total_loss adds all of a batch, missing ones as 0.
+    """
+
+    def tell(key, feeder, r):
+        if r[3] is None:
+            return None
+        kl, contrast = r[3]
+        return pd.DataFrame({"recording_id": key[0], "grid": key[1], "win": key[2], "batch": feeder.next - 1, "unit": np.arange(len(contrast), dtype=np.int32), "whitening_loss": kl, "contrast_loss": contrast, "total_loss": np.nansum([kl, *contrast])})
+
+    rows = _fed(frames, models, cfg, tell, LOSS)
+    return rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("whitening_loss", "contrast_loss")})
+
+
+class Adapting(StatefulProcessor):
+    """Keyed state of one model: itself with its batch number, and the samples that wait, by chunks as they came."""
+
+    #: Arrays are packed doubles; t0 is the time of sample 0 in seconds.
+    STATE = "start long, next long, total long, t0 double, n int, whitening binary, vectors binary, levels binary, cov binary"
+    WAITING = "samples binary, x binary"
+
+    def __init__(self, cfg: Config, fs: float):
+        self.cfg, self.fs = cfg, fs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.model = handle.getValueState("model", self.STATE)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+
+    def close(self) -> None:
+        pass
+
+    def _save(self, f: Feeder, t0: float | None) -> None:
+        s = f.state
+        self.model.update((f.start, f.next, f.total, t0, len(s.cov), s.whitening.tobytes(), s.vectors.tobytes(), s.levels.tobytes(), s.cov.tobytes()))
+
+    def _load(self) -> tuple[Feeder, float | None]:
+        start, next_, total, t0, n, *packed = self.model.get()
+        whitening, vectors, levels, cov = (np.frombuffer(bytes(p)) for p in packed)
+        vectors, levels = vectors.reshape(-1, n), levels.reshape(2, -1)
+        row = {"whitening": whitening, "vectors": list(vectors), "low": levels[0], "high": levels[1], "cov": cov}
+        return Feeder(GridState(row), self.cfg, start, total, next_), t0
+
+    def _restore(self, f: Feeder) -> None:
+        for at, x in self.waiting.get():
+            at = np.frombuffer(bytes(at), np.int64)
+            f.add(at, np.frombuffer(bytes(x)).reshape(len(at), -1))
+
+    def _keep(self, f: Feeder) -> None:
+        """What still waits, as one chunk."""
+        if f.x is not None and len(f.at):
+            self.waiting.put([(f.at.tobytes(), np.ascontiguousarray(f.x, float).tobytes())])
+        else:
+            self.waiting.clear()
+
+    def _await(self, f: Feeder, t0: float) -> None:
+        """A timer at the end of the open batch; one at a time, and none while nothing waits."""
+        self.handle.registerTimer(int(np.ceil((t0 + (f.low + self.cfg.batch) / self.fs) * 1000)))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._save(Feeder.of(initialState.iloc[0].to_dict(), self.cfg), None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.model.exists():
+            return
+        f, t0 = self._load()
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        chunks = [(pdf["sample"].to_numpy(), np.stack(pdf["x"].to_numpy()).astype(float), pdf["us"]) for pdf in (pdf[pdf["us"] >= late] for pdf in rows) if len(pdf)]
+        for at, _, us in chunks:
+            t0 = us.iloc[0] / 1e6 - at[0] / self.fs if t0 is None else t0
+        low = f.low
+        for at, x, _ in chunks:
+            f.add(at, x)
+        if f.x is None or not len(f.at):
+            return
+        new_at, new_x = f.at, f.x
+        self._restore(f)
+        done = list(f.ready())
+        if done:
+            yield from (_rows(key, *r[:3]) for r in done)
+            self._keep(f)
+        else:  # only what is new is written
+            self.waiting.appendValue((new_at.tobytes(), np.ascontiguousarray(new_x).tobytes()))
+        self._save(f, t0)
+        if len(f.at) and (low != f.low or len(f.at) == len(new_at)):
+            self._await(f, t0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        f, t0 = self._load()
+        self._restore(f)
+        upto = np.floor((timerValues.getCurrentWatermarkInMs() / 1000 - t0) * self.fs + 1e-6)
+        yield from (_rows(key, *r[:3]) for r in list(f.ready(upto)))
+        self._keep(f)
+        self._save(f, t0)
+        if f.x is not None and len(f.at):
+            self._await(f, t0)
+
+
+def adaptive_stream(stream: DataFrame, models: DataFrame, cfg: Config, fs: float, delay: str = "10 seconds") -> DataFrame:
+    """The same on a stream of frames with `ts`, the time of each sample (fs samples a second from the recording's start on).
+
+    Models are the initial state of their key (recording_id, grid, win). A batch
+    closes when all its samples are there, else when the watermark, `delay`
+    behind the newest time, has passed its end: then it is projected as far as it
+    is there, without spikes. Rows older than the watermark are late and give
+    nothing, nor do grids without a model, which keep no state. What waits is
+    bounded by the samples of `delay` and one batch. With `total` in models the
+    last batch closes when the recording's last sample is there.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    m = _whole(models)
+    rows = stream.withWatermark("ts", delay).select(*KEYS, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "sample", "x").join(m.select(*KEYS, "win"), list(KEYS))
+    return rows.groupBy(*WINDOW).transformWithStateInPandas(statefulProcessor=Adapting(cfg, fs), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=m.groupBy(*WINDOW))
 
 
 def adaptive_bidirectional(frames: DataFrame, models: DataFrame, cfg: Config) -> DataFrame:
@@ -322,20 +491,22 @@ def adaptive_bidirectional(frames: DataFrame, models: DataFrame, cfg: Config) ->
 
     Samples keep their order inside a block; the blocks of the earlier part are
     numbered from its end. Both runs begin with the given model; the rows of
-    both, in samples of the recording, are one result.
+    both, in samples of the recording, are one result. Models of several windows
+    of a grid run side by side.
     """
-    size = F.lit(cfg.batch)
-    known = frames.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS))
-    forward = adaptive_corpus(frames, models.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("start") - size)), cfg)
-    forward = forward.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS)).where("sample >= _start").drop("_start")
-    # blocks of the earlier part; the last of them may be short and comes first
+    size, m = F.lit(cfg.batch), _whole(models)
+    starts = m.select(*WINDOW, F.col("start").alias("_start"))
+    forward = adaptive_corpus(frames, m.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("start") - size)), cfg)
+    forward = forward.join(starts, list(WINDOW)).where("sample >= _start").drop("_start")
+    # blocks of the earlier part; the last of them may be short and comes first. Models with one start share them
     last = F.floor((F.col("_start") - 1) / size)
     rest = F.col("_start") - last * size
     own = F.floor(F.col("sample") / size)
     place = F.when(own == last, F.col("sample") - last * size).otherwise(rest + (last - 1 - own) * size + F.col("sample") % size)
-    turned = known.where("sample < _start").select(*KEYS, place.alias("sample"), "x")
-    back = adaptive_corpus(turned, models.where("start > 0").withColumn("start", F.lit(0).cast("long")), replace(cfg, skip=0))
-    back = back.join(models.select(*KEYS, F.col("start").alias("_start")), list(KEYS))
+    part = F.concat_ws("\n", "recording_id", F.col("win").cast("string"))  # each window turns the recording in its own way
+    turned = frames.join(starts, list(KEYS)).where("sample < _start").select(part.alias("recording_id"), "grid", place.alias("sample"), "x")
+    back = adaptive_corpus(turned, m.where("start > 0").withColumn("recording_id", part).withColumn("start", F.lit(0).cast("long")).withColumn("total", F.lit(None).cast("long")), replace(cfg, skip=0))
+    back = back.withColumn("recording_id", F.regexp_extract("recording_id", r"(?s)^(.*)\n[^\n]*$", 1)).join(starts, list(WINDOW))
     after = F.col("sample") - rest
     home = F.when(after < 0, last * size + F.col("sample")).otherwise((last - 1 - F.floor(after / size)) * size + after % size)
     return forward.union(back.withColumn("sample", home.cast("long")).select(forward.columns))

@@ -1,10 +1,11 @@
-"""Adaptive decomposition against a plain loop, stream against batch, refinement, and the EDF reader on files made here."""
+"""Adaptive decomposition against a plain loop, stream against batch, and refinement."""
+
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from spikeloom.operators import decompose as D
-from spikeloom.sources import edf
 from spikeloom.streaming import adaptive as A
 
 CFG = A.Config(50, skip=2, distance=5)
@@ -81,17 +82,90 @@ def test_corpus_matches_a_plain_loop(spark):
     assert A.adaptive_corpus(frames.limit(0), models, CFG).count() == 0
 
 
-def test_adaptive_stream_equals_batch(spark, tmp_path):
-    frames, models = tables(spark, {"a": signal(), "b": signal(seed=9)})
+def played(spark, tmp_path, files, models, cfg, delay="1 second", stop_after=None):
+    """Rows of a stream over these files in order, one a trigger; with stop_after the query is stopped and started again from its checkpoint."""
     src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
-    for lo in range(0, 530, 130):  # parts that end inside batches
-        frames.where(F.col("sample").between(lo, lo + 129)).coalesce(1).write.mode("append").parquet(src)
-    live = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 2).parquet(src)
-    q = A.adaptive_stream(live, models, CFG).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    ts = F.timestamp_micros((F.lit(1_700_000_000_000_000) + F.col("sample") * 10_000).cast("long"))
+    for k, df in enumerate(files):
+        if k in (0, stop_after):
+            if k:
+                run(spark, src, out, mark, models, cfg, delay)
+        df.withColumn("ts", ts).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)  # files are taken by their time
+    run(spark, src, out, mark, models, cfg, delay)
+    return spark.read.parquet(out)
+
+
+def run(spark, src, out, mark, models, cfg, delay):
+    live = spark.readStream.schema(FRAME + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    q = A.adaptive_stream(live, models, cfg, 100.0, delay).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(180)
-    cols = ["recording_id", "unit", "sample", F.round("source", 9).alias("source"), "spike"]
-    key = lambda rows: sorted(map(tuple, rows))
-    assert key(spark.read.parquet(out).select(*cols).collect()) == key(A.adaptive_corpus(frames, models, CFG).where("sample < 500").select(*cols).collect())
+
+
+def same(a, b):
+    of = lambda df: sorted(map(tuple, df.select("recording_id", "unit", "sample", F.round("source", 9), "spike").collect()))
+    return of(a) == of(b)
+
+
+def test_stream_equals_batch_over_shuffled_input_and_a_restart(spark, tmp_path):
+    frames, models = tables(spark, {"a": signal(n=230), "b": signal(seed=9, n=230)})
+    models = models.withColumn("total", F.lit(230).cast("long"))
+    dealt = [frames.where(F.pmod(F.xxhash64("recording_id", "sample"), F.lit(4)) == k) for k in (2, 0, 3, 1)]
+    got = played(spark, tmp_path, [*dealt, frames.where("sample = 7")], models, CFG, "1 hour", stop_after=2)  # a repeated sample is late
+    assert same(got, A.adaptive_corpus(frames, models, CFG)) and got.count() == 2 * 2 * (230 - CFG.skip)
+
+
+def test_a_lost_sample_closes_by_time(spark, tmp_path):
+    frames, models = tables(spark, {"a": signal(n=330), "none": signal(n=60)})
+    there = frames.where("sample <> 70 and sample not between 150 and 219")  # one place, and a batch and a half
+    files = [there.where(F.col("sample").between(lo, lo + 59)) for lo in range(0, 330, 60)]
+    late = frames.where("recording_id = 'a' and sample = 70")
+    got = played(spark, tmp_path, [*files[:4], late, *files[4:], files[0].limit(0).union(spark.createDataFrame([("none", 0, 5000, [0.0] * 4)], FRAME)), there.limit(1)], models, CFG)
+    want = A.adaptive_corpus(there, models, CFG).where("recording_id = 'a'")
+    assert same(got, want)
+    rows = {(r.unit, r.sample): r for r in got.collect()}
+    assert (0, 70) not in rows and (0, 71) in rows and not any(r.spike for (_, k), r in rows.items() if 50 <= k < 100)
+    assert {k // 50 for _, k in rows} == {0, 1, 2, 4, 5, 6}
+
+
+def test_feeder_keeps_no_more_than_it_must():
+    row = {"whitening": np.eye(4).ravel(), "vectors": [np.eye(4)[0]], "low": [0.5], "high": [12.0]}
+    f = A.Feeder(A.GridState(row), A.Config(10), 5, None)
+    x = signal(n=200)
+    f.add(np.arange(0, 12), x[:12])
+    assert not list(f.ready()) and f.at.tolist() == list(range(5, 12))
+    f.add(np.arange(12, 40), x[12:40])
+    assert [len(r[0]) for r in f.ready()] == [10, 10, 10] and f.at.tolist() == list(range(35, 40))
+    f.add(np.array([3, 36, 190]), x[:3])
+    assert [r[0].tolist() for r in f.ready(44)] == [] and [r[0].tolist() for r in f.ready(45)] == [list(range(35, 40))]
+    assert f.low == 45 and not list(f.ready(100)) and f.low == 95 and [r[0].tolist() for r in f.ready(np.inf)] == [[190]]
+
+
+def test_windows_losses_and_both_ways(spark):
+    x = signal(n=230)
+    frames, models = tables(spark, {"a": x})
+    two = models.withColumn("win", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("start", F.when(F.col("win") == 1, 60).otherwise(0).cast("long"))
+    got = A.adaptive_corpus(frames, two, CFG)
+    assert same(got.where("win = 0"), A.adaptive_corpus(frames, models, CFG))
+    assert same(got.where("win = 1"), A.adaptive_corpus(frames, models.withColumn("start", F.lit(60).cast("long")), CFG))
+    both = A.adaptive_bidirectional(frames, two, CFG)
+    assert both.groupBy("win", "unit", "sample").count().where("count > 1").count() == 0
+    assert same(both.where("win = 1"), A.adaptive_bidirectional(frames, models.withColumn("start", F.lit(60).cast("long")), CFG))
+    ready = A.init_whitening_state(frames, models, CFG).withColumn("contrast_mean", F.array(F.lit(0.1), F.lit(0.2))).withColumn("contrast_std", F.array(F.lit(0.5), F.lit(0.5)))
+    losses = {(r.batch, r.unit): r for r in A.adaptive_losses(frames, ready, CFG).collect()}
+    assert set(losses) == {(b, u) for b in range(4) for u in range(2)}
+    rows, k = A.adaptive_corpus(frames, ready, CFG).collect(), ready.first()
+    for (b, u), r in losses.items():
+        at = [s.source for s in rows if s.unit == u and s.sample // 50 == b and s.spike]
+        want = ((np.log(np.cosh(np.mean(at))) - k.contrast_mean[u]) / 0.5) ** 2 if at else None
+        assert (r.contrast_loss is None) == (want is None) and (want is None or abs(r.contrast_loss - want) < 1e-6)
+        assert r.whitening_loss >= 0 and abs(r.total_loss - (r.whitening_loss + sum(losses[b, v].contrast_loss or 0 for v in range(2)))) < 1e-6
+
+
+def test_frames_of_adaptive_runs_are_demeaned(spark):
+    s = spark.createDataFrame([("r", 0, c, k, float(k * (c + 1))) for c in range(2) for k in range(5)], "recording_id string, grid int, channel int, sample long, value double")
+    got = {r.sample: list(r.x) for r in A.adaptive_frames(s, 2).collect()}
+    assert got[0] == [-2.0, -4.0, 0.0, 0.0] and got[3] == [1.0, 2.0, 0.0, 0.0] and got[4] == [2.0, 4.0, 1.0, 2.0]
 
 
 def test_refinement_never_raises_the_variability(spark):
@@ -103,29 +177,3 @@ def test_refinement_never_raises_the_variability(spark):
     got = {r.unit_uid: r for r in D.refine_by_isi(frames, f, 4).collect()}
     assert set(got) == {1, 2} and got[1].cov < 0.05
     assert got[2].cov == 0.0 and list(got[2].filter) == [0.0, 1.0, 0.0]  # no round is better than the given 0
-
-
-def made_edf(path, width, labels, data, rate, scale):
-    """A recording with the digital values as given; physical values are these over the scale."""
-    top = 2 ** (8 * width - 1)
-    n, records = len(labels), data.shape[1] // rate
-    pad = lambda x, k: str(x).ljust(k).encode()
-    head = (b"\xffBIOSEMI" if width == 3 else pad(0, 8)) + pad("", 160) + pad("01.01.2401.00.00", 16) + pad(256 * (n + 1), 8) + pad("", 44) + pad(records, 8) + pad(1, 8) + pad(n, 4)
-    one = {"label": labels, "transducer": [""] * n, "unit": ["mV"] * n, "low": [f"{-top / scale:.1f}" if scale > 1 else -top] * n, "high": [f"{(top - 1) / scale:.1f}" if scale > 1 else top - 1] * n, "digital_low": [-top] * n, "digital_high": [top - 1] * n, "filter": [""] * n, "samples": [rate] * n, "reserved": [""] * n}
-    body = b"".join(int(v).to_bytes(width, "little", signed=True) for k in range(records) for c in range(n) for v in data[c, k * rate : (k + 1) * rate])
-    path.write_bytes(head + b"".join(pad(x, edf.FIELDS[f])[: edf.FIELDS[f]] for f in edf.FIELDS for x in one[f]) + body)
-
-
-def test_edf_and_bdf_give_back_their_values(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    for width, name, scale in ((2, "a.edf", 10), (3, "b.bdf", 1)):
-        data = rng.integers(-(2 ** (8 * width - 1)), 2 ** (8 * width - 1), (3, 50))
-        made_edf(tmp_path / name, width, ["EMG1", "EMG2", "BDF Annotations"], data, 10, scale)
-        s = edf.read_edf(spark, str(tmp_path / name), records=2)
-        got = {(r.channel, r.sample): r.value for r in s.collect()}
-        assert len(got) == 100
-        assert all(abs(got[c, k] - data[c, k] / scale) < 1e-3 for c in range(2) for k in range(50))
-        path = s.first().path
-        side = spark.createDataFrame([(path, "EMG1", "EMG", "Grid10", "n/a"), (path, "EMG2", "EMG", "Grid2", "20")], "path string, name string, type string, group string, sampling_frequency string")
-        placed, out = edf.ingest_edf_corpus(s, side)
-        assert {(r.channel, r.grid, r.fsamp) for r in out.select("channel", "grid", "fsamp").distinct().collect()} == {(0, 1, 10.0), (1, 0, 20.0)}
