@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spikeloom.operators.units import places
+from spikeloom.operators.series import BLOCK, CELLS, advance, filtered, notched
+from spikeloom.operators.units import places, stored
 
 CHANNEL = ("recording_id", "grid", "channel")
 
@@ -175,26 +176,6 @@ def butterworth_bandpass(order: int, low: float, high: float, fs: float) -> list
     return sections
 
 
-def section(u: np.ndarray, b: np.ndarray, a: np.ndarray, z: np.ndarray, size: int = 256) -> np.ndarray:
-    """A second-order section from state z on, block by block: within blocks by matrices, from block to block by the state alone."""
-    step, drive = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
-    powers = [np.eye(2)]
-    for _ in range(size):
-        powers.append(step @ powers[-1])
-    kernel = np.array([b[0], *(powers[k][0] @ drive for k in range(size - 1))])
-    lag = np.arange(size)[:, None] - np.arange(size)[None]
-    inside = np.where(lag >= 0, kernel[np.abs(lag)], 0.0)  # what earlier inputs of a block add to each output
-    seen = np.array([p[0] for p in powers[:size]])  # what the state before a block adds
-    carry = np.array([powers[size - 1 - k] @ drive for k in range(size)])
-    rows = np.zeros((-(-len(u) // size), size))
-    rows.ravel()[: len(u)] = u
-    push, states = rows @ carry, np.empty((len(rows), 2))
-    for k in range(len(rows)):
-        states[k] = z
-        z = powers[size] @ z + push[k]
-    return (rows @ inside.T + states @ seen.T).ravel()[: len(u)]
-
-
 def filtfilt(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Forward and backward pass with odd padding, each section starting in its steady state."""
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
@@ -202,7 +183,7 @@ def filtfilt(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np
     for _ in range(2):
         for b, a in sections:
             # a band-pass section has no response to a constant input, so its steady state is known
-            y = section(y, b, a, np.array([-b[0], b[2]]) * y[0])
+            y = advance(y, b, a, np.array([-b[0], b[2]]) * y[0])[0]
         y = y[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y
 
@@ -211,10 +192,15 @@ def filtfilt(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np
 BANDS = {"surface": (20.0, 500.0, 2), "intramuscular": (100.0, 4400.0, 3)}
 
 
-def bandpass(samples: DataFrame, fs: float, kind: str = "surface", band: tuple[float, float, int] | None = None) -> DataFrame:
-    """Zero-phase Butterworth band-pass, one channel of a recording per group."""
+def bandpass(samples: DataFrame, fs: float, kind: str = "surface", band: tuple[float, float, int] | None = None, block: int | None = BLOCK) -> DataFrame:
+    """Zero-phase Butterworth band-pass of each channel, by blocks of samples of any length of recording.
+
+    With block=None a channel is one group in a task: less work where all recordings are short.
+    """
     low, high, order = band or BANDS[kind]
     sections = butterworth_bandpass(order, low, high, fs)
+    if block is not None:
+        return filtered(samples, sections, block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
@@ -224,8 +210,12 @@ def bandpass(samples: DataFrame, fs: float, kind: str = "surface", band: tuple[f
     return cols.groupBy(*CHANNEL).applyInPandas(run, cols.schema)
 
 
-def spectral_notch(samples: DataFrame, fs: float) -> DataFrame:
-    """Remove narrow peaks of each channel's spectrum: bins over median + 5 deviations of their slice of int(fs) bins, widened by about 4 Hz."""
+def spectral_notch(samples: DataFrame, fs: float, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
+    """Remove narrow peaks of each channel's spectrum: bins over median + 5 deviations of their slice of int(fs) bins, widened by about 4 Hz.
+
+    Channels of up to `block` samples are transformed in one task, longer ones,
+    whose samples must follow without gaps, by columns and rows over many.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
@@ -245,7 +235,13 @@ def spectral_notch(samples: DataFrame, fs: float) -> DataFrame:
         return pdf.assign(value=x - np.fft.ifft(g).real)
 
     cols = samples.select(*CHANNEL, "sample", F.col("value").cast("double").alias("value"))
-    return cols.groupBy(*CHANNEL).applyInPandas(run, cols.schema)
+    n = samples.groupBy(*CHANNEL).agg(F.count("*").alias("n"), F.min("sample").alias("lo"), F.max("sample").alias("_hi")).where(F.col("n") > block)
+    gapless = F.when(F.col("_hi") - F.col("lo") + 1 == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("a long channel has gaps or repeated samples")).cast("long"))
+    long = stored(n.select(*CHANNEL, gapless.alias("n"), "lo"))  # at most one row for each `block` samples, so it can be broadcast
+    short = cols.join(F.broadcast(long), list(CHANNEL), "left_anti").groupBy(*CHANNEL).applyInPandas(run, cols.schema)
+    if long.isEmpty():
+        return short
+    return short.union(notched(cols.join(F.broadcast(long), list(CHANNEL), "left_semi"), F.broadcast(long), fs, cells))
 
 
 def preview_bundle(samples: DataFrame, fs: float, width: int) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,16 @@ def ready_checkpoints(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{ready_checkpoints(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _by_sample():
     return W.partitionBy(*UNIT).orderBy("sample")
 
