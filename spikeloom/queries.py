@@ -344,14 +344,49 @@ def quantize(spark, sf_dir):
     return S.quantize(s, S.physical_range(s), 16).select("channel", "sample", "digital")
 
 
-@query()
+def _bandpass_sql(low: float, high: float, order: int, fs: float) -> str:
+    """The filter as its difference equations, sample by sample, there and back."""
+    sections = S.butterworth_bandpass(order, low, high, fs)
+    pad, states, names = 3 * (2 * order + 1), "", []
+    u = "u"
+    for k, (b, a) in enumerate(sections):
+        v = f"({b[0]!r} * {u} + z{k}1)".replace("np.float64", "")
+        states += f", {b[1]!r} * {u} - {a[1]!r} * {v} + z{k}2 AS z{k}1, {b[2]!r} * {u} - {a[2]!r} * {v} AS z{k}2".replace("np.float64", "")
+        names += [f"z{k}1", f"z{k}2"]
+        u = v
+    b = sections[0][0]
+    begin = ", ".join([f"{-b[0]!r} * u AS z01, {b[2]!r} * u AS z02".replace("np.float64", ""), *(f"0.0::DOUBLE AS {z}" for z in names[2:])])
+    run = lambda src: f"SELECT channel, -1::BIGINT AS k, {begin}, NULL::DOUBLE AS y FROM {src} WHERE k = 0 UNION ALL SELECT i.channel, i.k{states}, {u} AS y FROM {src}_run r JOIN {src} i ON i.channel = r.channel AND i.k = r.k + 1"
+    return f"""WITH RECURSIVE {SIG}, n AS (SELECT max(sample) + 1 AS n FROM sig), e AS (SELECT channel, max(value) FILTER (WHERE sample = 0) AS a, max(value) FILTER (WHERE sample = n - 1) AS z FROM sig, n GROUP BY channel),
+there AS MATERIALIZED (SELECT channel, sample + {pad} AS k, value AS u FROM sig UNION ALL SELECT channel, {pad} - sample, 2 * a - value FROM sig JOIN e USING (channel) WHERE sample BETWEEN 1 AND {pad}
+  UNION ALL SELECT channel, {pad} + n + (n - 2 - sample), 2 * z - value FROM n, sig JOIN e USING (channel) WHERE sample BETWEEN n - 1 - {pad} AND n - 2),
+there_run(channel, k, {", ".join(names)}, y) AS ({run("there")}),
+turned AS MATERIALIZED (SELECT channel, n + {2 * pad} - 1 - k AS k, y AS u FROM there_run, n WHERE k >= 0),
+turned_run(channel, k, {", ".join(names)}, y) AS ({run("turned")})
+SELECT channel, n + {pad} - 1 - k AS sample, round(y, 6) AS value FROM turned_run, n WHERE k BETWEEN {pad} AND n + {pad} - 1"""
+
+
+@query(_bandpass_sql(10.0, 30.0, 2, 100.0))
 def bandpass(spark, sf_dir):
-    return _round(S.bandpass(sig(spark, sf_dir), 100.0, band=(10.0, 30.0, 2)).select("channel", "sample", "value"), "value")
+    return _round(S.bandpass(sig(spark, sf_dir), 100.0, band=(10.0, 30.0, 2), block=128).select("channel", "sample", "value"), "value")
 
 
-@query()
+_LINE = "value + 3 * sin(sample * pi() / 5)"
+_NOTCH = f"""+x AS (SELECT channel, sample, {_LINE} AS v FROM sig), n AS (SELECT max(sample) + 1 AS n FROM sig), k AS (SELECT unnest(range(n)) AS k FROM n),
+f AS MATERIALIZED (SELECT channel, k, sum(v * cos(2 * pi() * ((k * sample) % n) / n)) AS re, -sum(v * sin(2 * pi() * ((k * sample) % n) / n)) AS im FROM x, n, k GROUP BY 1, 2),
+s AS (SELECT channel, (k - 1) // 100 AS s, median(sqrt(re * re + im * im)) + 5 * stddev_pop(sqrt(re * re + im * im)) AS top FROM f, n WHERE k > 0 AND (k - 1) // 100 * 100 + 101 <= n GROUP BY 1, 2),
+h AS (SELECT f.channel, k FROM f JOIN s ON s.channel = f.channel AND s.s = (k - 1) // 100 WHERE k > 0 AND sqrt(re * re + im * im) > top),
+w AS (SELECT DISTINCT channel, k + d AS k FROM h, n, (SELECT unnest(range(-200, 201)) AS d) WHERE abs(d) <= round_even(4 * n / 100.0, 0)::BIGINT // 2 AND k + d > 0 AND k + d <= least(n // 2 + 1, n - 1)),
+g AS (SELECT channel, k, re, im FROM w JOIN f USING (channel, k) UNION SELECT w.channel, (n - w.k) % n, re, -im FROM n, w JOIN f USING (channel, k)),
+o AS (SELECT channel, k, any_value(re) AS re, any_value(im) AS im FROM g GROUP BY 1, 2),
+y AS (SELECT o.channel, x.sample, sum(re * cos(2 * pi() * ((k * sample) % n) / n) - im * sin(2 * pi() * ((k * sample) % n) / n)) / any_value(n) AS y FROM o JOIN x USING (channel), n GROUP BY 1, 2)
+SELECT channel, sample, round(v - coalesce(y, 0.0), 6) AS value FROM x LEFT JOIN y USING (channel, sample)"""
+
+
+@query(_NOTCH, "sig")
 def spectral_notch(spark, sf_dir):
-    return _round(S.spectral_notch(sig(spark, sf_dir), 100.0).select("channel", "sample", "value"), "value")
+    s = sig(spark, sf_dir).withColumn("value", F.col("value") + 3 * F.sin(F.col("sample") * F.lit(3.141592653589793) / 5))
+    return _round(S.spectral_notch(s, 100.0, block=256, cells=1 << 14).select("channel", "sample", "value"), "value")
 
 
 @query("+a AS (SELECT sample, avg(abs(value)) AS activity FROM sig GROUP BY sample), s AS (SELECT sample, sum(activity) OVER (ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM a) SELECT sample, round(smooth, 6) AS smooth FROM s WHERE sample % 2 = 0", "sig")
