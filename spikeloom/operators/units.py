@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNIT = ("recording_id", "unit_uid")
+#: Samples of a series that one task takes at once.
+BLOCK = 1 << 18
 
 
 def ready_checkpoints(spark: SparkSession) -> str:
@@ -42,19 +45,28 @@ def _by_sample():
     return W.partitionBy(*UNIT).orderBy("sample")
 
 
-def local_maxima(pulses: DataFrame) -> DataFrame:
-    """Samples higher than both sides; the middle (rounded down) of a flat top. The ends of a series are no maxima."""
-    edge = F.coalesce(F.lag("value").over(_by_sample()) != F.col("value"), F.lit(True)).cast("int")
-    runs = pulses.withColumn("_run", F.sum(edge).over(_by_sample())).groupBy(*UNIT, "_run").agg(F.min("sample").alias("a"), F.max("sample").alias("b"), F.first("value").alias("value"))
-    w = W.partitionBy(*UNIT).orderBy("_run")
-    near = runs.withColumn("_before", F.lag("value").over(w)).withColumn("_after", F.lead("value").over(w))
-    return near.where("value > _before and value > _after").select(*UNIT, F.floor((F.col("a") + F.col("b")) / 2).alias("sample"), "value")
-
+def local_maxima(pulses: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Samples higher than both sides; the middle (rounded down) of a flat top. The ends of a series are no maxima.
 
-def peak_islands(peaks: DataFrame, distance: int) -> DataFrame:
-    """Number the runs of peaks with gaps under `distance`; suppression never crosses two of them."""
-    new = F.coalesce(F.col("sample") - F.lag("sample").over(_by_sample()) >= distance, F.lit(True)).cast("int")
-    return peaks.withColumn("island", F.sum(new).over(_by_sample()))
+    Series are cut into blocks of samples. Runs of equal values inside a block
+    are decided there; the first and last run of each block, two rows a block,
+    are put in order over the whole series, joined where they go on, and then decided.
+    """
+    own = W.partitionBy(*UNIT, "_b").orderBy("sample")
+    edge = F.coalesce(F.lag("value").over(own) != F.col("value"), F.lit(True)).cast("int")
+    cut = pulses.select(*UNIT, "sample", "value", F.floor(F.col("sample") / block).alias("_b"))
+    runs = cut.withColumn("_run", F.sum(edge).over(own)).groupBy(*UNIT, "_b", "_run").agg(F.min("sample").alias("a"), F.max("sample").alias("b"), F.first("value").alias("value"))
+    w = W.partitionBy(*UNIT, "_b").orderBy("_run")
+    near = runs.withColumn("_before", F.lag("value").over(w)).withColumn("_after", F.lead("value").over(w))
+    inner = near.where("_before is not null and _after is not null").select(*UNIT, "a", "b", "value", "_before", "_after")
+    u = W.partitionBy(*UNIT).orderBy("a")
+    last = F.lag("value").over(u)
+    new = F.when(F.col("_before").isNotNull() | last.isNull() | (last != F.col("value")), 1).otherwise(0)
+    ends = near.where("_before is null or _after is null")
+    ends = ends.withColumn("_new", new).withColumn("_p", F.coalesce("_before", last)).withColumn("_q", F.coalesce("_after", F.lead("value").over(u))).withColumn("_g", F.sum("_new").over(u))
+    joined = ends.groupBy(*UNIT, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("value").alias("value"), F.min_by("_p", "a").alias("_before"), F.max_by("_q", "a").alias("_after"))
+    all_ = inner.union(joined.select(inner.columns))
+    return all_.where("value > _before and value > _after").select(*UNIT, F.floor((F.col("a") + F.col("b")) / 2).alias("sample"), "value")
 
 
 def apart(at: np.ndarray, value: np.ndarray, distance: int) -> np.ndarray:
@@ -68,49 +80,96 @@ def apart(at: np.ndarray, value: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
-def thin_peaks(peaks: DataFrame, distance: int) -> DataFrame:
-    """Highest first (the later of equal ones), peaks nearer than `distance` to a chosen one are dropped.
+#: What is known of a peak: to be decided here, decided elsewhere but not known yet, chosen for certain.
+OPEN, UNKNOWN, CHOSEN = 0, 1, 2
 
-    One row per island goes to Python in Arrow batches; islands keep the
-    partitioning by unit, so nothing is shuffled for them.
-    """
 
-    @F.pandas_udf("array<boolean>")
-    def flags(at: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([apart(a, v, distance) if len(a) > 1 else np.ones(len(a), bool) for a, v in zip(at, value, strict=True)])
+def settled(at: np.ndarray, value: np.ndarray, known: np.ndarray, distance: int) -> np.ndarray:
+    """The same choice where only a part of the peaks is seen: 1 kept, 0 dropped, -1 if it hangs on a peak whose fate isn't known."""
+    out = np.full(len(at), -2, np.int8)
+    lo, hi = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
+    for k in np.lexsort((-at, -value)):
+        seen = out[lo[k] : hi[k]]
+        out[k] = 1 if known[k] == CHOSEN else 0 if (seen == 1).any() else -1 if known[k] == UNKNOWN or (seen == -1).any() else 1
+    return out
 
-    own = peak_islands(peaks, distance).groupBy(*UNIT, "island").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("_p"))
-    flagged = own.withColumn("_keep", flags("_p.sample", "_p.value"))
-    kept = F.filter("_p", lambda p, k: F.get("_keep", k))
-    return flagged.select(*UNIT, F.explode(kept).alias("_p")).select(*UNIT, "_p.sample", "_p.value")
 
+def _settle(peaks: DataFrame, distance: int, block: int) -> DataFrame:
+    """peaks (with known) that aren't dropped, with `state`; a block sees the peaks within `distance` of it as unknown ones. edge: near a border."""
 
-def find_peaks(pulses: DataFrame, distance: int, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Local maxima, inside the inclusive height band if given, at least `distance` samples apart."""
-    peaks = local_maxima(pulses)
+    @F.pandas_udf("array<tinyint>")
+    def states(at: pd.Series, value: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([settled(np.asarray(a), np.asarray(v), np.asarray(k), distance) for a, v, k in zip(at, value, known, strict=True)])
+
+    at = F.col("sample")
+    own, low, high = F.floor(at / block), F.floor((at - distance + 1) / block), F.floor((at + distance - 1) / block)
+    dealt = peaks.withColumn("_own", own).withColumn("_b", F.explode(F.array_distinct(F.array(own, low, high)))).withColumn("_edge", low != high)
+    known = F.when((F.col("_own") != F.col("_b")) & (F.col("known") == OPEN), F.lit(UNKNOWN)).otherwise(F.col("known"))
+    rows = dealt.groupBy(*UNIT, "_b").agg(F.array_sort(F.collect_list(F.struct("sample", "value", known.alias("known"), (F.col("_own") == F.col("_b")).alias("mine"), F.col("_edge").alias("edge")))).alias("p"))
+    rows = rows.withColumn("s", states("p.sample", "p.value", "p.known")).select(*UNIT, F.explode(F.arrays_zip("p", "s")).alias("x"))
+    return rows.where("x.p.mine and x.s <> 0").select(*UNIT, "x.p.sample", "x.p.value", F.col("x.s").alias("state"), "x.p.edge", F.col("x.p.known").alias("was"))
+
+
+def thin_peaks(peaks: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """Highest first (the later of equal ones), peaks nearer than `distance` to a chosen one are dropped.
+
+    Each block of a unit decides all that doesn't hang on peaks beyond its
+    borders. The few that do meet, with what has been chosen near borders, in
+    blocks sixty-four times as long, and what is still open then (chains of ever
+    higher peaks across such blocks) in runs with gaps under `distance`.
+    """
+    block = max(block, 4 * distance)
+    first = stored(_settle(peaks.select(*UNIT, "sample", "value", F.lit(OPEN).alias("known")), distance, block))
+    cols = [*UNIT, "sample", "value"]
+    kept, rest = first.where("state = 1").select(cols), first
+    for width in (64 * block, None):
+        # what hangs on something, and what it may hang on
+        open_ = F.when(F.col("state") == 1, F.lit(CHOSEN)).otherwise(F.lit(OPEN)).alias("known")
+        rest = rest.where("state = -1 or edge").select(*cols, open_)
+        if width:
+            rest = _settle(rest, distance, width)
+        else:
+            near = F.coalesce(F.col("sample") - F.lag("sample").over(_by_sample()) >= distance, F.lit(True)).cast("int")
+            rest = _settle(rest.withColumn("unit_uid", F.struct("unit_uid", F.sum(near).over(_by_sample()).alias("island"))), distance, 1 << 62).withColumn("unit_uid", F.col("unit_uid.unit_uid"))
+        kept = kept.union(rest.where(f"state = 1 and was = {OPEN}").select(cols))
+    return kept
+
+
+def find_peaks(pulses: DataFrame, distance: int, low: float | None = None, high: float | None = None, block: int = BLOCK) -> DataFrame:
+    """Local maxima, inside the inclusive height band if given, at least `distance` samples apart; a long series is many tasks."""
+    peaks = local_maxima(pulses, block)
     if low is not None:
         peaks = peaks.where(F.col("value") >= low)
     if high is not None:
         peaks = peaks.where(F.col("value") <= high)
-    return thin_peaks(peaks, distance)
+    return thin_peaks(peaks, distance, block)
 
 
 def two_means_split(peaks: DataFrame) -> DataFrame:
     """Adds `high`: whether a peak is in the upper cluster of the best split of its unit's heights.
 
     Exact in one dimension: costs of all cuts of the sorted heights by prefix
-    sums, least cost, lowest cut on ties. One peak, or equal heights, are all high.
+    sums, least cost, lowest cut on ties; a cut between equal heights is never
+    the best. One peak, or equal heights, are all high. Heights are counted, and
+    put into buckets in order (64 for each power of two): sums of the buckets
+    before it are all that a bucket needs, so a unit is as many tasks as it has buckets.
     """
-    w = W.partitionBy(*UNIT).orderBy("value", "sample")
-    whole = W.partitionBy(*UNIT)
-    v = F.col("value")
-    s = peaks.withColumn("_k", F.row_number().over(w)).withColumn("_c", F.sum(v).over(w)).withColumn("_q", F.sum(v * v).over(w)).withColumn("_n", F.count("*").over(whole)).withColumn("_all", F.sum(v).over(whole)).withColumn("_squares", F.sum(v * v).over(whole))
-    cut = F.col("_k") < F.col("_n")
-    cost = F.when(cut, F.col("_q") - F.col("_c") ** 2 / F.col("_k") + F.col("_squares") - F.col("_q") - (F.col("_all") - F.col("_c")) ** 2 / (F.col("_n") - F.col("_k")))
-    s = s.withColumn("_cost", F.round(cost, 9))
-    best = F.min(F.when(F.col("_cost").isNotNull(), F.struct("_cost", "_k"))).over(whole)
-    flat = F.min(v).over(whole) == F.max(v).over(whole)
-    return s.withColumn("high", flat | F.coalesce(F.col("_k") > best["_k"], F.lit(True))).drop("_k", "_c", "_q", "_n", "_all", "_squares", "_cost")
+    v, n = F.col("value"), F.col("_n")
+    size = F.floor(F.log2(F.abs(v)) * 64) + 100_000
+    own = F.when(v > 0, size).when(v < 0, -size).otherwise(0)
+    counts = peaks.groupBy(*UNIT, own.alias("_b"), "value").agg(F.count("*").alias("_n"))
+    sums = counts.groupBy(*UNIT, "_b").agg(F.sum(n).alias("_n"), F.sum(n * v).alias("_s"), F.sum(n * v * v).alias("_q"))
+    order, whole = W.partitionBy(*UNIT).orderBy("_b"), W.partitionBy(*UNIT)
+    sums = sums.select(*UNIT, "_b", *((F.sum(c).over(order) - F.col(c)).alias(f"{c}0") for c in ("_n", "_s", "_q")), *(F.sum(c).over(whole).alias(f"{c}1") for c in ("_n", "_s", "_q")))
+    inside = W.partitionBy(*UNIT, "_b").orderBy("value")
+    c = counts.join(sums, [*UNIT, "_b"]).select(*UNIT, "value", *((F.col(f"{k}0") + F.sum(x).over(inside)).alias(k) for k, x in (("_n", n), ("_s", n * v), ("_q", n * v * v))), "_n1", "_s1", "_q1")
+    cost = F.col("_q") - F.col("_s") ** 2 / n + F.col("_q1") - F.col("_q") - (F.col("_s1") - F.col("_s")) ** 2 / (F.col("_n1") - n)
+    best = c.where("_n < _n1").groupBy(*UNIT).agg(F.min(F.struct(F.round(cost, 9).alias("cost"), "_n", "value"))["value"].alias("_top"))
+    # one row a unit, repeated so that no unit's peaks have to meet it in one task
+    salt = F.pmod(F.floor(F.col("sample") / 65_536), F.lit(16)).alias("_salt")
+    best = best.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    out = peaks.withColumn("_salt", salt).join(best, [*UNIT, "_salt"], "left").withColumn("high", F.coalesce(v > F.col("_top"), F.lit(True)))
+    return out.select(*peaks.columns, "high")
 
 
 def reject_high_peaks(spikes: DataFrame, rule: str = "deviation") -> DataFrame:
@@ -232,20 +291,52 @@ def expand_jitter(spikes: DataFrame, jitter: int, totals: DataFrame | None = Non
     return wide.distinct()
 
 
-def lag_overlap(spikes: DataFrame, maxlag: int, group: str = "recording_id") -> DataFrame:
-    """Coincidences of each pair of units of a group (u < v) at each lag of at most 2 * maxlag.
+def lag_counts(left: np.ndarray, right: np.ndarray, reach: int, halo: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(lag, counts of common places for each pair of rows) of bit trains; right has `halo` words more on both sides."""
+    n = left.shape[1]
+    for lag in range(-reach, reach + 1):
+        word, bit = halo + lag // 64, np.uint64(lag % 64)
+        moved = right[:, word : word + n]
+        if bit:
+            moved = (moved >> bit) | (right[:, word + 1 : word + n + 1] << (np.uint64(64) - bit))
+        yield lag, np.stack([np.bitwise_count(row & moved).sum(1) for row in left])
+
+
+def lag_overlap(spikes: DataFrame, maxlag: int, group: str = "recording_id", words: int = 64) -> DataFrame:
+    """Coincidences of each pair of units of a group (u < v) at each lag of at most 2 * maxlag; spikes count once.
 
-    The interval join is equal on a bucket as wide as the range of lags; the
-    left side is put into its own and both neighbouring buckets.
+    A unit's train is packed, 64 samples to a word. A block of words of all units
+    of a group, with the words around it that lags can reach, is one task's
+    work: lags are shifts, coincidences counts of common bits. So what is
+    shuffled grows with units times blocks, and not with pairs of spikes.
     """
     reach = 2 * maxlag
-    width = max(1, reach)
-    own = F.floor(F.col("sample") / width)
-    left = spikes.select(group, F.col("unit_uid").alias("u"), F.col("sample").alias("_a"), F.explode(F.array(own - 1, own, own + 1)).alias("_b"))
-    right = spikes.select(group, F.col("unit_uid").alias("v"), F.col("sample").alias("_c"), own.alias("_b"))
-    lag = F.col("_c") - F.col("_a")
-    pairs = left.join(right, [group, "_b"]).where((F.col("u") < F.col("v")) & (F.abs(lag) <= reach))
-    return pairs.groupBy(group, "u", "v", lag.alias("lag")).agg(F.count("*").alias("n"))
+    halo = -(-reach // 64) + 1
+    bit = F.expr("shiftleft(1L, cast(pmod(sample, 64) as int))")
+    packed = spikes.groupBy(group, "unit_uid", F.floor(F.col("sample") / 64).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    own = F.floor(F.col("_w") / words)
+    near = F.array_distinct(F.array(own, F.floor((F.col("_w") - halo) / words), F.floor((F.col("_w") + halo) / words)))
+    kinds = {f.name: f.dataType.simpleString() for f in spikes.schema}
+    near = near if words >= halo else F.sequence(F.floor((F.col("_w") - halo) / words), F.floor((F.col("_w") + halo) / words))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        units, row = np.unique(pdf["unit_uid"].to_numpy(), return_inverse=True)
+        block = int(pdf["_b"].iloc[0])
+        bits = np.zeros((len(units), words + 2 * halo), np.uint64)
+        bits[row, pdf["_w"].to_numpy() - block * words + halo] = pdf["_bits"].to_numpy().view(np.uint64)
+        left, out = bits[:, halo : halo + words], []
+        busy = np.flatnonzero(left.any(1))
+        for lo in range(0, len(busy), 64):
+            rows = busy[lo : lo + 64]
+            for lag, n in lag_counts(left[rows], bits, reach, halo):
+                i, j = np.nonzero(n * (np.arange(len(units))[None] > rows[:, None]))
+                out.append((rows[i], j, np.full(len(i), lag), n[i, j]))
+        u, v, lag, n = (np.concatenate(c) if out else np.zeros(0, int) for c in (zip(*out, strict=True) if out else [()] * 4))
+        return pd.DataFrame({group: pdf[group].iloc[[0] * len(u)].to_numpy(), "u": units[u], "v": units[v], "lag": lag, "n": n})
+
+    dealt = packed.withColumn("_b", F.explode(near))
+    part = dealt.groupBy(group, "_b").applyInPandas(count, f"{group} {kinds[group]}, u {kinds['unit_uid']}, v {kinds['unit_uid']}, lag long, n long")
+    return part.groupBy(group, "u", "v", "lag").agg(F.sum("n").alias("n"))
 
 
 def best_lags(overlaps: DataFrame, spikes: DataFrame, group: str = "recording_id") -> DataFrame:
@@ -272,28 +363,31 @@ def duplicate_score(spikes: DataFrame, lags: DataFrame, group: str = "recording_
 def dedup_units(units: DataFrame, scores: DataFrame, tol: float = 0.3, group: str = "recording_id") -> DataFrame:
     """Keep one unit of each group of duplicates: in unit order a leader takes all later active units that score >= tol against it; the lowest variability (first on ties) stays.
 
-    units has group, unit_uid, ord and cov, only of units with spikes. The
-    greedy pass is per recording, over its few hundred units and edges.
+    units has group, unit_uid, ord and cov, only of units with spikes; order is by
+    ord, then unit_uid. All groups go in rounds: a unit leads when none of its
+    earlier neighbours is left, what it takes leaves, and so on. A taken unit belongs to the
+    first leader among its earlier neighbours.
     """
-    near = scores.where(F.col("score") >= tol).select(group, "u", "v")
-    edges = near.union(near.select(group, F.col("v"), F.col("u"))).toDF(group, "unit_uid", "other")
-    lists = units.join(edges.groupBy(group, "unit_uid").agg(F.collect_list("other").alias("others")), [group, "unit_uid"], "left")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        active = dict.fromkeys(pdf["unit_uid"])
-        cov = dict(zip(pdf["unit_uid"], pdf["cov"], strict=True))
-        kept = []
-        for uid, others in zip(pdf["unit_uid"], pdf["others"], strict=True):
-            if uid in active:
-                near = set(others) if others is not None else set()
-                taken = [uid] + [o for o in active if o != uid and o in near]
-                kept.append(min(taken, key=lambda x: cov[x]))
-                for o in taken:
-                    del active[o]
-        return pdf[pdf["unit_uid"].isin(kept)].drop(columns="others")
-
-    return lists.groupBy(group).applyInPandas(greedy, units.select(*(c for c in lists.columns if c != "others")).schema)
+    place = F.struct("ord", "unit_uid")
+    at = lambda c: units.select(group, F.col("unit_uid").alias(c), place.alias(f"_{c}"))
+    near = scores.where(F.col("score") >= tol).select(group, "u", "v").where("u <> v").join(at("u"), [group, "u"]).join(at("v"), [group, "v"])
+    first = F.col("_u") < F.col("_v")
+    pairs = stored(near.select(group, F.when(first, F.col("_u")).otherwise(F.col("_v")).alias("a"), F.when(first, F.col("_v")).otherwise(F.col("_u")).alias("b")).distinct())
+    left, taken = pairs, None
+    while not left.isEmpty():
+        lead = left.select(group, "a").distinct().join(left.select(group, F.col("b").alias("a")), [group, "a"], "left_anti")
+        new = left.join(lead, [group, "a"]).select(group, "b").distinct()
+        new = stored(new)
+        taken = new if taken is None else taken.union(new)
+        gone = lead.union(new)
+        left = stored(left.join(gone, [group, "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), [group, "b"], "left_anti"))
+    if taken is None:
+        return units
+    rows = units.withColumn("_at", place)
+    own = pairs.join(taken.select(group, F.col("b").alias("a")), [group, "a"], "left_anti").join(taken, [group, "b"]).groupBy(group, F.col("b").alias("_at")).agg(F.min("a").alias("_lead"))
+    led = rows.join(own, [group, "_at"], "left").withColumn("_lead", F.coalesce("_lead", "_at"))
+    best = led.groupBy(group, "_lead").agg(F.min(F.struct(F.coalesce("cov", F.lit(float("inf"))).alias("cov"), "_at"))["_at"].alias("_at"))
+    return rows.join(best.select(group, "_at"), [group, "_at"], "left_semi").select(units.columns)
 
 
 def dedup_by_grid(units: DataFrame, spikes: DataFrame, fsamp: float, tol: float = 0.3, across: bool = False, totals: DataFrame | None = None, over: str = "grid") -> DataFrame:

@@ -23,7 +23,7 @@ _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
 
 
-def query(sql: str | None = None, views: str = ""):
+def query(sql: str | None = None, views: str = "", recursive: bool = False):
     """Register a query; `views` names the view expressions that its SQL starts from."""
 
     def add(f: Callable) -> Callable:
@@ -32,7 +32,7 @@ def query(sql: str | None = None, views: str = ""):
             parts = {"sig": SIG, "parts": f"{SIG}, {PARTS}", "spk": SPK, "min": f"{SPK}, {MIN}", "ch": CH}
             head = ", ".join(parts[v] for v in views.split())
             body = sql.strip()
-            _sql[f.__name__] = f"WITH {head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}" if head else body
+            _sql[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{head}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}" if head else body
         return f
 
     return add
@@ -512,7 +512,18 @@ def local_maxima(spark, sf_dir):
     return U.local_maxima(spk(spark, sf_dir)).select("unit_uid", "sample", "value")
 
 
-@query()
+def _greedy(peaks: str, distance: int) -> str:
+    """CTEs: places of `peaks` chosen from the highest down, unit by unit, as `chosen`."""
+    return f"""k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording_id, unit_uid ORDER BY value DESC, sample DESC) AS k FROM {peaks}),
+g(recording_id, unit_uid, k, kept) AS (SELECT DISTINCT recording_id, unit_uid, 0::BIGINT, []::BIGINT[] FROM k UNION ALL
+  SELECT g.recording_id, g.unit_uid, g.k + 1, CASE WHEN len(list_filter(kept, lambda s: abs(s - sample) < {distance})) = 0 THEN list_append(kept, sample) ELSE kept END FROM g JOIN k ON k.recording_id = g.recording_id AND k.unit_uid = g.unit_uid AND k.k = g.k + 1),
+chosen AS (SELECT recording_id, unit_uid, unnest(arg_max(kept, k)) AS sample FROM g GROUP BY 1, 2)"""
+
+
+_MAXIMA = "p AS MATERIALIZED (SELECT recording_id, unit_uid, sample, value FROM (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM {} WINDOW w AS (PARTITION BY recording_id, unit_uid ORDER BY sample)) WHERE value > b AND value > a), "
+
+
+@query("+" + _MAXIMA.format("spk") + _greedy("p", 40_000) + " SELECT unit_uid, sample, value FROM chosen JOIN p USING (recording_id, unit_uid, sample)", "spk", True)
 def find_peaks(spark, sf_dir):
     return U.find_peaks(spk(spark, sf_dir), 40_000).select("unit_uid", "sample", "value")
 
@@ -599,7 +610,20 @@ def duplicate_score(spark, sf_dir):
     return _round(U.duplicate_score(m, U.best_lags(U.lag_overlap(m, 2), m)).select("u", "v", "score"), "score")
 
 
-@query()
+_DEDUP = """, h AS (SELECT best.*, a.recording_id, a.sample, a.sample - lag(a.sample) OVER (PARTITION BY u, v ORDER BY a.sample) AS gap FROM best JOIN m a ON a.unit_uid = u JOIN m b ON b.unit_uid = v AND b.sample = a.sample + best.lag),
+near AS (SELECT recording_id, u, v FROM h GROUP BY ALL HAVING sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) / CAST(greatest(max(n_u), max(n_v)) AS DOUBLE) >= 0.02),
+i AS (SELECT *, sample - lag(sample) OVER (PARTITION BY recording_id, unit_uid ORDER BY sample) AS isi FROM m),
+units AS MATERIALIZED (SELECT recording_id, unit_uid, coalesce(CASE WHEN avg(isi) > 0 THEN stddev_pop(isi) / avg(isi) END, 100.0) AS cov, row_number() OVER (PARTITION BY recording_id ORDER BY unit_uid) AS k FROM i GROUP BY 1, 2),
+nb AS MATERIALIZED (SELECT a.recording_id, a.k, list(struct_pack(cov := b.cov, k := b.k)) AS l FROM near JOIN units a ON a.unit_uid = u JOIN units b ON b.unit_uid = v GROUP BY 1, 2),
+steps(recording_id, k, taken, kept) AS (SELECT DISTINCT recording_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM units UNION ALL
+  SELECT recording_id, k, CASE WHEN list_contains(taken, k) THEN taken ELSE list_concat(taken, list_transform(own, lambda x: x.k)) END, CASE WHEN list_contains(taken, k) THEN kept ELSE list_append(kept, (list_sort(own)[1]).k) END
+  FROM (SELECT steps.recording_id, units.k, taken, kept, list_append(list_filter(coalesce(l, []), lambda x: NOT list_contains(taken, x.k)), struct_pack(cov := cov, k := units.k)) AS own
+    FROM steps JOIN units ON units.recording_id = steps.recording_id AND units.k = steps.k + 1 LEFT JOIN nb ON nb.recording_id = steps.recording_id AND nb.k = units.k)),
+last AS (SELECT recording_id, unnest(arg_max(kept, k)) AS k FROM steps GROUP BY 1)
+SELECT recording_id, unit_uid, round(cov, 6) AS cov FROM last JOIN units USING (recording_id, k)"""
+
+
+@query(_BEST + _DEDUP, "min", True)
 def dedup_units(spark, sf_dir):
     m = minutes(spk(spark, sf_dir))
     scores = U.duplicate_score(m, U.best_lags(U.lag_overlap(m, 2), m))
@@ -631,7 +655,7 @@ def delete_spikes_in_roi(spark, sf_dir):
     return E.delete_spikes_in_roi(s, s.select("recording_id", "unit_uid", "sample", "value"), _rois(s)).select("unit_uid", "sample")
 
 
-@query()
+@query("+z AS (SELECT recording_id, unit_uid, sample, CASE WHEN sample BETWEEN 500000 AND 1500000 THEN value ELSE 0 END AS value FROM spk), " + _MAXIMA.format("z") + _greedy("(SELECT * FROM p WHERE value >= 20)", 5000) + " SELECT unit_uid, sample FROM chosen UNION SELECT unit_uid, sample FROM spk WHERE sample % 2 = 0", "spk", True)
 def add_spikes_in_roi(spark, sf_dir):
     s = spk(spark, sf_dir)
     return E.add_spikes_in_roi(s.select("recording_id", "unit_uid", "sample", "value"), s.where("sample % 2 = 0"), _rois(s), 5000).select("unit_uid", "sample")

@@ -1,6 +1,7 @@
 """Peaks, filters and duplicates against small brute-force versions."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spikeloom.operators import decompose, signals, units
@@ -57,3 +58,94 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(out).collect()}
     want = {tuple(r) for r in stream_qc_envelope(spark.read.parquet(src), "5 minutes").collect()}
     assert got and got <= want and len(want) - len(got) <= 3
+
+
+PULSES = "recording_id string, unit_uid long, sample long, value double"
+
+
+def chosen(v, distance):
+    """Maxima of a list, chosen one by one from the highest down."""
+    cand, k = [], 1
+    while k < len(v) - 1:
+        e = k
+        while e < len(v) - 1 and v[e + 1] == v[k]:
+            e += 1
+        if v[k] > v[k - 1] and e < len(v) - 1 and v[e] > v[e + 1]:
+            cand.append((k + e) // 2)
+        k = e + 1
+    kept = []
+    for c in sorted(cand, key=lambda c: (-v[c], -c)):
+        if all(abs(c - x) >= distance for x in kept):
+            kept.append(c)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("block", [8, 32, 1 << 18])
+def test_peaks_over_block_borders(spark, block):
+    rng = np.random.default_rng(3)
+    stairs = np.ravel([[k, 0] for k in range(150)])  # each peak hangs on the next one, across all blocks
+    series = {1: rng.integers(0, 4, 500), 2: np.repeat(rng.integers(0, 9, 40), rng.integers(1, 30, 40)), 3: stairs, 4: np.ones(300), 5: rng.integers(0, 90, 700), 6: [5], 7: stairs[::-1], 8: np.r_[0, np.ones(100), 0]}
+    rows = [("r", u, k, float(x)) for u, v in series.items() for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, PULSES).repartition(3)
+    maxima, found = {}, {}
+    for name, out, got in (("maxima", units.local_maxima(df, block), maxima), ("peaks", units.find_peaks(df, 5, block=block), found)):
+        for r in out.collect():
+            got.setdefault(r.unit_uid, []).append(r.sample)
+    for u, v in series.items():
+        assert sorted(maxima.get(u, [])) == chosen(list(v), 1), u
+        assert sorted(found.get(u, [])) == chosen(list(v), 5), u
+
+
+def test_an_unseen_peak_leaves_open_what_hangs_on_it():
+    at, value = np.array([0, 3, 6, 9, 30]), np.array([5.0, 6.0, 7.0, 8.0, 1.0])
+    known = np.array([0, 0, 0, units.UNKNOWN, 0])
+    assert units.settled(at, value, known, 4).tolist() == [-1, -1, -1, -1, 1]
+    assert units.settled(at, value, np.array([0, 0, 0, units.CHOSEN, 0]), 4).tolist() == [0, 1, 0, 1, 1]
+
+
+def test_two_means_of_hot_and_signed_heights(spark):
+    rng = np.random.default_rng(4)
+    heights = {1: np.r_[np.full(300, 2.0), rng.normal(9, 1, 40)], 2: rng.normal(-3, 2, 80), 3: [4.0], 4: [1.0, 1.0], 5: [0.0, -1e-9, 1e9], 6: np.r_[rng.normal(0, 1, 30), rng.normal(5, 0.1, 30), 0.0]}
+    df = spark.createDataFrame([("r", u, k, float(x)) for u, v in heights.items() for k, x in enumerate(v)], PULSES)
+    got = {}
+    for r in units.two_means_split(df).orderBy("unit_uid", "sample").collect():
+        got.setdefault(r.unit_uid, []).append(r.high)
+    for u, v in heights.items():
+        s = sorted(v)
+        cost = [sum((x - np.mean(part)) ** 2 for part in (s[:k], s[k:]) for x in part) for k in range(1, len(s))]
+        cut = s[int(np.argmin(cost))] if len(set(s)) > 1 else -np.inf
+        assert got[u] == [x > cut for x in v], u
+
+
+def test_bit_trains_count_as_pairs_do(spark):
+    rng = np.random.default_rng(6)
+    trains = {("r", 1): set(range(0, 900, 2)), ("r", 2): set(rng.integers(0, 900, 400).tolist()), ("r", 3): {5, 899}, ("q", 2): {1, 2, 3}, ("q", 9): {4}, ("q", 10): {100_000}}
+    df = spark.createDataFrame([(r, u, k) for (r, u), t in trains.items() for k in [*t, *list(t)[:3]]], "recording_id string, unit_uid long, sample long")
+    for maxlag, words in ((3, 2), (40, 1), (70, 64)):
+        got = {(r.recording_id, r.u, r.v, r.lag): r.n for r in units.lag_overlap(df, maxlag, words=words).collect()}
+        want = {(a[0], a[1], b[1], lag): n for a, x in trains.items() for b, y in trains.items() if a[0] == b[0] and a[1] < b[1] for lag in range(-2 * maxlag, 2 * maxlag + 1) if (n := len({k + lag for k in x} & y))}
+        assert got == want
+
+
+def test_leaders_by_rounds_match_the_greedy_pass(spark):
+    rng = np.random.default_rng(7)
+    rows, edges = [], []
+    for g in range(6):
+        n = int(rng.integers(1, 40))
+        rows += [(f"g{g}", u, int(rng.integers(0, 9)), float(rng.integers(0, 4))) for u in range(n)]
+        edges += [(f"g{g}", int(a), int(b), float(rng.integers(0, 2))) for a, b in rng.integers(0, n, (int(n * g / 2), 2))]
+    rows += [("chain", u, u, 1.0) for u in range(12)]
+    edges += [("chain", u, u + 1, 1.0) for u in range(11)]
+    df, sc = spark.createDataFrame(rows, "recording_id string, unit_uid long, ord int, cov double"), spark.createDataFrame(edges, "recording_id string, u long, v long, score double")
+    got = {(r.recording_id, r.unit_uid) for r in units.dedup_units(df, sc, 0.5).collect()}
+    near = {(g, a, b) for g, a, b, s in edges if s >= 0.5} | {(g, b, a) for g, a, b, s in edges if s >= 0.5}
+    want = set()
+    for g in {r[0] for r in rows}:
+        active = sorted((o, u, c) for x, u, o, c in rows if x == g)
+        while active:
+            lead, *later = active
+            taken = [lead] + [x for x in later if (g, lead[1], x[1]) in near]
+            want.add((g, min(taken, key=lambda x: (x[2], x[0], x[1]))[1]))
+            active = [x for x in later if x not in taken]
+    assert got == want
+    assert units.dedup_units(df, sc.limit(0), 0.5).count() == len(rows)
