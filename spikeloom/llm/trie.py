@@ -81,6 +81,7 @@ def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.unhex(F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))).alias("name"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     ).where("conv_id is not null")
+    rows = written(rows)  # the sort looks at its keys twice, but texts are read once
     keys = ["conv_id", "turn", "name", "salt"]  # equal rows are told apart too, so that any number of them can be split
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
