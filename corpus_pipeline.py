@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept and returns a DataFrame; all but the last return the columns of docs, in
 whatever number and under whatever names. What depends on a text alone is
-decided by text, so it holds for rows that repeat a doc_id or have none; a row
-without a doc_id is in no group of near duplicates. Empty tables give empty ones.
+decided where its row is, without a join, so it holds for rows that repeat a
+doc_id or have none; a row without a doc_id is in no group of near duplicates.
+Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -15,35 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spikeloom.llm import bpe, decontaminate, jaccard, langid, pii
-from spikeloom.llm.graph import shared_folder
+from spikeloom.llm.graph import shared_folder, told_apart, written
 
 
-def _without(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs without the rows whose text has one of these hashes (doc_id of texts)."""
-    gone = texts.select(F.col("doc_id").alias("_hash")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"].cast("string")) == gone["_hash"], "left_anti")
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and everything else as one struct, so that a decision on a text travels with its row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.lit(None).cast("int").alias("_none" + "_" * max(map(len, docs.columns)))).alias("rest"))
 
 
-def _by_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or no letter) go."""
-    found = langid.identify(_by_text(docs), langid.train(docs))
-    return _without(docs, found.where(F.col("lang_pred") == "und"))
+    return _back(langid.identify(_carried(docs), langid.train(docs), carry=True).where("lang_pred <> 'und'"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five words, similarity 0.8) the one with the smallest doc_id stays."""
-    copies = jaccard.jaccard_components(docs, 5, 80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents (five words, similarity 0.8) the one with the smallest doc_id stays; each text of a repeated id is judged by itself."""
+    apart = told_apart(docs)
+    rows, own = (written(apart[0]), "_new") if apart else (docs, "doc_id")
+    copies = jaccard.jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), 5, 80).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return rows.join(copies, own, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or all of a shorter one) go."""
-    found = decontaminate.decontaminate(_by_text(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
-    return _without(docs, found.where("contaminated"))
+    found = decontaminate.decontaminate(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, carry=True)
+    return _back(found.where("not contaminated"), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

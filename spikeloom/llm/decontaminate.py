@@ -101,15 +101,22 @@ class _Rows:
         for c, v in zip(self.cols, row, strict=True):
             c.append(v)
 
-    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+    def batch(self, b: pa.RecordBatch, more: tuple[str, ...] = ()) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(self.cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "cut_text"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(self.cols, kinds, strict=True)), *(b.column(c) for c in more)], ["doc_id", "n_words", "n_hit", "items", "cut_text", *more])
+
+
+def _out(docs: DataFrame) -> tuple[str, tuple[str, ...]]:
+    """Schema of the result, with text and rest where docs brings a rest along; and these columns."""
+    more = ("text", "rest") if "rest" in docs.columns else ()
+    return _OUT + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more), more
 
 
 def _whole(docs: DataFrame, rows: list) -> DataFrame:
     """All of the result in one pass: the whole benchmark is one block."""
     held = docs.sparkSession.sparkContext.broadcast(rows)
     state: dict = {}
+    schema, more = _out(docs)
 
     def scan(batches):
         index = state.get("index") or state.setdefault("index", _index(held.value))
@@ -119,9 +126,9 @@ def _whole(docs: DataFrame, rows: list) -> DataFrame:
                 _, w, found, hit = _search(s, index)
                 for k in range(s.hi - s.lo):
                     out.add(s, w, k, _runs(hit[w.first[k] : w.last[k]]) if k in found else _NO_RUNS, found.get(k, ()))
-            yield out.batch(b.column("doc_id"))
+            yield out.batch(b, more)
 
-    return docs.mapInArrow(scan, _OUT)
+    return docs.mapInArrow(scan, schema)
 
 
 def _block(docs: DataFrame, rows: list) -> DataFrame:
@@ -147,6 +154,7 @@ def _block(docs: DataFrame, rows: list) -> DataFrame:
 
 def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """The result from the hits of all blocks."""
+    schema, more = _out(docs)
     per = hits.groupBy("row").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def finish(batches):
@@ -158,9 +166,9 @@ def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
                     own = spans[s.lo + k] or []
                     runs = _runs(np.cumsum(sum(_marks(x, int(w.last[k] - w.first[k])) for x in own))[:-1] > 0) if own else _NO_RUNS
                     out.add(s, w, k, runs, items[s.lo + k] or ())
-            yield out.batch(b.column("doc_id"))
+            yield out.batch(b, more)
 
-    return docs.join(per, "row", "left").select("doc_id", "text", "spans", "items").mapInArrow(finish, _OUT)
+    return docs.join(per, "row", "left").select("doc_id", "text", "spans", "items", *more[1:]).mapInArrow(finish, schema)
 
 
 def _marks(spans: bytes, n: int) -> np.ndarray:
@@ -191,8 +199,8 @@ def _without(s: X.Slice, w: X.Words, runs: np.ndarray, k: int) -> str:
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids), contaminated, cut_text.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 10, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (sorted ids), contaminated, cut_text (and its text and struct `rest`, with carry).
 
     Words are lower-cased in A-Z and made of digits, letters and non-ASCII. A
     word inside any verified window is hit. cut_text is the text without hit
@@ -201,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 10) -> Dat
     """
     windows = benchmark_windows(benchmark, words)
     parts = -(-windows.count() // BROADCAST_WINDOWS) or 1
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *["rest"] * carry)
     columns = ("item_id", "size", "hash", "window")
     if parts == 1:
         out = _whole(out, [tuple(r) for r in windows.select(*columns).collect()])

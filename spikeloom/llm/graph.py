@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -66,3 +67,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, int] | None:
+    """For tables in which one doc_id has several texts: each text of an id gets an id of its own.
+
+    Gives docs with `_new` (in order of doc_id; null without one), the table
+    (_new, doc_id), and how many numbers each doc_id spans, so that new // span
+    tells whether two are of one doc_id. None where no id has two texts; rows
+    that repeat as a whole stay one document.
+    """
+    spark = docs.sparkSession
+    own = docs.select("*", F.col("doc_id").cast("long").alias("_doc"))
+    ids = own.select("_doc").where("_doc is not null")
+    if ids.groupBy("_doc").count().where("count > 1").isEmpty():
+        return None
+    own = own.withColumn("_hash", F.xxhash64(F.col("text").cast("string"), F.col("text").isNull()))
+    pairs = written(own.select("_doc", "_hash").where("_doc is not null").distinct())
+    span = pairs.groupBy("_doc").count().agg(F.max("count")).first()[0]
+    if span == 1:
+        return None
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = written(pairs.select("_doc").distinct().repartitionByRange(n, "_doc").withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in order.groupBy("_part").count().collect())  # a number for each partition
+    before = spark.createDataFrame([(p, sum(m for q, m in sizes if q < p)) for p, _ in sizes], "_part int, _before long")
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_doc")) - 1
+    rank = order.withColumn("_at", place).join(F.broadcast(before), "_part").select("_doc", (F.col("_at") + F.col("_before")).alias("_rank"))
+    new = pairs.join(rank, "_doc").withColumn("_new", F.col("_rank") * span + F.row_number().over(W.partitionBy("_doc").orderBy("_hash")) - 1)
+    new = written(new.select("_doc", "_hash", "_new"))
+    out = own.join(new, ["_doc", "_hash"], "left").select(*docs.columns, "_new")
+    return out, new.select("_new", F.col("_doc").alias("doc_id")), span

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.graph import components, forget, saved
+from spikeloom.llm.graph import components, forget, saved, told_apart
 
 #: Least and most groups; between them the power of two from half the set size on. Larger sets are bounded less tightly.
 GROUPS = (16, 1 << 16)
@@ -442,12 +442,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles, class_id, component_id of every document (see jaccard_links).
 
     component_id is the smallest doc_id reachable by links, itself included
-    (null without a doc_id); one row per input row.
+    (null without a doc_id); one row per input row. Several texts of one doc_id
+    are documents of their own, under that id.
     """
+    if apart := told_apart(docs):
+        return _under_old(jaccard_components(_under_new(apart[0]), words, percent), apart[1])
     classes, links = jaccard_links(docs, words, percent)
     return _out(classes, components(links))
 
 
+def _under_new(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_new").alias("doc_id"), "text")
+
+
+def _under_old(out: DataFrame, ids: DataFrame) -> DataFrame:
+    """Results for new ids (see told_apart) as those of the doc_ids they stand for."""
+    for c in ("doc_id", "class_id", "component_id"):
+        if c in out.columns:
+            out = out.withColumnRenamed(c, "_new").join(ids, "_new", "left").drop("_new").withColumnRenamed("doc_id", f"_{c}")
+    return out.select(*(F.col(f"_{c}").alias(c) if f"_{c}" in out.columns else F.col(c) for c in ("doc_id", "n_shingles", "class_id", "component_id", "n_links") if c in out.columns or f"_{c}" in out.columns))
+
+
 def _out(classes: DataFrame, comp: DataFrame) -> DataFrame:
     out = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
@@ -520,6 +535,8 @@ def linked(sets: list[np.ndarray], percent: int, cells: int = 1 << 22) -> np.nda
 
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """jaccard_components with n_links: how many other documents (by doc_id) each one links with, copies included."""
+    if apart := told_apart(docs):
+        return _under_old(jaccard_join(_under_new(apart[0]), words, percent), apart[1])
     classes, links = jaccard_links(docs, words, percent)
     comp = saved(components(links))
     ids = classes.where("class_id is not null").select("class_id", "doc_id").distinct()

@@ -132,13 +132,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     return fit(x, got.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; only the text is looked at.
+def identify(docs: DataFrame, model: dict | None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row (and its text and struct `rest`, with carry); only the text is looked at.
 
     Null texts, texts without a letter, and all texts when nothing could be
     learned are `und` with score 0. A null doc_id counts as held out nowhere.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    more = ("text", "rest") if carry else ()
 
     def tell(batches):
         m = held.value
@@ -149,10 +150,10 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 name, score = predict(m, features(s)) if m else (np.full(s.hi - s.lo, "und", object), np.zeros(s.hi - s.lo))
                 langs += list(np.where(ok, name, "und"))
                 scores.append(np.where(ok, score, 0.0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), *(b.column(c) for c in more)], ["doc_id", "held_out", "lang_pred", "score", *more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tell, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *more[1:])
+    return rows.mapInArrow(tell, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in more))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.graph import forget, written
+from spikeloom.llm.graph import forget, told_apart, written
 
 ANCHOR = 20
 _U = np.uint64
@@ -233,13 +233,13 @@ class Levels:
             new = Array({k: np.concatenate([x[k], y[k]]) for k in y})
         self.levels.append(new)
 
-    def found(self):
+    def found(self, span: int = 1):
         """For each level: its entries, which have an earlier document with equal surroundings, and which must be compared byte by byte."""
         for a in self.levels:
-            doc, first = a.c["doc"], a.first[a.klass]
+            doc, first = a.c["doc"] // span, a.first[a.klass] // span
             same = doc > first
             # of the first document of a class one place is enough, unless a document before it shares a part
-            part = ~same & (a.new_k | (doc > a.least[a.group])) & a.many[a.group]
+            part = ~same & (a.new_k | (doc > a.least[a.group] // span) | (a.c["doc"] > a.first[a.klass])) & a.many[a.group]
             yield a.c, same, part
 
 
@@ -248,7 +248,7 @@ def _rows(cols: list[np.ndarray], names: list[str], step: int = 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in cols], names)
 
 
-def matches(runs: DataFrame, ranges: int, keep: bool = False) -> DataFrame:
+def matches(runs: DataFrame, ranges: int, keep: bool = False, ids: int = 1) -> DataFrame:
     """(doc_id, pos, anchor): places with equal surroundings in an earlier document, and, with anchor set, places to compare.
 
     runs has new arrays (level -1) and levels of earlier jobs. With keep, the
@@ -285,7 +285,7 @@ def matches(runs: DataFrame, ranges: int, keep: bool = False) -> DataFrame:
         for bucket in list(new):
             flush(bucket)
         for bucket, levels in family.items():
-            for k, (c, same, part) in enumerate(levels.found()):
+            for k, (c, same, part) in enumerate(levels.found(ids)):
                 told = same & c["new"]
                 anchor = X.mix(c["w0"] ^ X.mix(c["w1"] ^ X.mix(c["w2"].astype(_U)))).view(np.int64) & np.int64((1 << 63) - 1)
                 for use, mark in ((told, np.full(int(told.sum()), -1, np.int64)), (part, anchor[part])):
@@ -335,7 +335,7 @@ def _by_doc(rows: DataFrame, cols: str) -> DataFrame:
     return rows.repartition("doc_id").mapInArrow(pack, "doc_id long, packed binary")
 
 
-def surroundings(docs: DataFrame, parts: DataFrame, span: int, ranges: int) -> DataFrame:
+def surroundings(docs: DataFrame, parts: DataFrame, span: int, ranges: int, ids: int = 1) -> DataFrame:
     """(bucket, rows): the bytes around each place to compare, by anchor range."""
     reach = span - ANCHOR
     kind = np.dtype([("anchor", "<i8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", 2 * reach + ANCHOR)])
@@ -375,7 +375,7 @@ def surroundings(docs: DataFrame, parts: DataFrame, span: int, ranges: int) -> D
         e = e[np.argsort(e["anchor"], kind="stable")]
         at = np.flatnonzero(np.append(True, e["anchor"][1:] != e["anchor"][:-1]))
         for lo, hi in _chunks(at, len(e)):
-            low, high = windows_covered(e[lo:hi], reach)
+            low, high = windows_covered(e[lo:hi], reach, ids)
             hit = high >= 0
             p = e["pos"][lo:hi][hit].astype(np.int64)
             yield from _rows([e["doc"][lo:hi][hit], p - high[hit], p - low[hit] + span], ["doc_id", "start", "end"])
@@ -394,7 +394,7 @@ def _chunks(at: np.ndarray, n: int, size: int = 200_000):
         lo = hi
 
 
-def windows_covered(e: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def windows_covered(e: np.ndarray, reach: int, ids: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest offset of the anchor in a window that an earlier document has too (-1: none).
 
     Windows meet by a rolling hash, offset by offset; each is then compared, byte by byte, with the one that it met.
@@ -418,7 +418,7 @@ def windows_covered(e: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         k, d = key[order], e["doc"][ok][order]
         new = np.append(True, k[1:] != k[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = np.flatnonzero(d > d[first])
+        later = np.flatnonzero(d // ids > d[first] // ids)
         hit, with_ = ok[order[later]], ok[order[first[later]]]
         at = slice(reach - o, reach - o + span)
         hit = hit[(ctx[hit, at] == ctx[with_, at]).all(1)]
@@ -433,7 +433,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, lev
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary)
     per input row. Strings are judged on the input, overlaps count, and nothing
     is matched across documents. Null counts as empty; rows with one doc_id
-    never count against each other; a null doc_id keeps all its bytes.
+    never count against each other, whatever their texts; a null doc_id keeps all its bytes.
 
     levels is a folder that all executors share: docs are then the next batch
     of a growing corpus, scanned against the levels kept there, which take it
@@ -442,8 +442,17 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, lev
     """
     if not 2 * ANCHOR <= span <= ANCHOR + 63:
         raise ValueError(f"span must be from {2 * ANCHOR} to {ANCHOR + 63}")
+    docs, ids = docs.select("doc_id", "text"), 1
+    if not levels and earlier is None and (apart := told_apart(docs)):
+        new, old, ids = apart
+        out = _removed(written(new.select(F.col("_new").alias("doc_id"), "text")), span, with_text, None, None, ids)
+        return out.withColumnRenamed("doc_id", "_new").join(old, "_new", "left").select("doc_id", *out.columns[1:])
+    return _removed(docs, span, with_text, levels, earlier, ids)
+
+
+def _removed(docs: DataFrame, span: int, with_text: bool, levels: str | None, earlier: DataFrame | None, ids: int) -> DataFrame:
+    """remove_repeats of documents with ids of their own, of which `ids` in a row may stand for one doc_id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     if levels:
         ranges = KEPT_RANGES
     else:
@@ -454,14 +463,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, lev
         now = _newest(spark, levels)
         if now:
             runs = runs.union(spark.read.parquet(now).select("bucket", "level", "docs", "entries"))
-        found = written(matches(runs, ranges, True))
+        found = written(matches(runs, ranges, True, ids))
         found.where("doc_id is null").select("bucket", "level", "docs", "entries").write.parquet(f"{levels}/{0 if now is None else int(now.rpartition('/')[2]) + 1}")
         found = found.where("doc_id is not null")
     else:
-        found = written(matches(runs, ranges))
+        found = written(matches(runs, ranges, False, ids))
     forget(spark)
     all_ = docs if earlier is None else docs.union(earlier.select("doc_id", "text"))
-    cover = written(surroundings(all_, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges))
+    cover = written(surroundings(all_, found.where("anchor >= 0").select("doc_id", "pos", "anchor"), span, ranges, ids))
     forget(spark)
     whole = found.where("anchor < 0").select("doc_id", F.col("pos").alias("start"), F.lit(-1).cast("long").alias("end"))
     spans = _by_doc(whole.union(cover), "start end")
