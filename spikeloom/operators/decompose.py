@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spikeloom.operators.units import find_peaks, isi_cov, places, ready_checkpoints, two_means_split
+from spikeloom.operators.units import find_peaks, isi_cov, places, ready_checkpoints, reject_high_peaks, two_means_split
 
 GRID = ("recording_id", "grid")
 #: Contrast functions with their derivatives.
@@ -22,17 +22,30 @@ def frames(samples: DataFrame) -> DataFrame:
 
 
 def delay_embed(frames_: DataFrame, r: int, block: int = 4096) -> DataFrame:
-    """Each vector followed by those of the r - 1 samples before it (zeros before the start).
+    """Each vector followed by those of the r - 1 samples before it (zeros before the start, and for samples that are missing).
 
-    Dealt out in blocks of samples with a halo, so a long recording is many tasks.
+    Dealt out in blocks of samples with a halo, so a long recording is many
+    tasks; a block is one matrix, which is shifted r times.
     """
-    own = F.floor(F.col("sample") / block)
-    dealt = frames_.withColumn("_own", own).withColumn("_block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("sample") + r - 1) / block)))))
-    w = W.partitionBy(*GRID, "_block").orderBy("sample").rangeBetween(-(r - 1), 0)
-    got = dealt.withColumn("_past", F.collect_list(F.struct("sample", "x")).over(w)).where("_own = _block")
-    zero = F.transform("x", lambda v: F.lit(0.0))
-    one = lambda m: F.coalesce(F.get(F.filter("_past", lambda p: p["sample"] == F.col("sample") - m), 0)["x"], zero)
-    return got.select(*GRID, "sample", F.flatten(F.array(*(one(m) for m in range(r)))).alias("x"))
+    own, after = F.floor(F.col("sample") / block), F.floor((F.col("sample") + r - 1) / block)
+    parts = F.array_distinct(F.array(own, after)) if r <= block else F.sequence(own, after)
+    dealt = frames_.withColumn("_b", F.explode(parts)).groupBy(*GRID, "_b").agg(F.collect_list(F.struct("sample", "x")).alias("part"))
+
+    def embed(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                at, x, lo = np.array([p["sample"] for p in row.part]), np.array([p["x"] for p in row.part], float), row[2] * block
+                mine = np.sort(at[at >= lo])
+                if not len(mine):
+                    continue
+                flat = np.zeros((block + r - 1, x.shape[1]))
+                flat[at - lo + r - 1] = x
+                here = mine - lo + r - 1
+                for k in range(0, len(here), 256):
+                    out = np.hstack([flat[here[k : k + 256] - m] for m in range(r)])
+                    yield pd.DataFrame({"recording_id": row.recording_id, "grid": row.grid, "sample": mine[k : k + 256], "x": list(out)})
+
+    return dealt.mapInPandas(embed, "recording_id string, grid int, sample long, x array<double>")
 
 
 def covariance_matrix(samples: DataFrame, ddof: int = 0) -> DataFrame:
@@ -107,48 +120,69 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _projected(blocks: DataFrame, filters: DataFrame) -> DataFrame:
+    """(keys, unit_uid, sample, s): products of packed vectors with all filters of their grid, a block times a matrix at once."""
+    kind = filters.schema["unit_uid"].dataType.simpleString()
+    units = filters.groupBy(*GRID).agg(F.collect_list(F.struct("unit_uid", "filter")).alias("units"))
+
+    def multiply(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, w = np.array([p["x"] for p in row.part], float), np.array([u["filter"] for u in row.units], float)
+                s = (x @ w.T).T
+                ids, at = [u["unit_uid"] for u in row.units], [p["sample"] for p in row.part]
+                yield pd.DataFrame({"recording_id": row.recording_id, "grid": row.grid, "unit_uid": [u for u in ids for _ in at], "sample": at * len(ids), "s": s.ravel()})
+
+    return blocks.join(units, list(GRID)).mapInPandas(multiply, f"recording_id string, grid int, unit_uid {kind}, sample long, s double")
+
+
 def pulse_train(frames_: DataFrame, filters: DataFrame) -> DataFrame:
-    """Signed square of each vector's product with each unit's filter."""
-    s = dot("x", "filter")
-    return frames_.join(filters, list(GRID)).select("recording_id", "grid", "unit_uid", "sample", (s * F.abs(s)).alias("value"))
+    """Signed square of each vector's product with each unit's filter, block by block: no vector is copied for a unit."""
+    return _projected(packed(frames_), filters).select("recording_id", "grid", "unit_uid", "sample", (F.col("s") * F.abs("s")).alias("value"))
 
 
-def apply_filters(frames_: DataFrame, filters: DataFrame, totals: DataFrame) -> DataFrame:
+def apply_filters(frames_: DataFrame, filters: DataFrame, totals: DataFrame, block: int = 1024) -> DataFrame:
     """Pulses of every unit over the whole recording from all windows of its grid: later windows win, zeros where there is none.
 
-    frames_ also has win, totals (recording_id, total_samples).
+    frames_ also has win, totals (recording_id, total_samples). Of a sample's
+    vectors the last window's is taken before any product.
     """
-    s = frames_.join(filters, list(GRID)).groupBy(*GRID, "unit_uid", "sample").agg(F.max_by(dot("x", "filter"), "win").alias("_s"))
-    return places(filters.select(*GRID, "unit_uid").join(totals, "recording_id")).join(s, [*GRID, "unit_uid", "sample"], "left").select(*GRID, "unit_uid", "sample", F.coalesce(F.col("_s") * F.abs("_s"), F.lit(0.0)).alias("value"))
+    last = frames_.groupBy(*GRID, "sample").agg(F.max_by("x", "win").alias("x"))
+    s = _projected(packed(last, block), filters)
+    return places(filters.select(*GRID, "unit_uid").join(totals, "recording_id")).join(s, [*GRID, "unit_uid", "sample"], "left").select(*GRID, "unit_uid", "sample", F.coalesce(F.col("s") * F.abs("s"), F.lit(0.0)).alias("value"))
 
 
 def refine_by_isi(frames_: DataFrame, filters: DataFrame, distance: int) -> DataFrame:
-    """(unit_uid, filter, cov): the least variability of intervals, and the sum of the vectors at the spikes that gave it.
-
-    All units advance together: spikes of the current filter, their variability, and the sum of the vectors
-    at them as the next filter. A unit stops when its variability no longer falls below that of the round
-    before (at first `cov` of filters, if it has that column), or with fewer than two spikes. Only the count of units still moving comes to the driver; each round is checkpointed.
+    """(unit_uid, filter, cov, spikes): the least variability of intervals, the sum of the vectors at the spikes that gave it, and these spikes.
+
+    All units advance together: upper peaks of the current filter without
+    outliers, their variability, and the sum of the vectors at them as the next
+    filter. A unit stops when its variability no longer falls below that of the
+    round before (at first `cov` of filters, if it has that column), or with
+    fewer than two spikes; without any improvement it keeps its filter and spikes
+    are null. Only whether units still move comes to the driver; each round is checkpointed.
     """
     key = [*GRID, "unit_uid"]
     ready_checkpoints(frames_.sparkSession)
-    now = filters.select(*key, "filter", (F.col("cov") if "cov" in filters.columns else F.lit(None).cast("double")).alias("last"))
+    now = filters.select(*key, "filter", (F.col("cov") if "cov" in filters.columns else F.lit(None).cast("double")).alias("last"), F.lit(None).cast("array<long>").alias("seen"))
     done = None
     while True:
         peaks = find_peaks(pulse_train(frames_, now.select(*key, "filter")).select("recording_id", F.concat_ws("/", F.col("grid").cast("string"), F.col("unit_uid").cast("string")).alias("unit_uid"), "sample", "value"), distance)
-        spikes = two_means_split(peaks).where("high").select("recording_id", "unit_uid", "sample")
+        spikes = reject_high_peaks(two_means_split(peaks).where("high")).select("recording_id", "unit_uid", "sample")
         named = now.withColumn("_u", F.concat_ws("/", F.col("grid").cast("string"), F.col("unit_uid").cast("string")))
         cov = isi_cov(spikes).select("recording_id", F.col("unit_uid").alias("_u"), "cov")
+        lists = spikes.groupBy("recording_id", F.col("unit_uid").alias("_u")).agg(F.array_sort(F.collect_list("sample")).alias("_at"))
         moves = F.col("cov").isNotNull() & (F.col("last").isNull() | (F.col("cov") < F.col("last")))
-        step = named.join(cov, ["recording_id", "_u"], "left").withColumn("moves", moves)
+        step = named.join(cov, ["recording_id", "_u"], "left").join(lists, ["recording_id", "_u"], "left").withColumn("moves", moves)
         at = spikes.withColumnRenamed("unit_uid", "_u").join(step.where("moves").select(*key, "_u"), ["recording_id", "_u"])
         total = spike_triggered_sum(frames_, at.select(*key, "sample"))
         new = total.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("dim", "weight")))["weight"].alias("_new"))
-        step = step.join(new, key, "left").select(*key, "filter", "last", "cov", "moves", "_new").checkpoint()
-        kept = step.where("not moves").select(*key, "filter", F.col("last").alias("cov"))
+        step = step.join(new, key, "left").select(*key, "filter", "last", "cov", "moves", "_new", "seen", "_at").checkpoint()
+        kept = step.where("not moves").select(*key, "filter", F.col("last").alias("cov"), F.col("seen").alias("spikes"))
         done = kept if done is None else done.union(kept)
         if step.where("moves").isEmpty():
             return done
-        now = step.where("moves").select(*key, F.col("_new").alias("filter"), F.col("cov").alias("last"))
+        now = step.where("moves").select(*key, F.col("_new").alias("filter"), F.col("cov").alias("last"), F.col("_at").alias("seen"))
 
 
 def spike_triggered_sum(frames_: DataFrame, spikes: DataFrame, unit_norm: bool = False) -> DataFrame:

@@ -244,11 +244,32 @@ def spectral_notch(samples: DataFrame, fs: float, block: int = BLOCK, cells: int
     return short.union(notched(cols.join(F.broadcast(long), list(CHANNEL), "left_semi"), F.broadcast(long), fs, cells))
 
 
-def preview_bundle(samples: DataFrame, fs: float, width: int) -> dict[str, DataFrame]:
-    """Tables of a preview: decimated overall and per-grid activity, and channel means."""
+def preview_bundle(samples: DataFrame, fs: float, width: int, masks: DataFrame | None = None, pulses: DataFrame | None = None, spikes: DataFrame | None = None, auxiliary: DataFrame | None = None, grids: DataFrame | None = None, catalog: DataFrame | None = None, first: int = 3) -> dict[str, DataFrame]:
+    """Tables of a preview, each only if what it is made of is given; all series at about 1000 Hz.
+
+    overall and by_grid: smoothed activity, the latter without masked channels;
+    channels: mean |value| of all channels. pulses (recording_id, unit_uid, sample,
+    value): of all units, `preview` marks the first units of a recording.
+    spikes: sorted lists. auxiliary (recording_id, channel, name, sample, value).
+    coordinates: row and column of each electrode of grids (recording_id, grid,
+    grid_name), by the catalogue's entry for the grid's name.
+    """
+    kept = samples if masks is None else keep_channels(samples, masks)
     all_ = moving_average(rectified_mean(samples, False), ["recording_id"], width, "activity")
-    grid = moving_average(rectified_mean(samples), ["recording_id", "grid"], width, "activity")
-    return {"overall": decimate(all_, fs), "by_grid": decimate(grid, fs), "channels": channel_mean_abs(samples)}
+    grid = moving_average(rectified_mean(kept), ["recording_id", "grid"], width, "activity")
+    out = {"overall": decimate(all_, fs), "by_grid": decimate(grid, fs), "channels": channel_mean_abs(samples)}
+    if pulses is not None:
+        place = F.dense_rank().over(W.partitionBy("recording_id").orderBy("unit_uid"))
+        units = pulses.select("recording_id", "unit_uid").distinct().withColumn("preview", place <= first)
+        out["pulses"] = decimate(pulses, fs).join(units, ["recording_id", "unit_uid"])
+    if spikes is not None:
+        out["spikes"] = spikes.groupBy("recording_id", "unit_uid").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
+    if auxiliary is not None:
+        out["auxiliary"] = decimate(auxiliary, fs)
+    if grids is not None and catalog is not None:
+        named = match_grid_spec(grids, catalog).select("recording_id", "grid", F.col("spec.key").alias("key"))
+        out["coordinates"] = named.join(electrode_coordinates(catalog), "key").select("recording_id", "grid", "channel", "row", "col")
+    return out
 
 
 def bucket(c: Column, width: int) -> Column:

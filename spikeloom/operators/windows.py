@@ -7,6 +7,7 @@ over whole recordings is in the other modules.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,24 +15,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.decompose import CONTRASTS, GRID, symmetric_whitening
+from spikeloom.operators.decompose import CONTRASTS, GRID, activity_seed, contrast_step, peel_off, pulse_train, refine_by_isi, spike_triggered_sum, symmetric_whitening
+from spikeloom.operators.decompose import frames as framed
 from spikeloom.operators.signals import BANDS, butterworth_bandpass, filtfilt
-from spikeloom.operators.units import peaks_1d, upper_cluster
+from spikeloom.operators.units import find_peaks, isi_cov, peaks_1d, reject_high_peaks, silhouette, stored, two_means_split, upper_cluster
 
 
 @dataclass
 class Fit:
-    """niter: extractions; sil, cov: limits of units that are kept (cov only if given); peel: half width in seconds of what is taken out, if any."""
+    """niter: extractions; sil, cov: limits of units that are kept (cov only if given); peel: half width in seconds of what is taken out, if any; seed: extractions start at random vectors, drawn anew for each window and extraction."""
 
     fsamp: float
     niter: int = 150
     contrast: str = "skew"
-    sil: float = 0.9
+    sil: float = 0.88
     cov: float | None = None
     peel: float | None = None
     apart: float = 0.02
     updates: int = 499
     tol: float = 1e-4
+    seed: int | None = None
+
+    def start(self, key: str, k: int, dim: int) -> np.ndarray:
+        """The random vector of a window's k-th extraction."""
+        return np.random.default_rng([self.seed, zlib.crc32(key.encode()), k]).standard_normal(dim)
+
+
+def window_key(recording: str, grid: int, win: int) -> str:
+    return f"{recording}\n{grid}\n{win}"
 
 
 def squared(s: np.ndarray) -> np.ndarray:
@@ -59,17 +70,21 @@ def variability(spikes: np.ndarray) -> float:
 
 
 def refined(x: np.ndarray, w: np.ndarray, cov: float, distance: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The sum of the vectors at a unit's spikes as its next filter, for as long as the intervals get more even: filter, spikes, variability."""
+    """The sum of the vectors at a unit's spikes as its next filter, for as long as the intervals get more even.
+
+    Gives the sum at the last spikes that were more even (the first filter if none
+    were), these spikes, and their variability.
+    """
     kept, last = w, (np.zeros(0, np.int64), cov)
     while True:
         spikes, _ = spikes_of(squared(x @ w), distance)
-        now = variability(spikes) if len(spikes) > 1 else np.inf
+        if len(spikes) < 2:
+            break
+        now, w = variability(spikes), x[spikes].sum(0)
         if not now < last[1]:
             break
         kept, last = w, (spikes, now)
-        w = x[spikes].sum(0)
-    spikes = last[0] if len(last[0]) > 1 else spikes_of(squared(x @ kept), distance)[0]
-    return kept, spikes, last[1]
+    return kept, last[0] if len(last[0]) > 1 else spikes_of(squared(x @ w), distance)[0], last[1]
 
 
 def without_waveform(x: np.ndarray, spikes: np.ndarray, reach: int) -> np.ndarray:
@@ -101,17 +116,17 @@ def fixed_point(x: np.ndarray, w: np.ndarray, basis: np.ndarray, cfg: Fit) -> np
     return w
 
 
-def fit_window(x: np.ndarray, cfg: Fit) -> list[dict]:
+def fit_window(x: np.ndarray, cfg: Fit, key: str = "") -> list[dict]:
     """Units of one window of whitened vectors (rows).
 
-    Every extraction starts at the row with the greatest squared sum, less what
-    is in the basis. With over ten spikes it is refined, scored and, if it
+    Every extraction starts at the row with the greatest squared sum, or at a
+    random vector, less what is in the basis. With over ten spikes it is refined, scored and, if it
     reaches the silhouette, taken out of the signal; else its vector only
     joins the basis.
     """
     distance, basis, out = round(cfg.apart * cfg.fsamp), np.zeros((x.shape[1], 0)), []
     for k in range(cfg.niter):
-        seed = x[int((x.sum(1) ** 2).argmax())]
+        seed = x[int((x.sum(1) ** 2).argmax())] if cfg.seed is None else cfg.start(key, k, x.shape[1])
         w = seed - basis @ (basis.T @ seed)
         if np.linalg.norm(w) < 1e-9:
             break  # the basis spans all
@@ -138,11 +153,116 @@ def fit_units(whitened: DataFrame, cfg: Fit) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
         at = pdf["sample"].to_numpy()
-        found = fit_window(np.stack(pdf["x"].to_numpy()), cfg)
         key = {c: pdf[c].iloc[0] for c in ("recording_id", "grid", "win")}
+        found = fit_window(np.stack(pdf["x"].to_numpy()), cfg, window_key(*key.values()))
         return pd.DataFrame([key | u | {"spikes": at[u["spikes"]]} for u in found], columns=[*key, "unit", "filter", "sil", "cov", "spikes"])
 
-    return rows.groupBy(*GRID, "win").applyInPandas(fit, "recording_id string, grid int, win int, unit int, filter array<double>, sil double, cov double, spikes array<long>")
+    return rows.groupBy(*GRID, "win").applyInPandas(fit, UNITS)
+
+
+UNITS = "recording_id string, grid int, win int, unit int, filter array<double>, sil double, cov double, spikes array<long>"
+
+
+def fit_units_distributed(whitened: DataFrame, cfg: Fit) -> DataFrame:
+    """The units of fit_units for windows that are larger than a worker: all windows go step by step together, each step a job over their vectors.
+
+    An extraction is a seed, fixed-point updates (contrast_step, of windows that
+    still move), peaks, refinement and scores, all by the operators for whole
+    recordings. A window's state (its vector and basis) is one row. Each step is
+    written, so that a lost executor costs one step; the driver only learns
+    whether anything still moves. A window ends when its basis spans all.
+    """
+    spark = whitened.sparkSession
+    rows = whitened if "win" in whitened.columns else whitened.withColumn("win", F.lit(0))
+    name = F.concat_ws("\n", "recording_id", F.col("grid").cast("string"), F.col("win").cast("string"))
+    own = ["recording_id", "grid", "win"]
+    windows = stored(rows.groupBy(*own).agg(F.min("sample").alias("start"), (F.max("sample") - F.min("sample") + 1).alias("total_samples")).withColumn("key", name))
+    x = stored(rows.join(windows, own).select(F.col("key").alias("recording_id"), "grid", (F.col("sample") - F.col("start")).alias("sample"), "x"))
+    totals = windows.select(F.col("key").alias("recording_id"), "total_samples")
+    distance, grid, uid = round(cfg.apart * cfg.fsamp), list(GRID), [*GRID, "unit_uid"]
+    state = windows.select(F.col("key").alias("recording_id"), "grid", F.array().cast("array<array<double>>").alias("basis"))
+    moving = "recording_id string, grid int, basis array<array<double>>, w array<double>, moving boolean"
+
+    def free(w: np.ndarray, basis) -> np.ndarray:
+        b = np.array([np.asarray(v) for v in basis]).reshape(-1, len(w))
+        return w - b.T @ (b @ w)
+
+    def vectors(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*(c for c in uid if c in df.columns)).agg(F.array_sort(F.collect_list(F.struct("dim", name)))[name].alias("w"))
+
+    def upper(filters: DataFrame) -> DataFrame:
+        """Spikes (with value) that filters (uid, w) detect; the recording's name holds its grid."""
+        pulses = pulse_train(x, filters.select(*uid, F.col("w").alias("filter")))
+        peaks = find_peaks(pulses.select("recording_id", "unit_uid", "sample", "value"), distance)
+        return reject_high_peaks(two_means_split(peaks).where("high"))
+
+    def with_grid(spikes: DataFrame) -> DataFrame:
+        return spikes.select("recording_id", F.element_at(F.split("recording_id", "\n"), -2).cast("int").alias("grid"), "unit_uid", "sample")
+
+    found = []
+    for k in range(cfg.niter):
+
+        def begin(batches, k=k):
+            for pdf in batches:
+                seeds = pdf["w"] if cfg.seed is None else [cfg.start(r, k, len(w)) for r, w in zip(pdf["recording_id"], pdf["w"], strict=True)]
+                w = [free(np.asarray(v, float), b) for v, b in zip(seeds, pdf["basis"], strict=True)]
+                size = np.array([np.linalg.norm(v) for v in w])
+                out = pdf.assign(w=[(v / max(n, 1e-300)).tolist() for v, n in zip(w, size, strict=True)], moving=True)
+                yield out[size >= 1e-9]
+
+        def turn(batches):
+            for pdf in batches:
+                out = []
+                for r in pdf.to_dict("records"):
+                    w, still = np.asarray(r["w"]), r["moving"]
+                    if still:
+                        new = free(np.asarray(r["new"]), r["basis"])
+                        size = np.linalg.norm(new)
+                        if size:
+                            still, w = bool(abs(abs(new @ w) / size - 1) > cfg.tol), new / size
+                        else:
+                            still = False
+                    out.append({**{c: r[c] for c in ("recording_id", "grid", "basis")}, "w": w.tolist(), "moving": still})
+                yield pd.DataFrame(out)
+
+        seeds = activity_seed(x).select(*GRID, F.col("x").alias("w"))
+        now = stored(state.join(seeds, grid).mapInPandas(begin, moving))
+        if now.isEmpty():
+            break
+        for _ in range(cfg.updates):
+            active = now.where("moving")
+            if active.isEmpty():
+                break
+            step = vectors(contrast_step(x, active.select(*GRID, "w"), cfg.contrast), "w").withColumnRenamed("w", "new")
+            now = stored(now.join(step, grid, "left").mapInPandas(turn, moving))
+        spikes = stored(upper(now.withColumn("unit_uid", F.lit(k))))
+        even = isi_cov(spikes).where("n_spikes > 10").select("recording_id", "unit_uid", "cov")
+        at = with_grid(spikes.join(even, ["recording_id", "unit_uid"], "left_semi"))
+        first = vectors(spike_triggered_sum(x, at), "weight")
+        fine = stored(refine_by_isi(x, first.join(even, ["recording_id", "unit_uid"]).select(*uid, F.col("w").alias("filter"), "cov"), distance))
+        # without an improvement the spikes are those of the sum at the first filter's spikes
+        stuck = fine.where("spikes is null").select(*uid, F.col("filter").alias("w"))
+        last = upper(vectors(spike_triggered_sum(x, with_grid(upper(stuck))), "weight")).groupBy("recording_id", "unit_uid").agg(F.array_sort(F.collect_list("sample")).alias("_last"))
+        size = F.sqrt(F.aggregate("filter", F.lit(0.0), lambda a, v: a + v * v))
+        fine = fine.withColumn("_size", F.greatest(size, F.lit(1e-12))).withColumn("w", F.transform("filter", lambda v: v / F.col("_size")))
+        peaks = find_peaks(pulse_train(x, fine.select(*uid, F.col("w").alias("filter"))).select("recording_id", "unit_uid", "sample", "value"), distance)
+        fine = fine.join(last, ["recording_id", "unit_uid"], "left").join(silhouette(peaks), ["recording_id", "unit_uid"], "left")
+        fine = stored(fine.select(*uid, "w", "cov", F.coalesce("sil", F.lit(0.0)).alias("sil"), F.coalesce("spikes", "_last", F.array().cast("array<long>")).alias("spikes")))
+        found.append(fine)
+        out = fine.where(F.col("sil") > cfg.sil).select("recording_id", "unit_uid", F.explode("spikes").alias("sample")) if cfg.peel else None
+        if out is not None and not out.isEmpty():
+            samples = x.select(*GRID, "sample", F.posexplode("x").alias("channel", "value"))
+            x = stored(framed(peel_off(samples, out, round(cfg.peel * cfg.fsamp), totals)))
+        grown = F.concat("basis", F.array(F.coalesce("_f", "w")))
+        state = stored(now.join(fine.select(*GRID, F.col("w").alias("_f")), grid, "left").select(*GRID, grown.alias("basis")))
+    if not found:
+        return spark.createDataFrame([], UNITS)
+    all_ = found[0]
+    for df in found[1:]:
+        all_ = all_.union(df)
+    kept = all_.where(F.col("sil") >= cfg.sil) if cfg.cov is None else all_.where((F.col("sil") >= cfg.sil) & (F.col("cov") <= cfg.cov))
+    named = kept.drop("grid").withColumnRenamed("recording_id", "key").join(windows, "key")
+    return named.select(*own, F.col("unit_uid").cast("int").alias("unit"), F.col("w").alias("filter"), "sil", "cov", F.transform("spikes", lambda s: s + F.col("start")).alias("spikes"))
 
 
 def embedded(x: np.ndarray, r: int) -> np.ndarray:

@@ -389,9 +389,33 @@ def spectral_notch(spark, sf_dir):
     return _round(S.spectral_notch(s, 100.0, block=256, cells=1 << 14).select("channel", "sample", "value"), "value")
 
 
-@query("+a AS (SELECT sample, avg(abs(value)) AS activity FROM sig GROUP BY sample), s AS (SELECT sample, sum(activity) OVER (ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM a) SELECT sample, round(smooth, 6) AS smooth FROM s WHERE sample % 2 = 0", "sig")
+_SMOOTH = "SELECT '{0}' AS kind, 0 AS unit, sample, round(smooth, 6) AS value FROM (SELECT sample, sum(activity) OVER (ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM (SELECT sample, avg(abs(value)) AS activity FROM sig WHERE {1} GROUP BY sample)) WHERE sample % 2 = 0"
+
+
+@query(
+    _SMOOTH.format("overall", "true") + " UNION ALL " + _SMOOTH.format("by_grid", "channel % 5 <> 0")
+    + " UNION ALL SELECT 'channels', channel, 0, round(avg(abs(value)), 6) FROM sig GROUP BY channel"
+    + " UNION ALL SELECT CASE WHEN channel < 3 THEN 'preview' ELSE 'pulses' END, channel, sample, round(value * abs(value), 6) FROM sig WHERE channel < 7 AND sample % 2 = 0"
+    + " UNION ALL SELECT 'spikes', channel, sample, 1.0 FROM sig WHERE channel < 7 AND value > 1"
+    + " UNION ALL SELECT 'auxiliary', channel, sample, round(value, 6) FROM sig WHERE channel > 61 AND sample % 2 = 0"
+    + " UNION ALL SELECT 'coordinates', c + 1, c // 8, CAST(c % 8 AS DOUBLE) FROM (SELECT unnest(range(64)) AS c)",
+    "sig",
+)
 def preview_bundle(spark, sf_dir):
-    return _round(S.preview_bundle(sig(spark, sf_dir), 2000.0, 5)["overall"].select("sample", "smooth"), "smooth")
+    s = sig(spark, sf_dir)
+    masks = spark.range(0, 64, 5).select(F.lit("r").alias("recording_id"), F.lit(0).alias("grid"), F.col("id").cast("int").alias("channel"))
+    pulses = s.where("channel < 7").select("recording_id", F.col("channel").alias("unit_uid"), "sample", (F.col("value") * F.abs("value")).alias("value"))
+    spikes = s.where("channel < 7 and value > 1").select("recording_id", F.col("channel").alias("unit_uid"), "sample")
+    grids = s.select("recording_id", "grid").distinct().withColumn("grid_name", F.lit("an 8x8 grid"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: r * 8 + c))
+    catalog = spark.range(1).select(F.lit(0).alias("ord"), F.lit("8x8").alias("key"), F.lit(64).alias("n"), cells.alias("channel_map"))
+    b = S.preview_bundle(s, 2000.0, 5, masks, pulses, spikes, s.where("channel > 61"), grids, catalog)
+    row = lambda df, kind, unit, sample, value: df.select(*(x.alias(n) for x, n in zip((kind, unit.cast("int"), sample.cast("long"), F.round(value.cast("double"), 6)), ("kind", "unit", "sample", "value"), strict=True)))
+    c, zero = F.col, F.lit(0)
+    out = row(b["overall"], F.lit("overall"), zero, c("sample"), c("smooth")).union(row(b["by_grid"], F.lit("by_grid"), zero, c("sample"), c("smooth"))).union(row(b["channels"], F.lit("channels"), c("channel"), zero, c("mean_abs")))
+    out = out.union(row(b["pulses"], F.when(c("preview"), "preview").otherwise("pulses"), c("unit_uid"), c("sample"), c("value")))
+    out = out.union(row(b["spikes"].select("unit_uid", F.explode("samples").alias("sample")), F.lit("spikes"), c("unit_uid"), c("sample"), F.lit(1.0)))
+    return out.union(row(b["auxiliary"], F.lit("auxiliary"), c("channel"), c("sample"), c("value"))).union(row(b["coordinates"], F.lit("coordinates"), c("channel"), c("row"), c("col")))
 
 
 # --- decomposition
@@ -493,7 +517,15 @@ def fit_units(spark, sf_dir):
     s = sig(spark, sf_dir)
     w = D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s)))
     rows = w.withColumn("win", F.floor(F.col("sample") / 2000).cast("int"))
-    return V.fit_units(rows, V.Fit(100.0, sil=0.0, apart=0.02)).select("recording_id", "grid", "win", "unit", F.round("sil", 6).alias("sil"), F.round("cov", 6).alias("cov"), F.size("spikes").alias("n_spikes"))
+    return V.fit_units(rows, V.Fit(100.0, sil=0.0, apart=0.02, peel=0.02)).select("recording_id", "grid", "win", "unit", F.round("sil", 6).alias("sil"), F.round("cov", 6).alias("cov"), F.size("spikes").alias("n_spikes"))
+
+
+@query()
+def fit_units_distributed(spark, sf_dir):
+    """The mode for windows beyond a worker, on all recordings in step; few extractions and updates, as each is a job."""
+    s = parts(spark, sf_dir).where("channel % 8 = 0").withColumn("channel", F.floor(F.col("channel") / 8).cast("int"))
+    w = D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s)))
+    return V.fit_units_distributed(w, V.Fit(100.0, niter=1, updates=3, sil=0.0)).select("recording_id", "grid", "win", "unit", F.round("sil", 6).alias("sil"), F.round("cov", 6).alias("cov"), F.size("spikes").alias("n_spikes"))
 
 
 @query()

@@ -216,3 +216,32 @@ def test_the_last_batch_of_a_stream(spark, tmp_path):
     got, want = sources(spark.table("last_batch")), sources(A.adaptive_corpus(frames, models, CFG))
     assert got[0] == want[0] == [(k, u) for k in range(len(x)) for u in range(2)]
     assert np.allclose(got[1], want[1]) and got[2] == want[2] and not any(got[2][-60:])
+
+
+@pytest.mark.parametrize(("seed", "peel"), [(3, 0.004)])
+def test_windows_in_step_give_the_units_of_one_task(spark, seed, peel):
+    rows = []
+    for rec, win, lo in (("a", 0, 0), ("a", 1, 1200), ("b", 0, 40)):
+        x, _ = made(n=1100, channels=4, seed=win + len(rec) + lo)
+        white = x @ D.symmetric_whitening(np.cov(x, rowvar=False, ddof=0))[0]
+        rows += [(rec, 0, win, lo + k, [float(v) for v in r]) for k, r in enumerate(white)]
+    df = spark.createDataFrame(rows, "recording_id string, grid int, win int, sample long, x array<double>")
+    cfg = V.Fit(1000.0, niter=2, sil=0.0, updates=2, peel=peel, seed=seed)
+    key = lambda r: (r.recording_id, r.win, r.unit)
+    one, many = ({key(r): r for r in f(df, cfg).collect()} for f in (V.fit_units, V.fit_units_distributed))
+    assert one.keys() == many.keys() and len(one) >= 3
+    for k, u in one.items():
+        assert np.allclose(np.array(u.filter), np.array(many[k].filter), atol=1e-6)
+        assert abs(u.sil - many[k].sil) < 1e-6 and abs(u.cov - many[k].cov) < 1e-6 and u.spikes == many[k].spikes
+
+
+def test_refinement_gives_the_sum_at_the_last_spikes():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 3)) * 0.2
+    at = np.arange(30, 880, 40) + rng.integers(-1, 2, 22)
+    x[at, 0] += 4
+    w = np.array([1.0, 0.5, 0.3])
+    kept, spikes, cov = V.refined(x, w, 9.0, 10)
+    assert np.allclose(kept, x[spikes].sum(0)) and abs(cov - V.variability(spikes)) < 1e-12
+    same, _, last = V.refined(x, w, 0.0, 10)
+    assert np.array_equal(same, w) and last == 0.0
