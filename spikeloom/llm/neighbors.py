@@ -2,15 +2,15 @@
 
 Random hyperplane blocks give every vector a first neighbour list; lists are
 refined by joins of neighbours with neighbours of neighbours. A list whose last
-entry still reaches the threshold is saturated and may grow; rounds go on until
-an audit against brute force, on a bounded sample of vectors of which most have
-links, is satisfied and lists no longer fill up. All edges over the threshold
-that any round has found make components. Lists can be too short for all links
-of a vector, so an exact search follows for links between different components:
-every vector is compared with every cell of vectors that can hold one. Links are
-then counted inside components: vectors within half of the allowed angle from a
-pivot all link and are only counted, the others are compared in tiles, so no
-partner is capped and no pair is written out.
+entry still reaches the threshold is saturated and grows. Whatever links a block
+or a join has seen, inside a list or not, is kept for the components, as one
+edge to the least member for each vector. Every round draws new hyperplanes;
+rounds go on until one has joined no more components, and an audit of a sample of
+all vectors against brute force finds enough of their links. Only a label whose
+audit still fails after the last round is searched exactly (column `search`).
+Links are then counted inside components: vectors within half of the allowed
+angle from a pivot all link and are only counted, the others are compared in
+tiles, so no partner is capped and no pair is written out.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from spikeloom.llm.graph import components, saved
 
 #: Length of neighbour lists and of saturated ones at most, tables of hyperplanes, aimed size of a block, most rows of one matrix.
 LIST, LONGEST, TABLES, BLOCK, TILE = 8, 32, 6, 64, 512
-#: Sampled queries of an audit, recall to reach, refinements at most.
-AUDIT, RECALL, ROUNDS = 256, 0.995, 4
+#: Sampled queries of an audit, recall to reach, rounds at most.
+AUDIT, RECALL, ROUNDS = 512, 0.995, 8
+#: Marks an edge between a vector and the least one that it is joined with by links of its block.
+JOINED = 2.0
 #: Bytes of vectors that one pass of the exact search broadcasts, cells of each kind among them at most, places of one matrix.
 HELD, CELLS, PLACES = 16_000_000, 64, 2_000_000
 
@@ -55,8 +57,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "vec_id long, kind string, vec binary")
 
 
-def _best(ids: np.ndarray, x: np.ndarray, most: int):
-    """Each row's `most` nearest other rows: (u, v, sim)."""
+def _best(ids: np.ndarray, x: np.ndarray, most: int, threshold: float):
+    """Each row's `most` nearest other rows, (u, v, sim), and the components of all links among the rows."""
     n = len(ids)
     if n < 2:
         return
@@ -65,6 +67,20 @@ def _best(ids: np.ndarray, x: np.ndarray, most: int):
     k = min(most, n - 1)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     yield np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+    near = s >= threshold
+    some = np.flatnonzero(near.any(1))
+    if not len(some):
+        return
+    near = near[np.ix_(some, some)]
+    least, ids = np.arange(len(some)), ids[some]
+    while True:  # the least row each can reach
+        new = np.minimum(least, np.where(near, least[None], len(some)).min(1))
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    far = np.flatnonzero(least != np.arange(len(some)))
+    yield ids[far], ids[least[far]], np.full(len(far), JOINED)
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +96,8 @@ def _edges(found):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["u", "v", "sim"])
 
 
-def first_lists(reps: DataFrame, n: int) -> DataFrame:
-    """Neighbours inside hyperplane blocks; a block over TILE rows is dealt out anew by a hash of the id, another one in each table."""
+def first_lists(reps: DataFrame, n: int, threshold: float, draw: int = 0) -> DataFrame:
+    """Neighbours inside blocks of the draw-th set of hyperplanes; a block over TILE rows is dealt out anew by a hash of the id, another one in each table."""
     bits = int(np.clip(np.ceil(np.log2(max(1, n) / BLOCK)), 0, 48))
 
     def code(batches):
@@ -91,7 +107,7 @@ def first_lists(reps: DataFrame, n: int) -> DataFrame:
             out = np.zeros((b.num_rows, TABLES), np.int64)
             for dim in {len(r) // 4 for r in raw}:
                 rows = np.flatnonzero([len(r) == 4 * dim for r in raw])
-                planes = np.random.default_rng(dim).normal(size=(dim, TABLES * bits))
+                planes = np.random.default_rng([dim, draw]).normal(size=(dim, TABLES * bits))
                 sign = (_unit([raw[r] for r in rows], dim) @ planes > 0).reshape(len(rows), TABLES, bits)
                 out[rows] = sign @ (1 << np.arange(bits, dtype=np.int64)) if bits else 0
             for t in range(TABLES):
@@ -99,58 +115,55 @@ def first_lists(reps: DataFrame, n: int) -> DataFrame:
 
     coded = reps.mapInArrow(code, "vec_id long, block string, vec binary")
     size = coded.groupBy("block").agg(F.count("*").alias("size"))
-    dealt = coded.join(size, "block").select("vec_id", "vec", F.concat_ws("/", "block", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("vec_id", "block"), F.ceil(F.col("size") / TILE)))).alias("block"))
+    dealt = coded.join(size, "block").select("vec_id", "vec", F.concat_ws("/", "block", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("vec_id", "block", F.lit(draw)), F.ceil(F.col("size") / TILE)))).alias("block"))
 
     def search(batches):
         for t in X.each_group(batches, "block"):
             name = t.column("name").to_numpy(zero_copy_only=False)
             at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))  # blocks whose names share a hash
             for lo, hi in zip(at, np.append(at[1:], len(name)), strict=True):
-                yield from _edges(_best(*_matrix(t.slice(lo, hi - lo)), LIST))
+                yield from _edges(_best(*_matrix(t.slice(lo, hi - lo)), LIST, threshold))
 
     return dealt.select(F.xxhash64("block").alias("block"), "vec_id", "vec", F.col("block").alias("name")).repartition("block").sortWithinPartitions("block", "name").mapInArrow(search, "u long, v long, sim double")
 
 
 def shortest(edges: DataFrame, size: int, threshold: float) -> DataFrame:
     """The LIST nearest of each list, each neighbour once; up to `size` of those that reach the threshold."""
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    one = edges.where(F.col("sim") < JOINED).groupBy("u", "v").agg(F.max("sim").alias("sim"))
     order = W.partitionBy("u").orderBy(F.desc("sim"), "v")
     ranked = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     return ranked.where((F.col("rank") <= LIST) | (F.col("sim") >= threshold)).drop("rank")
 
 
 def descend(lists: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
-    """One refinement: at every vector, its neighbours (of both directions) are compared with each other."""
+    """Edges of one refinement: at every vector, its neighbours (of both directions) are compared with each other."""
     back = lists.select(F.col("v").alias("hub"), F.col("u").alias("vec_id"), "sim")
     fewer = back.withColumn("rank", F.row_number().over(W.partitionBy("hub").orderBy(F.desc("sim"), F.xxhash64("vec_id")))).where(F.col("rank") <= 2 * size)
     own = lists.select(F.col("u").alias("hub"), F.col("v").alias("vec_id")).union(fewer.select("hub", "vec_id")).distinct()
 
     def join(batches):
         for t in X.each_group(batches, "hub"):
-            yield from _edges(_best(*_matrix(t), max(4, size // 2)))
+            yield from _edges(_best(*_matrix(t), max(4, size // 2), threshold))
 
-    found = own.join(reps.select("vec_id", "vec"), "vec_id").select("hub", "vec_id", "vec").repartition("hub").sortWithinPartitions("hub").mapInArrow(join, "u long, v long, sim double")
-    return shortest(lists.union(found), size, threshold)
+    return own.join(reps.select("vec_id", "vec"), "vec_id").select("hub", "vec_id", "vec").repartition("hub").sortWithinPartitions("hub").mapInArrow(join, "u long, v long, sim double")
 
 
-def recall(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
-    """Share of the links of a sample (brute force against all vectors) whose ends are in one component; 1 without links.
+def recall(reps: DataFrame, comp: DataFrame, threshold: float) -> dict[str, tuple[int, int]]:
+    """By label: direct links of a sample (brute force against all vectors), and how many of them have both ends in one component.
 
-    Links are counted exactly inside components, so these are the links that a
-    result keeps. Of the AUDIT vectors sampled, three quarters have links that
-    were found, if so many have, and the others are any.
+    The sample is AUDIT vectors, drawn by hash from all vectors, linked or not.
+    Links are counted exactly inside components, so the latter are the links that
+    a result keeps. Labels without a link in the sample are left out.
     """
-    place = F.xxhash64("vec_id", F.lit(5))
-    some = reps.join(comp, "vec_id").orderBy(place).limit(AUDIT * 3 // 4).select("vec_id", "kind", "vec", "component")
-    any_ = reps.orderBy(place).limit(AUDIT // 4).join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component"))
-    sample = some.union(any_).distinct().collect()
+    all_ = reps.join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component"))
+    sample = all_.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(AUDIT).collect()
     held = reps.sparkSession.sparkContext.broadcast([(r.vec_id, r.kind, bytes(r.vec), r.component) for r in sample])
 
     def test(batches):
         for b in batches:
             kinds, raw = np.array(b.column("kind").to_pylist(), object), b.column("vec").to_pylist()
             ids, comps = b.column("vec_id").to_numpy(), b.column("component").to_numpy()
-            links = found = 0
+            out = []
             for kind in {q[1] for q in held.value}:
                 rows = np.flatnonzero(kinds == kind)
                 qs = [q for q in held.value if q[1] == kind]
@@ -158,13 +171,11 @@ def recall(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
                     dim = len(qs[0][2]) // 4
                     hit = _unit([raw[r] for r in rows], dim) @ _unit([q[2] for q in qs], dim).T >= threshold
                     hit &= ids[rows][:, None] != np.array([q[0] for q in qs])
-                    links += int(hit.sum())
-                    found += int((hit & (comps[rows][:, None] == np.array([q[3] for q in qs]))).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([found])], ["links", "found"])
+                    out.append((kind, int(hit.sum()), int((hit & (comps[rows][:, None] == np.array([q[3] for q in qs]))).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["kind", "links", "found"])
 
-    all_ = reps.join(comp, "vec_id", "left").select("vec_id", "kind", "vec", F.coalesce("component", "vec_id").alias("component"))
-    r = all_.mapInArrow(test, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
-    return r[1] / r[0] if r[0] else 1.0
+    found = all_.mapInArrow(test, "kind string, links long, found long").groupBy("kind").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    return {r.kind: (r.links, r.found) for r in found.where("links > 0").collect()}  # labels of the sample: AUDIT at most
 
 
 def _cells(t: pa.Table) -> dict[str, tuple]:
@@ -294,32 +305,43 @@ def count_links(reps: DataFrame, comp: DataFrame, threshold: float) -> DataFrame
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
+    """vec_id, n_links, component_id, kept, search of every row of vectors (vec_id, embedding, label).
 
     Vectors link when label and dimension are equal and the cosine, in double
     precision, reaches the threshold. Null or zero vectors, null or non-finite
     components, null labels and null ids link with nothing. Equal vectors are
-    one class during the search and count one by one in n_links.
+    one class during the search and count one by one in n_links. search tells
+    what found a vector's component: `lists`, or `exact` for labels whose audit failed.
     """
     rows = saved(usable(vectors))
     classes = rows.groupBy("kind", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = saved(classes.select(F.col("rep").alias("vec_id"), "kind", "vec", "copies"))
     most = reps.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    size, links = LIST, None
-    lists = saved(shortest(first_lists(reps, most), size, threshold))
-    for _ in range(ROUNDS):
-        lists = saved(descend(lists, reps, size, threshold))
-        found = lists.where(F.col("sim") >= threshold).select("u", "v")
-        links = found if links is None else links.union(found)
+    size, lists, comp, mark, short = LIST, None, None, None, []
+    for draw in range(ROUNDS):
+        fresh = saved(first_lists(reps, most, threshold, draw))
+        lists = saved(shortest(fresh if lists is None else lists.union(fresh), size, threshold))
+        found = saved(descend(lists, reps, size, threshold))
+        links = fresh.union(found).where(F.col("sim") >= threshold).select("u", "v")
+        lists = saved(shortest(lists.union(found), size, threshold))
+        if comp is not None:
+            links = links.union(comp.select(F.col("vec_id").alias("u"), F.col("component").alias("v")))
         comp = saved(components(links, "u", "v").select(F.col("node").alias("vec_id"), "component"))
+        last, mark = mark, comp.agg(F.count("*"), F.count_distinct("component")).first()
         full = not lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("last")).where((F.col("n") >= size) & (F.col("last") >= threshold)).isEmpty()
-        if (not full or size >= LONGEST) and recall(reps, comp, threshold) >= RECALL:
-            break
+        if mark == last:
+            short = [k for k, (n, got) in recall(reps, comp, threshold).items() if got < RECALL * n]
+            if not short:
+                break
         if full:
             size = min(2 * size, LONGEST)
-    comp = saved(completed(reps, comp, threshold))
+    else:
+        short = [k for k, (n, got) in recall(reps, comp, threshold).items() if got < RECALL * n]
+    if short:
+        comp = saved(comp.join(reps.where(F.col("kind").isin(short)).select("vec_id"), "vec_id", "left_anti").union(completed(reps.where(F.col("kind").isin(short)), comp, threshold)))
     counted = count_links(reps, comp, threshold)
-    found = reps.join(comp, "vec_id", "left").join(counted, "vec_id", "left").select("kind", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    own = rows.join(found, ["kind", "vec"]).select("vec_id", "n_links", "component_id").distinct()
+    how = F.when(F.col("kind").isin(short), "exact").otherwise("lists") if short else F.lit("lists")
+    found = reps.join(comp, "vec_id", "left").join(counted, "vec_id", "left").select("kind", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), how.alias("search"))
+    own = rows.join(found, ["kind", "vec"]).select("vec_id", "n_links", "component_id", "search").distinct()
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce("search", F.lit("lists")).alias("search")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

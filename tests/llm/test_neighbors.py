@@ -60,9 +60,34 @@ def test_recall_sees_lost_links(spark):
     x = np.tile(np.eye(8, dtype=np.float32)[:4], (25, 1)) + np.random.default_rng(1).normal(size=(100, 8)).astype(np.float32) * 1e-3
     reps = spark.createDataFrame([(k, "x", bytearray(v.tobytes())) for k, v in enumerate(x)], "vec_id long, kind string, vec binary")
     comp = [(k, k % 4) for k in range(100)]
-    assert neighbors.recall(reps, spark.createDataFrame(comp, "vec_id long, component long"), 0.98) == 1
+    assert neighbors.recall(reps, spark.createDataFrame(comp, "vec_id long, component long"), 0.98) == {"x": (2400, 2400)}
     split = [(k, k % 8) for k in range(100)]
-    assert neighbors.recall(reps, spark.createDataFrame(split, "vec_id long, component long"), 0.98) < 0.6
+    links, found = neighbors.recall(reps, spark.createDataFrame(split, "vec_id long, component long"), 0.98)["x"]
+    assert links == 2400 and found < 0.6 * links
+
+
+def test_the_result_comes_from_the_lists(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(100, 24)), 6, axis=0) + rng.normal(size=(600, 24)) * rng.choice([0.01, 0.1, 0.13], 600)[:, None]
+    ids, labels = list(range(600)), ["a"] * 600
+    want = brute(ids, x, labels)
+    monkeypatch.setattr(neighbors, "completed", lambda *_: pytest.fail("lists were enough before"))
+    assert run(spark, ids, x, labels) == want
+    none = spark.createDataFrame([], "u long, v long, sim double")
+    monkeypatch.setattr(neighbors, "first_lists", lambda *_: none)
+    monkeypatch.setattr(neighbors, "recall", lambda *_: {})
+    assert all(n == 0 for n, _, _ in run(spark, ids, x, labels).values())  # without lists nothing is found
+
+
+def test_a_label_that_fails_its_audit_is_searched_exactly(spark, monkeypatch):
+    x = np.repeat(np.eye(8), 3, axis=0) + np.random.default_rng(2).normal(size=(24, 8)) * 0.01
+    ids, labels = list(range(24)), ["a" if k < 12 else "b" for k in range(24)]
+    lists = neighbors.first_lists
+    monkeypatch.setattr(neighbors, "first_lists", lambda reps, *how: lists(reps.where("kind = 'a/8'"), *how))
+    rows = spark.createDataFrame([(k, v.tolist(), b) for k, v, b in zip(ids, x.astype(np.float32), labels, strict=True)], "vec_id long, embedding array<float>, label string")
+    got = neighbors.near_duplicates(rows).collect()
+    assert {r.vec_id: r.search for r in got} == {k: "lists" if k < 12 else "exact" for k in ids}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(ids, x, labels)
 
 
 def test_groups_stay_whole_across_batches():
