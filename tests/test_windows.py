@@ -209,9 +209,10 @@ def test_the_last_batch_of_a_stream(spark, tmp_path):
     x = signal()
     frames, models = grids(spark, x, 0, total=len(x))
     models = models.withColumn("total", F.col("total").cast("long"))
+    frames = frames.withColumn("ts", F.timestamp_micros((F.lit(1_700_000_000_000_000) + F.col("sample") * 1000).cast("long")))
     frames.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = A.adaptive_stream(stream, models, CFG).writeStream.format("memory").queryName("last_batch").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = A.adaptive_stream(stream, models, CFG, 1000.0).writeStream.format("memory").queryName("last_batch").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got, want = sources(spark.table("last_batch")), sources(A.adaptive_corpus(frames, models, CFG))
     assert got[0] == want[0] == [(k, u) for k in range(len(x)) for u in range(2)]
