@@ -523,7 +523,7 @@ def fit_units(spark, sf_dir):
 @query()
 def fit_units_distributed(spark, sf_dir):
     """The mode for windows beyond a worker, on all recordings in step; few extractions and updates, as each is a job."""
-    s = parts(spark, sf_dir).where("channel % 8 = 0").withColumn("channel", F.floor(F.col("channel") / 8).cast("int"))
+    s = parts(spark, sf_dir)
     w = D.whiten(D.frames(s), D.whitening_basis(D.covariance_matrix(s)))
     return V.fit_units_distributed(w, V.Fit(100.0, niter=1, updates=3, sil=0.0)).select("recording_id", "grid", "win", "unit", F.round("sil", 6).alias("sil"), F.round("cov", 6).alias("cov"), F.size("spikes").alias("n_spikes"))
 
