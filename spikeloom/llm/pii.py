@@ -3,11 +3,12 @@
 A surrogate is a keyed permutation of the entity's own format (which characters
 are digits, which letters of which script and case stand where), so equal
 entities get equal surrogates everywhere and different ones stay different
-without any shared state. Names are found by what stands around them (titles
-and phrases that introduce a person, in several scripts); given names and
-surnames are entities of their own, so that a full name, a title with a surname
-and a later bare surname agree in all documents. A surrogate of a given name
-ends as names of its gender do.
+without any shared state. Names are found by what stands around them (module
+names: titles and phrases that introduce a person, and a model of contexts that
+such mentions teach); given names and surnames are entities of their own and of
+one type, so that a full name, a title with a surname and a later bare name
+agree in all documents. A surrogate of a name ends as names of its gender do,
+which is the same in the whole corpus.
 
 A check over all distinct entities of the corpus finds surrogates that equal a
 real entity or each other; those get another key turn, in a longer format if
@@ -19,30 +20,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spikeloom.llm import names
 from spikeloom.llm.graph import saved
 
 #: Entities with another turn that are broadcast at most; more of them are joined to the documents that hold them.
 EXCEPTIONS = 50_000
 #: Turns of the key before entities of a full format are shifted; the last is the mark of those.
 TURNS, SHIFTED = 8, 1000
-#: Titles and introducing phrases, by the gender of who follows (x: either).
-TITLES = {
-    "m": "Mr Mister Herr Herrn Señor Sr Don Monsieur Signor Signore Senhor Pan господин г-н сэр κύριος κ السيد श्री",
-    "f": "Mrs Ms Miss Frau Fräulein Señora Señorita Sra Srta Doña Madame Mme Mademoiselle Mlle Signora Signorina Senhora Pani госпожа г-жа κυρία السيدة श्रीमती",
-    "x": "Dr Prof Professor Doctor Doktor Docteur Profesor доктор профессор",
-}
-INTRODUCED = "my name is|I am called|signed by|name:|Name:|mein Name ist|ich heiße|je m'appelle|mon nom est|me llamo|mi nombre es|mi chiamo|меня зовут|Имя:"
-AFTER = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f"}
-#: Words inside surnames that are not capitalised, and endings of surrogates by gender, in Latin and Cyrillic letters.
-PARTICLES = "van von de der den del della di da dos du la le bin ibn al"
+#: Endings of surrogates by gender, in Latin and Cyrillic letters, and endings of names of women.
 ENDINGS = {"f": {"latin": "ae", "cyrillic": "ая"}, "m": {"latin": "nrsktd", "cyrillic": "нрктвм"}}
+FEMALE = "aeiаяе"
 
 _EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _PLUS = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)")
@@ -53,42 +47,6 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){1,6}:(?:[0-9a-fA-F]{1,4}:){0,5}[0-9a-fA-F]{1,4}(?![\w:])")
 _VALUE = re.compile(r"[=:] ?[\"']?([^\s\"'=:]{8,})")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?$", re.IGNORECASE)
-_TITLE_OF = {t: g for g, of in TITLES.items() for t in of.split()}
-_ONE = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*|[\p{Arabic}\p{Devanagari}]{2,}"
-_NAME = regex.compile(rf"(?<!\w)(?:({'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.? |({INTRODUCED}) )(?:(?:{'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.? )*(?P<surname>(?:(?:{'|'.join(PARTICLES.split())}) )*(?:{_ONE}))(?P<more> (?:(?:{'|'.join(PARTICLES.split())}) )*(?:{_ONE}))?(?!\w)")
-_CUES = sorted({*_TITLE_OF, *INTRODUCED.split("|")}, key=len, reverse=True)
-_CUE = re.compile(rf"(?<!\w)(?=[{''.join(sorted({c[0] for c in _CUES}))}])(?:{'|'.join(_CUES)})\.? ")
-_HAN = re.compile(r"([一-鿿]{1,3})(" + "|".join(AFTER) + ")")
-
-
-def _names(text: str) -> list[tuple[int, int, str]]:
-    """Given names and surnames: after a title or an introduction, and wherever else the same document repeats them."""
-    found, given, family = [], {}, set()
-    if _CUE.search(text):
-        for m in _NAME.finditer(text):
-            gender = _TITLE_OF.get(m[1] or "", "x")
-            parts = [(m.start("surname"), m.end("surname"))] + ([(m.start("more") + 1, m.end("more"))] if m["more"] else [])
-            # words such as "van der" stay and the name after them is the entity
-            parts = [(y - len(text[x:y].rpartition(" ")[2]), y) for x, y in parts]
-            kinds = [f"given_{gender}", "surname"] if m["more"] else ["surname" if m[1] else f"given_{gender}"]
-            found += [(x, y, k) for (x, y), k in zip(parts, kinds, strict=True)]
-    for m in _HAN.finditer(text) if "先" in text or "女" in text or "小" in text or "太" in text else ():
-        found.append((*m.span(1), "surname"))
-    if not found:
-        return found
-    for x, y, kind in found:
-        if kind == "surname":
-            family.add(text[x:y])
-        elif given.get(text[x:y], "given_x") == "given_x":
-            given[text[x:y]] = kind
-    # one kind for one name in a document: a name known as given stays so after a title, and has one gender
-    found = [(x, y, given.get(text[x:y], "surname") if kind != "surname" or text[x:y] in given else kind) for x, y, kind in found]
-    done = {x for x, _, _ in found}
-    cased = sorted((n for n in {*given, *family} if n[0].isupper()), key=len, reverse=True)
-    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, cased)) + r")(?!\w)", text) if cased else ():
-        if m.start() not in done:
-            found.append((m.start(), m.end(), given.get(m.group(), "surname")))
-    return found
 
 
 def _apart(text: str, a: int, b: int) -> bool:
@@ -99,7 +57,7 @@ def _apart(text: str, a: int, b: int) -> bool:
     return not (after in (".", "-") and text[b + 1 : b + 2].isdigit())
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
+def detect(text: str, model: names.Model | None = None) -> list[tuple[int, int, str]]:
     """Entities (start, end, type) in order, none overlapping; earlier types of the list below win."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
@@ -124,7 +82,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                     found.append((m.start(), m.end(), "ip"))
             else:
                 found.append((m.start(), m.end(), "ssn" if len(s) == 11 and s[3] == "-" == s[6] else "phone" if len(s) == 12 else "card"))
-    found += _names(text)
+    found += names.names(text, model)
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
@@ -195,7 +153,7 @@ def _longer(kind: str, entity: str, by: int) -> str:
     if kind == "email":
         at = entity.index("@")
         return entity[:at] + "a" * by + entity[at:]
-    if kind == "surname" or kind.startswith("given_"):
+    if kind.startswith("name"):
         more = entity[-1] if entity[-1].isalpha() else "a"
         return entity[:-1] + more * by + entity[-1]
     return entity
@@ -254,24 +212,41 @@ def surrogate(key: bytes, kind: str, entity: str, turn: int = 0) -> str:
     return "".join(out)
 
 
+def _script(entity: str) -> str:
+    return "latin" if "a" <= entity[-1] <= "ɏ" else "cyrillic" if "а" <= entity[-1] <= "я" else ""
+
+
 def _ending(kind: str, entity: str) -> str:
-    """Last letters of a surrogate: by the gender of a title, else by how the name itself ends; none for surnames and other scripts."""
-    script = "latin" if "a" <= entity[-1] <= "ɏ" else "cyrillic" if "а" <= entity[-1] <= "я" else ""
-    if not kind.startswith("given_") or not script:
+    """Last letters of a surrogate: by the gender that titles give a name, else by how the name itself ends; none in other scripts."""
+    if not kind.startswith("name") or not _script(entity):
         return ""
-    gender = kind[-1] if kind[-1] in "mf" else "f" if entity[-1] in "aeiаяе" else "m"
-    return ENDINGS[gender][script]
+    gender = kind[-1] if kind[-2] == "_" else "f" if entity[-1] in FEMALE else "m"
+    return ENDINGS[gender][_script(entity)]
+
 
+def _type(kind: str) -> str:
+    """Given names and surnames are one type, so that one name has one surrogate wherever it stands."""
+    return "name" if kind == "surname" or kind.startswith("given_") else kind
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of all texts."""
+
+def entities(docs: DataFrame, model: names.Model | None = None) -> DataFrame:
+    """Distinct (kind, entity) of all texts.
+
+    A name has one kind in the whole corpus: name_m or name_f where titles
+    before it as a given name mostly say so against its ending, else name.
+    """
 
     def find(batches):
         for b in batches:
-            got = {(kind, t[x:y]) for t in map(lambda v: v.as_py() or "", b.column(0)) for x, y, kind in detect(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], ["kind", "entity"])
+            got = Counter((kind, t[x:y]) for t in map(lambda v: v.as_py() or "", b.column(0)) for x, y, kind in detect(t, model))
+            rows = [(_type(kind), e, n if kind == "given_m" else -n if kind == "given_f" else 0) for (kind, e), n in got.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["kind", "entity", "male"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(find, "kind string, entity string").distinct()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(find, "kind string, entity string, male long").groupBy("kind", "entity").agg(F.sum("male").alias("male"))
+    last = F.substring("entity", -1, 1)
+    scripted, female = last.between("a", "ɏ") | last.between("а", "я"), last.isin(*FEMALE)
+    kind = F.when((F.col("kind") != "name") | ~scripted, F.col("kind")).when((F.col("male") > 0) & female, "name_m").when((F.col("male") < 0) & ~female, "name_f").otherwise("name")
+    return found.select(kind.alias("kind"), "entity")
 
 
 def _turned(found: DataFrame, key: bytes) -> DataFrame:
@@ -328,10 +303,15 @@ def replace_pii(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
         spare += "_"
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(None).cast("int").alias(spare))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("rest"), F.col("text").cast("string").alias("text"))
-    late = saved(turns(saved(entities(docs)), key))
+    model = names.learned(docs)
+    found = saved(entities(docs, model))
+    turned = saved(turns(found, key))
+    gendered = found.where(F.col("kind").isin("name_m", "name_f")).join(turned, ["kind", "entity"], "left_anti")
+    late = turned.union(gendered.withColumn("turn", F.lit(0))).withColumnRenamed("kind", "as")
+    late = saved(late.withColumn("kind", F.regexp_replace("as", "^name_[mf]$", "name")).select("kind", "entity", "as", F.col("turn").cast("int").alias("turn")))
     few = late.count() <= EXCEPTIONS
-    held = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.turn for r in late.collect()} if few else {})
-    own = "array<struct<kind: string, entity: string, turn: int>>"
+    held = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): (r["as"], r.turn) for r in late.collect()} if few else {})
+    own = "array<struct<kind: string, entity: string, as: string, turn: int>>"
     if few:
         rows = docs.withColumn("own", F.lit(None).cast(own))
     else:
@@ -339,12 +319,12 @@ def replace_pii(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
 
         def mentions(batches):
             for b in batches:
-                got = [(h, kind, t[x:y]) for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True) if t for x, y, kind in detect(t)]
+                got = [(h, _type(kind), t[x:y]) for h, t in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True) if t for x, y, kind in detect(t, model)]
                 got = list(dict.fromkeys(got))
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in (1, 2))], ["hash", "kind", "entity"])
 
         named = rows.select("hash", "text").mapInArrow(mentions, "hash long, kind string, entity string").join(late, ["kind", "entity"])
-        per = named.groupBy("hash").agg(F.collect_set(F.struct("kind", "entity", F.col("turn").cast("int").alias("turn"))).cast(own).alias("own"))
+        per = named.groupBy("hash").agg(F.collect_set(F.struct("kind", "entity", "as", "turn")).cast(own).alias("own"))
         rows = rows.join(per, "hash", "left").drop("hash")
 
     def put(batches):
@@ -354,9 +334,11 @@ def replace_pii(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
             for v, mine in zip(b.column("text"), b.column("own").to_pylist(), strict=True):
                 text = v.as_py()
                 out, at, found = [], 0, []
-                turn = held.value if mine is None else {(x["kind"], x["entity"]): x["turn"] for x in mine}
-                for x, y, kind in detect(text or ""):
-                    e = (kind, text[x:y], turn.get((kind, text[x:y]), 0))
+                turn = held.value if mine is None else {(x["kind"], x["entity"]): (x["as"], x["turn"]) for x in mine}
+                for x, y, kind in detect(text or "", model):
+                    kind = _type(kind)
+                    as_, turned = turn.get((kind, text[x:y]), (kind, 0))
+                    e = (as_, text[x:y], turned)
                     if e not in known:
                         if len(known) > 100_000:
                             known.clear()
