@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.training import balanced, remainder
+from spikeloom.llm.training import balanced, remainder, within
 
 WIDTH, STRIDE, FILTERS, EMBED = 6, 2, 16, 8
 #: Filter positions in one hop; a chunk is two hops (256 bytes, overlapping by half).
 HOP = 64
-#: Labelled rows to learn from for each label, with their whole texts.
-PER_LABEL = 1500
+#: Labelled rows to learn from for each label, with their whole texts, and bytes of these at most.
+PER_LABEL, BYTES = 1500, 16 << 20
 #: Texts and bytes of one learning step (a longer text is a step of its own), filter positions looked at at once.
 STEP_TEXTS, STEP_BYTES, AT_ONCE = 48, 1 << 18, 1 << 16
 
@@ -149,11 +149,11 @@ def _learn(texts: list[bytes], y: np.ndarray, epochs: int = 6, seed: int = 5) ->
     return {"tables": np.einsum("be,jef->jbf", p["e"], p["k"]).astype(np.float32), "bias": p["c"].astype(np.float32), "w": p["w"].astype(np.float32), "b": float(p["b"][0])}
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict | None:
-    """Learn `quality` from about per_label rows of each label whose crc32(doc_id) mod 3 is not 1; None unless both labels occur."""
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: int = BYTES) -> dict | None:
+    """Learn `quality` from about per_label rows of each label, of at most `most` bytes of text, whose crc32(doc_id) mod 3 is not 1; None unless both labels occur."""
     known = labels.where((remainder(3) != 1) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    chosen = balanced(known, "y", per_label)
+    chosen = within(docs, balanced(known, "y", per_label), "y", most)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.coalesce("text", F.lit("")).cast("binary").alias("data")).toArrow()
     y = np.array(got.column("y").to_pylist(), float)
     if not len(y) or y.min() == y.max():

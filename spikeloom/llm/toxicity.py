@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm import text as X
-from spikeloom.llm.training import balanced, remainder
+from spikeloom.llm.training import balanced, remainder, within
 
-#: Labelled rows to learn from for each label, with their whole texts.
-PER_LABEL = 2000
+#: Labelled rows to learn from for each label, with their whole texts, and bytes of these at most.
+PER_LABEL, BYTES = 2000, 8 << 20
 #: A word or beginning is toxic from this many toxic documents, log odds ratio and likelihood ratio (G squared, p about 1e-5) on.
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 2.5, 20.0
 #: Features with a weight of their own occur in this many documents of the sample; bytes of a beginning.
@@ -260,10 +260,10 @@ def _fit(texts: list[bytes], y: np.ndarray, steps: int = 40) -> dict:
     return model | {"combine": c}
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict | None:
-    """Learn `toxic` from about per_label rows of each label whose crc32(doc_id) mod 5 is not 0; None unless both labels occur."""
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: int = BYTES) -> dict | None:
+    """Learn `toxic` from about per_label rows of each label, of at most `most` bytes of text, whose crc32(doc_id) mod 5 is not 0; None unless both labels occur."""
     known = labels.where((remainder(5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
-    chosen = balanced(known, "y", per_label)
+    chosen = within(docs, balanced(known, "y", per_label), "y", most)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("y", F.col("text").cast("binary").alias("data")).toArrow()
     y, data = np.array(got.column("y").to_pylist(), float), got.column("data").to_pylist()
     if not len(y) or y.min() == y.max():
