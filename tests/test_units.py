@@ -149,3 +149,36 @@ def test_leaders_by_rounds_match_the_greedy_pass(spark):
             active = [x for x in later if x not in taken]
     assert got == want
     assert units.dedup_units(df, sc.limit(0), 0.5).count() == len(rows)
+
+
+def test_classes_of_equal_trains_stand_for_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    kinds = [sorted(set(rng.integers(0, 60, n).tolist())) for n in (3, 9, 25, 25)] + [list(range(40)), [5], [6, 200_000]]
+    trains = {(g, int(u)): kinds[int(k)] for g in ("a", "b") for u, k in enumerate(rng.integers(0, len(kinds), 23))}
+    df = spark.createDataFrame([(g, u, s) for (g, u), t in trains.items() for s in t], "recording_id string, unit_uid long, sample long")
+    classes = units.train_classes(df).cache()
+    rep = {(r.recording_id, r.unit_uid): r.rep for r in classes.collect()}
+    assert rep == {(g, u): min(x for (h, x), s in trains.items() if h == g and s == t) for (g, u), t in trains.items()}
+    found = units.class_overlap(df, classes, 2).cache()
+    got = {(r.recording_id, r.u, r.v, r.lag): (r.n, r.runs) for r in found.collect()}
+    plain = {(r.recording_id, r.u, r.v, r.lag): (r.n, r.runs) for r in units.lag_overlap(df, 2).collect()}
+    assert got == {(g, rep[g, u], rep[g, v], lag): n for (g, u, v, lag), n in plain.items()}
+    for (g, u, v, lag), (n, runs) in plain.items():
+        hit = [s for s in trains[g, u] if s + lag in trains[g, v]]
+        assert (n, runs) == (len(hit), sum(s - 1 not in hit for s in hit))
+    # leaders of classes are those of units, also where orders differ, and where copies don't reach the threshold
+    for tol, order in ((0.15, lambda u: u), (0.3, lambda u: u * 7 % 23)):
+        rows = spark.createDataFrame([(g, u, order(u), float(u % 3)) for g, u in trains], "recording_id string, unit_uid long, ord int, cov double")
+        of = lambda o: units.duplicate_score(units.best_lags(o, df))
+        want = {tuple(r) for r in units.dedup_units(rows, of(units.lag_overlap(df, 2)), tol).collect()}
+        assert {tuple(r) for r in units.dedup_units(rows, of(found), tol, classes=classes).collect()} == want
+
+
+def test_sparse_and_dense_counts_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([("r", u, int(s)) for u in range(9) for s in set(rng.integers(0, 5000, 60 * u + 5).tolist())], "recording_id string, unit_uid long, sample long")
+    got = []
+    for cost in (0, 1 << 40):
+        monkeypatch.setattr(units, "WORDS_A_PAIR", cost)
+        got.append(sorted(map(tuple, units.lag_overlap(df, 33, words=2, own=True).collect())))
+    assert got[0] == got[1] and got[0]
