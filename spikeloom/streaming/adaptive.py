@@ -226,6 +226,8 @@ def separation_update(batch: DataFrame, models: DataFrame, cfg: Config) -> DataF
     packed = batch.select(*KEYS, "sample", F.concat("x", F.transform("spikes", lambda s: s.cast("double"))).alias("x"))
 
     def step(state: GridState, x: np.ndarray, row: dict) -> dict:
+        if not len(x):  # a recording that ends before the batch
+            return {"vectors": list(state.vectors)}
         n = len(row["vectors"][0])
         white = x[:, :n] @ state.whitening.T
         state._turn(white, white @ state.vectors.T, x[:, n:] > 0, cfg)

@@ -177,3 +177,12 @@ def test_refinement_never_raises_the_variability(spark):
     got = {r.unit_uid: r for r in D.refine_by_isi(frames, f, 4).collect()}
     assert set(got) == {1, 2} and got[1].cov < 0.05
     assert got[2].cov == 0.0 and list(got[2].filter) == [0.0, 1.0, 0.0]  # no round is better than the given 0
+
+
+def test_a_recording_that_ends_before_the_batch_keeps_its_vectors(spark, tmp_path):
+    from spikeloom import queries as Q
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 155")  # the second recording has 30 samples
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = Q.separation_update(spark, str(tmp_path)).where("recording_id = 'r1'").collect()
+    assert {(r.unit, r.dim): r.w for r in rows} == {(u, k): float(u == k) for u in range(3) for k in range(64)}
