@@ -96,3 +96,15 @@ def test_edits_are_saved_with_log_events_and_participants(spark, tmp_path):
     with pytest.raises(Exception, match="total_samples is required"):
         T.save_edited(root, units, spikes, spikes.withColumn("value", F.lit(1.0)), totals.withColumn("total_samples", F.lit(0).cast("long")), 1000.0)
     assert V.versions(spark, root) == [0, 1]
+
+
+def test_series_of_one_recording_are_written_by_many_tasks(spark, tmp_path):
+    root = str(tmp_path / "x")
+    s = spark.range(40).selectExpr("'a' recording_id", "id unit_uid", "id * 7 sample")
+    units = s.select("recording_id", "unit_uid").withColumn("grid", F.lit(0)).withColumn("flagged", F.lit(False))
+    totals = spark.createDataFrame([("a", 300)], "recording_id string, total_samples long")
+    T.save_edited(root, units, s, s.limit(0).withColumn("value", F.lit(1.0)), totals, 100.0, remove_duplicates=False)
+    assert len(list((tmp_path / "x" / "data" / "pulses").rglob("_scope=r-a/*.parquet"))) > 1
+    got = V.read(spark, root, "pulses").groupBy("unit_uid").agg(F.count("*").alias("n"), F.sum("value").alias("ones"), F.max_by("sample", "value").alias("at")).collect()
+    assert sorted(map(tuple, got)) == [(u, 300, 1.0, u * 7) for u in range(40)]
+    assert spark.conf.get(V.WRITERS, "0") in ("0", None)
