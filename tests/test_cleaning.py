@@ -51,8 +51,8 @@ def test_peel_off_over_borders_of_blocks(spark):
 
 def test_peel_off_lays_nothing_out_beside_the_spikes(spark):
     """Spikes are few bytes and meet in one task, which must not hold sums of each channel at each sample near one."""
-    samples = spark.range(20).select(F.lit("a").alias("recording_id"), F.lit(0).alias("grid"), F.lit(0).alias("channel"), F.col("id").alias("sample"), F.lit(1.0).alias("value"))
-    spikes = samples.select("recording_id", F.lit(1).alias("unit_uid"), "sample")
+    samples = spark.createDataFrame([("a", 0, 0, k, 1.0) for k in range(20)], "recording_id string, grid int, channel int, sample long, value double")
+    spikes = samples.select("recording_id", F.col("channel").alias("unit_uid"), "sample")
     plan = D.peel_off(samples, spikes, 2, spikes.groupBy("recording_id").agg(F.max("sample").alias("total_samples")))._jdf.queryExecution().optimizedPlan().toString()
     keys = re.findall(r"Aggregate \[(.*?)\]", plan)
     assert keys and not [k for k in keys if "channel" in k and "unit_uid" not in k]
