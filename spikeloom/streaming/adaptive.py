@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from spikeloom.operators.units import UNIT, local_maxima, peaks_1d, thin_peaks, two_means_split
+from spikeloom.operators.units import UNIT, local_maxima, peaks_1d, stored, thin_peaks, two_means_split
 
 KEYS = ("recording_id", "grid")
 WINDOW = (*KEYS, "win")
@@ -483,7 +483,7 @@ def adaptive_stream(stream: DataFrame, models: DataFrame, cfg: Config, fs: float
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    m = _whole(models)
+    m = stored(_whole(models))  # read again in every micro-batch, so not computed in each
     rows = stream.withWatermark("ts", delay).select(*KEYS, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "sample", "x").join(m.select(*KEYS, "win"), list(KEYS))
     return rows.groupBy(*WINDOW).transformWithStateInPandas(statefulProcessor=Adapting(cfg, fs), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=m.groupBy(*WINDOW))
 
