@@ -66,3 +66,54 @@ def test_inputs_are_read_once_and_trains_of_many_grids_compared_once(copies, tmp
 
     U.dedup_by_grid(units.coalesce(1).mapInPandas(seen, units.schema), spikes, 100.0, 0.3, True).collect()
     assert len(list(tmp_path.iterdir())) == 1 and len(calls) == 1
+
+
+def test_pairs_of_units_are_not_shuffled(spark):
+    df = spark.createDataFrame([("r", u, 7 * u % 30 + k) for u in range(9) for k in (0, 40, 90)], "recording_id string, unit_uid long, sample long")
+    for kind in ({}, {"best": True}, {"copies": True}, {"best": True, "copies": True}):
+        plan = U.lag_overlap(df, 2, **kind)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("FlatMapGroupsInPandas")]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_best_rows_of_tiles_stretches_and_copies(spark, monkeypatch, words, tile):
+    monkeypatch.setattr(U, "TILE", tile)
+    monkeypatch.setattr(U, "CLASS", 2)
+    rng = np.random.default_rng(11)
+    kinds = [sorted(set(rng.integers(0, 300, n).tolist())) for n in (4, 30, 60, 60)] + [list(range(100, 180))]
+    trains = {(g, int(u)): kinds[int(k)] for g in ("a", "b") for u, k in enumerate(rng.integers(0, len(kinds), 11))}
+    rows = [(g, u, s) for (g, u), t in trains.items() for s in t]
+    df = spark.createDataFrame(rows + [r for r in rows if r[1] == 4][:5], "recording_id string, unit_uid long, sample long")
+    want, size = {}, {k: len(t) for k, t in trains.items()}
+    for r in (("a", 4), ("b", 4)):
+        size[r] = len([x for x in rows + [r for r in rows if r[1] == 4][:5] if x[:2] == r])
+    for (g, u), x in trains.items():
+        for (h, v), y in trains.items():
+            if g == h and u < v:
+                hits = {lag: [s for s in x if s + lag in y] for lag in range(-4, 5)}
+                n = max(map(len, hits.values()))
+                runs = lambda lag, hits=hits: sum(s - 1 not in hits[lag] for s in hits[lag])
+                at = [lag for lag, s in hits.items() if len(s) == n]
+                if n:
+                    want[g, u, v] = (n, at[0], runs(at[0]), at[-1], runs(at[-1]), runs(0), size[g, u], size[g, v])
+    for copies in (False, True):
+        got = {(r.recording_id, r.u, r.v): (r.n, r.lag, r.runs, r.back, r.back_runs, r.runs_0, r.n_u, r.n_v) for r in U.lag_overlap(df, 2, words=words, best=True, copies=copies).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("name", ["lag_overlap", "best_lags", "duplicate_score"])
+def test_copies_are_paired_with_every_unit(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from spikeloom import queries as Q
+
+    # users 0, 4 and 8 have one train, 12 has it a minute later, 16 another one
+    events = [(u, 60 * (k + (u == 12))) for u in (0, 4, 8, 12) for k in (3, 10, 11, 50)] + [(16, 60 * k) for k in (2, 51)]
+    spark.createDataFrame(events, "user_id long, sec long").selectExpr("user_id as event_id", "timestamp_seconds(1704067200 + sec) as ts", "user_id", "1.0d as value").write.parquet(f"{tmp_path}/events.parquet")
+    got = Q.queries()[name](spark, str(tmp_path)).toPandas()
+    assert {(a, b) for a, b in zip(got.u, got.v, strict=True)} == {(a, b) for a in (0, 4, 8, 12, 16) for b in (0, 4, 8, 12, 16) if a < b}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(Q.oracle_sql()[name]).df()
+    key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(float).round(6).values))
+    assert key(got) == key(want)
