@@ -117,3 +117,17 @@ def test_copies_are_paired_with_every_unit(spark, tmp_path, name):
     want = c.sql(Q.oracle_sql()[name]).df()
     key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(float).round(6).values))
     assert key(got) == key(want)
+
+
+def test_saved_edits_leave_out_duplicates(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from spikeloom import queries as Q
+
+    # users 1, 5 and 13 of a recording have one train, 17 has it a minute later, 9 is flagged, 25 is another one
+    events = [(u, 60 * (k + (u == 17))) for u in (1, 5, 9, 13, 17) for k in range(3, 900, 11)] + [(25, 60 * k) for k in range(2, 900, 97)]
+    spark.createDataFrame(events, "user_id long, sec long").selectExpr("user_id as event_id", "timestamp_seconds(1704067200 + sec) as ts", "user_id", "1.0d as value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, Q.queries()["save_edits"](spark, str(tmp_path)).collect()))
+    assert [r[1] for r in got] == [1, 25]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(c.sql(Q.oracle_sql()["save_edits"]).fetchall())
