@@ -182,3 +182,18 @@ def test_sparse_and_dense_counts_agree(spark, monkeypatch):
         monkeypatch.setattr(units, "WORDS_A_PAIR", cost)
         got.append(sorted(map(tuple, units.lag_overlap(df, 33, words=2, own=True).collect())))
     assert got[0] == got[1] and got[0]
+
+
+def test_series_of_spikes_outside_and_repeated(spark):
+    rows = [("r", 1, 3), ("r", 1, 3), ("r", 1, 0), ("r", 2, -5), ("r", 2, 40), ("r", 3, 9), ("r", 3, 10), ("r", 3, -1), ("q", 1, 0), ("x", 9, 1)]
+    spikes = spark.createDataFrame(rows, "recording_id string, unit_uid long, sample long")
+    totals = spark.createDataFrame([("r", 10), ("q", 1), ("x", 0)], "recording_id string, total_samples long")
+    for block in (2, 65_536):
+        out = units.pulse_from_spikes(spikes, totals, block)
+        got = {}
+        for r in out.orderBy("sample").collect():
+            got.setdefault((r.recording_id, r.unit_uid), []).append(r.value)
+        assert got == {("r", 1): [1, 0, 0, 1, 0, 0, 0, 0, 0, 0], ("r", 2): [0] * 10, ("r", 3): [0] * 9 + [1], ("q", 1): [1]}
+    # spikes are shuffled once
+    plan = units.pulse_from_spikes(spikes, F.broadcast(totals))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
