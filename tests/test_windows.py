@@ -246,3 +246,39 @@ def test_refinement_gives_the_sum_at_the_last_spikes():
     assert np.allclose(kept, x[spikes].sum(0)) and abs(cov - V.variability(spikes)) < 1e-12
     same, _, last = V.refined(x, w, 0.0, 10)
     assert np.array_equal(same, w) and last == 0.0
+
+
+def test_queries_leave_no_stage_of_a_fit_out(spark, monkeypatch):
+    import inspect
+
+    from spikeloom import queries as Q
+
+    seen = {}
+    for name in ("fit_units_distributed", "update_filter_window"):
+        of = inspect.signature(getattr(V, name))
+        monkeypatch.setattr(V, name, lambda *a, name=name, of=of, **k: (_ for _ in ()).throw(InterruptedError(seen.setdefault(name, of.bind(*a, **k).arguments))))
+        with pytest.raises(InterruptedError):
+            Q.queries()[name](spark, "/root/testdata/sf0.001")
+    cfg, plain = seen["fit_units_distributed"]["cfg"], V.Fit(100.0)
+    assert (cfg.niter, cfg.updates, cfg.tol) == (plain.niter, plain.updates, plain.tol)
+    assert round(seen["update_filter_window"].get("width", 1000) / 64) > 1  # rows before each are embedded
+
+
+@pytest.mark.parametrize(("peel", "seed"), [(None, None), (0.004, 3)])
+def test_small_windows_are_fitted_whole_and_large_ones_in_steps(spark, monkeypatch, peel, seed):
+    rng = np.random.default_rng(4)
+    rows, calls, step = [], [], V.contrast_step
+    for win, n, first in (("one", 900, 700), ("two", 1400, 0)):
+        x = rng.normal(size=(n, 4)) * 0.5
+        for c in range(2):
+            at = np.arange(20 + 9 * c, n - 20, 23 + 8 * c)
+            x[at + rng.integers(-2, 3, len(at)), c] += 5
+        rows += [(win, 0, 0, first + k, v.tolist()) for k, v in enumerate((x - x.mean(0)) / x.std(0))]
+    df = spark.createDataFrame(rows, "recording_id string, grid int, win int, sample long, x array<double>")
+    cfg = V.Fit(1000.0, niter=2, sil=0.0, updates=4, peel=peel, seed=seed)
+    monkeypatch.setattr(V, "contrast_step", lambda x, v, c: calls.append({r.recording_id.split("\n")[0] for r in v.collect()}) or step(x, v, c))
+    one, many = ({(r.recording_id, r.unit): r for r in f(df, cfg).collect()} for f in (V.fit_units, V.fit_units_distributed))
+    assert one.keys() == many.keys() and {k[0] for k in one} == {"one", "two"}
+    assert calls and all(c == {"two"} for c in calls)
+    for k, u in one.items():
+        assert np.allclose(np.array(u.filter), np.array(many[k].filter), atol=1e-6) and abs(u.sil - many[k].sil) < 1e-6 and u.spikes == many[k].spikes
