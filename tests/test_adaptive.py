@@ -186,3 +186,11 @@ def test_a_recording_that_ends_before_the_batch_keeps_its_vectors(spark, tmp_pat
     e.write.parquet(str(tmp_path / "embeddings.parquet"))
     rows = Q.separation_update(spark, str(tmp_path)).where("recording_id = 'r1'").collect()
     assert {(r.unit, r.dim): r.w for r in rows} == {(u, k): float(u == k) for u in range(3) for k in range(64)}
+
+
+def test_levels_near_a_tie_do_not_hang_on_the_order_of_sums(spark):
+    from spikeloom import queries as Q
+
+    # the exact level is 27.3621875; sums in different orders end on either side of it
+    df = spark.createDataFrame([(27.362187499999997,), (27.3621875,), (27.362187500000004,), (27.3621874,)], "low double")
+    assert [r.low for r in Q._settled(df, "low").collect()] == [27.362188] * 3 + [27.362187]
